@@ -1,8 +1,8 @@
 """The queries of this package by name, and DuckDB SQL for those that SQL can express."""
 
-from . import op01_token_counts, op04_mixing, op05_packing, op06_pii, op07_audio, op08_simhash, op09_quality, op10_chat
+from . import op01_token_counts, op03_embeddings, op04_mixing, op05_packing, op06_pii, op07_audio, op08_simhash, op09_quality, op10_chat
 
-_MODULES = (op01_token_counts, op04_mixing, op05_packing, op06_pii, op07_audio, op08_simhash, op09_quality, op10_chat)
+_MODULES = (op01_token_counts, op03_embeddings, op04_mixing, op05_packing, op06_pii, op07_audio, op08_simhash, op09_quality, op10_chat)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -58,8 +58,8 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID).cast("long"))
 
 
-def id_back(column: str) -> Column:
-    return F.nullif(F.col(column), F.lit(NULL_ID).cast("long"))
+def id_back(column: str | Column) -> Column:
+    return F.nullif(F.col(column) if isinstance(column, str) else column, F.lit(NULL_ID).cast("long"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
