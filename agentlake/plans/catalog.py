@@ -1,4 +1,8 @@
 """Every registered query by name, and the DuckDB SQL that must give the same rows."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from agentlake.plans import retrieval
+
+_PLANS = (retrieval,)
+
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
