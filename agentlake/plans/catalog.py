@@ -1,8 +1,8 @@
 """Every registered query by name, and the DuckDB SQL that must give the same rows."""
 
-from agentlake.plans import evaluation, retrieval
+from agentlake.plans import evaluation, governance, retrieval
 
-_PLANS = (retrieval, evaluation)
+_PLANS = (retrieval, evaluation, governance)
 
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}

@@ -175,9 +175,10 @@ def _probes(spark, d):
     return ev.channel_probe(gold, _keyed(vector), _keyed(lexical), _keyed(r.rrf([(vector, 1.0), (lexical, 1.0)])))
 
 
-@query(f"with {PROBES} select case_id, vec_rank, lex_rank, fused_rank, lex_ratio from probes")
+@query(f"with {PROBES} select case_id, coalesce(vec_rank, 0) as vec_rank, coalesce(lex_rank, 0) as lex_rank, coalesce(fused_rank, 0) as fused_rank, lex_ratio from probes")
 def channel_probe(spark, d):
-    return _probes(spark, d).select("case_id", "vec_rank", "lex_rank", "fused_rank", "lex_ratio")
+    """Rank 0: not found."""
+    return _probes(spark, d).fillna(0, ["vec_rank", "lex_rank", "fused_rank"]).select("case_id", "vec_rank", "lex_rank", "fused_rank", "lex_ratio")
 
 
 @query(f"with {PROBES} select count(*) as n, count(*) filter (where vec_rank is not null and lex_rank is not null) as both, count(*) filter (where vec_rank is not null and lex_rank is null) as vector_only, count(*) filter (where lex_rank is not null and vec_rank is null) as lexical_only, count(*) filter (where vec_rank is null and lex_rank is null) as neither, count(*) filter (where lex_rank > 1) as junk_above_gold, count(*) filter (where lex_ratio > 0 and lex_ratio <= 0.35) as low_confidence from probes")
