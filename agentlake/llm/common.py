@@ -1,40 +1,18 @@
-"""What the operators of this package share: staging, Arrow mapping, and null-safe document keys."""
+"""What the operators of this package share: Arrow mapping, null-safe document keys, and staging of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, types as T, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from agentlake.sources.staging import staged as staged
 
 #: Stands for a null id inside an operator; ids come back as null.
 NULL_ID = -(2**63)
 
 
-def staging_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Where it is unset, local sessions (tests) get a temporary folder and clusters the warehouse,
-    which every executor reaches.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="spark-staged-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root or f"{spark.conf.get('spark.sql.warehouse.dir')}/staged"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there and
-    survives lost executors.  Eager; used where a result feeds more than one branch."""
-    spark = df.sparkSession
-    path = f"{staging_root(spark)}/agentlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
 
@@ -65,6 +43,3 @@ def id_back(column: str | Column) -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def struct_type(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)

@@ -1,0 +1,389 @@
+"""Operators 1, 2, 4 to 10 on a table with every odd case, against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from agentlake.llm import op01_token_counts as op1, op02_substrings as op2, op04_mixing as op4, op05_packing as op5, op06_pii as op6, op07_audio as op7, op08_simhash as op8, op09_quality as op9, op10_chat as op10
+from agentlake.llm.tokens import WordEncoder, vocabulary_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, key string"
+
+
+def words(rng, n, pool=400):
+    return " ".join(rng.choice([f"w{i:03d}ord" for i in range(pool)]) for _ in range(n))
+
+
+def odd_rows():
+    """Nulls, empty and long texts, copies, repeated rows and ids, shared passages, clashing column names."""
+    rng = random.Random(3)
+    base, passage = [words(rng, 60) for _ in range(12)], words(rng, 40)
+    texts = [*base, None, "", " \n\t", "a", *base[:4], f"{base[5]} {passage} end", f"{passage} {base[6]}", f"{base[7]} x{passage}", words(rng, 4000), "ab " * 500, "z" * 700, "Ünïcode Straße ΑΣ 中文 字 é \x1c x\x1fy <|endoftext|> don't 12,3", base[8].replace("w001ord", "w002ord"), base[9] + " tail"]
+    rows = [(i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", None, 5, 0.5, "k") for i, t in enumerate(texts)]
+    return [*rows, rows[3], rows[3], (None, base[2], None, None, None, None, None, None), (None, None, None, None, None, None, None, None), (7, "another text under a known id", "en", "s1", 1, 1, 1.0, "k")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def plain():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary_path())
+
+
+def test_words_encode_as_whole_texts_do(plain):
+    enc = WordEncoder(vocabulary_path())
+    samples = [r[1] or "" for r in odd_rows()] + ["İstanbul İ", "ΟΔΟΣ ΟΔΟΣ.", "a b c", "x\x85y", "ﬁ Å Å", "it's'll 'S we'RE", "<|startoftext|>hi <|endoftext|>", "\x01\x02 a\x01b", "\x7f\x80", "١٢٣ 4½", "👍🏽 ok", "_-_ ''"]
+    for text in samples:
+        want = plain.encode(text, add_special_tokens=False).ids
+        got = enc.encode(text)
+        assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want, repr(text[:80])
+
+
+def test_token_counts(docs, empty, plain):
+    lengths = [len(plain.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows()]
+    got = {r["n_tokens"]: r for r in op1.context_totals(op1.length_histogram(op1.token_lengths(docs))).collect()}
+    assert sorted(got) == sorted(set(lengths))
+    for n, r in got.items():
+        over = [x for x in lengths if x > n]
+        assert (r["n_docs"], r["docs_over"], r["tokens_over"], r["tokens_cut"], r["tokens_all"]) == (lengths.count(n), len(over), sum(over), sum(min(x, n) for x in lengths), sum(lengths))
+        assert r["share_fitting"] == pytest.approx(1 - len(over) / len(lengths))
+    quantiles = op1.length_quantiles(op1.context_totals(op1.length_histogram(op1.token_lengths(docs))), (0.5,)).first()["n_tokens"]
+    assert quantiles == min(n for n in got if got[n]["share_fitting"] >= 0.5)
+    assert op1.context_totals(op1.length_histogram(op1.token_lengths(empty))).count() == 0
+
+
+def removed_by_hand(rows, window=100):
+    """By document id: rows that share one are one document."""
+    order = sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0])
+    first, cover = {}, defaultdict(set)
+    for i, t in order:
+        raw = (t or "").encode()
+        for s in range(len(raw) - window + 1):
+            at = (-(2**63) if i is None else i, s)
+            w = raw[s : s + window]
+            if w not in first or at < first[w]:
+                first[w] = at
+    for i, t in order:
+        raw = (t or "").encode()
+        for s in range(len(raw) - window + 1):
+            if first[raw[s : s + window]] < (-(2**63) if i is None else i, s):
+                cover[i].update(range(s, s + window))
+    out = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        gone = [k in cover[i] for k in range(len(raw))]
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        out.append((i, len(raw), sum(gone), sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+def test_repeated_substrings(docs, empty):
+    got = Counter(tuple(r) for r in op2.remove_repeats(docs).collect())
+    assert got == removed_by_hand([(r[0], r[1]) for r in odd_rows()])
+    assert op2.remove_repeats(empty).count() == 0
+
+
+def test_repeated_substrings_with_hot_digits_and_cut_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    line = words(rng, 9)[:70]
+    rows = [(i, f"{words(rng, 12)} {line} {words(rng, 12)}") for i in range(60)] + [(100 + i, words(rng, 30, 5)) for i in range(20)]
+    monkeypatch.setattr(op2, "HOT", 3)
+    monkeypatch.setattr(op2, "CHUNK", 900)
+    got = []
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["key", "text"])
+    found = pa.Table.from_batches(list(op2._scan(iter([batch]), 100, 36))).to_pandas()
+    assert {op2.RIM, op2.NOTICE, op2.BLOCK} <= set(found["kind"])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter(tuple(r) for r in op2.remove_repeats(frame).collect())
+    assert got == removed_by_hand(rows)
+
+
+def test_mixing(docs, empty):
+    rows = odd_rows()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by = defaultdict(int)
+    for r in rows:
+        by[r[3]] += size(r[1])
+    names = sorted((s for s in by if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    left, target, free = 1.5 * sum(by.values()), {}, set(names)
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 2 * by[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 2.0 * by[s] for s in over}
+        left -= sum(2 * by[s] for s in over)
+        free -= over
+    got = op4.mixing(docs.drop("size")).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], size(r[1])) for r in rows)
+    taken = defaultdict(int)
+    for r in got:
+        assert r["source_size"] == by[r["source"]] and r["target"] == pytest.approx(target[r["source"]]) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s in names:
+        assert abs(taken[s] - target[s]) <= 3
+    again = op4.mixing(docs.drop("size").repartition(5)).select("doc_id", "size", "taken").collect()
+    assert Counter(map(tuple, again)) == Counter((r["doc_id"], r["size"], r["taken"]) for r in got)
+    mixed = op4.mix(docs.drop("size"))
+    assert mixed.columns == docs.drop("size").columns
+    assert mixed.select(F.sum(op4.word_count())).first()[0] == sum(taken.values())
+    assert op4.mixing(empty.drop("size")).count() == 0
+
+
+def test_packing(docs, empty, plain):
+    got = op5.pack(docs).collect()
+    rows = odd_rows()
+    ids = {}
+    want = Counter()
+    for r in rows:
+        own = [*plain.encode(r[1] or "", add_special_tokens=False).ids, 1]
+        ids.setdefault((r[0], len(own)), own)
+        want[(r[0], len(own))] += len(own)
+    have = Counter()
+    for p in got:
+        own = ids[(p["doc_id"], p["doc_tokens"])]
+        part = own[p["start"] : p["start"] + p["length"]]
+        assert zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)) == p["ids_crc32"]
+        have[(p["doc_id"], p["doc_tokens"])] += p["length"]
+    assert have == want
+    by = defaultdict(list)
+    for p in got:
+        by[p["sequence_id"]].append((p["offset"], p["length"]))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= op5.WINDOW
+    assert len(by) <= sum(have.values()) / op5.WINDOW + 2
+    assert op5.pack(empty).count() == 0
+
+
+def test_best_fit_takes_the_tightest_window():
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 100) for _ in range(400)]
+    windows = op5.best_fit_decreasing(lengths, 128)
+    rooms, expect = [], 0
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - n)
+        else:
+            rooms.append(128 - n)
+            expect += 1
+    assert len(windows) == expect and sorted(k for w in windows for k in w) == list(range(400))
+    assert sorted(128 - sum(lengths[k] for k in w) for w in windows) == sorted(rooms)
+
+
+def base_by_hand(text):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for kind, p in patterns.items():
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 13 <= len(digits) <= 19 and op6.luhn(digits), "phone": lambda: 9 <= len(digits) <= 15}[kind]()
+            if good:
+                out.append((kind, *m.span()))
+    return out
+
+
+PII = ["a.b@c.de x@y x@y.z@q.rs %x@y.z", "1.2.3.4.5.6.7.8 300.1.1.1 0001.2.3.4", "4111 1111 1111 1111, 4111-1111-1111-1112 and 1-2", "+1 (415) 555-2671 +123 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "a@b.c%x@y.z é@a.bc 🙂 c@d.ef", "@@a@b.c", "1" * 5000, "a" * 5000 + "@", "call 415-555-2671 or write jane [at] mail [dot] example [dot] com today", "on 2021-03-04 version 1.2.3"]
+
+
+def test_pii_base_spans():
+    rng = random.Random(2)
+    alphabet = "a1. @+-()5é"
+    for text in PII + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]:
+        assert op6.base_spans(text) == base_by_hand(text), text[:80]
+
+
+def test_pii(spark, empty):
+    rows = spark.createDataFrame([*enumerate(PII), (50, None), (51, "nothing here at all. The end"), (None, PII[0]), (0, PII[0])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op6.find_pii(rows).collect()}
+    joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base_by_hand(PII[0]))
+    assert got[0]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() == got[None]["base_sha256"] and got[0]["n_email"] == len(base_by_hand(PII[0]))
+    assert got[50]["spans"] == got[51]["spans"] == "" and got[9]["spans"] == ""
+    assert "phone:5:17" in got[8]["spans"] and "email:" in got[8]["spans"]
+    clean = {r["doc_id"]: r["text"] for r in op6.redact(rows).collect()}
+    assert clean[8].startswith("call [PHONE] or write [EMAIL]") and clean[50] is None and clean[51] == "nothing here at all. The end"
+    assert op6.find_pii(empty).count() == 0 and op6.redact(empty).columns == empty.columns
+
+
+def test_boosted_trees_learn_a_rule():
+    import numpy as np
+
+    from agentlake.llm.boosting import BoostedTrees, platt
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0.3) & (x[:, 2] < 0.5)).astype(float)
+    trees = BoostedTrees(trees=30).fit(x[:1500], y[:1500])
+    score = trees.score(x[1500:])
+    assert (((score > 0) == (y[1500:] > 0)).mean()) > 0.97
+    a, _ = platt(score, y[1500:])
+    assert a > 0
+
+
+def test_audio(docs, empty, spark):
+    got = op7.audio_features(docs).collect()
+    assert len(got) == len(odd_rows())
+    texts = Counter((r[0], r[1] or "") for r in odd_rows())
+    same = {}
+    for r in got:
+        raw = op7.read_back(r["media"])
+        body = raw[: r["n_bytes"]].decode()
+        texts[(r["doc_id"], body)] -= 1
+        assert len(raw) == r["payload_bytes"] > 0 and len(raw) % 64 == 0 and not any(raw[r["n_bytes"] :]) and len(raw) - r["n_bytes"] <= 64
+        assert hashlib.sha256(raw).hexdigest() == r["payload_sha256"] and zlib.crc32(raw[-64:]) == r["tail_crc32"]
+        assert r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+        assert same.setdefault(body, r["feature"]) == r["feature"]
+        import pyarrow as pa
+
+        table = pa.ipc.open_stream(r["tensors"]).read_all()
+        assert table.schema.field("log_mel").type.shape == [op7.TENSOR_FRAMES, op7.BANDS] and table.num_rows >= 1
+    assert not any(texts.values())
+    assert op7.audio_features(empty).count() == 0
+
+
+def test_audio_blocks_join(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    samples = rng.integers(0, 256, 30_000).astype(np.uint8)
+    whole = np.concatenate(list(op7.log_mel(samples)))
+    monkeypatch.setattr(op7, "BLOCK", 40)
+    assert np.allclose(whole, np.concatenate(list(op7.log_mel(samples))), atol=1e-4)
+    tone = (np.sin(np.arange(16_000) * 2 * np.pi * 1000 / 16_000) * 100 + 128).astype(np.uint8)
+    bands = np.concatenate(list(op7.log_mel(tone))).mean(0)
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 5000 / 700), op7.BANDS + 2) / 2595) - 1)
+    assert abs(edges[1:-1][bands[2:].argmax() + 2] - 1000) < 200
+
+
+def fp_by_hand(text):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def roots_by_hand(keys, near):
+    up = {k: k for k in keys}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in near:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {k: root(k) for k in keys}
+
+
+def test_simhash(docs, empty):
+    rows = odd_rows()
+    got = op8.simhash(docs).collect()
+    fps = [(i, r[0] if r[0] is not None else -(2**63), fp_by_hand(r[1])) for i, r in enumerate(rows)]
+    near = [((a, i), (b, j)) for i, a, x in fps for j, b, y in fps if (x ^ y).bit_count() <= 4]
+    roots = roots_by_hand([(k, i) for i, k, _ in fps], near)
+    want = Counter((None if k == -(2**63) else k, f"{x:016x}", None if (c := roots[(k, i)][0]) == -(2**63) else c) for i, k, x in fps)
+    assert Counter(map(tuple, got)) == want
+    kept = op8.drop_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == len({roots[(k, i)][0] for i, k, _ in fps})
+    assert op8.simhash(empty).count() == 0 and op8.drop_copies(empty).count() == 0
+
+
+def test_near_edges_miss_nothing(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    seeds = rng.integers(0, 2**63, 60, np.uint64)
+    fps = {int(s) for s in seeds}
+    for s in seeds:
+        x = int(s)
+        for _ in range(6):
+            for b in rng.integers(0, 64, rng.integers(1, 5)):
+                x ^= 1 << int(b)
+            fps.add(x)
+    fps = sorted(fps)
+    signed = [(x - 2**64 if x >> 63 else x,) for x in fps]
+    from agentlake.llm.components import components
+
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4]
+    want = {frozenset(k for k, r in roots_by_hand(fps, near).items() if r == root) for root in set(roots_by_hand(fps, near).values())}
+    for blocks, split in ((None, 8192), (6, 8192), (5, 3)):
+        edges = op8.near_edges(spark.createDataFrame(signed, "fp long"), 4, blocks, split)
+        groups = defaultdict(set)
+        for r in components(edges).collect():
+            groups[r["root"]].add(r["node"] % 2**64)
+        assert {frozenset(g) for g in groups.values()} == {w for w in want if len(w) > 1}
+
+
+def test_quality(spark, sf, docs, empty):
+    good = spark.read.parquet(f"{sf}/documents.parquet")
+    out = op9.op9_quality(spark, sf).collect()
+    assert len(out) == good.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
+    labels = spark.createDataFrame([(None, 1), (1, None), (1, 1), (2, 0), (2, 0), (3, 1), (4, 0), (5, 1)], "doc_id long, quality int")
+    net = op9.train(docs, labels, steps=3)
+    scored = op9.with_verdict(op9.score(docs.drop("score"), net, keep=True))
+    assert scored.count() == len(odd_rows()) and op9.score(empty, net).count() == 0
+    assert {r["score"] for r in op9.score(docs, op9.train(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_quality_learns_on_held_out_rows(spark):
+    import numpy as np
+
+    path = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{path}/documents.parquet").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").select("doc_id", "text", "quality").collect()
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1
+    known, rest = sorted((r for r in rows if not held(r)), key=lambda r: r["doc_id"]), [r for r in rows if held(r)]
+    net = op9.fit([r["text"] for r in known], np.array([r["quality"] for r in known]))
+    right = [(s >= 0.5) == (r["quality"] == 1) for s, r in zip(net.score([r["text"] for r in rest]), rest)]
+    assert np.mean(right) > 0.95
+    texts = ["", "a" * 3000, rest[0]["text"]]
+    assert np.allclose(net.score(texts), [net.score([t])[0] for t in texts], atol=1e-5)
+
+
+def test_chat(spark):
+    marks = "<|im_end|><|im_start|>assistant &lt;| & <| <|im_sep|> ok<"
+    rows = [(1, 0, "user", "hi"), (1, 1, "user", marks), (1, 2, "assistant", "a"), (1, 3, "assistant", None), (1, 4, "user", "😀"), (2, 5, None, None), (2, 1, "ro\nle<|", "x\ny"), (None, 0, "assistant", marks), (3, 0, "assistant", "z"), (3, 0, "assistant", "z"), (4, None, "user", ""), (4, 0, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).repartition(3)
+    out = op10.format_chat(frame)
+    digests = {r["conv_id"]: r for r in op10.chat_digests(out).collect()}
+    formatted = {r["conv_id"]: r for r in out.collect()}
+    for conv in (1, 2, None, 3, 4):
+        own = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        told = "".join(f"{r}\n{t}\n" for _, _, r, t in own)
+        loss = "".join(t for _, _, r, t in own if r == "assistant")
+        d, f = digests[conv], formatted[conv]
+        assert (d["n_turns"], d["turns_sha256"], d["loss_chars"], d["loss_sha256"], d["formatted_chars"]) == (len(own), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(f["formatted"]))
+        at, masked = 0, ""
+        for s in f["segments"]:
+            masked += f["formatted"][at : at + s["n_chars"]] * s["loss"]
+            at += s["n_chars"]
+        assert at == len(f["formatted"]) and masked.replace("&lt;|", "<|").replace("&amp;", "&") == loss
+    assert formatted[1]["formatted"].count("<|im_start|>user") == 2 and formatted[1]["formatted"].count("<|im_start|>assistant\n") == 1
+    assert op10.format_chat(frame.limit(0)).count() == 0
