@@ -52,6 +52,25 @@ def rebind(golden: DataFrame, matches: DataFrame) -> DataFrame:
     return joined.withColumn("outcome", outcome).withColumn("new_keys", keys).select("case_id", "outcome", "new_keys")
 
 
+def expand_gold(golden: DataFrame, matches: DataFrame, limit: int = MAX_GOLD) -> DataFrame:
+    """Cases with the other chunks of their own document that hold the excerpt; more than ``limit`` of them change nothing.
+
+    golden has case_id, doc_key, keys; matches case_id, doc_key, seq.
+    """
+    same = matches.join(golden.select("case_id", "doc_key"), ["case_id", "doc_key"]).groupBy("case_id").agg(F.collect_set(tx.chunk_key(F.col("doc_key"), F.col("seq"))).alias("more"))
+    both = F.array_sort(F.array_union("keys", F.coalesce("more", F.array().cast("array<string>"))))
+    return golden.join(same, "case_id", "left").withColumn("keys", F.when(F.size(both) <= limit, both).otherwise(F.array_sort("keys"))).drop("more")
+
+
+def evaluate(golden: DataFrame, cases: DataFrame, configs: dict[str, DataFrame], ks: tuple[int, ...] = KS) -> DataFrame:
+    """Scores of several configurations (name -> ranked hits) over one golden set; ``cases`` gives category, tags and error."""
+    out = None
+    for name, ranked in configs.items():
+        one = score_cases(ranked, golden, ks).withColumn("config", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.join(cases.select("case_id", "category", "tags", "error"), "case_id")
+
+
 def score_cases(ranked: DataFrame, golden: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """case_id, k, hit, recall, rr; an empty gold set scores 0."""
     gold = golden.groupBy("case_id").agg(F.count("chunk_key").alias("n_gold"))

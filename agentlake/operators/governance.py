@@ -153,6 +153,22 @@ def evaluate_policy(calls: DataFrame, policy: dict) -> DataFrame:
     return calls.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
 
 
+PATH_KEYS = ("path", "file", "dir")
+#: Tools whose one path is their ``path`` argument.
+FILE_TOOLS = ("read", "write", "edit", "ls", "find", "grep")
+
+
+def path_args(tool: Column, arguments: Column) -> Column:
+    """Path-like values of a call's JSON arguments: strings under path, file or dir at any depth; of file tools, ``path`` alone.
+
+    Keys and their strings are matched in the JSON text, where a quote inside a string is escaped and so no key begins there.
+    """
+    pair = rf'(?<!\\)"(?:{"|".join(PATH_KEYS)})"\s*:\s*("(?:[^"\\]|\\.)+")'
+    deep = F.transform(F.regexp_extract_all(F.coalesce(arguments, F.lit("")), F.lit(pair), F.lit(1)), lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"))
+    own = F.nullif(F.get_json_object(arguments, "$.path"), F.lit(""))
+    return F.when(tool.isin(*FILE_TOOLS), F.array_compact(F.array(own))).otherwise(deep)
+
+
 def normal_path(path: Column) -> Column:
     """An absolute path without ., .. and empty parts."""
     empty = F.array().cast("array<string>")

@@ -184,3 +184,11 @@ def citation_lines(hits: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("doc_key"), F.when(F.coalesce("title_path", F.lit("")) != "", F.concat(F.lit(" > "), F.col("title_path"))).otherwise(""))
     rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"), "chunk_id", "score")))
     return hits.groupBy("query_id").agg(rows.alias("r")).select("query_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("citations"), F.to_json(F.transform("r", lambda x: F.struct(x["rank"].alias("rank"), x["chunk_id"].alias("chunk_id")))).alias("payload"))
+
+
+def rebuild_index(chunks: DataFrame, embed=None) -> tuple[DataFrame, DataFrame]:
+    """(vectors, summary by user: chunks, indexed) from the chunk table alone; ``embed`` maps chunks to (chunk_id, embedding)."""
+    vectors = chunks.select("chunk_id", "user_id").join(embed(chunks) if embed else hashed_embedding(chunks, "chunk_id"), "chunk_id")
+    had = chunks.groupBy("user_id").agg(F.count(F.lit(1)).alias("chunks"))
+    got = vectors.groupBy("user_id").agg(F.count(F.lit(1)).alias("indexed"))
+    return vectors, had.join(got, "user_id", "left").fillna(0, ["indexed"])

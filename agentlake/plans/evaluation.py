@@ -66,10 +66,10 @@ cases as (select config, case_id, k, coalesce(len(list_filter(ranks, lambda x: x
 
 def _scores(spark, d):
     gold = _golden(spark, d)
-    both = [ev.score_cases(_ranked(spark, d, flip), gold).withColumn("config", F.lit(name)) for name, flip in (("a", False), ("b", True))]
     number = F.floor(F.col("case_id") / 100)
     category = F.element_at(F.array(*map(F.lit, ev.CATEGORIES)), (number % 3 + 1).cast("int"))
-    return both[0].unionByName(both[1]).withColumns({"error": F.when(F.col("case_id") % 900 == 0, "timeout"), "category": category, "tags": F.array(category, F.concat(F.lit("t"), (number % 4).cast("string")))})
+    cases = vector_queries(spark, d).select(F.col("query_id").alias("case_id")).withColumns({"error": F.when(F.col("case_id") % 900 == 0, "timeout"), "category": category, "tags": F.array(category, F.concat(F.lit("t"), (number % 4).cast("string")))})
+    return ev.evaluate(gold, cases, {"a": _ranked(spark, d), "b": _ranked(spark, d, True)})
 
 
 def _means(by: str, source: str = "cases") -> str:
@@ -269,3 +269,13 @@ def bad_cases(spark, d):
     told = misses.join(queries.select(F.col("query_id").alias("case_id"), F.col("text").alias("excerpt")), "case_id").join(hits.withColumnRenamed("query_id", "case_id"), "case_id", "left")
     bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
     return told.select("case_id", F.concat(F.lit("doc-"), F.col("gold_id").cast("string"), F.lit("#0")).alias("gold_key"), "chunk_id", "rank", "score", F.contains("body", "excerpt").alias("raw_match"), F.contains(bare("body"), bare("excerpt")).alias("spaceless_match"))
+
+
+@query(f"with {LINES}, {PASSAGES}, starts as (select doc_id as case_id, min(seq) as seq from lines group by 1), golden as (select case_id, 'doc-' || case_id as doc_key, 'doc-' || case_id || '#' || starts.seq as key, substr(text, 1, 12) as excerpt from starts join lines on doc_id = case_id and lines.seq = starts.seq), found as (select case_id, list(distinct lines.doc_key || '#' || lines.seq) as more from golden join lines on lines.doc_key = golden.doc_key and contains(text, excerpt) group by 1), both_ as (select case_id, key, list_sort(list_distinct(list_append(more, key))) as keys from golden join found using (case_id)) select case_id, array_to_string(case when len(keys) <= 5 then keys else [key] end, ',') as keys from both_".replace(f"{PASSAGES}, ", ""))
+def expand_gold(spark, d):
+    """Each document's first line is a case; its opening characters may open other lines of the document."""
+    lines = line_chunks(spark, d)
+    first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))).where("nth = 1")
+    golden = first.select(F.col("doc_id").alias("case_id"), "doc_key", F.array(tx.chunk_key(F.col("doc_key"), F.col("seq"))).alias("keys"), F.substring("text", 1, 12).alias("excerpt"))
+    matches = golden.select("case_id", "doc_key", "excerpt").join(lines.select("doc_key", "seq", "text"), "doc_key").where(F.contains("text", "excerpt")).select("case_id", "doc_key", "seq")
+    return ev.expand_gold(golden.drop("excerpt"), matches).select("case_id", F.array_join("keys", ",").alias("keys"))

@@ -192,3 +192,20 @@ def snapshot_diff(spark, d):
     before = o.where(BEFORE).select(F.col("o_orderkey").alias("key"), F.md5("o_orderpriority").alias("hash"))
     changed = F.when(F.col("o_orderkey") % 10 == 2, F.concat("o_orderpriority", F.lit("!"))).otherwise(F.col("o_orderpriority"))
     return tb.snapshot_diff(before, o.where(AFTER).select(F.col("o_orderkey").alias("key"), F.md5(changed).alias("hash")))
+
+
+@query("""select event_id, case when event_type = 'view' then '/w/' || user_id when event_type = 'click' then '/w/' || user_id || '|a"b' else '' end as paths from events""")
+def path_args(spark, d):
+    """Made-up arguments: a file tool's path, nested ones of another tool with quotes inside, and none."""
+    path = F.concat(F.lit("/w/"), F.col("user_id").cast("string"))
+    single, nested = F.concat(F.lit('{"path":"'), path, F.lit('","x":{"file":"no"}}')), F.concat(F.lit('{"a":[{"file":"'), path, F.lit(r'","b":{"dir":"a\"b"},"url":"u","c":"\"path\":\"z\""}]}'))
+    kind = F.col("event_type")
+    text = F.when(kind == "view", single).when(kind == "click", nested).otherwise("{}")
+    return table(spark, d, "events").select("event_id", F.array_join(g.path_args(F.when(kind == "view", "read").otherwise("mcp"), text), "|").alias("paths"))
+
+
+@query(f"with {ACTIVITY}, s as (select run_id, max(ts) as at_, count(*) as n from activity group by 1) select run_id, n from s order by at_ desc, run_id desc limit 50")
+def newest_sessions(spark, d):
+    """A listing of 50."""
+    s = activity(spark, d).groupBy("run_id").agg(F.max("ts").alias("at"), F.count(F.lit(1)).alias("n"))
+    return tb.newest(s, 50, "at", "run_id").select("run_id", "n")

@@ -177,3 +177,14 @@ def lexical_overlap(spark, d):
     terms = lambda df, key, name: df.select(key, "user_id", tx.term_set(F.col("text")).alias(name))
     joined = terms(passages(spark, d), "query_id", "q").join(terms(corpus(spark, d), "chunk_id", "c"), "user_id")
     return joined.select("query_id", "chunk_id", F.round(scoring.lexical_overlap(F.col("q"), F.col("c")), 6).alias("overlap"))
+
+
+@query(f"with {CORPUS}, {PASSAGES}, {HASHED} select user_id, count(*) as chunks, count(u.id) as indexed from corpus left join (select distinct id from unit where kind = 0) u on u.id = chunk_id group by 1")
+def rebuild_index(spark, d):
+    return r.rebuild_index(corpus(spark, d))[1]
+
+
+@query(f"with {CORPUS} select doc_key, seq, user_id, length(text) as n_chars from corpus where user_id in (2, 7)")
+def chunk_scan(spark, d):
+    """Two tenants' chunks; a table written by ``sources.tables.write_chunks`` opens their folders only."""
+    return corpus(spark, d).where(F.col("user_id").isin(2, 7)).select("doc_key", "seq", "user_id", F.length("text").alias("n_chars"))
