@@ -16,6 +16,14 @@ def tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), pairs)
 
 
+def embedding_terms(text: Column) -> Column:
+    """Tokens, and each single CJK character (but the first of its range) joined to whatever token follows it."""
+    t = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.when((F.length(a) == 1) & (a > "一"), F.concat(a, b)))
+    return F.concat(t, F.array_compact(pairs))
+
+
 def term_set(text: Column) -> Column:
     """Distinct words and CJK characters, in order of appearance."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)))
@@ -91,9 +99,9 @@ def redacted(text: Column) -> Column:
 
 
 def masked_url(url: Column) -> Column:
-    """The password of a URL as ***; what has none goes through the secret patterns."""
-    secret = r"^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#@:]*):([^/?#]*)@"
-    return F.when(F.regexp_like(url, F.lit(secret)), F.regexp_replace(url, secret, "$1$2:***@")).otherwise(redacted(url))
+    """The password of a URL as ***, also behind a bare user name; what has no user goes through the secret patterns."""
+    user = r"^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#@:]*)(?::[^/?#]*)?@"
+    return F.when(F.regexp_like(url, F.lit(user)), F.regexp_replace(url, user, "$1$2:***@")).otherwise(redacted(url))
 
 
 def redacted_blocks(blocks: Column) -> Column:
@@ -109,9 +117,15 @@ def conversation_size(blocks: Column) -> Column:
 
 
 def transcript(role: Column, blocks: Column, cut: int = 2000) -> Column:
-    """One line per block, each cut."""
-    told = lambda b: F.when(b["type"] == "text", F.concat(role, F.lit(": "), b["text"])).when(b["type"] == "tool_call", F.concat(F.lit("call "), b["name"], F.lit(" "), b["arguments"])).otherwise(F.concat(F.lit("result: "), b["content"]))
-    return F.array_join(F.transform(blocks, lambda b: F.substring(told(b), 1, cut)), "\n")
+    """One line per block: who speaks, and the block's body, cut."""
+    body = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, cut)
+    status = lambda b: F.when(F.coalesce(b["is_error"], F.lit(False)), "error").otherwise("ok")
+    told = lambda b: (
+        F.when(b["type"] == "text", F.concat(F.lit("["), role, F.lit("] "), body(b["text"])))
+        .when(b["type"] == "tool_call", F.concat(F.lit("[assistant->tool:"), b["name"], F.lit("] "), body(b["arguments"])))
+        .otherwise(F.concat(F.lit("[tool:"), b["tool_use_id"], F.lit(" "), status(b), F.lit("] "), body(b["content"])))
+    )
+    return F.array_join(F.transform(blocks, told), "\n")
 
 
 def markup_stripped(text: Column) -> Column:
@@ -123,13 +137,19 @@ def markup_stripped(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Cut after sentence ends of Chinese and Latin text; the marks stay."""
-    return F.filter(F.split(text, r"(?<=[。！？；!?;\n])|(?<=\.)(?=\s)"), lambda s: F.trim(s) != "")
+    """Cut behind full-width and plain sentence ends, and at white space after a full stop; blank parts drop out."""
+    return F.filter(F.split(text, r"(?<=[。！？；!?;])|(?<=[.])\s+"), lambda s: F.trim(s) != "")
+
+
+def safe_key(name: Column, limit: int = 200) -> Column:
+    """A file name as object key: each sign but letters, digits, dot, dash, underscore as underscore, cut."""
+    return F.substring(F.regexp_replace(name, "[^A-Za-z0-9._-]", "_"), 1, limit)
 
 
-def safe_key(name: Column, limit: int = 128) -> Column:
-    """Names as keys: anything but letters, digits, dot, dash, underscore as underscore, cut."""
-    return F.substring(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), 1, limit)
+def document_key(name: Column, limit: int = 200) -> Column:
+    """The last part of a path as document key; CJK stays, and nothing left is "document"."""
+    last = F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1)
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(last, f"[^A-Za-z0-9._{CJK}-]", "_"), 1, limit), F.lit("")), F.lit("document"))
 
 
 def test_summary(out: Column) -> Column:

@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from agentlake.functions import scoring
 
 DEFAULT_QUOTA = 1_000_000
-# Upper bounds of histogram buckets: run seconds, call seconds, counts.
-RUN_BOUNDS = (1.0, 5.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0)
-CALL_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)
-COUNT_BOUNDS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
+# Upper bounds of the histograms of run seconds, call seconds and counts.
+RUN_BOUNDS = (0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0)
+CALL_BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
+COUNT_BOUNDS = (0.0, 1.0, 2.0, 3.0, 5.0, 8.0, 13.0, 21.0, 40.0)
 LABELS = ("status", "model", "direction", "outcome", "route", "tool", "event_type", "event")
 
 

@@ -67,7 +67,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFram
 
 def hashed_embedding(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
     """key, embedding: signed counts of hashed terms at unit length."""
-    terms = rows.select(key, F.explode(tx.tokens(F.col("text"))).alias("term")).select(key, F.md5("term").alias("h"))
+    terms = rows.select(key, F.explode(tx.embedding_terms(F.col("text"))).alias("term")).select(key, F.md5("term").alias("h"))
     number = lambda a, n: F.conv(F.substring("h", a, n), 16, 10).cast("long")
     cells = terms.select(key, (number(1, 8) % dim).alias("bucket"), F.when(number(9, 2) % 2 == 0, 1).otherwise(-1).alias("sign")).groupBy(key, "bucket").agg(F.sum("sign").cast("double").alias("w"))
     packed = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
@@ -179,10 +179,18 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_ve
     return rerank(hits, overlap_score(F.col("query"), F.col("title_path"), F.col("text")), k, candidates)
 
 
+def citation_line() -> Column:
+    """Section, else title, with page and origin (source path, else document)."""
+    part = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    head = F.coalesce(part("title_path"), part("title"), F.lit("(untitled)"))
+    page = F.when(F.coalesce("page", F.lit(0)) > 0, F.concat(F.lit(" p."), F.col("page").cast("string"))).otherwise("")
+    origin = F.coalesce(part("source_path"), part("doc_key"))
+    return F.concat(head, page, F.when(origin.isNotNull(), F.concat(F.lit(" — "), origin)).otherwise(""))
+
+
 def citation_lines(hits: DataFrame) -> DataFrame:
     """Per query: the citation lines and the machine-readable payload, in rank order."""
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("doc_key"), F.when(F.coalesce("title_path", F.lit("")) != "", F.concat(F.lit(" > "), F.col("title_path"))).otherwise(""))
-    rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"), "chunk_id", "score")))
+    rows = F.array_sort(F.collect_list(F.struct("rank", citation_line().alias("line"), "chunk_id", "score")))
     return hits.groupBy("query_id").agg(rows.alias("r")).select("query_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("citations"), F.to_json(F.transform("r", lambda x: F.struct(x["rank"].alias("rank"), x["chunk_id"].alias("chunk_id")))).alias("payload"))
 
 

@@ -85,13 +85,13 @@ def newest(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*(F.col(o).desc() for o in order)).limit(n)
 
 
-def table_blocks(df: DataFrame, order: str, rows_per_block: int = 20, columns: int = 20, first: int = 1) -> DataFrame:
-    """A delimited table as text blocks: 0 tells the columns and the row count, the others hold ``col: val`` lines."""
-    names = [c for c in df.columns if c != order][:columns]
+def table_blocks(df: DataFrame, order: str, rows_per_block: int = 20, head_columns: int = 20, first: int = 1) -> DataFrame:
+    """A delimited table as text blocks: 0 tells the first columns and the row count, the others hold ``col: val`` lines."""
+    names = [c for c in df.columns if c != order]
     shown = lambda c: F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "?", "None", "nan"), None).otherwise(F.concat(F.lit(f"{c}: "), F.trim(F.col(c).cast("string"))))
     # ``order`` numbers the rows from ``first``, so a block is a range of it and nothing is sorted as a whole.
     lines = df.select(F.col(order).alias("key"), F.concat_ws("; ", *map(shown, names)).alias("line"))
     placed = lines.withColumn("block", F.floor((F.col("key") - first) / rows_per_block) + 1)
     body = placed.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    head = df.agg(F.concat(F.lit(f"columns: {', '.join(names)}; rows: "), F.count(F.lit(1)).cast("string")).alias("text")).select(F.lit(0).cast("long").alias("block"), "text")
+    head = df.agg(F.concat(F.lit(f"columns({len(names)}): {', '.join(names[:head_columns])}; rows: "), F.count(F.lit(1)).cast("string")).alias("text")).select(F.lit(0).cast("long").alias("block"), "text")
     return head.unionByName(body.select(F.col("block").cast("long").alias("block"), "text"))

@@ -107,9 +107,9 @@ def reasoning_spans(spark, d):
     return rows.select("doc_id", F.md5(tx.thinking(F.col("t"))).alias("thinking"), F.md5(tx.visible(F.col("t"))).alias("visible"))
 
 
-@query("select page_id, substr(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 128) as key from pages")
+@query("select page_id, substr(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 1, 200) as key, coalesce(nullif(substr(regexp_replace(split_part(url, '/', -1), '[^A-Za-z0-9._\\x{4e00}-\\x{9fff}-]', '_', 'g'), 1, 200), ''), 'document') as doc_key from pages")
 def safe_keys(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.safe_key(F.col("url")).alias("key"))
+    return table(spark, d, "pages").select("page_id", tx.safe_key(F.col("url")).alias("key"), tx.document_key(F.col("url")).alias("doc_key"))
 
 
 @query()
@@ -136,7 +136,7 @@ def ingest_status(spark, d):
 
 
 @query("""with b as (select s_suppkey, concat_ws('; ', 's_name: ' || trim(s_name), 's_nationkey: ' || s_nationkey, 's_acctbal: ' || s_acctbal) as line from supplier)
-select s_suppkey // 20 + 1 as block, string_agg(line, chr(10) order by s_suppkey) as text from b group by 1 union all select 0, 'columns: s_name, s_nationkey; rows: ' || count(*) from supplier""".replace(", 's_acctbal: ' || s_acctbal", ""))
+select s_suppkey // 20 + 1 as block, string_agg(line, chr(10) order by s_suppkey) as text from b group by 1 union all select 0, 'columns(2): s_name, s_nationkey; rows: ' || count(*) from supplier""".replace(", 's_acctbal: ' || s_acctbal", ""))
 def table_blocks(spark, d):
     return tb.table_blocks(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey", first=0)
 

@@ -92,7 +92,7 @@ def tool_stats_by_tool(spark, d):
     return g.tool_stats(_calls(spark, d), ("tool", "ok"))
 
 
-@query(f"with {ACTIVITY}, bounds as (select * from (values (1.0::double, '1.0'), (5.0::double, '5.0'), (15.0::double, '15.0'), (30.0::double, '30.0'), (60.0::double, '60.0'), (120.0::double, '120.0'), (300.0::double, '300.0'), (600.0::double, '600.0'), ('infinity'::double, '+Inf')) t(b, le)) select event_type, le, count(*) filter (where value <= b) as count, round(sum(value), 4) as sum from activity cross join bounds where value is not null group by all")
+@query(f"with {ACTIVITY}, bounds as (select * from (values (0.5::double, '0.5'), (1.0::double, '1.0'), (2.0::double, '2.0'), (5.0::double, '5.0'), (10.0::double, '10.0'), (30.0::double, '30.0'), (60.0::double, '60.0'), (120.0::double, '120.0'), (300.0::double, '300.0'), (600.0::double, '600.0'), ('infinity'::double, '+Inf')) t(b, le)) select event_type, le, count(*) filter (where value <= b) as count, round(sum(value), 4) as sum from activity cross join bounds where value is not null group by all")
 def run_histogram(spark, d):
     return g.histogram(activity(spark, d), "value", g.RUN_BOUNDS, ("event_type",))
 

@@ -157,11 +157,13 @@ def channel_plan(spark, d):
     return r.channel_plan(health)
 
 
-@query(f"""with {BM25} select query_id, string_agg('[' || rank || '] ' || doc_key || case when title_path <> '' then ' > ' || title_path else '' end, chr(10) order by rank) as citations,
+@query(f"""with {BM25} select query_id, string_agg(case when rank = 2 then 'a title' else title_path end || case when rank = 3 then ' p.7' else '' end || ' — ' || case when rank = 1 then 'a/b.md' else doc_key end, chr(10) order by rank) as citations,
   '[' || string_agg('{{"rank":' || rank || ',"chunk_id":' || chunk_id || '}}', ',' order by rank) || ']' as payload from lexical join corpus using (chunk_id) where rank <= 3 group by 1""")
 def citation_lines(spark, d):
     queries, chunks = passages(spark, d), corpus(spark, d)
-    return r.citation_lines(r.hydrate(r.bm25_topk(queries, chunks, 3), queries, chunks))
+    hits = r.hydrate(r.bm25_topk(queries, chunks, 3), queries, chunks)
+    only = lambda rank, value: F.when(F.col("rank") == rank, F.lit(value))
+    return r.citation_lines(hits.withColumns({"title": only(2, "a title"), "page": only(3, 7), "source_path": only(1, "a/b.md"), "title_path": F.when(F.col("rank") != 2, F.col("title_path"))}))
 
 
 @query(f"""with {CORPUS} select chunk_id, length(case when title_path <> '' and not contains(text, title_path) then title_path || chr(10) || text else text end) as index_chars,

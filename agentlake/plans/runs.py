@@ -131,10 +131,10 @@ def assign_idx(spark, d):
     return tb.assign_idx(new, rows.where("idx < 2"), "session_id", "was")
 
 
-@query("select conv_id, sum(length(coalesce(text, '')))::bigint as size, md5(string_agg(role || ': ' || substr(coalesce(text, ''), 1, 2000 - length(role) - 2), chr(10) order by turn)) as transcript from conversations group by 1")
+@query("select conv_id, sum(length(coalesce(text, '')))::bigint as size, md5(string_agg('[' || role || '] ' || substr(coalesce(text, ''), 1, 2000), chr(10) order by turn)) as transcript from conversations group by 1")
 def transcripts(spark, d):
     """Each turn is one text block of its message."""
-    block = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("name"), F.lit("").alias("arguments"), F.lit("").alias("content"))
+    block = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("name"), F.lit("").alias("arguments"), F.lit("").alias("content"), F.lit("").alias("tool_use_id"), F.lit(False).alias("is_error"))
     one = table(spark, d, "conversations").select("conv_id", "turn", F.array(block).alias("blocks"), "role")
     told = one.select("conv_id", "turn", tx.conversation_size(F.col("blocks")).alias("size"), tx.transcript(F.col("role"), F.col("blocks")).alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"])

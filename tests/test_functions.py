@@ -32,6 +32,7 @@ def test_redaction(spark):
         assert one(spark, tx.redacted(F.col("t")), t=text) == want
     assert one(spark, tx.masked_url(F.col("t")), t="redis://u:p@h:1/0") == "redis://u:***@h:1/0"
     assert one(spark, tx.masked_url(F.col("t")), t="http://h/x") == "http://h/x"
+    assert one(spark, tx.masked_url(F.col("t")), t="db://me@h/x") == "db://me:***@h/x" and one(spark, tx.masked_url(F.col("t")), t="db://u:p@q@h") == "db://u:***@h"
 
 
 def test_reasoning_spans(spark):
@@ -66,4 +67,7 @@ def test_cost_keys_and_json(spark):
     assert one(spark, tx.json_array(F.col("t")), t="none") is None
     assert one(spark, tx.line_fingerprint(F.col("t")), t=" Page 12 of 30 ") == "page#of#"
     assert one(spark, tx.squeezed(F.col("t")), t=" a　\n b ") == "a b"
-    assert one(spark, tx.sentences(F.col("t")), t="A b. C! 中。D") == ["A b.", " C!", " 中。", "D"]
+    assert one(spark, tx.sentences(F.col("t")), t="A b. C! 中。D") == ["A b.", "C!", " 中。", "D"]
+    assert one(spark, tx.document_key(F.col("t")), t="a\\b/中 x.pdf") == "中_x.pdf" and one(spark, tx.document_key(F.col("t")), t="a/") == "document"
+    assert one(spark, tx.embedding_terms(F.col("t")), t="中 ab 一 c") == ["中", "ab", "一", "c", "中ab"]
+    assert one(spark, tx.embedding_terms(F.col("t")), t="x") == ["x"] and one(spark, tx.embedding_terms(F.col("t")), t="") == []
