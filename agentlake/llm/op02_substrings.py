@@ -2,19 +2,22 @@
 
 Two windows (suffixes cut at ``window`` bytes) are equal just if they fall into one group in every pass of
 a radix sort, and what has become single leaves the sort.  The first digit of a window is its lowest-hashed
-``gram``-byte string, at whatever place, leftmost on ties: equal windows have equal digits, and neighbouring
+string of ``grams[0]`` bytes, at whatever place, leftmost on ties: equal windows have equal digits, and neighbouring
 windows share theirs, so a run of windows with one digit, a block of about 33, is one record and not 33.
 
-1. Pass: blocks are grouped by the digit.  A digit with one block only has no repeats, and leaves.
-2. Pass: in a group, by all bytes of the block.  All but the first of equal blocks are repeats, whole.
-3. Pass: where a digit has blocks that differ, as at the rim of repeated passages, their windows are
-   grouped singly, by a 128-bit digest of all their bytes.  All but the first of a group are repeats.
+1. Blocks are grouped by the digit.  A digit with one block only has no repeats, and leaves.  In a group,
+   all but the first of blocks that are equal in all bytes are repeats, whole.  What is left are digits
+   with blocks that differ, as at the rim of repeated passages.
+2. The same with their windows alone and a longer digit, of ``grams[1]`` bytes: blocks are
+   shorter, and passages that share no more than the first digit leave.
+3. The windows of blocks that still differ are grouped singly, by a 128-bit digest of all their bytes.
+   All but the first of a group are repeats.
 
 Groups are found by 64-bit digits plus 64-bit block digests (together 128 bits).  Before each shuffle a
 task drops the repeats it holds itself, so that a passage in very many documents is one record per task
-and chunk; a digit that has ``HOT`` different blocks in one chunk sends them straight to the third pass,
+and chunk; a digit that has ``HOT`` different blocks in one chunk sends them straight to the next pass,
 and only a notice to the group.  So no group gathers what a large share of the corpus has in common.
-Texts are shuffled once, by document, for the last pass and for the result.
+Texts are shuffled once, by document, for the later passes and for the result.
 
 Defined results: a null text is empty; matches never cross documents; a null doc_id counts as the smallest
 and comes back null; rows that share a doc_id count as one document, in which equal strings at equal starts
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import id_back, id_key, staged, table, texts
 
-WINDOW, GRAM = 100, 36
+WINDOW, GRAMS = 100, (36, 68)
 #: Bytes worked on at once; different blocks of one digit in them that make the digit hot.
 CHUNK, HOT = 1 << 20, 16
 BLOCK, GONE, RIM, NOTICE = range(4)
@@ -151,15 +154,28 @@ def _gone(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch
 
 
 def _scan(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The blocks of whole texts: BLOCK rows, GONE spans (digest: their end), RIM blocks of hot digits, NOTICE of these."""
+    """The blocks of whole texts: BLOCK rows, GONE spans (digest: their end), RIM blocks of hot digits, NOTICE of these.
+
+    With a column ``rim``, of the windows in it only.
+    """
     for batch in batches:
-        for pieces in _pieces(batch.column("key").to_pylist(), [t.encode() for t in texts(batch)], window):
+        keys, rows = batch.column("key").to_pylist(), [t.encode() for t in texts(batch)]
+        rims: dict[int, list] = {}
+        if "rim" in batch.schema.names:
+            for k, rim in zip(keys, batch.column("rim").to_pylist()):
+                rims.setdefault(k, []).extend((r["start"], r["start"] + r["n"]) for r in rim)
+        for pieces in _pieces(keys, rows, window):
             ends = np.cumsum([len(x) for _, x, _ in pieces])
             begins = np.concatenate(([0], ends[:-1]))
-            valid = np.ones(ends[-1], bool)
+            valid = np.full(ends[-1], not rims)
+            for (k, _, a), b, e in zip(pieces, begins.tolist(), ends.tolist()) if rims else ():
+                for start, stop in rims[k]:
+                    valid[min(e, max(b, b + start - a)) : min(e, max(b, b + stop - a))] = True
             for e in ends:
                 valid[max(0, e - window + 1) : e] = False
             first, n, digit, digest = blocks(np.frombuffer(b"".join(x for _, x, _ in pieces), np.uint8), valid, window, gram)
+            if not len(first):
+                continue
             doc = np.searchsorted(ends, first, "right")
             key = np.array([k for k, _, _ in pieces])[doc]
             start = first - begins[doc] + np.array([a for _, _, a in pieces])[doc]
@@ -210,26 +226,38 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_spans(docs: DataFrame, whole: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(key, start, end) of bytes that repeat earlier ones; spans may overlap.  ``whole``: key and text, dealt out by key."""
-    rows = docs.select(id_key().alias("key"), "text").mapInArrow(lambda b: _scan(b, window, gram), _FOUND).repartition("p")
-    digit = Window.partitionBy("p")
-    same = Window.partitionBy("p", "digest").orderBy("key", "start")
-    ranked = rows.withColumn("nth", F.rank().over(same)).withColumns({"low": F.min("digest").over(digit), "high": F.max("digest").over(digit), "worst": F.max("kind").over(digit)})
+def _block_pass(blocks_: DataFrame, window: int) -> DataFrame:
+    """(key, start, end, n, rim): spans that repeat, and blocks (rim) whose digit has blocks that differ."""
+    digit, same = Window.partitionBy("p"), Window.partitionBy("p", "digest").orderBy("key", "start")
+    ranked = blocks_.repartition("p").withColumn("nth", F.rank().over(same)).withColumns({"low": F.min("digest").over(digit), "high": F.max("digest").over(digit), "worst": F.max("kind").over(digit)})
     repeat = (F.col("kind") == BLOCK) & (F.col("nth") > 1)
     rim = (F.col("kind") == RIM) | ((F.col("kind") == BLOCK) & (F.col("nth") == 1) & ((F.col("low") < F.col("high")) | (F.col("worst") == NOTICE)))
-    found = staged(ranked.where(repeat | rim | (F.col("kind") == GONE)).select("key", "start", F.when(F.col("kind") == GONE, F.col("digest")).otherwise(F.col("start") + F.col("n") + (window - 1)).alias("end"), "n", rim.alias("rim")))
+    end = F.when(F.col("kind") == GONE, F.col("digest")).otherwise(F.col("start") + F.col("n") + (window - 1))
+    return staged(ranked.where(repeat | rim | (F.col("kind") == GONE)).select("key", "start", end.alias("end"), "n", rim.alias("rim")))
 
-    rims = found.where("rim").groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("rim"))
-    single = whole.join(rims, "key").mapInArrow(lambda b: _windows(b, window), _FOUND).repartition("p")
-    later = single.withColumn("nth", F.rank().over(same)).where((F.col("kind") == GONE) | (F.col("nth") > 1)).select("key", "start", F.when(F.col("kind") == GONE, F.col("digest")).otherwise(F.col("start") + window).alias("end"))
-    return found.where("not rim").select("key", "start", "end").unionByName(later)
 
+def _with_rims(whole: DataFrame, found: DataFrame) -> DataFrame:
+    return whole.join(found.where("rim").groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("rim")), "key")
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+
+def repeated_spans(docs: DataFrame, whole: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS) -> DataFrame:
+    """(key, start, end) of bytes that repeat earlier ones; spans may overlap.  ``whole``: key and text, dealt out by key."""
+    scan = lambda df, gram: df.mapInArrow(lambda b: _scan(b, window, gram), _FOUND)
+    found = _block_pass(scan(docs.select(id_key().alias("key"), "text"), grams[0]), window)
+    spans = found.where("not rim").select("key", "start", "end")
+    for gram in grams[1:]:
+        found = _block_pass(scan(_with_rims(whole, found), gram), window)
+        spans = spans.unionByName(found.where("not rim").select("key", "start", "end"))
+    single = _with_rims(whole, found).mapInArrow(lambda b: _windows(b, window), _FOUND).repartition("p")
+    nth = F.rank().over(Window.partitionBy("p", "digest").orderBy("key", "start"))
+    later = single.withColumn("nth", nth).where((F.col("kind") == GONE) | (F.col("nth") > 1)).select("key", "start", F.when(F.col("kind") == GONE, F.col("digest")).otherwise(F.col("start") + window).alias("end"))
+    return spans.unionByName(later)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the bytes that are left, as ``kept``."""
     whole = docs.select(id_key().alias("key"), "text").repartition("key")
-    spans = repeated_spans(docs, whole, window, gram).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(docs, whole, window, grams).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = whole.join(spans, "key", "left").mapInArrow(lambda b: _kept(b, with_text), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(id_back("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
 
