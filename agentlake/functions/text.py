@@ -13,7 +13,8 @@ def tokens(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     joined = F.regexp_replace(low, rf"[^a-z0-9_{CJK}]+", "")
     pairs = F.regexp_extract_all(joined, F.lit(rf"(?=([{CJK}][{CJK}]))"), F.lit(1))
-    return F.concat(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), pairs)
+    singles = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    return F.when(F.regexp_like(low, F.lit(f"[{CJK}]")), F.concat(singles, pairs)).otherwise(singles)
 
 
 def embedding_terms(text: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agentlake.functions import scoring, text as tx
+from agentlake.sources.staging import staged
 
 
 def topk(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -16,22 +17,23 @@ def topk(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: st
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
+def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """user_id, chunk_id, term, tf, dl; chunks without terms are left out.
 
-    Terms are counted inside each chunk's array before they are exploded, so a row per term and chunk leaves the scan.
+    With ``terms`` (user_id, term), only theirs leave the scan's stage: they are kept before anything is counted.  Beside
+    them every chunk has a row of the empty term, so that one reading of the texts gives lengths and postings.
     """
-    return (
-        chunks.select("user_id", "chunk_id", tx.tokens(F.col("text")).alias("terms"))
-        .select("user_id", "chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-        .groupBy("user_id", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    sized = chunks.select("user_id", "chunk_id", tx.tokens(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    rows = sized.select("user_id", "chunk_id", F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    if terms is not None:
+        every = terms.unionByName(chunks.select("user_id").distinct().withColumn("term", F.lit("")))
+        rows = rows.join(every, ["user_id", "term"], "left_semi")
+    return rows.groupBy("user_id", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lexical_stats(chunks: DataFrame) -> DataFrame:
-    """user_id, n, avgdl over the chunks that have terms."""
-    sizes = chunks.select("user_id", F.size(tx.tokens(F.col("text"))).alias("dl")).where("dl > 0")
-    return sizes.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def lexical_stats(found: DataFrame) -> DataFrame:
+    """user_id, n, avgdl over the chunks that have terms, from postings."""
+    return found.where("term = ''").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -41,14 +43,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id, score of every chunk of the query's user that shares a term with it.
 
-    Only postings of asked terms survive the semi-join; document frequencies follow from them.
+    Only postings of asked terms survive the semi-join; they are written once, and document frequencies and lengths
+    follow from them.
     """
     asked = query_terms(queries)
-    terms = asked.select("user_id", "term").distinct()
-    hit = postings(chunks).join(terms, ["user_id", "term"], "left_semi")
+    found = staged(postings(chunks, asked.select("user_id", "term").distinct()))
+    hit = found.where("term <> ''")
     df = hit.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weight = scoring.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), scoring.idf(F.col("n"), F.col("df")))
-    weighed = hit.join(df, ["user_id", "term"]).join(lexical_stats(chunks), "user_id").select("user_id", "term", "chunk_id", weight.alias("w"))
+    weighed = hit.join(df, ["user_id", "term"]).join(lexical_stats(found), "user_id").select("user_id", "term", "chunk_id", weight.alias("w"))
     return asked.join(weighed, ["user_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 
 

@@ -42,8 +42,9 @@ def bm25_topk(spark, d):
 
 @query(f"with {BM25} select s.user_id, n, avgdl, terms, most from stats s join (select user_id, count(*) as terms, max(df) as most from df group by 1) using (user_id)")
 def bm25_index_stats(spark, d):
-    p = r.postings(corpus(spark, d)).groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df")).groupBy("user_id").agg(F.count(F.lit(1)).alias("terms"), F.max("df").alias("most"))
-    return r.lexical_stats(corpus(spark, d)).join(p, "user_id")
+    found = r.postings(corpus(spark, d))
+    p = found.where("term <> ''").groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df")).groupBy("user_id").agg(F.count(F.lit(1)).alias("terms"), F.max("df").alias("most"))
+    return r.lexical_stats(found).join(p, "user_id")
 
 
 COSINE = "case when q.n > 0 and v.n > 0 then list_dot_product(q.v, v.v) / (q.n * v.n) else 0 end"

@@ -28,3 +28,11 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{staging_root(spark)}/agentlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, most: int = 64) -> DataFrame:
+    """A table of a single file, dealt out to the cores: it may be one row group, which one task would read alone.
+
+    Tables of several files stay as they lie, so what is shuffled is one file at most.
+    """
+    return df.repartition(min(most, df.sparkSession.sparkContext.defaultParallelism)) if len(df.inputFiles()) == 1 else df
