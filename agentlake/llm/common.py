@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from agentlake.sources.staging import staged as staged
+from agentlake.sources.staging import spread, staged as staged
 
 #: Stands for a null id inside an operator; ids come back as null.
 NULL_ID = -(2**63)
@@ -41,5 +41,6 @@ def id_back(column: str | Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 

@@ -129,8 +129,8 @@ class ByteNet:
         g["filters"] = np.einsum("cfw,cf->wf", taken, d_strong, optimize=True)
         d_window = d_strong[..., None] * self.p["filters"].T
         place = at[..., None] * STRIDE + np.arange(WIDTH)
-        g["codes"] = np.zeros_like(self.p["codes"])
-        np.add.at(g["codes"], found[rows[..., None], place], d_window.reshape(*place.shape, CODE))
+        cell = found[rows[..., None], place].astype(np.int64)[..., None] * CODE + np.arange(CODE)
+        g["codes"] = np.bincount(cell.ravel(), d_window.ravel(), 256 * CODE).reshape(256, CODE)
         self._step += 1
         for k, v in self.p.items():
             m, s = self._moments[k]
