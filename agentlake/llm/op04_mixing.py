@@ -14,7 +14,7 @@ source, so texts are not shuffled.
 
 Defined results: a null text has size 0; a null source is a source of its own, after the others; a source
 of no words has target 0; rows that agree in id and size share what falls to them evenly; an empty table
-gives no rows; other columns are kept by ``mix`` and not read.
+gives no rows; other columns, whatever their names, are kept by ``mix`` and not read.
 """
 
 from __future__ import annotations
@@ -98,34 +98,34 @@ def decide(ranked: DataFrame) -> DataFrame:
     return ranked.withColumns({"copies": whole, "cut_words": F.coalesce(words, F.lit(0)).cast("long")}).withColumn("taken", F.col("copies") * F.col("size") + F.col("cut_words"))
 
 
-def mixing(docs: DataFrame, measured: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, copies, cut_words and taken.
-
-    ``measured`` (doc_id, source, size of all rows) may be given if it is at hand.
-    """
-    if measured is None:
-        measured = staged(docs.select("doc_id", "source", word_count().alias("size")))
+def _cuts(docs: DataFrame, weights: tuple[int, ...], ratio: float, cap: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size of all rows; what decides about them, one row per source)."""
+    measured = staged(docs.select("doc_id", "source", word_count().alias("size")))
     targets = staged(source_targets(measured, weights, ratio, cap))
-    cuts = staged(sampling_cuts(with_rank(measured, targets, seed=seed), targets))
-    sized = docs if "size" in docs.columns else docs.withColumn("size", word_count())
-    return decide(with_rank(sized, cuts, seed=seed))
+    return measured, staged(sampling_cuts(with_rank(measured, targets, seed=seed), targets))
+
 
+def mixing(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, cut_words, taken of every row of ``docs``."""
+    measured, cuts = _cuts(docs, weights, ratio, cap, seed)
+    return decide(with_rank(measured, cuts, seed=seed)).select("doc_id", "source", "size", "source_size", "target", "copies", "cut_words", "taken")
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated as decided; ``text`` is cut behind the last word taken."""
-    names = docs.columns
+    _, cuts = _cuts(docs, weights, ratio, cap, seed)
+    packed = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*docs.columns).alias("row"))
     ends = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
-    cut = F.array_join(F.slice(F.split("text", F.lit(ends), -1), F.lit(1), F.greatest(F.col("cut_words").cast("int"), F.lit(1))), "")
-    copies = F.array_repeat(F.col("text"), F.col("copies").cast("int"))
+    cut = F.array_join(F.slice(F.split("row.text", F.lit(ends), -1), F.lit(1), F.greatest(F.col("cut_words").cast("int"), F.lit(1))), "")
+    copies = F.array_repeat(F.col("row.text"), F.col("copies").cast("int"))
     parts = F.when(F.col("cut_words") > 0, F.concat(copies, F.array(cut))).otherwise(copies)
-    taken = mixing(docs, **options).withColumn("text", F.explode(parts))
-    return taken.select(*((F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in names))
+    taken = decide(with_rank(packed, cuts, seed=seed)).select("row", F.explode(parts).alias("new"))
+    new = {"text": F.col("new"), "n_chars": F.length("new")}
+    return taken.select(*(new.get(f.name, F.col("row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    measured = staged(docs.select("doc_id", "source", word_count().alias("size")))
-    return mixing(measured, measured).select("doc_id", "size", "source_size", "target", "taken", "copies", "cut_words")
+    return mixing(table(spark, sf_dir, "documents")).drop("source")
 
 
 QUERIES = {"op4_mixing": op4_mixing}

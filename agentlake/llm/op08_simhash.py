@@ -157,7 +157,8 @@ def simhash(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def drop_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component, one row of its smallest doc_id."""
     keep = simhash(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("kept")).distinct()
-    return docs.withColumn("kept", id_key()).join(keep, "kept").dropDuplicates(["kept"]).drop("kept")
+    rows = docs.select(id_key().alias("kept"), F.struct(*docs.columns).alias("row"))
+    return rows.join(keep, "kept").dropDuplicates(["kept"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

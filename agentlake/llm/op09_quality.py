@@ -176,22 +176,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit([r["text"] or "" for r in rows], np.array([int(r["y"] == 1) for r in rows]), steps)
 
 
-def score(docs: DataFrame, net: ByteNet | None, keep: bool = False) -> DataFrame:
-    """doc_id and score, or with ``keep`` all columns of ``docs`` and score."""
+def _scorer(net: ByteNet | None):
+    """A function of a batch that goes with the tasks: the weights, and no training state."""
     params = net.p if net else None
-    docs = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = docs.columns if keep else ["doc_id"]
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
         if params is None:
-            found = np.full(batch.num_rows, 0.5)
-        else:
-            own = ByteNet.__new__(ByteNet)
-            own.p = params
-            found = own.score(texts(batch))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], [*kept, "score"])
-
-    return map_batches(docs, rows, docs.select(*kept).withColumn("score", F.lit(0.0)).schema)
+            return np.full(batch.num_rows, 0.5)
+        own = ByteNet.__new__(ByteNet)
+        own.p = params
+        return own.score(texts(batch))
+
+    return scores
+
+
+def score(docs: DataFrame, net: ByteNet | None) -> DataFrame:
+    """doc_id and score."""
+    scores = _scorer(net)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch))], ["doc_id", "score"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, net: ByteNet | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``."""
+    scores = _scorer(net)
+    return docs.mapInArrow(lambda batches: (b.filter(pa.array(scores(b) >= threshold)) for b in batches), docs.schema)
 
 
 def with_verdict(scored: DataFrame) -> DataFrame:

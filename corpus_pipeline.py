@@ -20,7 +20,7 @@ from agentlake.llm.common import staged, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = op09_quality.train(docs, table(spark, sf_dir, "labels"))
-    return op09_quality.score(docs, net, keep=True).where("score >= 0.5").drop("score")
+    return op09_quality.accepted(docs, net)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

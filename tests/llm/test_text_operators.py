@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from agentlake.llm import op01_token_counts as op1, op02_substrings as op2, op04_mixing as op4, op05_packing as op5, op06_pii as op6, op07_audio as op7, op08_simhash as op8, op09_quality as op9, op10_chat as op10
 from agentlake.llm.tokens import WordEncoder, vocabulary_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, key string, kept int, row string, rank double, target string, source_size int"
 
 
 def words(rng, n, pool=400):
@@ -24,8 +24,8 @@ def odd_rows():
     rng = random.Random(3)
     base, passage = [words(rng, 60) for _ in range(12)], words(rng, 40)
     texts = [*base, None, "", " \n\t", "a", *base[:4], f"{base[5]} {passage} end", f"{passage} {base[6]}", f"{base[7]} x{passage}", words(rng, 4000), "ab " * 500, "z" * 700, "Ünïcode Straße ΑΣ 中文 字 é \x1c x\x1fy <|endoftext|> don't 12,3", base[8].replace("w001ord", "w002ord"), base[9] + " tail"]
-    rows = [(i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", None, 5, 0.5, "k") for i, t in enumerate(texts)]
-    return [*rows, rows[3], rows[3], (None, base[2], None, None, None, None, None, None), (None, None, None, None, None, None, None, None), (7, "another text under a known id", "en", "s1", 1, 1, 1.0, "k")]
+    rows = [(i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", None, 5, 0.5, "k", 1, "r", 0.1, "t", 2) for i, t in enumerate(texts)]
+    return [*rows, rows[3], rows[3], (None, base[2], *[None] * 11), (None, *[None] * 12), (7, "another text under a known id", "en", "s1", 1, 1, 1.0, "k", *[None] * 5)]
 
 
 @pytest.fixture(scope="module")
@@ -133,7 +133,7 @@ def test_mixing(docs, empty):
         target |= {s: 2.0 * by[s] for s in over}
         left -= sum(2 * by[s] for s in over)
         free -= over
-    got = op4.mixing(docs.drop("size")).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    got = op4.mixing(docs).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], size(r[1])) for r in rows)
     taken = defaultdict(int)
     for r in got:
@@ -141,12 +141,12 @@ def test_mixing(docs, empty):
         taken[r["source"]] += r["taken"]
     for s in names:
         assert abs(taken[s] - target[s]) <= 3
-    again = op4.mixing(docs.drop("size").repartition(5)).select("doc_id", "size", "taken").collect()
+    again = op4.mixing(docs.repartition(5)).select("doc_id", "size", "taken").collect()
     assert Counter(map(tuple, again)) == Counter((r["doc_id"], r["size"], r["taken"]) for r in got)
-    mixed = op4.mix(docs.drop("size"))
-    assert mixed.columns == docs.drop("size").columns
+    mixed = op4.mix(docs)
+    assert mixed.columns == docs.columns
     assert mixed.select(F.sum(op4.word_count())).first()[0] == sum(taken.values())
-    assert op4.mixing(empty.drop("size")).count() == 0
+    assert op4.mixing(empty).count() == 0
 
 
 def test_packing(docs, empty, plain):
@@ -348,8 +348,11 @@ def test_quality(spark, sf, docs, empty):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
     labels = spark.createDataFrame([(None, 1), (1, None), (1, 1), (2, 0), (2, 0), (3, 1), (4, 0), (5, 1)], "doc_id long, quality int")
     net = op9.train(docs, labels, steps=3)
-    scored = op9.with_verdict(op9.score(docs.drop("score"), net, keep=True))
-    assert scored.count() == len(odd_rows()) and op9.score(empty, net).count() == 0
+    scored = op9.with_verdict(op9.score(docs, net))
+    assert scored.count() == len(odd_rows()) and op9.score(empty, net).count() == op9.accepted(empty, net).count() == 0
+    kept = op9.accepted(docs, net)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in scored.collect() if r["predicted"])
+    assert op6.redact(docs).columns == docs.columns and op6.redact(docs).count() == len(odd_rows())
     assert {r["score"] for r in op9.score(docs, op9.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
