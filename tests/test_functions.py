@@ -71,3 +71,15 @@ def test_cost_keys_and_json(spark):
     assert one(spark, tx.document_key(F.col("t")), t="a\\b/中 x.pdf") == "中_x.pdf" and one(spark, tx.document_key(F.col("t")), t="a/") == "document"
     assert one(spark, tx.embedding_terms(F.col("t")), t="中 ab 一 c") == ["中", "ab", "一", "c", "中ab"]
     assert one(spark, tx.embedding_terms(F.col("t")), t="x") == ["x"] and one(spark, tx.embedding_terms(F.col("t")), t="") == []
+
+
+def test_message_blocks(spark):
+    schema = "role string, blocks array<struct<type:string,text:string,name:string,arguments:string,tool_use_id:string,content:string,is_error:boolean>>"
+    key = "sk-abcdefghijklmnop1234"
+    rows = [("assistant", [("text", f"use {key}", None, None, None, None, None), ("tool_call", None, "bash", f'{{"c":"{key}"}}', None, None, None), ("tool_result", None, None, None, "c1", f"got {key}", True)])]
+    frame = spark.createDataFrame(rows, schema)
+    masked = frame.select(tx.redacted_blocks(F.col("blocks")).alias("b")).first()["b"]
+    assert masked[0]["text"] == "use [REDACTED:api_key]" and key in masked[1]["arguments"] and masked[2]["content"] == "got [REDACTED:api_key]"
+    told = frame.select(tx.transcript(F.col("role"), F.col("blocks"), 9).alias("t"), tx.conversation_size(F.col("blocks")).alias("n")).first()
+    assert told["t"] == '[assistant] use sk-ab\n[assistant->tool:bash] {"c":"sk-\n[tool:c1 error] got sk-ab'
+    assert told["n"] == len(f"use {key}") + len("bash") + len(f'{{"c":"{key}"}}') + len(f"got {key}")
