@@ -30,7 +30,7 @@ WIDTH, STRIDE, CODE, FILTERS, HIDDEN = 8, 4, 8, 24, 16
 #: Labelled rows and training steps at most; documents in a step; chunks of a document in a step.
 SAMPLE, STEPS, BATCH, TRAIN_CHUNKS = 4_000, 500, 32, 12
 #: Chunks scored at once.
-BLOCK = 2_048
+BLOCK = 512
 FOLDS, HELD_OUT = 3, 1
 
 
