@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import id_back, id_key, map_batches, staged, table, texts
 from .components import components, local_roots
@@ -53,14 +53,16 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """key (doc_id, null as the smallest) and fp, a signed 64-bit number."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """key (doc_id, null as the smallest) and fp, a signed 64-bit number; and ``more``, columns of longs."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps)], ["key", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps), *(batch.column(n) for n in names)], ["key", "fp", *names])
 
-    return map_batches(docs.select(id_key().alias("key"), "text"), rows, "key long, fp long")
+    chosen = docs.select(id_key().alias("key"), "text", *more)
+    names = chosen.columns[2:]
+    return map_batches(chosen, rows, ", ".join(f"{n} long" for n in ["key", "fp", *names]))
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
@@ -141,12 +143,17 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = N
     return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _bucket_edges(batches, radius), "a long, b long")
 
 
+def rooted(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of each fp in ``rows``: fp, first (the smallest key) and root, the fingerprint that names its component."""
+    classes = staged(rows.groupBy("fp").agg(F.min("key").alias("first")))
+    found = components(near_edges(classes.select("fp"), radius))
+    return classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     rows = staged(fingerprints(docs))
-    classes = staged(rows.groupBy("fp").agg(F.min("key").alias("first")))
-    found = components(near_edges(classes.select("fp"), radius))
-    joined = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    joined = rooted(rows, radius)
     smallest = joined.groupBy("root").agg(F.min("first").alias("component"))
     labels = joined.join(smallest, "root").select("fp", "component")
     return rows.join(labels, "fp").select(
@@ -154,11 +161,24 @@ def simhash(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def row_digest(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of the whole row; nulls count, and what has no hash of its own is taken as JSON."""
+    plain = [F.to_json(F.struct(c)) if any(k in t for k in ("map<", "variant")) else F.col(c) for c, t in docs.dtypes]
+    parts = [x for c, p in zip(docs.columns, plain) for x in (F.col(c).isNull(), p)]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"digest{seed}") for seed in (0, 1)]
+
+
 def drop_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component, one row of its smallest doc_id."""
-    keep = simhash(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("kept")).distinct()
-    rows = docs.select(id_key().alias("kept"), F.struct(*docs.columns).alias("row"))
-    return rows.join(keep, "kept").dropDuplicates(["kept"]).select("row.*")
+    """The rows of ``docs`` without near copies: of each component, the first row by (doc_id, digest of the row).
+
+    Components are told apart by their root fingerprint, as rows of unlike texts may share a doc_id.
+    """
+    names, digest = ["key", "digest0", "digest1"], row_digest(docs)
+    rows = staged(fingerprints(docs, *digest))
+    first = rows.join(rooted(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(*names)).alias("first"))
+    keep = first.select("root", "first.*")
+    found = docs.select(id_key().alias("key"), *digest, F.struct(*docs.columns).alias("row")).join(keep, names)
+    return found.dropDuplicates([*names, "root"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

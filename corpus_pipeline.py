@@ -4,7 +4,7 @@ Each stage gets (spark, docs, sf_dir) and returns a DataFrame, which is written
 as the next one's docs.  All but the last keep the columns of documents.
 
 1. quality: a byte-level network, learned from ``labels.quality``, rejects documents (op9).
-2. near copies: of each SimHash component, the document of the smallest id stays (op8).
+2. near copies: of each SimHash component, one row of the smallest id stays (op8).
 3. personal data: what is found is replaced by a mark of its kind (op6).
 4. mixing: sources are taken to their target weights; documents repeat, and one per source is cut (op4).
 5. packing: the pieces of all documents in sequences of 2048 tokens (op5).

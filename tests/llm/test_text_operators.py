@@ -315,6 +315,23 @@ def test_simhash(docs, empty):
     assert op8.simhash(empty).count() == 0 and op8.drop_copies(empty).count() == 0
 
 
+def test_near_copies_keep_one_row_of_each_component(spark, docs):
+    rng = random.Random(8)
+    alike, lone = words(rng, 60), [words(rng, 60) for _ in range(4)]
+    rows = [(None, lone[0]), (None, lone[1]), (5, alike), (7, alike), (7, lone[2]), (9, lone[3]), (9, lone[3])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None, lone[0]), (None, lone[1]), (5, alike), (7, lone[2]), (9, lone[3])]
+    for parts in (1, 4):
+        assert Counter(map(tuple, op8.drop_copies(frame.repartition(parts)).collect())) == Counter(want)
+    keyed = [(-(2**63) if r[0] is None else r[0], fp_by_hand(r[1])) for r in odd_rows()]
+    fps = {fp for _, fp in keyed}
+    roots = roots_by_hand(fps, [(x, y) for x in fps for y in fps if (x ^ y).bit_count() <= 4])
+    kept = [tuple(r) for r in op8.drop_copies(docs).collect()]
+    assert not Counter(kept) - Counter(odd_rows())
+    assert Counter((roots[fp_by_hand(r[1])], r[0]) for r in kept) == Counter((root, None if (k := min(k for k, fp in keyed if roots[fp] == root)) == -(2**63) else k) for root in set(roots.values()))
+    assert Counter(kept) == Counter(map(tuple, op8.drop_copies(docs.repartition(5)).collect()))
+
+
 def test_near_edges_miss_nothing(spark):
     import numpy as np
 
