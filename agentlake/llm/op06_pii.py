@@ -44,6 +44,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # What proposes further spans.
 NUMBERS = re.compile(r"(?<![\w+])[(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,19}(?![\w])")
 WRITTEN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|[\[({<]at[\])}>]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[({<]dot[\])}>]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,63}){1,4}", re.I)
+#: What every match of WRITTEN holds.
+AT = re.compile(r"@|[\[({<]at[\])}>]|\x20at\x20", re.I)
 COLONS = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")
 
 CUES = (
@@ -93,8 +95,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for m in NUMBERS.finditer(text):
         n = sum(map(str.isdigit, m[0]))
         found += [("card", *m.span())] * (13 <= n <= 19) + [("phone", *m.span())] * (7 <= n <= 15)
-    low = text.lower()
-    if "@" in text or "dot" in low:
+    if AT.search(text):
         found += [("email", *m.span()) for m in WRITTEN.finditer(text)]
     if ":" in text:
         found += [("ip", *m.span()) for m in COLONS.finditer(text)]

@@ -229,6 +229,21 @@ def test_pii(spark, empty):
     assert op6.find_pii(empty).count() == 0 and op6.redact(empty).columns == empty.columns
 
 
+def test_written_addresses_need_no_at_sign_or_dot_elsewhere():
+    model = op6.trained()
+    for at in ("[at]", "(at)", "{at}", "<at>", "[AT]", " [at] "):
+        address = f"jane{at}example.com"
+        text = f"write to {address} today"
+        span = ("email", 9, 9 + len(address))
+        assert span in op6.candidates(text), text
+        base, added = op6.all_spans([text], model)[0]
+        assert base == [] and added == [span], text
+        assert op6.redacted(text, added) == "write to [EMAIL] today"
+    assert ("email", 0, 19) in op6.candidates("jane at example.com")
+    for text in ("we met at noon", "it is attached", "a [at b"):
+        assert op6.candidates(text) == []
+
+
 def test_boosted_trees_learn_a_rule():
     import numpy as np
 
