@@ -4,7 +4,8 @@ Documents are encoded whole and end with an end id.  Overlong ones are first cut
 is left of each document goes, longest first, into the open window with the tightest room, found by a
 segment tree over remaining capacities.  Every partition packs its own documents as it reads them, so
 nothing is shuffled; the windows that a partition could not fill well are opened again and their pieces
-packed once more, in buckets of about ``BUCKET`` pieces from all partitions.
+packed once more, in buckets of about ``BUCKET`` pieces from all partitions.  A bucket is drawn by a
+number that each loose piece got in the first pass, so rows that share an id or have none spread as well.
 
 Defined results: a null or empty text is the end id alone; repeated rows are documents of their own; an
 empty table gives no rows; other columns are not read.
@@ -79,13 +80,15 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _packed(pieces: list[tuple], capacity: int, first: int, tight: int | None) -> Iterator[tuple]:
-    """Pieces with sequence and offset; without a sequence in windows that have over ``tight`` tokens left."""
+    """Pieces with sequence and offset; in windows that have over ``tight`` tokens left, without a sequence and with a number of their own."""
+    loose = first
     for window in best_fit_decreasing([p[2] for p in pieces], capacity):
         at = 0
         kept = tight is None or capacity - sum(pieces[k][2] for k in window) <= tight
         for k in window:
-            yield (*pieces[k], first if kept else None, at if kept else None)
+            yield (*pieces[k], first if kept else None, at if kept else loose)
             at += pieces[k][2]
+            loose += 1
         first += kept
 
 
@@ -138,7 +141,7 @@ def pack(docs: DataFrame, capacity: int = WINDOW, end_id: int = END_ID, vocabula
         found = [(None if p[0] is pd.NA else p[0], *p[1:]) for p in group[_NAMES[:5]].astype("Int64").itertuples(index=False, name=None)]
         return pd.DataFrame(_packed(found, capacity, first, None), columns=_NAMES).astype("Int64")
 
-    again = left.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))).groupBy("bucket").applyInPandas(second_pass, PIECES)
+    again = left.withColumn("bucket", F.pmod(F.xxhash64("offset"), F.lit(buckets))).groupBy("bucket").applyInPandas(second_pass, PIECES)
     return pieces.where("sequence_id is not null").unionByName(again)
 
 
