@@ -6,8 +6,10 @@ into log-mel bands, and split into active spans by two energy thresholds (a span
 one and lasts while the lower one holds).  The bands are kept as fixed-shape Arrow tensors with the time
 span of each, in an Arrow IPC stream per row, so that any Arrow reader gets tensors back.
 
-A row is worked through in blocks of frames, each text by itself: equal texts give equal values, and
-memory follows the block, not the text.  No rows are shuffled.
+A row is worked through in blocks of frames, each text by itself, so equal texts give equal values.  A
+block's bands are written to the tensor stream at once; beyond the text, its stored form and that stream,
+memory holds one block and one energy per frame.  ``feature`` tells what a reader of the stored stream
+gets: the tensors' shape and digest, and the spans.  No rows are shuffled.
 
 Defined results: a null text is empty and has 64 zero samples; repeated rows give equal rows; an empty
 table gives no rows; other columns are not read.
@@ -31,10 +33,12 @@ from .common import map_batches, table, texts
 RATE, UP, DOWN = 16_000, 5, 8
 TAPS = 60
 FRAME, HOP, BANDS = 256, 128, 24
-#: Frames worked on at once; HOP * BLOCK is a multiple of UP, so blocks start at whole input samples.
-BLOCK = 4_000
 #: Frames in one stored tensor.
 TENSOR_FRAMES = 64
+#: Frames worked on at once: whole tensors, and HOP * BLOCK is a multiple of UP, so blocks start at whole input samples.
+BLOCK = 60 * TENSOR_FRAMES
+#: Milliseconds from frame to frame.
+STEP_MS = HOP * DOWN / UP * 1000 / RATE
 FLOOR = 1e-6
 
 COLUMNS = {
@@ -109,20 +113,46 @@ def active_spans(energy: np.ndarray) -> list[tuple[int, int]]:
     return [(int(s), int(e)) for s, e in zip(edges[::2], edges[1::2]) if energy[s:e].max() > high]
 
 
-def tensor_stream(bands: np.ndarray) -> bytes:
-    """An Arrow IPC stream of fixed-shape tensors [TENSOR_FRAMES, BANDS], each with its time span in ms."""
+def tensor_batch(bands: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    """Fixed-shape tensors [TENSOR_FRAMES, BANDS] of the frames from ``first`` on, each with its time span in ms."""
     n = -(-len(bands) // TENSOR_FRAMES)
     filled = np.full((n * TENSOR_FRAMES, BANDS), np.log(FLOOR), np.float32)
     filled[: len(bands)] = bands
-    step = HOP * DOWN / UP * 1000 / RATE
-    starts = np.arange(n) * TENSOR_FRAMES * step
-    ends = np.minimum(starts + TENSOR_FRAMES * step, len(bands) * step)
+    starts = (first + np.arange(n) * TENSOR_FRAMES) * STEP_MS
+    ends = np.minimum(starts + TENSOR_FRAMES * STEP_MS, (first + len(bands)) * STEP_MS)
     tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(filled.reshape(n, TENSOR_FRAMES, BANDS))
-    batch = pa.RecordBatch.from_arrays([tensors, pa.array(starts), pa.array(ends)], ["log_mel", "start_ms", "end_ms"])
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, batch.schema) as stream:
+    return pa.RecordBatch.from_arrays([tensors, pa.array(starts), pa.array(ends)], ["log_mel", "start_ms", "end_ms"])
+
+
+def read_tensors(stream: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tensors, start_ms, end_ms) of each stored batch."""
+    with pa.ipc.open_stream(stream) as reader:
+        for batch in reader:
+            yield batch.column("log_mel").to_numpy_ndarray(), batch.column("start_ms").to_numpy(), batch.column("end_ms").to_numpy()
+
+
+def described(samples: np.ndarray) -> dict:
+    """tensors (an Arrow IPC stream), segments, feature."""
+    out, energies, total, frames, stream = io.BytesIO(), [], np.zeros(BANDS), 0, None
+    for bands in log_mel(samples):
+        batch = tensor_batch(bands, frames)
+        stream = stream or pa.ipc.new_stream(out, batch.schema)
         stream.write_batch(batch)
-    return out.getvalue()
+        energies.append(bands.mean(axis=1))
+        total += bands.sum(axis=0, dtype=np.float64)
+        frames += len(bands)
+    stream.close()
+    spans = active_spans(np.concatenate(energies))
+    stored, digest, shape = out.getvalue(), hashlib.sha256(), (0, TENSOR_FRAMES, BANDS)
+    for tensors, starts, ends in read_tensors(stored):
+        shape = (shape[0] + len(tensors), *tensors.shape[1:])
+        for part in (tensors, starts, ends):
+            digest.update(np.ascontiguousarray(part))
+    told = f"frames={frames};segments={len(spans)};active={sum(e - s for s, e in spans)};tensors={'x'.join(map(str, shape))};tensors_sha256={digest.hexdigest()}"
+    return {
+        "tensors": stored, "segments": [{"start_ms": s * STEP_MS, "end_ms": e * STEP_MS} for s, e in spans],
+        "feature": f"{told};mel=" + ",".join(f"{x:.2f}" for x in total / frames),
+    }
 
 
 def describe(text: str, wanted: tuple[str, ...]) -> dict:
@@ -134,14 +164,7 @@ def describe(text: str, wanted: tuple[str, ...]) -> dict:
         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "media": media,
     }
     if {"feature", "tensors", "segments"} & {*wanted}:
-        bands = np.concatenate(list(log_mel(np.frombuffer(back, np.uint8))))
-        spans = active_spans(bands.mean(axis=1))
-        step = HOP * DOWN / UP * 1000 / RATE
-        out["segments"] = [{"start_ms": s * step, "end_ms": e * step} for s, e in spans]
-        active = sum(e - s for s, e in spans)
-        out["feature"] = f"frames={len(bands)};segments={len(spans)};active={active};mel=" + ",".join(f"{x:.2f}" for x in bands.mean(axis=0, dtype=np.float64))
-        if "tensors" in wanted:
-            out["tensors"] = tensor_stream(bands)
+        out |= described(np.frombuffer(back, np.uint8))
     return out
 
 
@@ -159,7 +182,7 @@ def audio_features(docs: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS)) -
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(table(spark, sf_dir, "documents"), tuple(COLUMNS)[:7])
+    return audio_features(table(spark, sf_dir, "documents"), (*tuple(COLUMNS)[:7], "segments"))
 
 
 QUERIES = {"op7_audio": op7_audio}
