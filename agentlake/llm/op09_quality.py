@@ -5,8 +5,9 @@ filters slide over each chunk, and each filter keeps its strongest response in t
 and lowest of these over the document's chunks go through one hidden layer to one probability.
 
 The network is fitted on the driver, on at most ``SAMPLE`` labelled rows (those of the lowest hash of
-doc_id; ``sample`` is the parameter) whose crc32(doc_id) mod 3 is not 1, and of each on at most
-``TRAIN_CHUNKS`` chunks at a time.  Scoring reads whole texts, row by row and in blocks of chunks, and
+doc_id; ``sample`` is the parameter) whose crc32(doc_id) mod 3 is not 1.  Tasks cut their texts into
+chunks, and at most ``KEPT_CHUNKS`` of a row, evenly spread, go to the driver, so what comes there is
+bounded however long or often repeated a labelled row is; a step takes ``TRAIN_CHUNKS`` of these.  Scoring reads whole texts, row by row and in blocks of chunks, and
 shuffles nothing; the weights that go with the tasks have a fixed size.
 
 Defined results: a null text is empty, and an empty one is scored as one chunk of zeros; labels that are
@@ -29,6 +30,8 @@ CHUNK, STEP = 512, 448
 WIDTH, STRIDE, CODE, FILTERS, HIDDEN = 8, 4, 8, 24, 16
 #: Labelled rows and training steps at most; documents in a step; chunks of a document in a step.
 SAMPLE, STEPS, BATCH, TRAIN_CHUNKS = 4_000, 500, 32, 12
+#: Chunks of a labelled row that go to the driver at most, evenly spread over its text.
+KEPT_CHUNKS = 48
 #: Chunks scored at once.
 BLOCK = 512
 FOLDS, HELD_OUT = 3, 1
@@ -121,7 +124,9 @@ class ByteNet:
         n = np.diff(np.append(starts, len(found)))
         doc = np.repeat(np.arange(len(batch)), n)
         _, top, bottom = np.split(pooled, 3, 1)
-        d_active = mean[doc] / n[doc, None] + high[doc] * (active == top[doc]) + low[doc] * (active == bottom[doc])
+        at_top, at_bottom = active == top[doc], active == bottom[doc]
+        ties = lambda x: np.add.reduceat(x, starts, dtype=np.float32)[doc]
+        d_active = mean[doc] / n[doc, None] + high[doc] * at_top / ties(at_top) + low[doc] * at_bottom / ties(at_bottom)
         d_strong = d_active * (1 - active**2)
         g["bias"] = d_strong.sum(0)
         rows = np.arange(len(found))[:, None]
@@ -141,13 +146,12 @@ class ByteNet:
         return float(-(weight * (y * np.log(prob + 1e-9) + (1 - y) * np.log(1 - prob + 1e-9))).sum() / weight.sum())
 
 
-def fit(rows: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 5) -> ByteNet | None:
-    """None unless both labels occur."""
+def fit(cut: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = 5) -> ByteNet | None:
+    """``cut`` has the chunks of each row.  None unless both labels occur."""
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return None
     rng, net = np.random.default_rng(seed), ByteNet(seed)
-    cut = [chunks(t) for t in rows]
     # Each step has the rarer label in a third of its documents; weights undo half of that.
     by = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
     rare = min(by, key=len)
@@ -171,9 +175,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """Fits on at most ``sample`` labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where((_fold("id") != HELD_OUT) & F.col("y").isNotNull())
     picked = known.orderBy(F.md5(F.col("id").cast("string")), "id", "y").limit(sample)
-    rows = picked.join(docs.select("doc_id", "text"), F.col("id") == F.col("doc_id")).select("id", "y", "text").collect()
-    rows.sort(key=lambda r: (r["id"], r["y"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], np.array([int(r["y"] == 1) for r in rows]), steps)
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id").select("id", "y", "text")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for text in texts(batch):
+            own = chunks(text)
+            found.append(own[np.linspace(0, len(own) - 1, min(len(own), KEPT_CHUNKS)).round().astype(int)].tobytes())
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], ["id", "y", "cut"])
+
+    ready = map_batches(rows.select(F.col("id").cast("long").alias("id"), F.col("y").cast("int").alias("y"), "text"), cut, "id long, y int, cut binary")
+    told = ready.orderBy(F.md5(F.col("id").cast("string")), "id", "y", "cut").limit(sample).collect()
+    return fit([np.frombuffer(r["cut"], np.uint8).reshape(-1, CHUNK) for r in told], np.array([int(r["y"] == 1) for r in told]), steps)
 
 
 def _scorer(net: ByteNet | None):
