@@ -2,14 +2,16 @@ r"""Chat formatting [native]: turns become one template string per conversation,
 
 Turn structs are collected and sorted; each piece of the template needs only its own turn and the role
 before it, so neighbours of one role share a header and are parted by a separator mark, and the pieces
-are concatenated.  ``&`` and ``<|`` inside roles and texts are escaped, so control strings in a text
+are concatenated.  The pieces stay beside the string as its loss mask: they are its substrings in order,
+each with whether the loss covers it.  ``&`` and ``<|`` inside roles and texts are escaped, so control strings in a text
 never look like marks and everything can be read back.
 
     <|im_start|>user\nhello<|im_sep|>are you there?<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n
 
 Defined results: a null text or role is empty; rows with the same turn sort by role, then text, null
 turns first; repeated rows are turns of their own; rows without a conv_id form one conversation with a
-null id; an empty table gives no rows; other columns are not read.
+null id; an empty table gives no rows; other columns are not read.  A conversation is one row, so its
+turns meet in one task, however many there are.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ def _unescape_role(role: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, segments: the runs of the formatted string in order, each with its length in
-    characters and whether the loss covers it (the escaped texts of ``trained_role``)."""
+    """conv_id, formatted, segments: the pieces of the formatted string in order, each with whether the loss
+    covers it (the escaped texts of ``trained_role``).  ``formatted`` is their concatenation."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_ = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     before = sorted_.select("conv_id", "turns", F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice("turns", 1, F.size("turns") - 1), lambda t: t["role"])).alias("before"))
@@ -50,15 +52,9 @@ def format_chat(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
         return F.struct(mark.alias("mark"), escape(turn["text"]).alias("body"), (turn["role"] == trained_role).alias("loss"))
 
     pieces = before.select("conv_id", F.zip_with("turns", "before", piece).alias("pieces"))
-    run = lambda n, loss: F.struct(n.alias("n_chars"), loss.alias("loss"))
-    return pieces.select(
-        "conv_id",
-        F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["body"])), ""), F.lit(END)).alias("formatted"),
-        F.concat(
-            F.flatten(F.transform("pieces", lambda p: F.array(run(F.length(p["mark"]), F.lit(False)), run(F.length(p["body"]), p["loss"])))),
-            F.array(run(F.lit(len(END)), F.lit(False))),
-        ).alias("segments"),
-    )
+    part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    segments = F.concat(F.flatten(F.transform("pieces", lambda p: F.array(part(p["mark"], F.lit(False)), part(p["body"], p["loss"])))), F.array(part(F.lit(END), F.lit(False))))
+    return pieces.select("conv_id", segments.alias("segments")).select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
 def read_turns(formatted: str = "formatted") -> Column:
@@ -73,14 +69,14 @@ def read_turns(formatted: str = "formatted") -> Column:
     return F.flatten(F.transform(F.filter(F.split(formatted, literal(START), -1), lambda part: part != ""), block))
 
 
-def chat_digests(formatted: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """The digest columns of the query, from what is read back of the formatted strings."""
-    back = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns().alias("turns"))
+def chat_digests(formatted: DataFrame) -> DataFrame:
+    """The digest columns of the query: turns read back from the formatted strings, the loss from what their masks cover."""
+    covered = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
+    back = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns().alias("turns"), F.array_join(covered, "").alias("loss"))
     told = back.select(
-        "conv_id", "formatted_chars",
+        "conv_id", "formatted_chars", "loss",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("told"),
-        F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == trained_role), lambda t: t["text"]), "").alias("loss"),
     )
     return told.select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
