@@ -61,9 +61,37 @@ def test_near_vectors(spark, monkeypatch):
         got = Counter(map(tuple, op3.near_vectors(frame, threshold, tile).collect()))
         assert got == by_hand(rows, threshold)
     assert op3.near_vectors(frame.limit(0)).count() == 0
+    monkeypatch.setattr(op3, "BLOCK", 300)
+    assert Counter(map(tuple, op3.near_vectors(frame, 0.93, 11).collect())) == by_hand(rows, 0.93)
     assert op3.near_vectors(frame.where("label is null")).collect()[0]["kept"]
 
 
+def test_vectors_of_any_finite_size_are_compared(spark):
+    rng = np.random.default_rng(2)
+    unit = rng.normal(size=(4, 6))
+    rows = [(10 * k + j, [float(x) for x in unit[k] * scale], 1) for k in range(4) for j, scale in enumerate((1.0, 1e200, 1e-200, 1e300, 1e-300))]
+    rows += [(90, [5e-324, 0.0, 0.0], 2), (91, [1.7e308, 0.0, 0.0], 2), (92, [1.7e308, 1.7e308, 0.0], 2), (93, [1e-310, 1e-310, 0.0], 2)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op3.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.999).collect()}
+    assert got == {10 * k + j: (4, 10 * k) for k in range(4) for j in range(5)} | {90: (1, 90), 91: (1, 90), 92: (1, 92), 93: (1, 92)}
+
+
+def test_tiles_out_of_reach_never_meet(spark):
+    """Vectors in far clusters along the leading axes: only tiles near each other are tasks, and none that links is left out."""
+    rng = np.random.default_rng(1)
+    centres = np.eye(8)[:4] * 3
+    rows = [(k, [float(x) for x in centres[k % 4] + rng.normal(size=8) * 0.05], 1) for k in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    seen, plain = [], op3.tile_pairs
+    try:
+        op3.tile_pairs = lambda blocks, reach: seen.append((blocks.select("tile").distinct().count(), plain(blocks, reach).where("tile = i").count())) or plain(blocks, reach)
+        got = op3.near_vectors(frame, 0.93, 20).collect()
+    finally:
+        op3.tile_pairs = plain
+    tiles, pairs = seen[0]
+    assert tiles >= 8 and pairs < tiles * (tiles + 1) / 2 * 0.6
+    assert {r["component_id"] for r in got} == {0, 1, 2, 3} and {r["n_links"] for r in got} == {99}
+
+
 def test_components_of_paths_and_stars(spark):
     from agentlake.llm.components import components
 
@@ -108,7 +136,7 @@ def test_pipeline_stages_follow_their_operators(stages):
             if (x ^ y).bit_count() <= 4:
                 up[max(root(a), root(b))] = min(root(a), root(b))
     assert set(ids("near_copies")) == {root(k) for k, _ in fps}
-    model = op6.trained()
+    model = op6.train(stages["near_copies"])
     before = {r["doc_id"]: r["text"] for r in rows["near_copies"]}
     for r in rows["personal_data"]:
         base, more = op6.all_spans([before[r["doc_id"]] or ""], model)[0]
@@ -125,3 +153,26 @@ def test_run_gives_the_last_stage(spark, sf, stages):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == stages["packing"].columns
     assert got.selectExpr("sum(length)").first()[0] == stages["packing"].selectExpr("sum(length)").first()[0]
+
+
+def test_stages_on_odd_rows_and_an_empty_table(spark, sf, stages):
+    """Nulls in every column, shared ids, empty texts, repeated rows and extra columns pass all stages; so does no row at all."""
+    plain = stages["documents"].limit(60)
+    names = plain.columns
+    odd = spark.createDataFrame([(None,) * len(names), (None,) * len(names)], plain.schema)
+    docs = plain.unionByName(odd).unionByName(plain.limit(3)).withColumns({"doc": odd_column(), "size": odd_column(), "row": odd_column(), "key": odd_column()})
+    for start in (docs, docs.limit(0)):
+        at = staged(start)
+        for name, stage in corpus_pipeline.STAGES:
+            got = staged(stage(spark, at, sf))
+            if name != "packing":
+                assert got.columns == docs.columns
+            assert start is docs or got.count() == 0
+            at = got
+    assert at.count() == 0
+
+
+def odd_column():
+    from pyspark.sql import functions as F
+
+    return F.lit(None).cast("string")
