@@ -5,9 +5,14 @@ as the next one's docs.  All but the last keep the columns of documents.
 
 1. quality: a byte-level network, learned from ``labels.quality``, rejects documents (op9).
 2. near copies: of each SimHash component, one row of the smallest id stays (op8).
-3. personal data: what is found is replaced by a mark of its kind (op6).
+3. personal data: what is found is replaced by a mark of its kind (op6, its trees trained on the stage's input).
 4. mixing: sources are taken to their target weights; documents repeat, and one per source is cut (op4).
 5. packing: the pieces of all documents in sequences of 2048 tokens (op5).
+
+Defined results: a null text counts as empty in every decision and stays null until it is packed; rows
+decide, not ids, so rows that share an id or have none are kept or dropped each by itself; of rows that are
+equal in all columns near_copies keeps one; ties go to the smaller id, then to a digest of the row; an empty
+table passes all stages as an empty one; further columns, whatever their names, are kept up to packing.
 """
 
 from __future__ import annotations
