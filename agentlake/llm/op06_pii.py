@@ -148,7 +148,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         *(kind == k for k in ORDER), len(span), len(digits), len(groups), groups[0], groups[-1], max(groups), min(groups),
         count(" "), count("-"), count("."), count("/"), count("("), count(":"), luhn(digits) if digits else 0, kind == "iban" and mod97(span), span.startswith("0"), span.startswith("("),
         "::" in span, bool(re.search("[a-f]", span)), count("@"), "dot" in span.lower(), bool(re.search(r"[\[({<](at|dot)", span, re.I)), count("[.]") + count("(.)"),
-        len(set(digits)), len(set(span)) / len(span), len(letters), any(c.isupper() for c in letters), any(c.islower() for c in letters), all(c in "0123456789abcdefABCDEF" for c in span),
+        len(set(digits)), len(set(span)) / len(span), len(letters), any(c.isupper() for c in letters), any(c.islower() for c in letters), span.isalpha() and span.islower(), all(c in "0123456789abcdefABCDEF" for c in span),
         sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:])), span[:3].lower() in ("sk-", "ghp", "aki", "xox", "eyj"), before[-1:] in ("\"", "'"), bool(re.search(r"[:=]\s*[\"']?$", before)),
         before[-1:] in ("$", "€", "#", "v"), before[-1:] == ":", after[:1] in ("%", "$", "€"),
         *(any(w in cue for w in words[-3:]) for cue in CUES),
@@ -204,7 +204,7 @@ def _forms(rng: np.random.Generator) -> tuple[dict[str, Callable[[], str]], list
         lambda: " ".join(digit(1) for _ in range(number(7, 12))), lambda: card(False), lambda: card(False), lambda: f"{word()} @ {word()}. {word()}", lambda: " ".join(str(number(10, 99)) for _ in range(number(4, 8))),
         lambda: iban(False), lambda: f"{pick('commit', 'sha', 'build')} {draw(hexa, 40)}", lambda: f"{draw(hexa, 8)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 12)}", lambda: f"{word()}-{word()}-{word()}-{number(1, 99)}.{word()}",
         lambda: f"{word()}/{word()}/{word()}_{number(1, 99)}.txt", lambda: f"{pick('token', 'password', 'secret', 'key')}{pick(': ', ' = ')}{pick(word() + word() + low[number(0, 26)], 'required', 'forgotten', 'optional')}", lambda: f"{pick('order', 'invoice')} {digit(3)}-{digit(2)}-{digit(4)}",
-        lambda: f"{number(1, 99)},{digit(3)},{digit(3)}.{digit(2)}", lambda: f"{word()}_{word()}_{word()}_{digit(4)}",
+        lambda: f"{pick('token', 'password', 'secret')}{pick(': ', ' = ', '=')}{draw(low, number(6, 12))}", lambda: f"{number(1, 99)},{digit(3)},{digit(3)}.{digit(2)}", lambda: f"{word()}_{word()}_{word()}_{digit(4)}",
     ]
     return {"email": email, "ip": ip, "card": card, "phone": phone, "secret": secret, "iban": iban, "ssn": ssn}, other
 
