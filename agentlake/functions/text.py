@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
 CJK = r"一-鿿"
@@ -129,12 +131,37 @@ def transcript(role: Column, blocks: Column, cut: int = 2000) -> Column:
     return F.array_join(F.transform(blocks, told), "\n")
 
 
+def _sign(code: Column) -> Column:
+    """The character of a code point; the replacement sign for what is none."""
+    good = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(65).cast("long"))), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
+def entities(text: Column) -> Column:
+    """Named and numeric character references that end in a semicolon as their characters; unknown ones stay."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(&#?[A-Za-z0-9]{1,31};|[^&]+|&)"), F.lit(1))
+    names = F.create_map(*(x for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (F.lit(name), F.lit(chr(code)))))
+    inner = lambda p: F.substr(p, F.lit(2), F.length(p) - 2)
+    decimal = lambda p: _sign(F.coalesce(F.substring(inner(p), 2, 31).try_cast("long"), F.lit(-1).cast("long")))
+    hexa = lambda p: _sign(F.coalesce(F.conv(F.substring(inner(p), 3, 31), 16, 10).try_cast("long"), F.lit(-1).cast("long")))
+    one = lambda p: (
+        F.when(F.regexp_like(p, F.lit("^&#[0-9]+;$")), decimal(p)).when(F.regexp_like(p, F.lit("^&#[xX][0-9A-Fa-f]+;$")), hexa(p))
+        .when(F.regexp_like(p, F.lit("^&[A-Za-z0-9]+;$")), F.coalesce(F.try_element_at(names, inner(p)), p)).otherwise(p)
+    )
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
 def markup_stripped(text: Column) -> Column:
     """Inline markup out: <br> to a new line, tags, entities, bold and code signs, runs of blanks, in this order."""
-    steps = ((r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"\*\*(.+?)\*\*", "$1"), (r"__(.+?)__", "$1"), (r"`([^`]+)`", "$1"), (r"[ \t]+", " "))
-    for pattern, new in steps:
+    # Fixed patterns, before and behind the entities.
+    before = ((r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", ""))
+    behind = ((r"(?s)\*\*(.+?)\*\*", "$1"), (r"(?s)__(.+?)__", "$1"), (r"`([^`\n]+)`", "$1"), (r"[ \t\x{00A0}]{2,}", " "))
+    for pattern, new in before:
         text = F.regexp_replace(text, pattern, new)
-    return F.trim(text)
+    text = entities(text)
+    for pattern, new in behind:
+        text = F.regexp_replace(text, pattern, new)
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def sentences(text: Column) -> Column:
@@ -162,8 +189,15 @@ def test_summary(out: Column) -> Column:
 
 
 def json_array(text: Column) -> Column:
-    """The first JSON array in a model's answer, fences taken off; null if none parses."""
+    """The JSON array of a model's answer, fences taken off: the whole, else the first bracketed part that closes; null if neither parses."""
     bare = F.trim(F.regexp_replace(text, r"(?m)^\s*```[A-Za-z]*\s*$", ""))
-    inner = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+    tail = F.regexp_extract(bare, r"(?s)(\[.*)$", 1)
+    step = lambda s, c: F.struct(
+        (s["at"] + 1).alias("at"),
+        (s["depth"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)).alias("depth"),
+        F.when(s["end"].isNull() & (c == "]") & (s["depth"] == 1), s["at"] + 1).otherwise(s["end"]).alias("end"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+    end = F.aggregate(F.split(tail, ""), start, step, lambda s: s["end"])
     shape = "array<string>"
-    return F.coalesce(F.from_json(bare, shape), F.from_json(F.nullif(inner, F.lit("")), shape))
+    return F.coalesce(F.from_json(F.when(F.startswith(bare, F.lit("[")), bare), shape), F.from_json(F.substr(tail, F.lit(1), end), shape))

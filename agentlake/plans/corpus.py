@@ -61,8 +61,8 @@ def _paged(spark, d):
 
 
 REPEATED = f"""{SPLIT}, rows as (select doc_id, place // 3 as page, place, trim(line) as line, lower(regexp_replace(regexp_replace(trim(line), '\\d+', '#', 'g'), '\\s+', '', 'g')) as fp from lines where trim(line) <> ''),
-pages as (select doc_id, count(distinct page) as pages from rows group by 1 having count(distinct page) >= 3),
-repeated as (select doc_id, fp, count(distinct page) as hits, sum(length(line)) as chars, any_value(pages) as pages from rows join pages using (doc_id) group by doc_id, fp
+pages as (select doc_id, count(distinct place // 3) as pages, sum(length(line)) + count(*) - count(distinct place // 3) as chars from lines group by 1),
+repeated as (select doc_id, fp, count(distinct page) as hits, sum(length(line)) as chars, any_value(pages) as pages from rows join pages using (doc_id) where pages >= 3 group by doc_id, fp
   having (length(fp) >= 4 and count(distinct page) >= greatest(2, floor(any_value(pages) * 0.4::double))) or (fp <> '' and not regexp_matches(fp, '[\\x{{4e00}}-\\x{{9fff}}A-Za-z]') and count(distinct page) >= greatest(2, floor(any_value(pages) * 0.6::double))))"""
 
 
@@ -71,7 +71,7 @@ def repeated_lines(spark, d):
     return c.strip_repeated_lines(_paged(spark, d)).select("doc_id", "page", F.col("at").alias("place"), "line")
 
 
-@query(f"with {REPEATED}, total as (select doc_id, sum(length(line)) as chars from lines group by 1), gone as (select doc_id, sum(chars) as gone from repeated group by 1) select doc_id, round(coalesce(gone, 0) / greatest(total.chars, 1)::double, 6) as ratio from total left join gone using (doc_id)")
+@query(f"with {REPEATED}, gone as (select doc_id, sum(chars) as gone from repeated group by 1) select doc_id, round(coalesce(gone, 0) / greatest(pages.chars, 1)::double, 6) as ratio from pages left join gone using (doc_id)")
 def contamination_ratio(spark, d):
     return c.contamination_ratio(_paged(spark, d))
 
@@ -132,11 +132,27 @@ def chunks(spark, d):
 @query()
 def ingest_status(spark, d):
     """Every even document gets its vectors."""
-    return ch.ingest(_gated(spark, d), lambda chunks: chunks.where("doc_id % 2 = 0").select("doc_id", "seq"))[0].select("doc_id", "status", "chunks", "vectors", "quality")
+    return _ingested(spark, d).select("doc_id", "status", "chunks", "vectors", "quality")
 
 
-@query("""with b as (select s_suppkey, concat_ws('; ', 's_name: ' || trim(s_name), 's_nationkey: ' || s_nationkey, 's_acctbal: ' || s_acctbal) as line from supplier)
-select s_suppkey // 20 + 1 as block, string_agg(line, chr(10) order by s_suppkey) as text from b group by 1 union all select 0, 'columns(2): s_name, s_nationkey; rows: ' || count(*) from supplier""".replace(", 's_acctbal: ' || s_acctbal", ""))
+def _ingested(spark, d):
+    return ch.ingest(_gated(spark, d), lambda chunks: chunks.where("doc_id % 2 = 0").select("doc_id", "seq"))[0]
+
+
+@query()
+def ingest_summary(spark, d):
+    return c.ingest_summary(_ingested(spark, d))
+
+
+@query("select page_id, md5('x ' || page_id || ' ≥ ' || page_id || ' unit' || chr(10) || '| ' || page_id || ' | b & c |' || chr(10) || 'end') as digest from pages")
+def layout_texts(spark, d):
+    """Every page's id inside math, a table with an empty cell, and entities."""
+    made = F.concat(F.lit("<div>x $ "), F.col("page_id"), F.lit(r" \geq "), F.col("page_id"), F.lit(r"\ \unit$</div>"), F.lit("\n<table><tr><td>"), F.col("page_id"), F.lit("</td><td> </td><td>b &amp; <b>c</b></td></tr><tr></tr></table>\n<p>e&#110;&#x64;</p>"))
+    return table(spark, d, "pages").select("page_id", F.md5(c.layout_cleaned(made)).alias("digest"))
+
+
+@query("""with b as (select s_suppkey, concat_ws('; ', 's_name: ' || trim(s_name), 's_nationkey: ' || s_nationkey) as line from supplier)
+select s_suppkey // 20 + 1 as block, string_agg(line, chr(10) order by s_suppkey) as text from b group by 1 union all select 0, 'columns(2): s_name, s_nationkey; rows: ' || count(*) from supplier""")
 def table_blocks(spark, d):
     return tb.table_blocks(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey", first=0)
 

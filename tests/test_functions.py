@@ -56,9 +56,24 @@ def test_reward(spark):
 
 def test_markup_math_and_tables(spark):
     assert one(spark, tx.markup_stripped(F.col("t")), t="<b>x</b> &amp; **y**<br>`z`") == "x & y\nz"
-    assert one(spark, c.math_to_text(F.col("t")), t=r"cost $\alpha_{1} \times x^2$ is $\frac{a}{b}$ or 5$") == "cost α1 × x2 is a/b or 5$"
+    assert one(spark, c.math_to_text(F.col("t")), t=r"cost $\alpha_{1} \times x^2$ is $\frac{a}{b}$ or 5$") == "cost α1 × x2 is ab or 5$"
+    assert one(spark, c.math_to_text(F.col("t")), t=r"$\omega \geq 2.3\ mmol/L$ $\mmol$ and $ \theta $ $ ^{[16]} $") == "ω ≥ 2.3 mmol/L mmol and θ [16]"
     assert one(spark, c.table_grid(F.col("t")), t="<table><tr><th>a</th><td>b <i>c</i></td></tr><tr><td>1</td></tr></table>") == "| a | b c |\n| 1 |"
     assert one(spark, c.layout_cleaned(F.col("t")), t="<p>a</p>\n\n\n\nb") == "a\n\nb"
+    assert one(spark, c.layout_cleaned(F.col("t")), t="pre <table><tr><td>a</td><td></td><td>b\\nc</td></tr><tr></tr></table> post caf&eacute; &#8217;") == "pre | a | b c | post café ’"
+
+
+def test_entities(spark):
+    import html
+
+    for t in ("&eacute;&#8217;&#x1F600;&amp;lt;&nope;& x;", "a&b;c", "&#xD800;", "&#0;", "&Alpha;&#99999999999999999999999;", "no sign", ""):
+        assert one(spark, tx.entities(F.col("t")), t=t) == html.unescape(t)
+    assert one(spark, tx.markup_stripped(F.col("t")), t="w &lt;div&gt;  x\u00a0\u00a0y") == "w <div> x y"
+
+
+def test_first_array_that_closes(spark):
+    for t, want in (('x ["a"] and ["b"]', ["a"]), ('["a","b"]', ["a", "b"]), ('```json\n["q"]\n```', ["q"]), ("none", None), ('[[1],2] tail [9]', ["[1]", "2"]), ('bad [x] ["y"]', None), ("[1", None)):
+        assert one(spark, tx.json_array(F.col("t")), t=t) == want
 
 
 def test_cost_keys_and_json(spark):

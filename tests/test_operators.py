@@ -1,6 +1,7 @@
 """Hand-made rows for operators whose order or rules SQL can't show, and batch against stream."""
 
 import random
+import re
 from itertools import groupby
 
 import pytest
@@ -124,6 +125,116 @@ def test_blocks_and_sections(spark):
     assert blocks[5]["text"] == "# not a heading\n\nx" and blocks[2]["text"] == "para one\nsame"
 
 
+def test_repeated_lines_count_empty_pages(spark):
+    """A line on two of eight pages, five of them blank, is below the threshold of three; on three of eight it repeats."""
+    lines = lambda hits: [(1, p, p, "A running head" if p < hits else "") for p in range(8)] + [(1, 1, 9, "body text")]
+    for hits, left in ((2, 3), (3, 1)):
+        frame = spark.createDataFrame(lines(hits), "doc_id long, page int, at int, line string")
+        assert c.strip_repeated_lines(frame).count() == left
+        total = sum(len(x[3]) for x in lines(hits)) + 1
+        assert c.contamination_ratio(frame).first()["ratio"] == pytest.approx(0 if hits == 2 else 42 / total, abs=1e-6)
+
+
+def plain_chunks(blocks, target, hard, overlap, least):
+    """Block by block from the rules: (kind, path, text) of one document's (kind, path, text)."""
+    import re
+
+    def pieces(text, atomic):
+        if len(text) <= hard:
+            return [text]
+        units = text.split("\n") if atomic else re.split(r"(?<=[。！？；!?;])|(?<=[.])\s+", text)
+        if not atomic:
+            units = [u for s in units if s.strip() for u in ([s] if len(s) <= hard else [s[k : k + hard] for k in range(0, len(s), max(1, hard - overlap))])]
+        made, now = [], None
+        for u in (u for u in units if u.strip()):
+            grown = u if not now else now + ("\n" if atomic else "") + u
+            if now and len(grown) > hard:
+                made.append(now.strip())
+                end = "" if atomic or not overlap else now[-overlap:]
+                signs = [k for k in range(1, len(end)) if end[k] in "。！？；!?;.\n"]
+                lead = end[signs[0] :].strip() if signs else ""
+                grown = lead + u
+            now = grown
+        return made + ([now.strip()] if now and now.strip() else [])
+
+    first, room = [], None
+    for kind, path, text in blocks:
+        if kind == "heading":
+            room = None
+        elif kind in ("table", "code") or len(text) > hard:
+            first += [[kind, path, p] for p in pieces(text, kind in ("table", "code"))]
+            room = None
+        elif room is not None and room + len(text) <= target:
+            first[-1][2] += "\n\n" + text
+            room += len(text)
+        else:
+            first.append(["paragraph", path, text])
+            room = len(text)
+    first = [[k, p, t.strip()] for k, p, t in first]
+    prose = lambda x: x[0] not in ("table", "code")
+    like = lambda x, y: prose(x) and x[:2] == y[:2] and len(x[2]) + len(y[2]) + 2 <= hard
+    once = []
+    for x in first:
+        if once and prose(x) and len(x[2]) < least and like(once[-1], x):
+            once[-1][2] += "\n\n" + x[2]
+        else:
+            once.append(x)
+    done = []
+    while once:
+        x = once.pop(0)
+        if prose(x) and len(x[2]) < least:
+            later = [y for y in once if like(y, x)]
+            if later:
+                later[0][2] = x[2] + "\n\n" + later[0][2]
+                continue
+            before = []
+            for y in reversed(done):
+                if prose(y) and y[1] != x[1]:
+                    break
+                before.append(y)
+            host = [y for y in before if like(y, x)]
+            if host:
+                host[0][2] += "\n\n" + x[2]
+                continue
+        done.append(x)
+    return done
+
+
+@pytest.mark.parametrize("target, hard, overlap, least", [(80, 130, 25, 30), (60, 90, 0, 20), (800, 2000, 120, 100)])
+def test_chunks_equal_a_plain_walk(spark, sf, target, hard, overlap, least):
+    """On random blocks, and on the blocks of all pages and documents."""
+    rng = random.Random(4)
+    rows = []
+    for doc in range(60):
+        for block in range(rng.randint(1, 25)):
+            kind = rng.choice(["paragraph"] * 5 + ["list", "heading", "table", "code"])
+            text = " ".join(rng.choice(["alpha", "be.", "gam!", "中文。", "de;lta", "x\ny"]) for _ in range(rng.choice([1, 2, 5, 10, 30, 60])))
+            rows.append((doc, block, kind, rng.randint(1, 3) if kind == "heading" else 0, rng.choice("ABC") if kind == "heading" else text))
+    blocks = spark.createDataFrame(rows, "doc_id long, block int, kind string, level int, text string")
+    if least == 100:
+        pages = c.page_blocks(spark.read.parquet(f"{sf}/pages.parquet")).withColumnRenamed("page_id", "doc_id")
+        blocks = pages.unionByName(c.text_blocks(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("doc_id", F.col("doc_id") + 100_000))
+    named = c.section_paths(blocks).where(F.trim("text") != "").orderBy("doc_id", "block").collect()
+    want = []
+    for doc, own in groupby(named, key=lambda x: x["doc_id"]):
+        want += [(doc, k, *x) for k, x in enumerate(plain_chunks([(x["kind"], x["title_path"], re.sub(r"[ \t]+\n", "\n", x["text"])) for x in own], target, hard, overlap, least))]
+    got = ch.chunk(blocks, target, hard, overlap, least).select("doc_id", "seq", "kind", "title_path", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_ingest_takes_what_a_heavier_parser_gives(spark):
+    docs = spark.createDataFrame([(1, "good text of a document", 1, True), (2, "", 3, True), (3, "", 3, True)], "doc_id long, text string, pages int, scannable boolean").withColumn("text", F.when(F.col("doc_id") == 1, F.repeat("text", F.lit(9))).otherwise(F.col("text")))
+    parse = lambda refused: refused.where("doc_id = 2").select("doc_id", F.lit("<p>read</p> <table><tr><td>a</td><td>b</td></tr></table>").alias("text"))
+    plain = {x["doc_id"]: x["status"] for x in ch.ingest(docs)[0].collect()}
+    out, chunks, _ = ch.ingest(docs, parse=parse)
+    told = out.collect()
+    assert plain == {1: "index_pending", 2: "needs_heavy_parser", 3: "needs_heavy_parser"}
+    assert {x["doc_id"]: x["status"] for x in told} == {1: "index_pending", 2: "index_pending", 3: "needs_heavy_parser"}
+    assert [x["text"] for x in chunks.where("doc_id = 2").collect()] == ["read | a | b |"]
+    summary = {x["status"]: (x["docs"], x["stored"]) for x in c.ingest_summary(out).collect()}
+    assert summary == {"index_pending": (2, 2), "needs_heavy_parser": (1, 0)}
+
+
 def test_chunks(spark):
     rng = random.Random(0)
     long = "".join(f"Sentence number {i} says something. " for i in range(120))
