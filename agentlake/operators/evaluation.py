@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agentlake.functions import text as tx
+from agentlake.operators import governance, retrieval
 
 KS = (1, 3, 5)
 MAX_GOLD = 5
@@ -18,11 +19,12 @@ CATEGORIES = ("happy_path", "edge_case", "adversarial")
 def locate_excerpts(excerpts: DataFrame, chunks: DataFrame) -> DataFrame:
     """(case_id, chunk_id) where the chunk's text holds the excerpt, white space aside.
 
-    Candidates come from the rarest inner token of each excerpt (its two outer tokens may be cut in the text), so the
-    containment test runs on few pairs; only excerpts without an inner token meet every chunk.
+    The containment test runs on few pairs, found by equal keys.  An excerpt of three tokens or more meets the chunks that
+    have its rarest inner token (the two outer ones may be cut in the text).  With two, a chunk needs a token that ends with the
+    first; with one, a token that holds it: parts of the distinct tokens tell which.  Without any, it needs the first sign.
     """
     e = excerpts.select("case_id", tx.squeezed(F.col("excerpt")).alias("needle")).where("needle <> ''").withColumn("t", F.regexp_extract_all(F.lower("needle"), F.lit(tx.TOKEN), F.lit(0)))
-    inner = e.select("case_id", "needle", F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))).alias("inner"))
+    inner = e.select("case_id", "needle", "t", F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))).alias("inner"))
     wanted = inner.select("case_id", F.explode("inner").alias("term"))
     hay = chunks.select("chunk_id", tx.squeezed(F.col("text")).alias("hay"))
     terms = hay.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("hay"), F.lit(tx.TOKEN), F.lit(0)))).alias("term"))
@@ -30,10 +32,17 @@ def locate_excerpts(excerpts: DataFrame, chunks: DataFrame) -> DataFrame:
     counts = present.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = wanted.join(counts, "term", "left").groupBy("case_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     candidates = rarest.join(present, "term").select("case_id", "chunk_id")
-    near = candidates.join(e.select("case_id", "needle"), "case_id").join(hay, "chunk_id").where(F.contains("hay", "needle"))
-    short = inner.where(F.size("inner") == 0).select("case_id", "needle")
-    every = hay.join(short, F.contains("hay", "needle"))
-    return near.select("case_id", "chunk_id").unionByName(every.select("case_id", "chunk_id")).distinct()
+
+    short = inner.where((F.size("t") > 0) & (F.size("inner") == 0)).select("case_id", (F.size("t") == 1).alias("anywhere"), F.col("t")[0].alias("part"))
+    lengths = short.agg(F.coalesce(F.array_sort(F.collect_set(F.length("part"))), F.array().cast("array<int>")).alias("lengths"))
+    places = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length("term"))
+    parts = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.transform(places(n), lambda i: F.struct(F.substr(F.col("term"), i, n).alias("part"), (i + n - 1 == F.length("term")).alias("ends"))))))
+    split = terms.select("term").distinct().join(F.broadcast(lengths)).select("term", F.explode(parts).alias("p")).select("term", "p.part", "p.ends")
+    holding = short.join(split, "part").where("anywhere or ends").select("case_id", "term").distinct()
+    signs = hay.select("chunk_id", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("hay"), f"[a-z0-9_{tx.CJK} ]", ""), ""))).alias("sign"))
+    bare = inner.where(F.size("t") == 0).select("case_id", F.substring(F.lower("needle"), 1, 1).alias("sign"))
+    every = candidates.unionByName(holding.join(terms, "term").select("case_id", "chunk_id")).unionByName(bare.join(signs, "sign").select("case_id", "chunk_id")).distinct()
+    return every.join(e.select("case_id", "needle"), "case_id").join(hay, "chunk_id").where(F.contains("hay", "needle")).select("case_id", "chunk_id").distinct()
 
 
 def rebind(golden: DataFrame, matches: DataFrame) -> DataFrame:
@@ -160,10 +169,11 @@ def fusion_mechanism(probes: DataFrame) -> DataFrame:
 
 
 def length_penalty(lengths: DataFrame) -> DataFrame:
-    """n, mean length and the BM25 length factor of each group against the whole."""
-    whole = F.avg("dl").over(Window.partitionBy())
-    own = lengths.withColumn("all", whole).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), F.first("all").alias("all"))
-    return own.select("grp", "n", F.round("mean", 6).alias("mean_length"), F.round(0.25 + 0.75 * F.col("mean") / F.col("all"), 6).alias("penalty"))
+    """n, mean length and the BM25 length factor of each group against the whole; the whole follows from the groups' sums."""
+    own = lengths.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
+    groups = Window.partitionBy()
+    mean = F.col("total") / F.col("n")
+    return own.withColumn("all", F.sum("total").over(groups) / F.sum("n").over(groups)).select("grp", "n", F.round(mean, 6).alias("mean_length"), F.round(0.25 + 0.75 * mean / F.col("all"), 6).alias("penalty"))
 
 
 def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
@@ -173,6 +183,12 @@ def threshold_sweep(pairs: DataFrame, thresholds: tuple[float, ...]) -> DataFram
     return t.groupBy("threshold").agg(F.count_if(over & F.col("duplicate")).alias("caught"), F.count_if(~over & F.col("duplicate")).alias("missed"), F.count_if(over & ~F.col("duplicate")).alias("false_hits"))
 
 
+def score_spread(pairs: DataFrame) -> DataFrame:
+    """duplicate, min, median (the upper one) and max of the scores of labelled pairs."""
+    middle = governance.rank_percentiles(pairs, "score", "duplicate", (0.5,)).select("duplicate", F.col("value").alias("median"))
+    return pairs.groupBy("duplicate").agg(F.min("score").alias("min"), F.max("score").alias("max")).join(middle, "duplicate")
+
+
 def sample_evenly(rows: DataFrame, by: str, order: str, cap: int) -> DataFrame:
     """Up to ``cap`` rows of each group, evenly spaced with both ends; places round half to even."""
     w = Window.partitionBy(by)
@@ -189,6 +205,11 @@ def golden_profile(golden: DataFrame) -> DataFrame:
     return golden.groupBy("category").agg(F.count(F.lit(1)).alias("cases"), F.count_if(n > 1).alias("multi_gold"), F.max(n).alias("max_gold"))
 
 
+def golden_by_document(golden: DataFrame) -> DataFrame:
+    """doc_key, cases that have one of its chunks as gold."""
+    return golden.select("case_id", F.explode("keys").alias("key")).groupBy(F.substring_index("key", "#", 1).alias("doc_key")).agg(F.countDistinct("case_id").alias("cases"))
+
+
 def pruned_golden(golden: DataFrame, limit: int = MAX_GOLD) -> DataFrame:
     """Which cases stay; more keys than the limit are a template, not an answer."""
     return golden.withColumn("kept", F.size("keys") <= limit)
@@ -201,15 +222,25 @@ def validate_golden(cases: DataFrame) -> DataFrame:
     return cases.withColumn("reason", reason)
 
 
-def shared_shingle(a: Column, b: Column, n: int = 10) -> Column:
-    """Whether two short texts share a string of ``n`` characters, white space aside."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+MEASURED, TAGGED, OVERLAPPING = 6, 10, 0.85
+
+
+def longest_shared(a: Column, b: Column, least: int = MEASURED) -> Column:
+    """Length of the longest string that two short texts share, white space aside; 0 below ``least``.
+
+    One walk over the ends of ``a``: a longer string that ends here begins where the best so far would.
+    """
     sa, sb = tx.squeezed(a), tx.squeezed(b)
-    return (F.length(sa) >= n) & (F.length(sb) >= n) & F.exists(grams(sa), lambda g: F.contains(sb, g))
+    grown = lambda best, end: F.when((end > best) & F.contains(sb, F.substr(sa, end - best, best + 1)), best + 1).otherwise(best)
+    best = F.aggregate(F.sequence(F.lit(0), F.length(sa)), F.lit(0), grown)
+    return F.when(best >= least, best).otherwise(0)
 
 
 def validate_candidates(cases: DataFrame) -> DataFrame:
-    """case_id, reason (null: accepted), leak: rules for question and excerpt against the chunk's indexed text."""
+    """case_id, reason (null: accepted), shared, leak: rules for question and excerpt against the chunk's indexed text.
+
+    ``shared`` is the longest string that question and text have in common; it is measured on accepted ones only.
+    """
     q, x, text = tx.squeezed(F.col("question")), tx.squeezed(F.col("excerpt")), tx.squeezed(F.col("indexed"))
     reason = (
         F.when(F.length(F.trim("question")) < 6, "question too short").when(x == "", "no excerpt").when(~F.contains(text, x), "not verbatim")
@@ -217,7 +248,8 @@ def validate_candidates(cases: DataFrame) -> DataFrame:
     )
     terms = lambda c: tx.term_set(c)
     overlap = F.size(F.array_intersect(terms(F.col("question")), terms(F.col("indexed")))) / F.greatest(F.size(terms(F.col("question"))), F.lit(1))
-    return cases.select("case_id", reason.alias("reason"), (reason.isNull() & (shared_shingle(F.col("question"), F.col("indexed")) | (overlap >= 0.85))).alias("leak"))
+    told = cases.withColumn("reason", reason).withColumn("shared", F.when(F.col("reason").isNull(), longest_shared(F.col("question"), F.col("indexed"))))
+    return told.select("case_id", "reason", "shared", (F.col("reason").isNull() & ((F.col("shared") >= TAGGED) | (overlap >= OVERLAPPING))).alias("leak"))
 
 
 def contamination(docs: DataFrame, passages: DataFrame, n: int = 10) -> DataFrame:
@@ -234,6 +266,18 @@ def contamination(docs: DataFrame, passages: DataFrame, n: int = 10) -> DataFram
     return shared.join(sizes, "item_id").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("grams"), 6).alias("coverage"))
 
 
+def index_check(samples: DataFrame, stored: DataFrame) -> DataFrame:
+    """query_id, kind, cosine of sampled chunks (query_id, user_id, embedding), each searched among the stored vectors of its user.
+
+    self: it finds itself first; other: another one; none: its user has no vectors at all, or its own is missing.
+    """
+    first = retrieval.vector_topk(samples, stored, 1).select("query_id", "chunk_id", "score")
+    own = stored.select(F.col("chunk_id").alias("query_id"), F.lit(True).alias("stored")).distinct()
+    told = samples.select("query_id").join(first, "query_id", "left").join(own, "query_id", "left")
+    kind = F.when(F.col("chunk_id").isNull() | F.col("stored").isNull(), "none").when(F.col("chunk_id") == F.col("query_id"), "self").otherwise("other")
+    return told.select("query_id", kind.alias("kind"), F.when(kind == "none", 0.0).otherwise(F.col("score")).alias("cosine"))
+
+
 def drift_verdict(samples: DataFrame) -> DataFrame:
     """empty, partial, match, drift or severe from (cosine, found) of sampled chunks against their stored vectors."""
     n, missing, mean = F.count(F.lit(1)), F.count_if(~F.col("found")), F.avg("cosine")

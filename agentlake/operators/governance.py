@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agentlake.functions import scoring
+from agentlake.sources.staging import staged
 
 DEFAULT_QUOTA = 1_000_000
 # Upper bounds of the histograms of run seconds, call seconds and counts.
@@ -91,16 +92,22 @@ def transitions(df: DataFrame, key: str, state: str, *order: str) -> DataFrame:
     return later.where(F.col("to").isNotNull() & (F.col("to") != F.col(state))).groupBy(F.col(state).alias("from"), "to").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rank_percentiles(df: DataFrame, value: str, by: str, shares: tuple[float, ...]) -> DataFrame:
+def rank_percentiles(df: DataFrame, value: str, by: str, shares: tuple[float, ...], ranges: int = 256) -> DataFrame:
     """Nearest-rank percentiles: the value at place min(n - 1, int(n p)), exact.
 
-    Equal values are counted first, so the running counts see distinct values only.
+    Equal values are counted first.  Approximate quantiles cut each group into ``ranges``, whose counts tell which range
+    holds a place; only the values of that range are sorted, so no group is sorted as a whole.
     """
+    counts = staged(df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c")))
+    edges = counts.groupBy(by).agg(F.array_distinct(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 4 * ranges)).alias("edges"))
+    ranged = counts.join(edges, by).withColumn("range", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
     w = Window.partitionBy(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    asked = upto.withColumn("p", F.explode(F.array(*map(F.lit, shares)))).withColumn("place", F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("p"))))
-    return asked.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c"))).select(by, "p", F.col(value).alias("value"))
+    sums = ranged.groupBy(by, "range").agg(F.sum("c").alias("own")).withColumn("upto", F.sum("own").over(w.orderBy("range"))).withColumn("n", F.sum("own").over(w))
+    place = F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("p")))
+    asked = sums.withColumn("p", F.explode(F.array(*map(F.lit, shares)))).withColumn("place", place).where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("own")))
+    inside = ranged.join(asked.select(by, "range", "p", (F.col("place") - F.col("upto") + F.col("own")).alias("place")), [by, "range"])
+    until = F.sum("c").over(Window.partitionBy(by, "p").orderBy(value))
+    return inside.withColumn("until", until).where((F.col("place") < F.col("until")) & (F.col("place") >= F.col("until") - F.col("c"))).select(by, "p", F.col(value).alias("value"))
 
 
 def latency_report(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -108,6 +115,11 @@ def latency_report(df: DataFrame, value: str, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max")).join(p, by)
 
 
+def status_counts(df: DataFrame, by: str, status: str) -> DataFrame:
+    """The report's other half: how often each status came."""
+    return df.groupBy(by, status).agg(F.count(F.lit(1)).alias("n"))
+
+
 def retained(df: DataFrame, days: int, as_of: str, day: str = "day") -> DataFrame:
     """Rows of the last ``days`` days; 0 keeps all, and rows without a day stay."""
     return df if days <= 0 else df.where(F.col(day).isNull() | (F.to_date(day) >= F.date_sub(F.lit(as_of).cast("date"), days)))
@@ -122,7 +134,7 @@ def audit_query(audit: DataFrame, limit: int, **equal: str) -> DataFrame:
 
 def audit_columns(rows: DataFrame) -> DataFrame:
     """Fields of a sign-in record cut to their widths, missing ones empty."""
-    widths = (("action", 16), ("username", 64), ("ip", 45), ("ua", 200), ("reason", 32))
+    widths = (("action", 16), ("username", 64), ("ip", 45), ("ua", 200), ("reason", 32), ("result_preview", 400))
     return rows.select("event_id", *(F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c) for c, n in widths))
 
 

@@ -5,6 +5,9 @@ Memories have id, user_id, text and superseded_by; smaller ids are older.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from agentlake.functions import scoring, text as tx
@@ -37,23 +40,51 @@ def jaccard_pairs(memories: DataFrame, threshold: float = DUPLICATE) -> DataFram
     return scored.where(F.col("score") >= threshold).select("user_id", "older", "newer", F.round("score", 6).alias("score"))
 
 
-def rejected_ids(pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """Ids that repeat an older *kept* one, in the order of ids.
+def settled(pairs: DataFrame) -> DataFrame:
+    """id, rejected, supersedes of each newer row of judged pairs (user_id, older, newer, verdict, place), in the order of ids.
 
-    A row is settled once its older partners are: kept if all of them are rejected, rejected if one is kept.  Rows
-    settle in rounds, all chains at once.
+    A row is rejected if it repeats an older row that is still current (verdict duplicate); else it takes the place of the
+    first current one that it contradicts (verdict conflict, the lowest place).  What a row meets depends on all before it,
+    so a user's pairs go through one task, sorted, as a stream that keeps only the ids that are out.
     """
-    pairs = staged(pairs.select("older", "newer").distinct())
-    settled = staged(pairs.select(F.col("older").alias("id")).join(pairs.select(F.col("newer").alias("id")), "id", "left_anti").distinct().withColumn("kept", F.lit(True)))
-    for _ in range(rounds):
-        open_ = pairs.join(settled.select(F.col("id").alias("newer")), "newer", "left_anti")
-        known = open_.join(settled.withColumnRenamed("id", "older"), "older", "left")
-        verdict = known.groupBy(F.col("newer").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("repeats"), F.bool_and(F.col("kept").isNotNull()).alias("all_known"))
-        new = staged(verdict.where("repeats or all_known").select("id", (~F.col("repeats")).alias("kept")))
-        if new.isEmpty():
-            return settled.where("not kept").select("id")
-        settled = staged(settled.unionByName(new))
-    raise RuntimeError(f"duplicates did not settle in {rounds} rounds")
+
+    def walk(batches):
+        user, now, out = None, None, set()
+        repeats, against = False, None
+
+        def closed():
+            nonlocal repeats, against
+            if now is None:
+                return []
+            if repeats:
+                out.add(now)
+            elif against is not None:
+                out.add(against[1])
+            row = (user, now, repeats, None if repeats or against is None else against[1])
+            repeats, against = False, None
+            return [row]
+
+        for rows in batches:
+            told = []
+            for u, newer, older, verdict, place in zip(*(rows[c].tolist() for c in ("user_id", "newer", "older", "verdict", "place"))):
+                if u != user or newer != now:
+                    told += closed()
+                    if u != user:
+                        out.clear()
+                    user, now = u, newer
+                if older not in out:
+                    repeats = repeats or verdict == "duplicate"
+                    if verdict == "conflict" and (against is None or (place, older) < against):
+                        against = (place, older)
+            yield _verdicts(told)
+        yield _verdicts(closed())
+
+    sorted_ = pairs.select("user_id", "newer", "older", "verdict", "place").repartition("user_id").sortWithinPartitions("user_id", "newer", "older")
+    return sorted_.mapInPandas(walk, "user_id long, id long, rejected boolean, supersedes long")
+
+
+def _verdicts(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["user_id", "id", "rejected", "supersedes"]).astype({"user_id": "Int64", "id": "Int64", "rejected": "boolean", "supersedes": "Int64"})
 
 
 def enforce_cap(memories: DataFrame, cap: int = CAP) -> DataFrame:
@@ -62,15 +93,36 @@ def enforce_cap(memories: DataFrame, cap: int = CAP) -> DataFrame:
     return memories.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap).drop("nth")
 
 
-def apply_memories(state: DataFrame, batch: DataFrame, cap: int = CAP, threshold: float = DUPLICATE) -> DataFrame:
-    """The state after a batch, taken in the order of ids: rows without terms or like a kept one are refused, then the cap holds.
+def judge_candidates(current_rows: DataFrame, new: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """user_id, newer, newer_text, older, older_text, place: of each new row the ``k`` older ones that share most of its terms."""
+    every = current_rows.select("user_id", "id", "text").unionByName(new.select("user_id", "id", "text"))
+    terms = lambda rows, name: rows.select("user_id", F.col("id").alias(name), F.explode(tx.term_set(F.col("text"))).alias("term"))
+    shared = terms(new, "newer").join(terms(every, "older"), ["user_id", "term"]).where("older < newer").groupBy("user_id", "newer", "older").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("user_id", "newer").orderBy(F.col("n").desc(), F.col("older").desc())
+    first = shared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("n")
+    text = lambda name: every.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
+    return first.join(text("newer"), "newer").join(text("older"), "older")
+
+
+def apply_memories(state: DataFrame, batch: DataFrame, cap: int = CAP, threshold: float = DUPLICATE, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The state after a batch, taken in the order of ids: rows without terms or that repeat a current one are refused, rows that
+    contradict one take its place (its superseded_by becomes theirs, and it stays as history), then the cap holds.
 
-    Batch ids are greater than those of the state; rows of the state are kept already.  Superseded rows are no partners.
+    ``judge`` gets candidate pairs (newer, newer_text, older, older_text, place, user_id) and returns them with a verdict:
+    duplicate, conflict, or anything else (also null) for new.  Without it, near-equal term sets are duplicates.  Batch ids are
+    greater than those of the state; superseded rows are no partners.
     """
     now = state.select("id", "user_id", "text", "superseded_by")
     new = has_terms(batch).select("id", "user_id", F.trim("text").alias("text"), F.lit(None).cast("long").alias("superseded_by"))
-    pairs = jaccard_pairs(now.where("superseded_by is null").unionByName(new), threshold).join(new.select(F.col("id").alias("newer")), "newer", "left_semi")
-    return enforce_cap(now.unionByName(new.join(rejected_ids(pairs), "id", "left_anti")), cap)
+    alive = now.where("superseded_by is null")
+    if judge is None:
+        pairs = jaccard_pairs(alive.unionByName(new), threshold).join(new.select(F.col("id").alias("newer")), "newer", "left_semi").withColumns({"verdict": F.lit("duplicate"), "place": F.lit(0)})
+    else:
+        pairs = judge(judge_candidates(alive, new)).where("verdict in ('duplicate', 'conflict')")
+    told = staged(settled(pairs))
+    later = told.where("supersedes is not null").select(F.col("supersedes").alias("id"), F.col("id").alias("by"))
+    kept = now.unionByName(new.join(told.where("rejected").select("id"), "id", "left_anti"))
+    return enforce_cap(kept.join(later, "id", "left").withColumn("superseded_by", F.coalesce("superseded_by", "by")).drop("by"), cap)
 
 
 def current(memories: DataFrame, limit: int = CAP) -> DataFrame:

@@ -17,18 +17,34 @@ def topk(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: st
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """user_id, chunk_id, term, tf, dl; chunks without terms are left out.
+def postings(chunks: DataFrame, terms: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """user_id, chunk_id, term, tf, dl, and the columns ``keep``; chunks without terms are left out.
 
     With ``terms`` (user_id, term), only theirs leave the scan's stage: they are kept before anything is counted.  Beside
     them every chunk has a row of the empty term, so that one reading of the texts gives lengths and postings.
     """
-    sized = chunks.select("user_id", "chunk_id", tx.tokens(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    rows = sized.select("user_id", "chunk_id", F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    by = ["user_id", "chunk_id", *keep]
+    sized = chunks.select(*by, tx.tokens(F.col("text")).alias("terms"))
+    # An outer explode has no filter inferred below it, so each text meets the tokenizer once.
+    rows = sized.select(*by, F.size("terms").alias("dl"), F.explode_outer(F.when(F.size("terms") > 0, F.concat("terms", F.array(F.lit(""))))).alias("term")).where("term is not null")
     if terms is not None:
-        every = terms.unionByName(chunks.select("user_id").distinct().withColumn("term", F.lit("")))
-        rows = rows.join(every, ["user_id", "term"], "left_semi")
-    return rows.groupBy("user_id", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        rows = rows.join(_wanted(terms, chunks.select("user_id").distinct()), ["user_id", "term"], "left_semi")
+    return rows.groupBy(*by, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _wanted(terms: DataFrame, users: DataFrame) -> DataFrame:
+    return terms.unionByName(users.withColumn("term", F.lit("")))
+
+
+def lexical_index(chunks: DataFrame) -> DataFrame:
+    """The postings of all terms with their doc_key: a table to store once, and to search without the texts."""
+    return postings(chunks, keep=("doc_key",))
+
+
+def updated_index(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """``index`` after the documents of ``changed`` chunks were replaced, and those of ``removed`` (user_id, doc_key) deleted."""
+    gone = changed.select("user_id", "doc_key").unionByName(removed.select("user_id", "doc_key")) if removed is not None else changed.select("user_id", "doc_key")
+    return index.join(gone.distinct(), ["user_id", "doc_key"], "left_anti").unionByName(lexical_index(changed))
 
 
 def lexical_stats(found: DataFrame) -> DataFrame:
@@ -40,14 +56,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "user_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score of every chunk of the query's user that shares a term with it.
+def bm25_scores(queries: DataFrame, chunks: DataFrame | None, index: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score of every chunk of the query's user that shares a term with it; by ``index`` where there is one.
 
     Only postings of asked terms survive the semi-join; they are written once, and document frequencies and lengths
     follow from them.
     """
     asked = query_terms(queries)
-    found = staged(postings(chunks, asked.select("user_id", "term").distinct()))
+    wanted = asked.select("user_id", "term").distinct()
+    if index is None:
+        found = staged(postings(chunks, wanted))
+    else:
+        found = staged(index.join(_wanted(wanted, asked.select("user_id").distinct()), ["user_id", "term"], "left_semi").select("user_id", "chunk_id", "dl", "term", "tf"))
     hit = found.where("term <> ''")
     df = hit.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weight = scoring.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), scoring.idf(F.col("n"), F.col("df")))
@@ -55,17 +75,27 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return asked.join(weighed, ["user_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
-    return topk(bm25_scores(queries, chunks).where("score > 0").withColumn("score", F.round("score", 6)), k)
+def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int = 20, index: DataFrame | None = None) -> DataFrame:
+    return topk(bm25_scores(queries, chunks, index).where("score > 0").withColumn("score", F.round("score", 6)), k)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
-    """Cosine of each query with the vectors of its user; norms are taken once per side."""
+def vector_scores(queries: DataFrame, vectors: DataFrame, splits: int = 16) -> DataFrame:
+    """query_id, score and the columns of ``vectors`` but its embedding: cosine of each query with the vectors of its user.
+
+    Norms are taken once per side.  A user's vectors are dealt into ``splits`` parts, each of which meets its own copy of
+    the queries, so a user of very many vectors isn't one key.
+    """
     side = lambda df, v: df.withColumn("norm", scoring.norm(F.col("embedding"))).withColumnsRenamed({"embedding": v, "norm": f"{v}_norm"})
-    joined = side(vectors, "v").join(side(queries.select("query_id", "user_id", "embedding"), "q"), "user_id")
+    dealt = side(vectors, "v").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(splits)).cast("int"))
+    asked = side(queries.select("query_id", "user_id", "embedding"), "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     fits = (F.size("v") == F.size("q")) & (F.col("v_norm") > 0) & (F.col("q_norm") > 0)
     score = F.when(fits, scoring.dot(F.col("v"), F.col("q")) / (F.col("v_norm") * F.col("q_norm"))).otherwise(F.lit(0.0))
-    return topk(joined.select("query_id", "chunk_id", F.round(score, 6).alias("score")), k)
+    return dealt.join(asked, ["user_id", "part"]).select("query_id", *(c for c in vectors.columns if c != "embedding"), F.round(score, 6).alias("score"))
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, splits: int = 16) -> DataFrame:
+    """The ``k`` nearest vectors of the query's user; each task keeps its own ``k`` before they are shuffled."""
+    return topk(vector_scores(queries, vectors, splits).select("query_id", "chunk_id", "score"), k)
 
 
 def hashed_embedding(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
@@ -182,6 +212,47 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_ve
     return rerank(hits, overlap_score(F.col("query"), F.col("title_path"), F.col("text")), k, candidates)
 
 
+def _renumbered(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")))
+
+
+def search(
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5, candidates: int = 20, weight: float = 1.0,
+    health: DataFrame | None = None, scope: DataFrame | None = None, index: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, outcomes) of queries whose channels may fail.
+
+    hits: query_id, chunk_id, doc_key, rank, score.  outcomes: query_id, mode, outcome, degraded.  ``health`` has
+    vector_state and lexical_ok by query_id (none: both work); a query whose channels are both unusable is served by
+    substrings of texts and titles.  ``scope`` (query_id, doc_key) narrows a query to documents: the vector channel before its
+    first k, the others behind it, with all that was found.  A blank query finds nothing.
+    """
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    asked = queries.where(~blank)
+    state = asked.select("query_id")
+    state = state.join(health.select("query_id", "vector_state", "lexical_ok"), "query_id", "left") if health is not None else state.withColumns({"vector_state": F.lit("ok"), "lexical_ok": F.lit(True)})
+    state = staged(state.fillna("ok", ["vector_state"]).withColumn("lexical_ok", F.coalesce("lexical_ok", F.lit(True))))
+    of = lambda rows, condition: rows.join(state.where(condition).select("query_id"), "query_id", "left_semi")
+    narrowed = (lambda hits: scoped(hits, scope)) if scope is not None else (lambda hits: hits)
+    owned = vectors.join(chunks.select("chunk_id", "doc_key"), "chunk_id") if scope is not None else vectors
+    near = narrowed(vector_scores(of(query_vectors, "vector_state = 'ok'"), owned))
+    vector = staged(topk(near.select("query_id", "chunk_id", "score"), candidates))
+    lexical = staged(bm25_topk(of(asked, "lexical_ok"), chunks, candidates, index))
+
+    number = lambda hits, name: hits.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    plan = staged(channel_plan(state.join(number(vector, "vector_hits"), "query_id", "left").join(number(lexical, "lexical_hits"), "query_id", "left").fillna(0, ["vector_hits", "lexical_hits"])))
+    ranked = rrf([(vector, 1.0), (lexical, weight)]).join(plan.where("not need_sql").select("query_id"), "query_id", "left_semi")
+    found = hydrate(ranked if scope is not None else ranked.where(F.col("rank") <= max(k, candidates)), queries, chunks)
+    hits = _renumbered(narrowed(found)).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    best = rerank(hits, overlap_score(F.col("query"), F.col("title_path"), F.col("text")), k, candidates)
+    plain = _renumbered(narrowed(substring_search(asked.join(plan.where("need_sql").select("query_id"), "query_id", "left_semi"), chunks, candidates))).where(F.col("rank") <= k)
+    served = staged(best.select("query_id", "chunk_id", "doc_key", "rank", F.col("rerank_score").alias("score")).unionByName(plain.select("query_id", "chunk_id", "doc_key", "rank", F.lit(0.0).alias("score"))))
+    outcomes = plan.join(served.select("query_id").distinct().withColumn("served", F.lit(True)), "query_id", "left").select(
+        "query_id", "mode", F.when(F.col("need_sql") | F.col("served"), F.col("outcome")).otherwise("no_hits").alias("outcome"), "degraded"
+    )
+    return served, outcomes.unionByName(queries.where(blank).select("query_id", F.lit("empty").alias("mode"), F.lit("no_hits").alias("outcome"), F.lit(False).alias("degraded")))
+
+
 def citation_line() -> Column:
     """Section, else title, with page and origin (source path, else document)."""
     part = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))

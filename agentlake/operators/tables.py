@@ -95,3 +95,8 @@ def table_blocks(df: DataFrame, order: str, rows_per_block: int = 20, head_colum
     body = placed.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n").alias("text"))
     head = df.agg(F.concat(F.lit(f"columns({len(names)}): {', '.join(names[:head_columns])}; rows: "), F.count(F.lit(1)).cast("string")).alias("text")).select(F.lit(0).cast("long").alias("block"), "text")
     return head.unionByName(body.select(F.col("block").cast("long").alias("block"), "text"))
+
+
+def first_users(users: DataFrame, limit: int = 200) -> DataFrame:
+    """The user list: the first by id; a listing, so the limit is the feature."""
+    return users.orderBy("user_id").limit(limit)

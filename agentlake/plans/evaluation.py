@@ -36,13 +36,13 @@ def _keyed(hits):
 
 
 def _golden(spark, d):
-    """Gold by the label of vectors: of a query, the vectors of its user that have its label and a near id."""
+    """Gold by the label of vectors: of a query, all other vectors that have its label."""
     q = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("case_id"), "label")
-    v = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 10).alias("user_id"))
-    return q.join(v.where("user_id = 0"), "label").where("vec_id <> case_id and vec_id % 7 = 0").select("case_id", F.concat(F.lit("v-"), F.col("vec_id").cast("string")).alias("chunk_key"))
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    return q.join(v, "label").where("vec_id <> case_id").select("case_id", F.concat(F.lit("v-"), F.col("vec_id").cast("string")).alias("chunk_key"))
 
 
-GOLDEN = "golden as (select q.vec_id as case_id, 'v-' || v.vec_id as chunk_key from embeddings q join embeddings v using (label) where q.vec_id % 100 = 0 and v.vec_id % 10 = 0 and v.vec_id <> q.vec_id and v.vec_id % 7 = 0)"
+GOLDEN = "golden as (select q.vec_id as case_id, 'v-' || v.vec_id as chunk_key from embeddings q join embeddings v using (label) where q.vec_id % 100 = 0 and v.vec_id <> q.vec_id)"
 
 
 def _ranked(spark, d, reverse=False):
@@ -197,17 +197,29 @@ def length_penalty(spark, d):
     return ev.length_penalty(lengths)
 
 
-@query("""with vs as (select vec_id, label, embedding::double[] as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings),
-pairs as (select round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) as score, a.label = b.label as duplicate from vs a join vs b on a.vec_id % 100 = 0 and b.vec_id % 10 = 0 and a.vec_id < b.vec_id where a.n > 0 and b.n > 0)
-select threshold, count(*) filter (where score >= threshold and duplicate) as caught, count(*) filter (where score < threshold and duplicate) as missed, count(*) filter (where score >= threshold and not duplicate) as false_hits from pairs, (values (0.1::double), (0.3::double), (0.5::double), (0.9::double)) t(threshold) group by 1""")
-def threshold_sweep(spark, d):
-    """Pairs of a query vector and a later one of the same user; a duplicate has its label."""
-    q = vector_queries(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id")
-    v = vectors(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("own")), "chunk_id")
+LABELLED = """vs as (select vec_id, label, embedding::double[] as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings),
+pairs as (select round(case when a.n > 0 and b.n > 0 then list_dot_product(a.v, b.v) / (a.n * b.n) else 0 end, 6) as score, a.label = b.label as duplicate from vs a join vs b on a.vec_id % 100 = 0 and a.vec_id < b.vec_id)"""
+
+
+def _labelled(spark, d):
+    """Pairs of a query vector and a later one; a duplicate has its label."""
     from agentlake.functions import scoring
 
+    q = vector_queries(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    v = vectors(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("own")), "chunk_id")
     pairs = q.join(v.withColumnRenamed("embedding", "v"), "user_id").where("query_id < chunk_id")
-    return ev.threshold_sweep(pairs.select(F.round(scoring.cosine(F.col("embedding"), F.col("v")), 6).alias("score"), (F.col("label") == F.col("own")).alias("duplicate")), (0.1, 0.3, 0.5, 0.9))
+    return pairs.select(F.round(scoring.cosine(F.col("embedding"), F.col("v")), 6).alias("score"), (F.col("label") == F.col("own")).alias("duplicate"))
+
+
+@query(f"with {LABELLED}, placed as (select duplicate, score, row_number() over (partition by duplicate order by score) - 1 as place, count(*) over (partition by duplicate) as n from pairs) select duplicate, min(score) as min, max(score) as max, max(score) filter (where place = n // 2) as median from placed group by 1")
+def score_spread(spark, d):
+    return ev.score_spread(_labelled(spark, d))
+
+
+@query(f"""with {LABELLED}
+select threshold, count(*) filter (where score >= threshold and duplicate) as caught, count(*) filter (where score < threshold and duplicate) as missed, count(*) filter (where score >= threshold and not duplicate) as false_hits from pairs, (values (0.1::double), (0.3::double), (0.5::double), (0.9::double)) t(threshold) group by 1""")
+def threshold_sweep(spark, d):
+    return ev.threshold_sweep(_labelled(spark, d), (0.1, 0.3, 0.5, 0.9))
 
 
 @query(f"""with {LINES}, placed as (select *, row_number() over (partition by doc_id order by seq) - 1 as spot, count(*) over (partition by doc_id) as n from lines)
@@ -221,6 +233,11 @@ def golden_profile(spark, d):
     return ev.golden_profile(_gold_sets(spark, d))
 
 
+@query(f"with {CORPUS}, {PASSAGES}, {GOLD} select 'doc-' || chunk_id as doc_key, count(distinct case_id) as cases from gold group by 1")
+def golden_by_document(spark, d):
+    return ev.golden_by_document(_gold_sets(spark, d))
+
+
 def _gold_sets(spark, d):
     category = F.element_at(F.array(*map(F.lit, ev.CATEGORIES)), (F.col("case_id") % 3 + 1).cast("int"))
     return _located(spark, d).groupBy("case_id").agg(F.collect_list(F.concat(F.lit("doc-"), F.col("chunk_id").cast("string"), F.lit("#0"))).alias("keys")).withColumn("category", category)
@@ -247,15 +264,27 @@ def contamination(spark, d):
     return ev.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-@query("with s as (select vec_id, vec_id % 11 <> 0 as found, case when vec_id % 11 <> 0 then 1.0::double else 0 end as cosine from embeddings) select case when count(*) = 0 then 'no chunks' when count(*) filter (where not found) = count(*) then 'empty' when count(*) filter (where not found) > 0 then 'partial' when avg(cosine) >= 0.98 then 'match' when avg(cosine) < 0.5 then 'severe' else 'drift' end as verdict, count(*) as n, count(*) filter (where not found) as missing from s")
-def index_drift(spark, d):
-    """Every chunk against its stored vector; each eleventh vector is missing."""
-    from agentlake.functions import scoring
+CHECKED = f"""{VECTORS}, stored as (select s.chunk_id, case when s.chunk_id % 300 = 0 and o.chunk_id is not null then o.v else s.v end as v, case when s.chunk_id % 300 = 0 and o.chunk_id is not null then o.n else s.n end as n from vectors s left join vectors o on o.chunk_id = s.chunk_id + 1 where s.chunk_id % 1100 <> 0),
+firsts as (select q.chunk_id as query_id, s.chunk_id, round(case when q.n > 0 and s.n > 0 then list_dot_product(q.v, s.v) / (q.n * s.n) else 0 end, 6) as score from vectors q, stored s where q.chunk_id % 100 = 0 qualify row_number() over (partition by q.chunk_id order by score desc, s.chunk_id) = 1),
+checked as (select query_id, case when query_id not in (select chunk_id from stored) then 'none' when chunk_id = query_id then 'self' else 'other' end as kind, case when query_id not in (select chunk_id from stored) then 0 else score end as cosine from firsts)"""
 
-    chunks = vectors(spark, d).select("chunk_id", "embedding")
-    stored = chunks.where("chunk_id % 11 <> 0").withColumnRenamed("embedding", "stored")
-    joined = chunks.join(stored, "chunk_id", "left").withColumn("found", F.col("stored").isNotNull())
-    return ev.drift_verdict(joined.select("found", F.coalesce(F.round(scoring.cosine(F.col("embedding"), F.col("stored")), 9), F.lit(0.0)).alias("cosine")))
+
+def _checked(spark, d):
+    """Every hundredth chunk, searched in an index where some vectors are missing and some are another chunk's."""
+    fresh = vectors(spark, d)
+    other = fresh.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("embedding").alias("other"))
+    stored = fresh.where("chunk_id % 1100 <> 0").join(other, "chunk_id", "left").select("chunk_id", "user_id", F.when(F.col("chunk_id") % 300 == 0, F.coalesce("other", "embedding")).otherwise(F.col("embedding")).alias("embedding"))
+    return ev.index_check(vector_queries(spark, d), stored)
+
+
+@query(f"with {CHECKED} select query_id, kind, cosine from checked")
+def index_check(spark, d):
+    return _checked(spark, d)
+
+
+@query(f"with {CHECKED} select case when count(*) = 0 then 'no chunks' when count(*) filter (where kind = 'none') = count(*) then 'empty' when count(*) filter (where kind = 'none') > 0 then 'partial' when avg(cosine) >= 0.98 then 'match' when avg(cosine) < 0.5 then 'severe' else 'drift' end as verdict, count(*) as n, count(*) filter (where kind = 'none') as missing from checked")
+def index_drift(spark, d):
+    return ev.drift_verdict(_checked(spark, d).select((F.col("kind") != "none").alias("found"), "cosine"))
 
 
 @query(f"with {BM25}, {GOLD}, misses as (select distinct case_id from gold where case_id not in (select case_id from gold join lexical on query_id = case_id and lexical.chunk_id = gold.chunk_id where rank <= 5)) select m.case_id, g.chunk_key as gold_key, l.chunk_id, l.rank, l.score, contains(c.text, p.text) as raw_match, contains(regexp_replace(c.text, '\\s+', '', 'g'), regexp_replace(p.text, '\\s+', '', 'g')) as spaceless_match from misses m join gold g using (case_id) join corpus c on c.chunk_id = g.chunk_id join passages p on p.query_id = m.case_id left join (select * from lexical where rank <= 5) l on l.query_id = m.case_id")

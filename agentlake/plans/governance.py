@@ -120,6 +120,17 @@ def latency_report(spark, d):
     return g.latency_report(activity(spark, d), "value", "event_type").withColumnRenamed("n", "n_rows")
 
 
+@query(f"with {ACTIVITY} select event_type, (user_id % 3 + 200) as code, count(*) as n from activity group by all")
+def status_counts(spark, d):
+    return g.status_counts(activity(spark, d).withColumn("code", F.col("user_id") % 3 + 200), "event_type", "code")
+
+
+@query("select c_custkey as user_id, c_name from customer order by 1 limit 200")
+def first_users(spark, d):
+    """A listing of 200."""
+    return tb.first_users(table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name"))
+
+
 @query(f"with {ACTIVITY} select event_id, day from activity where day is null or day::date >= date '2024-01-30' - interval 7 day")
 def audit_retention(spark, d):
     return g.retained(activity(spark, d), 7, "2024-01-30").select("event_id", "day")
@@ -130,9 +141,9 @@ def audit_newest(spark, d):
     return g.audit_query(activity(spark, d), 1000, event_type="error").select("event_id", "day", "user_id")
 
 
-@query(f"with {ACTIVITY} select event_id, substr('login', 1, 16) as action, substr('user-' || user_id, 1, 64) as username, substr(coalesce(props, ''), 1, 45) as ip, substr(coalesce(props, ''), 1, 200) as ua, substr(coalesce(case when not ok then repeat(event_type, 9) end, ''), 1, 32) as reason from activity")
+@query(f"with {ACTIVITY} select event_id, substr('login', 1, 16) as action, substr('user-' || user_id, 1, 64) as username, substr(coalesce(props, ''), 1, 45) as ip, substr(coalesce(props, ''), 1, 200) as ua, substr(coalesce(case when not ok then repeat(event_type, 9) end, ''), 1, 32) as reason, substr(repeat(event_type, 99), 1, 400) as result_preview from activity")
 def audit_columns(spark, d):
-    rows = activity(spark, d).select("event_id", F.lit("login").alias("action"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("username"), F.col("props").alias("ip"), F.col("props").alias("ua"), F.when(~F.col("ok"), F.repeat("event_type", 9)).alias("reason"))
+    rows = activity(spark, d).select("event_id", F.lit("login").alias("action"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("username"), F.col("props").alias("ip"), F.col("props").alias("ua"), F.when(~F.col("ok"), F.repeat("event_type", 9)).alias("reason"), F.repeat("event_type", 99).alias("result_preview"))
     return g.audit_columns(rows)
 
 

@@ -34,12 +34,13 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % TENANTS).alias("user_id"), "embedding")
+    """All vectors as one user's, so that a query meets each of them."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit(0).cast("long").alias("user_id"), "embedding")
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth vector, against all of its user."""
-    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % TENANTS).alias("user_id"), "embedding")
+    """Every hundredth vector, against all."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).cast("long").alias("user_id"), "embedding")
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ PRICES = (("m0", 2.0, 6.0), ("m1", 0.5, 1.5), ("m2", 10.0, 30.0), ("m3", 0.25, 1
 CORPUS = "corpus as (select doc_id as chunk_id, doc_id % 10 as user_id, 'doc-' || doc_id as doc_key, 0 as seq, source as title_path, coalesce(text, '') as text from documents)"
 PASSAGES = "passages as (select item_id as query_id, item_id % 10 as user_id, text from benchmark)"
 LINES = "lines as (select doc_id % 10 as user_id, 'doc-' || doc_id as doc_key, doc_id, (i - 1)::bigint as seq, l[i] as text from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents), unnest(range(1, len(l) + 1)) as u(i) where trim(l[i], ' ') <> '')"
-VECTORS = "vectors as (select vec_id as chunk_id, vec_id % 10 as user_id, embedding::double[] as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings)"
+VECTORS = "vectors as (select vec_id as chunk_id, 0 as user_id, embedding::double[] as v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings)"
 ACTIVITY = """activity as (select *, case when event_type in ('view', 'click', 'error') then 'tool_call' when event_type = 'purchase' then 'usage' else 'auth' end as event,
   event_type <> 'error' as ok, strftime(ts, '%Y-%m-%d') as day, strftime(ts, '%Y-%m') as month, user_id || '-' || strftime(ts, '%Y%m%d') as run_id from events)"""
 USAGE = f"{ACTIVITY}, usage as (select event_id, ts, day, month, user_id, 'vendor/m' || (user_id % 5) as model, floor(value)::bigint as input_tokens, floor(value / 2)::bigint as output_tokens from activity where event = 'usage')"

@@ -101,16 +101,66 @@ def hybrid_retrieval(spark, d):
     return r.retrieve(queries, chunks, own(chunks, "chunk_id"), own(queries, "query_id")).select("query_id", "chunk_id", "doc_key", "rerank_score", "rank")
 
 
+PLANNED = f"""{HYBRID}, state as (select query_id, user_id, text, case query_id % 3 when 0 then 'ok' when 1 then 'embed_failed' else 'down' end as vector_state, query_id % 2 = 0 as lexical_ok from passages),
+sem as (select query_id, chunk_id, rank from semantic join state using (query_id) where rank <= 20 and vector_state = 'ok'), lex as (select query_id, chunk_id, rank from lexical join state using (query_id) where rank <= 20 and lexical_ok),
+health as (select s.query_id, vector_state, lexical_ok, coalesce(v, 0) as vector_hits, coalesce(x, 0) as lexical_hits from state s left join (select query_id, count(*) as v from sem group by 1) using (query_id) left join (select query_id, count(*) as x from lex group by 1) using (query_id)),
+planned as (select query_id, case when vector_state = 'ok' and lexical_ok then case when vector_hits + lexical_hits > 0 then 'hybrid' else 'empty' end when vector_state = 'ok' then case when vector_hits > 0 then 'vector_only' else 'empty' end when lexical_ok and lexical_hits > 0 then 'bm25_fallback' else 'sql_fallback' end as mode,
+  case when vector_state = 'ok' and lexical_ok then case when vector_hits + lexical_hits > 0 then 'hybrid_ok' else 'no_hits' end when vector_state = 'ok' then case when vector_hits > 0 then 'vector_only' else 'no_hits' end when lexical_ok and lexical_hits > 0 then case when vector_state = 'embed_failed' then 'embed_failed' else 'bm25_fallback' end else 'sql_fallback' end as outcome,
+  not (vector_state = 'ok' and lexical_ok) as degraded, case when vector_state = 'ok' then not lexical_ok and vector_hits = 0 else not (lexical_ok and lexical_hits > 0) end as need_sql from health),
+both_ as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from sem union all select * from lex) group by all)),
+window_ as (select b.query_id, c.*, s.text as query from both_ b join planned p using (query_id) join state s using (query_id) join corpus c using (chunk_id) where not need_sql and b.rank <= 20 and c.user_id = s.user_id),
+ordered as (select query_id, chunk_id, doc_key, round(len(list_intersect(list_distinct({TOKENS('query')}), list_distinct({TOKENS("case when title_path <> '' and not contains(text, title_path) then title_path || chr(10) || text else text end")}))) / len(list_distinct({TOKENS('query')}))::double, 6) as score from window_),
+plain as (select query_id, chunk_id, doc_key, row_number() over (partition by query_id order by doc_key, seq, chunk_id) as rank from planned join state s using (query_id) join corpus c using (user_id) where need_sql and contains(lower(c.title_path || chr(10) || c.text), lower(substr(trim(s.text, ' '), 1, 64)))),
+served as (select * from (select query_id, chunk_id, doc_key, row_number() over (partition by query_id order by score desc, chunk_id) as rank, score from ordered union all select query_id, chunk_id, doc_key, rank, 0 from plain) where rank <= 5)"""
+
+
+def _searched(spark, d):
+    """Channels fail by the number of the query."""
+    state = F.when(F.col("query_id") % 3 == 0, "ok").when(F.col("query_id") % 3 == 1, "embed_failed").otherwise("down")
+    queries, chunks = passages(spark, d), corpus(spark, d)
+    own = lambda rows, key: rows.select(key, "user_id").join(r.hashed_embedding(rows, key), key)
+    health = queries.select("query_id", state.alias("vector_state"), (F.col("query_id") % 2 == 0).alias("lexical_ok"))
+    return r.search(queries, chunks, own(chunks, "chunk_id"), own(queries, "query_id"), health=health)
+
+
+@query(f"with {PLANNED} select query_id, chunk_id, doc_key, rank, score from served")
+def search_hits(spark, d):
+    return _searched(spark, d)[0]
+
+
+@query(f"with {PLANNED} select query_id, mode, case when need_sql or query_id in (select query_id from served) then outcome else 'no_hits' end as outcome, degraded from planned")
+def search_outcomes(spark, d):
+    return _searched(spark, d)[1]
+
+
+CHANGED = "select chunk_id, user_id, doc_key, 0 as seq, title_path, case when chunk_id % 3 = 0 then 'renewed ' || text else text end as text from corpus where chunk_id % 7 <> 0"
+
+
+@query(f"with {CORPUS}, now_ as ({CHANGED}) select user_id, doc_key, term, count(*) as tf, any_value(dl) as dl from (select user_id, doc_key, len(t) as dl, unnest(t || ['']) as term from (select user_id, doc_key, {TOKENS('text')} as t from now_) where len(t) > 0) group by user_id, doc_key, term")
+def updated_index(spark, d):
+    """The stored index after each third document changed and each seventh was deleted."""
+    c = corpus(spark, d)
+    changed = c.where("chunk_id % 3 = 0 and chunk_id % 7 <> 0").withColumn("text", F.concat(F.lit("renewed "), "text"))
+    return r.updated_index(r.lexical_index(c), changed, c.where("chunk_id % 7 = 0")).select("user_id", "doc_key", "term", "tf", "dl")
+
+
+@query(f"with {BM25} select query_id, chunk_id, score, rank from lexical where rank <= 5")
+def indexed_bm25_topk(spark, d):
+    """By the stored index alone."""
+    return r.bm25_topk(passages(spark, d), None, 5, r.lexical_index(corpus(spark, d)))
+
+
 @query(f"with {BM25} select l.query_id, l.chunk_id, l.rank, c.doc_key, c.user_id, length(c.text) as n_chars from lexical l join passages p using (query_id) join corpus c on c.chunk_id = l.chunk_id and c.user_id = p.user_id where l.rank <= 10")
 def hydrate(spark, d):
     queries, chunks = passages(spark, d), corpus(spark, d)
     return r.hydrate(r.bm25_topk(queries, chunks, 10), queries, chunks).select("query_id", "chunk_id", "rank", "doc_key", "user_id", F.length("text").alias("n_chars"))
 
 
-@query(f"with {VECTORS}, {CORPUS} select q.chunk_id as query_id, v.chunk_id, q.user_id, v.user_id as owner from vectors q join vectors v on v.chunk_id between q.chunk_id and q.chunk_id + 4 where q.chunk_id % 100 = 0 and v.user_id <> q.user_id")
+@query(f"with {VECTORS}, {CORPUS} select q.chunk_id as query_id, v.chunk_id, q.chunk_id % 10 as user_id, v.chunk_id % 10 as owner from vectors q join vectors v on v.chunk_id between q.chunk_id and q.chunk_id + 4 where q.chunk_id % 100 = 0 and v.chunk_id % 10 <> q.chunk_id % 10")
 def tenant_violations(spark, d):
     """Hits that a faulty channel would give: the next vectors, whosoever they are."""
-    q, v = vector_queries(spark, d), vectors(spark, d)
+    owner = lambda rows, key: rows.withColumn("user_id", F.col(key) % 10)
+    q, v = owner(vector_queries(spark, d), "query_id"), owner(vectors(spark, d), "chunk_id")
     ranked = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("query_id", (F.col("query_id") + F.col("i")).alias("chunk_id"))
     return r.violations(ranked, q, v)
 
@@ -187,7 +237,7 @@ def rebuild_index(spark, d):
     return r.rebuild_index(corpus(spark, d))[1]
 
 
-@query(f"with {CORPUS} select doc_key, seq, user_id, length(text) as n_chars from corpus where user_id in (2, 7)")
+@query(f"with {CORPUS} select doc_key, seq, user_id, length(text) as n_chars from corpus")
 def chunk_scan(spark, d):
-    """Two tenants' chunks; a table written by ``sources.tables.write_chunks`` opens their folders only."""
-    return corpus(spark, d).where(F.col("user_id").isin(2, 7)).select("doc_key", "seq", "user_id", F.length("text").alias("n_chars"))
+    """Every chunk; of a table written by ``sources.tables.write_chunks``, asking for some users opens their folders only."""
+    return corpus(spark, d).select("doc_key", "seq", "user_id", F.length("text").alias("n_chars"))

@@ -200,12 +200,12 @@ def pass_delta(spark, d):
     return fw.pass_delta(*(fw.pass_report(_tasks(spark, d, v)) for v in (F.col("quality") == 1, F.col("toxic") == 0)))
 
 
-MEMORIES = "memories as (select conv_id * 1000 + turn as id, conv_id % 7 as user_id, text, case when turn = 0 and conv_id % 5 = 0 then conv_id * 1000 + 1 end as superseded_by from conversations where role <> 'system')"
+MEMORIES = "memories as (select conv_id * 1000 + turn as id, conv_id % 7 as user_id, text, case when turn = 0 and conv_id % 5 = 0 then conv_id * 1000 + 1 end as superseded_by from conversations)"
 
 
 def _memories(spark, d):
     old = F.when((F.col("turn") == 0) & (F.col("conv_id") % 5 == 0), F.col("conv_id") * 1000 + 1)
-    return table(spark, d, "conversations").where("role <> 'system'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") % 7).alias("user_id"), "text", old.alias("superseded_by"))
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") % 7).alias("user_id"), "text", old.alias("superseded_by"))
 
 
 TERMS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]'))".format
@@ -216,9 +216,15 @@ def jaccard_pairs(spark, d):
     return m.jaccard_pairs(_memories(spark, d), 0.25)
 
 
-@query()
+NEAR = f"sets as (select user_id, id, {TERMS('text')} as t from memories), near as (select b.user_id, b.id, list(a.id) as olds from sets a join sets b on a.user_id = b.user_id and a.id < b.id and len(a.t) > 0 and len(b.t) > 0 and b.id % 1000 >= 2 where len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::double >= 0.25 group by all)"
+
+
+@query(f"""with recursive {MEMORIES}, {NEAR}, later as (select m.user_id, m.id, coalesce(olds, []) as olds, row_number() over (partition by m.user_id order by m.id) as n from memories m join sets s on s.id = m.id left join near on near.id = m.id where m.id % 1000 >= 2 and len(s.t) > 0),
+walk as (select user_id, 0 as n, list(id) filter (where id % 1000 < 2) as kept from memories group by 1 union all select w.user_id, l.n, case when list_has_any(kept, olds) then kept else list_append(kept, l.id) end from walk w join later l on l.user_id = w.user_id and l.n = w.n + 1),
+ended as (select user_id, arg_max(kept, n) as kept from walk group by 1)
+select id, user_id from (select user_id, unnest(kept) as id from ended) qualify row_number() over (partition by user_id order by id desc) <= 500""")
 def apply_memories(spark, d):
-    """The order-dependent write of every later turn; held against a plain loop in the tests."""
+    """The order-dependent write of every later turn."""
     rows = _memories(spark, d)
     return m.apply_memories(rows.where("id % 1000 < 2").withColumn("superseded_by", F.lit(None).cast("long")), rows.where("id % 1000 >= 2"), 500, 0.25).select("id", "user_id")
 
@@ -239,10 +245,11 @@ def memory_history(spark, d):
 
 
 def _asked(spark, d):
-    return table(spark, d, "conversations").where("role = 'user' and conv_id % 10 = 3 and turn <= 1").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("conv_id") % 7).alias("user_id"), "text", (F.col("conv_id") % 20 == 3).alias("embed_failed"))
+    """Every row whose id is divisible by 100, against all."""
+    return table(spark, d, "conversations").where("(conv_id * 1000 + turn) % 100 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("conv_id") % 7).alias("user_id"), "text", (F.col("conv_id") % 4 == 3).alias("embed_failed"))
 
 
-ASKED = "asked as (select conv_id * 1000 + turn as query_id, conv_id % 7 as user_id, text, conv_id % 20 = 3 as embed_failed from conversations where role = 'user' and conv_id % 10 = 3 and turn <= 1)"
+ASKED = "asked as (select conv_id * 1000 + turn as query_id, conv_id % 7 as user_id, text, conv_id % 4 = 3 as embed_failed from conversations where (conv_id * 1000 + turn) % 100 = 0)"
 RECALLED = f"{MEMORIES}, {ASKED}, scored as (select query_id, id, round(len(list_intersect({TERMS('a.text')}, {TERMS('m.text')})) / greatest(len({TERMS('a.text')}), 1)::double, 6) as score from asked a join memories m using (user_id) where superseded_by is null), ranked as (select *, row_number() over (partition by query_id order by score desc, id desc) as rank from scored where score > 0)"
 
 

@@ -22,10 +22,11 @@ def _events(spark, d) -> DataFrame:
 def _finished(stream: DataFrame, mode: str) -> DataFrame:
     """The stream's rows, once everything that is there has been read."""
     spark, root = stream.sparkSession, f"{staging_root(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/rows")
+    # A batch that comes again replaces its own folder; a complete result replaces all.
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/rows/batch={0 if mode == 'complete' else number}")
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows").select(*stream.columns)
 
 
 def stream_counts(spark, d):

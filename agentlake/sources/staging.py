@@ -30,9 +30,16 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A file above this size has row groups enough to be read by many tasks as it lies.
+SMALL_FILE = 128 << 20
+
+
 def spread(df: DataFrame, most: int = 64) -> DataFrame:
-    """A table of a single file, dealt out to the cores: it may be one row group, which one task would read alone.
+    """A table of a single small file, dealt out to the cores: it may be one row group, which one task would read alone.
 
-    Tables of several files stay as they lie, so what is shuffled is one file at most.
+    Larger files and tables of several files stay as they lie, so at most ``SMALL_FILE`` bytes are shuffled.
     """
-    return df.repartition(min(most, df.sparkSession.sparkContext.defaultParallelism)) if len(df.inputFiles()) == 1 else df
+    if len(df.inputFiles()) != 1:
+        return df
+    size = df.select("_metadata.file_size").first()
+    return df.repartition(min(most, df.sparkSession.sparkContext.defaultParallelism)) if size and size[0] <= SMALL_FILE else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from agentlake.operators.evaluation import validate_golden
@@ -72,15 +73,39 @@ def list_inputs(spark: SparkSession, path: str, supported: tuple[str, ...] = SUP
     return files.withColumn("supported", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*supported))
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """A new version of a table in a folder of its own; the pointer names it once it is written whole."""
-    spark, version = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{root}/versions/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{root}/pointer")
+def publish(df: DataFrame, root: str, name: str | None = None) -> str:
+    """A new version of a table in a folder of its own; the pointer names it once it is written whole.
+
+    With ``name``, as a stream's batch has one, writing it again replaces what an attempt that failed has left, and a name that
+    the pointer has already is not published twice.
+    """
+    spark, version = df.sparkSession, name or uuid.uuid4().hex
+    known = _pointer(spark, root)
+    last = known.agg(F.max("number"), F.max(F.col("version") == version)).first() if known is not None else None
+    if last and last[1]:
+        return version
+    df.write.mode("overwrite" if name else "error").parquet(f"{root}/versions/{version}")
+    number = (last[0] if last and last[0] is not None else 0) + 1
+    spark.createDataFrame([(version, number)], "version string, number long").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     return version
 
 
+def _pointer(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("version string, number long").parquet(f"{root}/pointer")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def published(spark: SparkSession, root: str) -> DataFrame:
     """The version that the pointer names last."""
-    version = spark.read.parquet(f"{root}/pointer").agg(F.max_by("version", "at")).first()[0]
+    version = _pointer(spark, root).agg(F.max_by("version", "number")).first()[0]
     return spark.read.parquet(f"{root}/versions/{version}")
+
+
+def write_exports(exports: dict[str, DataFrame], root: str) -> None:
+    """The lines of each training set as text files in a folder of its name, ready as JSON lines."""
+    for name, rows in exports.items():
+        rows.select("line").write.mode("overwrite").text(f"{root}/{name}")

@@ -1,10 +1,13 @@
 """Continuous forms of the batch operators, on Structured Streaming.
 
-Keyed state is small and bounded: a window's start and count, a sum, a streak, an unfinished tag.
+Keyed state is a few numbers: a window's start and count, a sum, a streak, an unfinished tag.  It goes once it tells nothing
+any more: behind the watermark when the window or month is over, with a call that isn't denied, with a stream's last piece.  A
+key's rows of one micro-batch are sorted in one task; ``maxFilesPerTrigger`` of the source bounds a micro-batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from agentlake.operators import memory, tables
+from agentlake.operators import memory, retrieval, tables
 from agentlake.sources.tables import publish, published
 
 
@@ -33,11 +36,22 @@ def _sorted(frames: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(list(by))
 
 
-def rate_limited(events: DataFrame, seconds: float = 60.0, limit: int = 20) -> DataFrame:
+def _watermarked(rows: DataFrame, late: str) -> DataFrame:
+    return rows.withWatermark("ts", late) if rows.isStreaming else rows
+
+
+def _expires(state: GroupState, ms: int) -> None:
+    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
+
+
+def rate_limited(events: DataFrame, seconds: float = 60.0, limit: int = 20, late: str = "10 minutes") -> DataFrame:
     """user_id, event_id, start, place, allowed: windows anchored at their first event, as ``governance.rate_windows``."""
     width = int(seconds * 1e6)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the window is over: the next event begins one
+            state.remove()
+            return
         start, n = state.get if state.exists else (0, 0)
         rows, starts, places = _sorted(frames, "us", "event_id"), [], []
         for us in rows["us"].tolist():
@@ -47,25 +61,30 @@ def rate_limited(events: DataFrame, seconds: float = 60.0, limit: int = 20) -> D
             starts.append(start)
             places.append(n)
         state.update((start, n))
+        _expires(state, (start + width) // 1000 + 1)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "start": starts, "place": places, "allowed": [p <= limit for p in places]})
 
-    keyed = events.select("user_id", "event_id", F.unix_micros("ts").alias("us")).groupBy("user_id")
-    return keyed.applyInPandasWithState(step, "user_id long, event_id long, start long, place long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+    keyed = _watermarked(events, late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us")).groupBy("user_id")
+    return keyed.applyInPandasWithState(step, "user_id long, event_id long, start long, place long, allowed boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def running_quota(usage: DataFrame, quota: int) -> DataFrame:
+def running_quota(usage: DataFrame, quota: int, late: str = "10 minutes") -> DataFrame:
     """user_id, month, event_id, used of the event that first reaches the quota; as ``governance.quota_crossings``."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         before = state.get[0] if state.exists else 0
         rows = _sorted(frames, "us", "event_id")
         used = before + rows["tokens"].cumsum()
         state.update((int(used.iloc[-1]),))
+        _expires(state, int((pd.Timestamp(f"{key[1]}-01") + pd.DateOffset(months=1, days=1)).timestamp() * 1000))
         first = rows.assign(used=used)[(used >= quota) & (used - rows["tokens"] < quota)]
         yield pd.DataFrame({"user_id": key[0], "month": key[1], "event_id": first["event_id"], "used": first["used"]})
 
-    keyed = usage.select("user_id", "month", "event_id", F.unix_micros("ts").alias("us"), (F.col("input_tokens") + F.col("output_tokens")).alias("tokens")).groupBy("user_id", "month")
-    return keyed.applyInPandasWithState(step, "user_id long, month string, event_id long, used long", "used long", "append", GroupStateTimeout.NoTimeout)
+    keyed = _watermarked(usage, late).select("user_id", "month", "event_id", "ts", F.unix_micros("ts").alias("us"), (F.col("input_tokens") + F.col("output_tokens")).alias("tokens")).groupBy("user_id", "month")
+    return keyed.applyInPandasWithState(step, "user_id long, month string, event_id long, used long", "used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def denial_alerts(events: DataFrame, n: int = 5) -> DataFrame:
@@ -78,7 +97,10 @@ def denial_alerts(events: DataFrame, n: int = 5) -> DataFrame:
             streak = streak + 1 if denied else 0
             if streak == n:
                 hits.append(pos)
-        state.update((streak,))
+        if streak:
+            state.update((streak,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"run_id": key[0], "pos": pd.Series(hits, dtype="int64")})
 
     return events.select("run_id", "pos", "denied").groupBy("run_id").applyInPandasWithState(step, "run_id string, pos long", "streak int", "append", GroupStateTimeout.NoTimeout)
@@ -106,13 +128,17 @@ def reasoning_deltas(deltas: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, inside = state.get if state.exists else ("", False)
-        out = []
+        out, ended = [], False
         for seq, text, last in _sorted(frames, "seq")[["seq", "text", "last"]].itertuples(index=False, name=None):
             visible, thinking, rest, inside = split_reasoning(rest + text, inside)
             if last:  # what looked like a tag was text
                 visible, thinking, rest = (visible, thinking + rest, "") if inside else (visible + rest, thinking, "")
             out.append((key[0], seq, visible, thinking))
-        state.update((rest, inside))
+            ended = bool(last)
+        if not ended:
+            state.update((rest, inside))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["stream", "seq", "visible", "thinking"])
 
     return deltas.groupBy("stream").applyInPandasWithState(step, "stream long, seq long, visible string, thinking string", "rest string, inside boolean", "append", GroupStateTimeout.NoTimeout)
@@ -124,14 +150,20 @@ def append_by_day(events: DataFrame, path: str, checkpoint: str, ts: str = "ts",
     return dated.writeStream.format(fmt).partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def foreach_version(changes: DataFrame, root: str, checkpoint: str, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
-    """A versioned table that each batch turns into its next version: ``apply(now, batch)``."""
+def foreach_version(changes: DataFrame, root: str, checkpoint: str, apply: Callable[[DataFrame, DataFrame], DataFrame], bound: str | None = None) -> StreamingQuery:
+    """A versioned table that each batch turns into its next version: ``apply(now, batch)``.
+
+    Versions are named by the stream and its batch, so a batch that comes again after a crash is not applied twice.  With
+    ``bound`` the stream goes on and takes what has come at that interval; without, it ends once all is read.
+    """
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            publish(apply(published(batch.sparkSession, root), batch), root)
+            publish(apply(published(batch.sparkSession, root), batch), root, f"{own}-{number}")
 
-    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=bound) if bound else writer.trigger(availableNow=True)).start()
 
 
 def ingest_stream(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
@@ -146,3 +178,12 @@ def ingest_stream(changes: DataFrame, root: str, checkpoint: str) -> StreamingQu
 
 def memory_stream(writes: DataFrame, root: str, checkpoint: str, cap: int = memory.CAP) -> StreamingQuery:
     return foreach_version(writes, root, checkpoint, lambda now, batch: memory.apply_memories(now, batch, cap))
+
+
+#: How old the lexical index may be.
+FRESH = "300 seconds"
+
+
+def index_stream(changes: DataFrame, root: str, checkpoint: str, bound: str | None = FRESH) -> StreamingQuery:
+    """The stored lexical index follows changed chunks (all of a document's): within ``bound``, or once without."""
+    return foreach_version(changes, root, checkpoint, retrieval.updated_index, bound)
