@@ -248,7 +248,8 @@ def search(
     plain = _renumbered(narrowed(substring_search(asked.join(plan.where("need_sql").select("query_id"), "query_id", "left_semi"), chunks, candidates))).where(F.col("rank") <= k)
     served = staged(best.select("query_id", "chunk_id", "doc_key", "rank", F.col("rerank_score").alias("score")).unionByName(plain.select("query_id", "chunk_id", "doc_key", "rank", F.lit(0.0).alias("score"))))
     outcomes = plan.join(served.select("query_id").distinct().withColumn("served", F.lit(True)), "query_id", "left").select(
-        "query_id", "mode", F.when(F.col("need_sql") | F.col("served"), F.col("outcome")).otherwise("no_hits").alias("outcome"), "degraded"
+        "query_id", F.when(F.col("need_sql"), "sql_fallback").otherwise(F.col("mode")).alias("mode"),
+        F.when(F.col("need_sql"), "sql_fallback").when(F.col("served"), F.col("outcome")).otherwise("no_hits").alias("outcome"), "degraded",
     )
     return served, outcomes.unionByName(queries.where(blank).select("query_id", F.lit("empty").alias("mode"), F.lit("no_hits").alias("outcome"), F.lit(False).alias("degraded")))
 

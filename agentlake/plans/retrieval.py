@@ -128,7 +128,7 @@ def search_hits(spark, d):
     return _searched(spark, d)[0]
 
 
-@query(f"with {PLANNED} select query_id, mode, case when need_sql or query_id in (select query_id from served) then outcome else 'no_hits' end as outcome, degraded from planned")
+@query(f"with {PLANNED} select query_id, case when need_sql then 'sql_fallback' else mode end as mode, case when need_sql then 'sql_fallback' when query_id in (select query_id from served) then outcome else 'no_hits' end as outcome, degraded from planned")
 def search_outcomes(spark, d):
     return _searched(spark, d)[1]
 

@@ -48,6 +48,87 @@ def test_excerpts_without_inner_token_still_match(spark):
     assert got == {(1, 1), (1, 2), (2, 2), (3, 3)} - {(1, 2)}
 
 
+def test_excerpts_of_few_tokens_or_none_match_as_a_plain_search(spark):
+    rng = random.Random(3)
+    signs = ["ab", "abc", "b", "中", "文", " ", "  ", "--", "…", "x_1", "\n", ".", "é"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    needles = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    squeeze = lambda t: re.sub(r"\s+", " ", t).strip(" ")
+    want = {(i, j) for i, n in enumerate(needles) for j, t in enumerate(texts) if squeeze(n) and squeeze(n) in squeeze(t)}
+    got = ev.locate_excerpts(spark.createDataFrame([*enumerate(needles)], "case_id int, excerpt string"), spark.createDataFrame([*enumerate(texts)], "chunk_id int, text string"))
+    assert len(want) > 50 and {tuple(x) for x in got.collect()} == want
+
+
+def test_longest_shared_string(spark):
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("ab c") for _ in range(rng.randint(0, 25))), "".join(rng.choice("ab c") for _ in range(rng.randint(0, 25)))) for _ in range(80)]
+    squeeze = lambda t: re.sub(r"\s+", " ", t).strip(" ")
+    for a, b, n in spark.createDataFrame(rows, "a string, b string").select("a", "b", ev.longest_shared(F.col("a"), F.col("b"))).collect():
+        x, y = squeeze(a), squeeze(b)
+        best = max((k for k in range(len(x) + 1) for i in range(len(x) - k + 1) if x[i : i + k] in y), default=0)
+        assert n == (best if best >= 6 else 0)
+
+
+def test_index_check_tells_self_other_and_none(spark):
+    stored = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [1.0, 0.0]), (4, 1, [0.0, 1.0])], "chunk_id long, user_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.6, 0.8]), (3, 1, [1.0, 0.0]), (9, 7, [1.0, 0.0])], "query_id long, user_id long, embedding array<double>")
+    got = {x["query_id"]: (x["kind"], x["cosine"]) for x in ev.index_check(asked, stored).collect()}
+    assert got == {1: ("self", 1.0), 2: ("other", 0.8), 3: ("none", 0.0), 9: ("none", 0.0)}
+    assert ev.drift_verdict(ev.index_check(asked, stored).select((F.col("kind") != "none").alias("found"), "cosine")).first()["verdict"] == "partial"
+
+
+def test_percentiles_equal_a_sorted_list(spark):
+    rng = random.Random(6)
+    rows = [("a", rng.random() ** 5) for _ in range(900)] + [("b", float(rng.randint(0, 3))) for _ in range(300)] + [("c", 1.5), ("d", None)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    shares = (0.0, 0.1, 0.5, 0.95, 0.99, 1.0)
+    want = {(k, p): sorted(x)[min(len(x) - 1, int(len(x) * p))] for k in "abc" for x in [[v for g_, v in rows if g_ == k]] for p in shares}
+    for ranges in (2, 7, 256):
+        assert {(x["g"], x["p"]): x["value"] for x in g.rank_percentiles(frame, "v", "g", shares, ranges).collect()} == want
+    spread = {x["duplicate"]: (x["min"], x["median"], x["max"]) for x in ev.score_spread(spark.createDataFrame([(0.1, True), (0.5, True), (0.9, True), (0.7, True), (0.2, False)], "score double, duplicate boolean")).collect()}
+    assert spread == {True: (0.1, 0.7, 0.9), False: (0.2, 0.2, 0.2)}
+
+
+def test_search_with_failing_channels_scopes_and_blank_queries(spark):
+    chunks = spark.createDataFrame([(k, 1, f"doc-{k // 2}", k % 2, "", t) for k, t in enumerate(["red apple pie", "green apple", "blue berry", "apple tart", "nothing", "plum cake"])] + [(9, 2, "doc-9", 0, "", "apple of another")], "chunk_id long, user_id long, doc_key string, seq int, title_path string, text string")
+    queries = spark.createDataFrame([(1, 1, "apple"), (2, 1, "apple"), (3, 1, "apple"), (4, 1, "plum"), (5, 1, "  "), (6, 1, "zebra"), (7, 1, None)], "query_id long, user_id long, text string")
+    vectors = chunks.select("chunk_id", "user_id", F.when(F.contains("text", F.lit("apple")), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("embedding"))
+    asked = queries.where("query_id <> 4").select("query_id", "user_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    health = spark.createDataFrame([(1, "ok", True), (2, "embed_failed", True), (3, "down", False), (4, "ok", False), (6, "down", True)], "query_id long, vector_state string, lexical_ok boolean")
+    scope = spark.createDataFrame([(1, "doc-1")], "query_id long, doc_key string")
+    for index in (None, r.lexical_index(chunks)):
+        hits, outcomes = r.search(queries, chunks, vectors, asked, health=health, scope=scope, index=index)
+        told = {x["query_id"]: (x["mode"], x["outcome"], x["degraded"]) for x in outcomes.collect()}
+        assert told == {1: ("hybrid", "hybrid_ok", False), 2: ("bm25_fallback", "embed_failed", True), 3: ("sql_fallback", "sql_fallback", True), 4: ("sql_fallback", "sql_fallback", True), 5: ("empty", "no_hits", False), 6: ("sql_fallback", "sql_fallback", True), 7: ("empty", "no_hits", False)}
+        rows = hits.collect()
+        by = {q: [x["chunk_id"] for x in sorted(rows, key=lambda x: x["rank"]) if x["query_id"] == q] for q in range(1, 8)}
+        assert set(by[1]) == {2, 3} and by[1][0] == 3  # only doc-1, and the other's chunk never
+        assert set(by[2]) == {0, 1, 3} and by[3] == [0, 1, 3] and by[4] == [5] and not by[5] and not by[6] and not by[7]
+        assert all(sorted(x["rank"] for x in rows if x["query_id"] == q) == list(range(1, len(by[q]) + 1)) for q in by)
+    plain = r.search(queries.where("query_id = 6"), chunks, vectors, asked.where("query_id = 6").limit(0))
+    assert plain[0].count() == 0 and [(x["mode"], x["outcome"]) for x in plain[1].collect()] == [("empty", "no_hits")]
+
+
+def test_index_follows_changed_documents(spark, tmp_path):
+    """A stream of changed chunks leaves the index that a rebuild gives; a batch that comes again changes nothing."""
+    shape = "chunk_id long, user_id long, doc_key string, text string"
+    first = spark.createDataFrame([(1, 1, "a", "one two two"), (2, 1, "b", "three"), (3, 1, "b", "four")], shape)
+    changed = spark.createDataFrame([(2, 1, "b", "three three five")], shape)
+    root, source = str(tmp_path / "index"), str(tmp_path / "changes")
+    src.publish(r.lexical_index(first), root)
+    changed.write.parquet(source)
+    stream = spark.readStream.schema(shape).parquet(source)
+    for _ in range(2):
+        jobs.index_stream(stream, root, str(tmp_path / "c"), None).awaitTermination()
+    now = sorted(map(tuple, src.published(spark, root).select("chunk_id", "term", "tf", "dl").collect()))
+    assert now == sorted(map(tuple, r.lexical_index(first.where("doc_key = 'a'").unionByName(changed)).select("chunk_id", "term", "tf", "dl").collect()))
+    versions = spark.read.parquet(f"{root}/pointer").count()
+    assert versions == 2
+    name = spark.read.parquet(f"{root}/pointer").orderBy(F.col("number").desc()).first()["version"]
+    src.publish(r.lexical_index(first), root, name)  # the same batch again
+    assert spark.read.parquet(f"{root}/pointer").count() == 2 and sorted(map(tuple, src.published(spark, root).select("chunk_id", "term", "tf", "dl").collect())) == now
+
+
 def test_golden_validation(spark):
     rows = [("a", "happy_path", ["k"]), ("b", "odd", ["k"]), ("c", "edge_case", []), ("d", "adversarial", ["k"]), ("d", "adversarial", ["k"])]
     got = {(x["case_id"], x["reason"]) for x in ev.validate_golden(spark.createDataFrame(rows, "case_id string, category string, keys array<string>")).collect()}
@@ -95,6 +176,31 @@ def test_memory_writes_equal_a_plain_loop(spark):
     assert {x["id"] for x in m.apply_memories(frame(state), frame(batch), 25, 0.6).collect()} == want
 
 
+def test_memory_writes_settle_long_chains(spark):
+    """Each row is like its neighbour only, so every other one stays, however long the chain."""
+    rows = [(i, 1, " ".join(f"t{k}" for k in range(i, i + 8))) for i in range(60)]
+    frame = lambda xs: spark.createDataFrame(xs, "id long, user_id long, text string").withColumn("superseded_by", F.lit(None).cast("long"))
+    got = m.apply_memories(frame(rows[:1]), frame(rows[1:]), 500, 0.75).collect()
+    assert sorted(x["id"] for x in got) == list(range(0, 60, 2))
+
+
+def test_judged_memory_writes(spark):
+    """Duplicates are refused, contradictions take the older one's place and leave it as history, all in the order of ids."""
+    state = spark.createDataFrame([(1, 1, "lives in hangzhou", None), (2, 1, "likes green tea", None), (3, 2, "lives in paris", None), (4, 1, "lives in rome", 1)], "id long, user_id long, text string, superseded_by long")
+    batch = spark.createDataFrame([(10, 1, "lives in shanghai"), (11, 1, "likes green tea much"), (12, 1, "lives in beijing"), (13, 2, "owns a cat"), (14, 1, "!!"), (15, 1, "lives in hangzhou again")], "id long, user_id long, text string")
+
+    def judge(pairs):
+        same = F.array_contains(F.split("newer_text", " "), F.split("older_text", " ")[0])
+        verdict = F.when(same & F.startswith("newer_text", F.lit("likes")), "duplicate").when(same & F.startswith("newer_text", F.lit("lives")), "conflict")
+        return pairs.withColumn("verdict", verdict)
+
+    got = {x["id"]: x["superseded_by"] for x in m.apply_memories(state, batch, 500, judge=judge).collect()}
+    assert got == {1: 10, 2: None, 3: None, 4: 1, 10: 12, 12: 15, 13: None, 15: None}
+    silent = m.apply_memories(state, batch, 500, judge=lambda pairs: pairs.withColumn("verdict", F.lit(None).cast("string")))
+    assert sorted(x["id"] for x in silent.collect()) == [1, 2, 3, 4, 10, 11, 12, 13, 15]
+    assert m.apply_memories(state, batch.limit(0), 2).count() == 3
+
+
 def test_memory_history_follows_chains(spark):
     rows = [(1, 2), (2, 3), (3, 4), (4, None), (9, None)]
     got = {x["id"]: (x["latest"], x["steps"]) for x in m.history(spark.createDataFrame(rows, "id long, superseded_by long")).collect()}
@@ -320,3 +426,43 @@ def test_ingest_stream(spark, tmp_path):
     assert sorted(map(tuple, src.published(spark, root).collect())) == [("a", 0, "newest"), ("a", 1, "more"), ("b", 0, "keep")]
     jobs.append_by_day(spark.readStream.schema("doc_key string, seq int, text string, version int").parquet(str(tmp_path / "in")).withColumn("ts", F.lit("2024-01-02").cast("timestamp")), str(tmp_path / "days"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "days")).select("day").distinct().count() == 1
+
+
+def test_audit_tasks_and_exports(spark, tmp_path):
+    audit = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00"), (3, None)], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for _ in range(2):
+        src.write_audit(audit, str(tmp_path / "audit"))
+    back = spark.read.parquet(str(tmp_path / "audit"))
+    assert back.count() == 6 and back.where("day = '2024-01-02'").select("event_id").distinct().collect()[0][0] == 2
+    tasks = tmp_path / "tasks"
+    tasks.mkdir()
+    (tasks / "b.json").write_text('[{"id": "t2", "prompt": "p", "category": "c", "tags": ["x"], "scorer": "tests"}]')
+    (tasks / "a.json").write_text('[{"id": "t3"}, {"id": "t1"}]')
+    assert [(x["at"], x["id"]) for x in src.load_tasks(spark, str(tasks)).orderBy("at").collect()] == [(0, "t1"), (1, "t3"), (2, "t2")]
+    src.write_exports({"sft": spark.createDataFrame([(1, '{"a":1}'), (2, '{"a":2}')], "sample_no long, line string")}, str(tmp_path / "sets"))
+    assert sorted(x["value"] for x in spark.read.text(str(tmp_path / "sets" / "sft")).collect()) == ['{"a":1}', '{"a":2}']
+    assert [x["user_id"] for x in tb.first_users(spark.range(5, 0, -1).withColumnRenamed("id", "user_id"), 2).collect()] == [1, 2]
+
+
+def test_memory_stream_equals_the_batch(spark, tmp_path):
+    shape = "id long, user_id long, text string, superseded_by long"
+    root, source = str(tmp_path / "memories"), tmp_path / "writes"
+    src.publish(spark.createDataFrame([(1, 1, "the code name is orion", None)], shape), root)
+    writes = [[(2, 1, "the code name is orion"), (3, 1, "tea at five")], [(4, 1, "tea at five"), (5, 2, "tea at five")]]
+    for k, rows in enumerate(writes):
+        spark.createDataFrame(rows, "id long, user_id long, text string").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("id long, user_id long, text string").parquet(str(source))
+        jobs.memory_stream(stream, root, str(tmp_path / "c")).awaitTermination()
+    assert sorted(x["id"] for x in src.published(spark, root).collect()) == [1, 3, 5]
+
+
+def test_state_goes_when_it_tells_nothing(spark, tmp_path):
+    """A finished reasoning stream, a run without a streak: no row of state is left."""
+    deltas = spark.createDataFrame([(1, 0, "<think>a", False), (1, 1, "b</think>c", True), (2, 0, "<thi", False)], "stream long, seq long, text string, last boolean")
+    calls = spark.createDataFrame([("x", 0, True), ("x", 1, False), ("y", 0, True)], "run_id string, pos long, denied boolean")
+    for name, frame, job, left in (("deltas", deltas, jobs.reasoning_deltas, 1), ("calls", calls, jobs.denial_alerts, 1)):
+        frame.write.parquet(str(tmp_path / name))
+        stream = job(spark.readStream.schema(frame.schema).parquet(str(tmp_path / name)))
+        query = stream.writeStream.format("memory").queryName(f"state_{name}").outputMode("append").option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == left
