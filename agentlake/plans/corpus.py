@@ -76,13 +76,66 @@ def contamination_ratio(spark, d):
     return c.contamination_ratio(_paged(spark, d))
 
 
-@query()
+def _redacting(text: str) -> str:
+    """SQL has no lookaround: signs beside a number are taken along and put back, twice, as neighbours share them."""
+    for pattern, mark in tx.SECRETS:
+        beside = pattern.startswith("(?<!")
+        plain = pattern.replace(r"(?<!\d)", "(^|[^0-9])(?:").replace(r"(?!\d)", ")($|[^0-9])").replace("'", "''")
+        new = rf"\1{mark}\2" if beside else mark.replace("$", "\\")
+        for _ in range(2 if beside else 1):
+            text = f"regexp_replace({text}, '{plain}', '{new}', 'g')"
+    return text
+
+
+REDACTED = _redacting("coalesce(text, '')")
+
+
+@query(f"select doc_id, md5(t) as digest, len(regexp_extract_all(t, '\\[REDACTED'))::int as marks from (select doc_id, {REDACTED} as t from documents)")
 def redacted_texts(spark, d):
-    """SQL has no lookaround: tested on hand-made rows."""
     new = tx.redacted(F.coalesce("text", F.lit("")))
     return _docs(spark, d).select("doc_id", F.md5(new).alias("digest"), F.regexp_count(new, F.lit(r"\[REDACTED")).alias("marks"))
 
 
+TOLD = "'password: ' || coalesce(text, '')"
+
+
+@query(f"select conv_id, turn, md5({REDACTED}) as text, md5(coalesce(text, '')) as arguments, md5({_redacting(TOLD)}) as content from conversations")
+def redacted_messages(spark, d):
+    """Each turn as a block that has its text, the same as arguments, and a result that begins like a secret."""
+    t = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.array(F.struct(t.alias("text"), t.alias("arguments"), F.concat(F.lit("password: "), t).alias("content"))).alias("blocks"))
+    return rows.select("conv_id", "turn", F.explode(tx.redacted_blocks(F.col("blocks"))).alias("b")).select("conv_id", "turn", *(F.md5(f"b.{c}").alias(c) for c in ("text", "arguments", "content")))
+
+
+@query("select doc_id, md5(case when coalesce(source, '') <> '' then source || chr(10) || chr(10) || coalesce(text, '') else coalesce(text, '') end) as digest from documents")
+def embed_texts(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(tx.embed_text(F.col("source"), F.coalesce("text", F.lit("")))).alias("digest"))
+
+
+CUT = "regexp_replace(regexp_replace(coalesce(text, ''), '([。！？；!?;])', '\\1' || chr(1), 'g'), '[.]\\s+', '.' || chr(1), 'g')"
+
+
+@query(f"select doc_id, len(s)::int as n, md5(array_to_string(s, '|')) as digest from (select doc_id, list_filter(string_split({CUT}, chr(1)), lambda x: trim(x, ' ') <> '') as s from documents)")
+def sentence_splits(spark, d):
+    return _docs(spark, d).select("doc_id", tx.sentences(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+@query("select doc_id, case when doc_id % 4 <> 3 then doc_id % 90 else -1 end::int as passed, case when doc_id % 4 = 0 then doc_id % 90 when doc_id % 4 < 3 then doc_id % 90 + doc_id % 7 + 2 else -1 end::int as total from documents")
+def test_summaries(spark, d):
+    """Summary lines of test runs with and without failures, errors and the word passed; -1 for what is null."""
+    n, bad = (F.col("doc_id") % 90).cast("string"), (F.col("doc_id") % 7).cast("string")
+    told = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("== "), n, F.lit(" passed in 3.2s =="))).when(F.col("doc_id") % 4 == 3, F.concat(n, F.lit(" failed"))).otherwise(F.concat(F.lit("== "), bad, F.lit(" failed, "), n, F.lit(" passed, 2 errors in 1s ==")))
+    return _docs(spark, d).select("doc_id", tx.test_summary(told).alias("s")).select("doc_id", "s.*").fillna(-1)
+
+
+@query("select doc_id, case when doc_id % 3 < 2 then doc_id || '|b' end as items from documents")
+def json_answers(spark, d):
+    """A fenced array, an array between words with a second one behind it, and one that never closes."""
+    array = F.concat(F.lit('["'), F.col("doc_id").cast("string"), F.lit('", "b"]'))
+    told = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), array, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here: "), array, F.lit(" and [1]"))).otherwise(F.concat(F.lit('so ["'), F.col("doc_id").cast("string")))
+    return _docs(spark, d).select("doc_id", F.array_join(tx.json_array(told), "|").alias("items"))
+
+
 @query("select page_id, regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)', '\\1user:***@') as url from pages")
 def masked_urls(spark, d):
     """Every page's URL with a made-up password."""

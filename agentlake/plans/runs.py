@@ -203,7 +203,7 @@ def pass_delta(spark, d):
 MEMORIES = "memories as (select conv_id * 1000 + turn as id, conv_id % 7 as user_id, text, case when turn = 0 and conv_id % 5 = 0 then conv_id * 1000 + 1 end as superseded_by from conversations)"
 
 
-def _memories(spark, d):
+def memories(spark, d):
     old = F.when((F.col("turn") == 0) & (F.col("conv_id") % 5 == 0), F.col("conv_id") * 1000 + 1)
     return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") % 7).alias("user_id"), "text", old.alias("superseded_by"))
 
@@ -213,35 +213,39 @@ TERMS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9_]+|[
 
 @query(f"with {MEMORIES}, s as (select user_id, id, {TERMS('text')} as t from memories), p as (select a.user_id, a.id as older, b.id as newer, len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::double as score from s a join s b on a.user_id = b.user_id and a.id < b.id where len(a.t) > 0 and len(b.t) > 0) select user_id, older, newer, round(score, 6) as score from p where score >= 0.25")
 def jaccard_pairs(spark, d):
-    return m.jaccard_pairs(_memories(spark, d), 0.25)
+    return m.jaccard_pairs(memories(spark, d), 0.25)
 
 
-NEAR = f"sets as (select user_id, id, {TERMS('text')} as t from memories), near as (select b.user_id, b.id, list(a.id) as olds from sets a join sets b on a.user_id = b.user_id and a.id < b.id and len(a.t) > 0 and len(b.t) > 0 and b.id % 1000 >= 2 where len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::double >= 0.25 group by all)"
-
-
-@query(f"""with recursive {MEMORIES}, {NEAR}, later as (select m.user_id, m.id, coalesce(olds, []) as olds, row_number() over (partition by m.user_id order by m.id) as n from memories m join sets s on s.id = m.id left join near on near.id = m.id where m.id % 1000 >= 2 and len(s.t) > 0),
+def written(threshold: float, cap: int) -> str:
+    """SQL of the order-dependent write: a walk over each user's later turns."""
+    return f"""with recursive {MEMORIES}, sets as (select user_id, id, {TERMS('text')} as t from memories),
+near as (select b.user_id, b.id, list(a.id) as olds from sets a join sets b on a.user_id = b.user_id and a.id < b.id and len(a.t) > 0 and len(b.t) > 0 and b.id % 1000 >= 2 where len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::double >= {threshold} group by all),
+later as (select m.user_id, m.id, coalesce(olds, []) as olds, row_number() over (partition by m.user_id order by m.id) as n from memories m join sets s on s.id = m.id left join near on near.id = m.id where m.id % 1000 >= 2 and len(s.t) > 0),
 walk as (select user_id, 0 as n, list(id) filter (where id % 1000 < 2) as kept from memories group by 1 union all select w.user_id, l.n, case when list_has_any(kept, olds) then kept else list_append(kept, l.id) end from walk w join later l on l.user_id = w.user_id and l.n = w.n + 1),
 ended as (select user_id, arg_max(kept, n) as kept from walk group by 1)
-select id, user_id from (select user_id, unnest(kept) as id from ended) qualify row_number() over (partition by user_id order by id desc) <= 500""")
+select id, user_id from (select user_id, unnest(kept) as id from ended) qualify row_number() over (partition by user_id order by id desc) <= {cap}"""
+
+
+@query(written(0.25, 500))
 def apply_memories(spark, d):
     """The order-dependent write of every later turn."""
-    rows = _memories(spark, d)
+    rows = memories(spark, d)
     return m.apply_memories(rows.where("id % 1000 < 2").withColumn("superseded_by", F.lit(None).cast("long")), rows.where("id % 1000 >= 2"), 500, 0.25).select("id", "user_id")
 
 
 @query(f"with {MEMORIES} select id, user_id from memories qualify row_number() over (partition by user_id order by id desc) <= 20")
 def memory_cap(spark, d):
-    return m.enforce_cap(_memories(spark, d), 20).select("id", "user_id")
+    return m.enforce_cap(memories(spark, d), 20).select("id", "user_id")
 
 
 @query(f"with {MEMORIES} select id, user_id, nth from (select id, user_id, row_number() over (partition by user_id order by id desc) as nth from memories where superseded_by is null) where nth <= 500")
 def current_memories(spark, d):
-    return m.current(_memories(spark, d)).select("id", "user_id", "nth")
+    return m.current(memories(spark, d)).select("id", "user_id", "nth")
 
 
 @query(f"with {MEMORIES} select id, coalesce(superseded_by, id) as latest, (superseded_by is not null)::int as steps from memories")
 def memory_history(spark, d):
-    return m.history(_memories(spark, d))
+    return m.history(memories(spark, d))
 
 
 def _asked(spark, d):
@@ -255,7 +259,7 @@ RECALLED = f"{MEMORIES}, {ASKED}, scored as (select query_id, id, round(len(list
 
 @query(f"with {RECALLED} select query_id, id, score, rank from ranked where rank <= 3")
 def lexical_recall(spark, d):
-    return m.lexical_recall(_asked(spark, d), _memories(spark, d))
+    return m.lexical_recall(_asked(spark, d), memories(spark, d))
 
 
 @query(f"with {RECALLED}, vec as (select query_id, query_id as id, 1 as rank from asked where query_id % 3 = 0 and query_id in (select id from memories where superseded_by is null)) select query_id, id, rank, 'vector_hit' as outcome from vec union all select a.query_id, coalesce(id, 0), coalesce(rank, 0), case when embed_failed then 'embed_failed' when id is not null then 'lexical_fallback' else 'no_hits' end from asked a left join (select * from ranked where rank <= 3) r using (query_id) where a.query_id not in (select query_id from vec)")
@@ -263,18 +267,29 @@ def memory_recall(spark, d):
     """Every third question has itself as a vector hit."""
     asked = _asked(spark, d)
     hits = asked.where("query_id % 3 = 0").select("query_id", F.col("query_id").alias("id"), F.lit(1).alias("rank"))
-    return m.recall(asked, _memories(spark, d), hits).fillna(0, ["id", "rank"])
+    return m.recall(asked, memories(spark, d), hits).fillna(0, ["id", "rank"])
+
+
+PAIRED = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[\\x{4e00}-\\x{9fff}]') || list_transform(range(1, length(k)), lambda i: substr(k, i, 2)))"
+KEPT = "regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_\\x{4e00}-\\x{9fff}]+', '', 'g') as k"
+
+
+@query(f"with {MEMORIES} select id, user_id from memories where regexp_matches(lower(coalesce(text, '')), '[a-z0-9_]|[\\x{{4e00}}-\\x{{9fff}}]')")
+def searchable_memories(spark, d):
+    return m.has_terms(memories(spark, d)).select("id", "user_id")
 
 
-@query()
+@query(f"""with {MEMORIES}, {ASKED}, alive as (select * from memories where superseded_by is null), terms as (select user_id, id, unnest({PAIRED}) as term from (select *, {KEPT} from alive)),
+n as (select user_id, count(*) as n from alive group by 1), df as (select user_id, term, count(*) as df from terms group by all), q as (select query_id, user_id, unnest({PAIRED}) as term from (select *, {KEPT} from asked)),
+scored as (select query_id, id, round(sum(ln((n + 1) / (1 + df)::double)), 6) as score from q join terms using (user_id, term) join df using (user_id, term) join n using (user_id) group by all)
+select query_id, id, score from scored where score > 0""")
 def entity_recall(spark, d):
-    """Pairs of characters need lookahead, which the SQL dialect lacks; held against a plain version in the tests."""
-    return m.entity_scores(_asked(spark, d), _memories(spark, d))
+    return m.entity_scores(_asked(spark, d), memories(spark, d))
 
 
 @query(f"with {RECALLED}, every as (select query_id, id, 0 as channel, rank from ranked where rank <= 8 union all select query_id, id, 1, row_number() over (partition by query_id order by id) from asked join memories using (user_id) where superseded_by is null qualify row_number() over (partition by query_id order by id) <= 8), once as (select query_id, id, min((channel, rank)) as spot from every group by all) select query_id, id, row_number() over (partition by query_id order by spot) as place from once qualify place <= 12")
 def candidate_union(spark, d):
     """The second channel offers the user's oldest rows."""
-    asked, rows = _asked(spark, d), _memories(spark, d)
+    asked, rows = _asked(spark, d), memories(spark, d)
     old = asked.join(rows.where("superseded_by is null").select("user_id", "id"), "user_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
     return m.candidate_union(m.lexical_recall(asked, rows, 8), old)

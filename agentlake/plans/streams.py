@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from agentlake.plans.governance import SQL as BATCH
-from agentlake.plans.relations import ACTIVITY
+from agentlake.plans.relations import ACTIVITY, LINES, line_chunks, table
+from agentlake.plans.runs import memories, written
 from agentlake.sources.staging import staging_root
+from agentlake.sources.tables import publish, published
 from agentlake.streaming import jobs
 
 
@@ -46,8 +48,67 @@ def stream_quota(spark, d):
     return _finished(jobs.running_quota(usage, 500), "append")
 
 
-QUERIES = {f.__name__: f for f in (stream_counts, stream_histogram, stream_rate_windows, stream_quota)}
+def _root(spark) -> str:
+    return f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _streamed(rows: DataFrame) -> DataFrame:
+    """Rows that a batch query derives, as a stream."""
+    path = f"{_root(rows.sparkSession)}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+
+
+def stream_denials(spark, d):
+    """The third error or view in a row of each user."""
+    calls = _events(spark, d).select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("pos"), F.col("event_type").isin("error", "view").alias("denied"))
+    return _finished(jobs.denial_alerts(calls, 3), "append")
+
+
+def stream_reasoning(spark, d):
+    """Conversations as pieces whose ends cut tags in two: even turns open a span, odd ones go on with the tag and close it."""
+    t, ended = F.coalesce("text", F.lit("")), Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    piece = F.when(F.col("turn") % 2 == 0, F.concat(t, F.lit("<thi"))).otherwise(F.concat(F.lit("nk>"), F.substring(t, 1, 40), F.lit("</think>"), F.substr(t, F.lit(41), F.length(t))))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").cast("long").alias("seq"), piece.alias("text"), (F.row_number().over(ended) == 1).alias("last"))
+    out = _finished(jobs.reasoning_deltas(_streamed(rows)), "append")
+    told = lambda c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]), ""))
+    return out.groupBy("stream").agg(told("visible").alias("visible"), told("thinking").alias("thinking"))
+
+
+def stream_ingest(spark, d):
+    """Every other document changes twice; the last change's chunks are what is there at the end."""
+    rows = line_chunks(spark, d).select("doc_key", "doc_id", "seq", F.lit(1).alias("version"), "text")
+    changed = rows.where("doc_id % 2 = 0").withColumn("version", F.explode(F.array(F.lit(2), F.lit(3)))).withColumn("text", F.concat_ws("-", "text", "version")).where("version = 2 or seq % 2 = 0")
+    root = _root(spark)
+    publish(rows.where("doc_id % 3 <> 0").drop("doc_id"), root)
+    jobs.ingest_stream(_streamed(changed.drop("doc_id")), root, f"{root}/checkpoint").awaitTermination()
+    return published(spark, root).select("doc_key", "seq", "version", F.md5("text").alias("digest"))
+
+
+def stream_memories(spark, d):
+    """Later turns are written as a stream to a state of the first two."""
+    rows, root = memories(spark, d), _root(spark)
+    publish(rows.where("id % 1000 < 2").withColumn("superseded_by", F.lit(None).cast("long")), root)
+    jobs.memory_stream(_streamed(rows.where("id % 1000 >= 2")), root, f"{root}/checkpoint", 100).awaitTermination()
+    return published(spark, root).select("id", "user_id")
+
+
+def stream_audit(spark, d):
+    """Events in the folders of their days, read back."""
+    root = _root(spark)
+    jobs.append_by_day(_events(spark, d), f"{root}/audit", f"{root}/checkpoint").awaitTermination()
+    stored = spark.read.parquet(f"{root}/audit")
+    return stored.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 4).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (stream_counts, stream_histogram, stream_rate_windows, stream_quota, stream_denials, stream_reasoning, stream_ingest, stream_memories, stream_audit)}
+PIECES = "pieces as (select conv_id as stream, string_agg(case when turn % 2 = 0 then t || '<thi' else 'nk>' || substr(t, 1, 40) || '</think>' || substr(t, 41) end, '' order by turn) as t from (select conv_id, turn, coalesce(text, '') as t from conversations) group by 1)"
 SQL = {
+    "stream_denials": "with c as (select user_id::varchar as run_id, event_id as pos, event_type in ('error', 'view') as denied, count(*) filter (where event_type not in ('error', 'view')) over (partition by user_id order by event_id) as island from events) select run_id, pos from c where denied qualify row_number() over (partition by run_id, island order by pos) = 3",
+    "stream_reasoning": f"with {PIECES} select stream, md5(regexp_replace(t, '(?s)<think>.*?(?:</think>|$)', '', 'g')) as visible, md5(array_to_string(regexp_extract_all(t, '(?s)<think>(.*?)(?:</think>|$)', 1), '')) as thinking from pieces",
+    "stream_ingest": f"with {LINES} select doc_key, seq, 1 as version, md5(text) as digest from lines where doc_id % 3 <> 0 and doc_id % 2 <> 0 union all select doc_key, seq, 3, md5(text || '-3') from lines where doc_id % 2 = 0 and seq % 2 = 0 union all select doc_key, seq, 2, md5(text || '-2') from lines where doc_id % 2 = 0 and doc_key not in (select doc_key from lines where seq % 2 = 0)",
+    "stream_memories": written(0.85, 100),
+    "stream_audit": f"with {ACTIVITY} select day, count(*) as n, sum(event_id)::bigint as ids, round(sum(value), 4) as total from activity group by 1",
     "stream_counts": f"with {ACTIVITY} select day as start, event_type, count(*) as n, round(sum(value), 4) as total from activity group by all",
     "stream_histogram": f"with {ACTIVITY} select event_type, ((value > 1)::int + (value > 10)::int + (value > 50)::int) as bucket, count(*) as n from activity group by all",
     "stream_rate_windows": BATCH["rate_windows"],
