@@ -143,9 +143,9 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = N
     return tasks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _bucket_edges(batches, radius), "a long, b long")
 
 
-def rooted(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of each fp in ``rows``: fp, first (the smallest key) and root, the fingerprint that names its component."""
-    classes = staged(rows.groupBy("fp").agg(F.min("key").alias("first")))
+def rooted(rows: DataFrame, radius: int = RADIUS, first: Column | None = None) -> DataFrame:
+    """Of each fp in ``rows``: fp, first (the smallest key, or another aggregate) and root, the fingerprint that names its component."""
+    classes = staged(rows.groupBy("fp").agg((F.min("key") if first is None else first).alias("first")))
     found = components(near_edges(classes.select("fp"), radius))
     return classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
@@ -171,11 +171,12 @@ def row_digest(docs: DataFrame) -> list[Column]:
 def drop_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component, the first row by (doc_id, digest of the row).
 
-    Components are told apart by their root fingerprint, as rows of unlike texts may share a doc_id.
+    Components are told apart by their root fingerprint, as rows of unlike texts may share a doc_id.  The first row of each
+    fingerprint is found before the shuffle, so that a component of very many copies is a row per task and fingerprint.
     """
     names, digest = ["key", "digest0", "digest1"], row_digest(docs)
     rows = staged(fingerprints(docs, *digest))
-    first = rows.join(rooted(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(*names)).alias("first"))
+    first = rooted(rows, radius, F.min(F.struct(*names))).groupBy("root").agg(F.min("first").alias("first"))
     keep = first.select("root", "first.*")
     found = docs.select(id_key().alias("key"), *digest, F.struct(*docs.columns).alias("row")).join(keep, names)
     return found.dropDuplicates([*names, "root"]).select("row.*")
