@@ -22,12 +22,33 @@ def has_terms(memories: DataFrame) -> DataFrame:
     return memories.where(F.regexp_like(F.lower(F.coalesce("text", F.lit(""))), F.lit(tx.TOKEN)))
 
 
+def _term_sets(memories: DataFrame) -> DataFrame:
+    return memories.select("user_id", "id", F.array_sort(tx.term_set(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+
+
+def _classes(memories: DataFrame) -> DataFrame:
+    """user_id, terms, id: the term sets of each user, and the smallest id that has them."""
+    return _term_sets(memories).groupBy("user_id", "terms").agg(F.min("id").alias("id"))
+
+
+def memory_classes(memories: DataFrame) -> DataFrame:
+    """user_id, id, class_id of every memory with terms: the user's smallest id of the same term set.
+
+    The smallest ids are found before the shuffle; where one set is very common, the join back is split as a skewed one.
+    """
+    first = _classes(memories).withColumnRenamed("id", "class_id")
+    own, sets = first.alias("c"), _term_sets(memories).alias("m")
+    met = sets.join(own, F.col("m.user_id").eqNullSafe(F.col("c.user_id")) & (F.col("m.terms") == F.col("c.terms")))
+    return met.select("m.user_id", "m.id", "c.class_id")
+
+
 def jaccard_pairs(memories: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
-    """(user_id, older, newer, score) of a user's memories whose term sets overlap enough.
+    """(user_id, older, newer, score) of a user's classes whose term sets overlap enough, each named by its smallest id.
 
-    Two sets that do share one of the rarest n - ceil(t n) + 1 terms of each, so only these prefixes are joined.
+    ``memory_classes`` tells the members, so copies cost a row each and no pairs.  Two sets that do overlap share one of the
+    rarest n - ceil(t n) + 1 terms of each, so only these prefixes are joined.
     """
-    sets = memories.select("user_id", "id", tx.term_set(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    sets = _classes(memories)
     terms = sets.select("user_id", "id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     common = terms.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("user_id", "id").orderBy("df", "term")
@@ -109,19 +130,24 @@ def apply_memories(state: DataFrame, batch: DataFrame, cap: int = CAP, threshold
     contradict one take its place (its superseded_by becomes theirs, and it stays as history), then the cap holds.
 
     ``judge`` gets candidate pairs (newer, newer_text, older, older_text, place, user_id) and returns them with a verdict:
-    duplicate, conflict, or anything else (also null) for new.  Without it, near-equal term sets are duplicates.  Batch ids are
-    greater than those of the state; superseded rows are no partners.
+    duplicate, conflict, or anything else (also null) for new.  Without it, near-equal term sets are duplicates: of a class of
+    equal sets only the first can stay, as what refuses it, or itself if it stays, refuses all later ones; so the walk needs one
+    row per class.  Batch ids are greater than those of the state; superseded rows are no partners.
     """
     now = state.select("id", "user_id", "text", "superseded_by")
     new = has_terms(batch).select("id", "user_id", F.trim("text").alias("text"), F.lit(None).cast("long").alias("superseded_by"))
     alive = now.where("superseded_by is null")
     if judge is None:
-        pairs = jaccard_pairs(alive.unionByName(new), threshold).join(new.select(F.col("id").alias("newer")), "newer", "left_semi").withColumns({"verdict": F.lit("duplicate"), "place": F.lit(0)})
+        every = alive.unionByName(new)
+        pairs = jaccard_pairs(every, threshold).join(new.select(F.col("id").alias("newer")), "newer", "left_semi").withColumns({"verdict": F.lit("duplicate"), "place": F.lit(0)})
+        told = staged(settled(pairs))
+        copies = memory_classes(every).where("id <> class_id and user_id is not null").select("id")
+        out = told.where("rejected").select("id").unionByName(copies)
     else:
-        pairs = judge(judge_candidates(alive, new)).where("verdict in ('duplicate', 'conflict')")
-    told = staged(settled(pairs))
+        told = staged(settled(judge(judge_candidates(alive, new)).where("verdict in ('duplicate', 'conflict')")))
+        out = told.where("rejected").select("id")
     later = told.where("supersedes is not null").select(F.col("supersedes").alias("id"), F.col("id").alias("by"))
-    kept = now.unionByName(new.join(told.where("rejected").select("id"), "id", "left_anti"))
+    kept = now.unionByName(new.join(out, "id", "left_anti"))
     return enforce_cap(kept.join(later, "id", "left").withColumn("superseded_by", F.coalesce("superseded_by", "by")).drop("by"), cap)
 
 

@@ -147,11 +147,12 @@ def audit_columns(spark, d):
     return g.audit_columns(rows)
 
 
-@query(f"with {ACTIVITY}, a as (select ts, event, user_id, case when event = 'tool_call' then event_type end as tool from activity where event_id % 3 <> 0), b as (select ts, event, user_id, case when event = 'tool_call' then event_type end as tool from activity where event_id % 2 = 0) select event, user_id, tool, count(*) as n from (select * from a union all select * from b where not exists (select 1 from a where a.ts is not distinct from b.ts and a.event is not distinct from b.event and a.user_id is not distinct from b.user_id and a.tool is not distinct from b.tool)) group by all")
+@query(f"with {ACTIVITY}, a as (select ts, event, user_id, case when event = 'tool_call' then event_type end as tool from activity where event_id % 3 <> 0), b as (select ts, event, user_id, case when event = 'tool_call' then event_type end as tool from activity where event_id % 2 = 0 or event_id % 3 = 0) select event, user_id, tool, count(*) as n from (select * from a union all select * from b where not exists (select 1 from a where a.ts is not distinct from b.ts and a.event is not distinct from b.event and a.user_id is not distinct from b.user_id and a.tool is not distinct from b.tool)) group by all")
 def merge_audit(spark, d):
+    """Two stores that share a part of all events."""
     rows = activity(spark, d).withColumn("tool", F.when(F.col("event") == "tool_call", F.col("event_type")))
     copy = lambda c: rows.where(c).select("ts", "event", "user_id", "tool")
-    return g.merge_audit(copy("event_id % 3 <> 0"), copy("event_id % 2 = 0")).groupBy("event", "user_id", "tool").agg(F.count(F.lit(1)).alias("n"))
+    return g.merge_audit(copy("event_id % 3 <> 0"), copy("event_id % 2 = 0 or event_id % 3 = 0")).groupBy("event", "user_id", "tool").agg(F.count(F.lit(1)).alias("n"))
 
 
 POLICY = {"deny_tools": ("signup",), "deny_capabilities": ("network",), "allow_capabilities": ("read", "write"), "deny_commands": (r"rm\s+-rf",), "path_sandbox": True}

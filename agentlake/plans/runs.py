@@ -211,8 +211,17 @@ def memories(spark, d):
 TERMS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]'))".format
 
 
-@query(f"with {MEMORIES}, s as (select user_id, id, {TERMS('text')} as t from memories), p as (select a.user_id, a.id as older, b.id as newer, len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::double as score from s a join s b on a.user_id = b.user_id and a.id < b.id where len(a.t) > 0 and len(b.t) > 0) select user_id, older, newer, round(score, 6) as score from p where score >= 0.25")
+CLASSES = f"{MEMORIES}, s as (select user_id, id, list_sort({TERMS('text')}) as t from memories), m as (select user_id, id, t, min(id) over (partition by user_id, t) as class_id from s where len(t) > 0)"
+
+
+@query(f"with {CLASSES} select user_id, id, class_id from m")
+def memory_classes(spark, d):
+    return m.memory_classes(memories(spark, d))
+
+
+@query(f"with {CLASSES}, p as (select a.user_id, a.id as older, b.id as newer, len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::double as score from m a join m b on a.user_id = b.user_id and a.id < b.id where a.id = a.class_id and b.id = b.class_id) select user_id, older, newer, round(score, 6) as score from p where score >= 0.25")
 def jaccard_pairs(spark, d):
+    """Pairs of classes of equal term sets; ``memory_classes`` has their members."""
     return m.jaccard_pairs(memories(spark, d), 0.25)
 
 

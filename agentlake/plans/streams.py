@@ -76,11 +76,11 @@ def stream_reasoning(spark, d):
 
 
 def stream_ingest(spark, d):
-    """Every other document changes twice; the last change's chunks are what is there at the end."""
+    """Every other document changes twice, a third of them new to the store; the last change's chunks are what is there at the end."""
     rows = line_chunks(spark, d).select("doc_key", "doc_id", "seq", F.lit(1).alias("version"), "text")
     changed = rows.where("doc_id % 2 = 0").withColumn("version", F.explode(F.array(F.lit(2), F.lit(3)))).withColumn("text", F.concat_ws("-", "text", "version")).where("version = 2 or seq % 2 = 0")
     root = _root(spark)
-    publish(rows.where("doc_id % 3 <> 0").drop("doc_id"), root)
+    publish(rows.where("doc_id % 6 <> 0").drop("doc_id"), root)
     jobs.ingest_stream(_streamed(changed.drop("doc_id")), root, f"{root}/checkpoint").awaitTermination()
     return published(spark, root).select("doc_key", "seq", "version", F.md5("text").alias("digest"))
 
@@ -106,7 +106,7 @@ PIECES = "pieces as (select conv_id as stream, string_agg(case when turn % 2 = 0
 SQL = {
     "stream_denials": "with c as (select user_id::varchar as run_id, event_id as pos, event_type in ('error', 'view') as denied, count(*) filter (where event_type not in ('error', 'view')) over (partition by user_id order by event_id) as island from events) select run_id, pos from c where denied qualify row_number() over (partition by run_id, island order by pos) = 3",
     "stream_reasoning": f"with {PIECES} select stream, md5(regexp_replace(t, '(?s)<think>.*?(?:</think>|$)', '', 'g')) as visible, md5(array_to_string(regexp_extract_all(t, '(?s)<think>(.*?)(?:</think>|$)', 1), '')) as thinking from pieces",
-    "stream_ingest": f"with {LINES} select doc_key, seq, 1 as version, md5(text) as digest from lines where doc_id % 3 <> 0 and doc_id % 2 <> 0 union all select doc_key, seq, 3, md5(text || '-3') from lines where doc_id % 2 = 0 and seq % 2 = 0 union all select doc_key, seq, 2, md5(text || '-2') from lines where doc_id % 2 = 0 and doc_key not in (select doc_key from lines where seq % 2 = 0)",
+    "stream_ingest": f"with {LINES} select doc_key, seq, 1 as version, md5(text) as digest from lines where doc_id % 2 <> 0 union all select doc_key, seq, 3, md5(text || '-3') from lines where doc_id % 2 = 0 and seq % 2 = 0 union all select doc_key, seq, 2, md5(text || '-2') from lines where doc_id % 2 = 0 and doc_key not in (select doc_key from lines where seq % 2 = 0)",
     "stream_memories": written(0.85, 100),
     "stream_audit": f"with {ACTIVITY} select day, count(*) as n, sum(event_id)::bigint as ids, round(sum(value), 4) as total from activity group by 1",
     "stream_counts": f"with {ACTIVITY} select day as start, event_type, count(*) as n, round(sum(value), 4) as total from activity group by all",

@@ -164,6 +164,7 @@ def test_memory_writes_equal_a_plain_loop(spark):
     rng = random.Random(1)
     pool = [f"t{i}" for i in range(12)]
     rows = [(i, rng.randrange(3), " ".join(rng.sample(pool, rng.randint(4, 7)))) for i in range(1, 120)] + [(200, 0, "!!"), (201, 0, None), (202, 1, "项目代号是 Orion"), (203, 1, "项目代号是 Orion")]
+    rows += [(300 + i, i % 3, " ".join(rng.sample(pool[:5], 5))) for i in range(40)] + [(400 + i, 0, f"t{i % 2} t6 t7 t8") for i in range(40)]
     state, batch = rows[:30], rows[30:]
     kept = [x for x in state]
     terms = lambda s: set(__import__("re").findall("[a-z0-9_]+|[一-鿿]", (s or "").lower()))
@@ -176,6 +177,16 @@ def test_memory_writes_equal_a_plain_loop(spark):
     assert {x["id"] for x in m.apply_memories(frame(state), frame(batch), 25, 0.6).collect()} == want
 
 
+def test_copies_of_memories_cost_no_pairs(spark):
+    """Equal term sets are one class of its smallest id; classes pair as their sets do, users apart, and null users are a user for classes."""
+    rows = [(i, 1, "b a c d") for i in range(10, 60)] + [(i, 1, "d c b a A") for i in range(60, 90)] + [(5, 1, "a b c e"), (6, 2, "a b c d"), (7, None, "x y"), (8, None, "y x"), (9, 1, "?!"), (91, 1, None)]
+    frame = spark.createDataFrame(rows, "id long, user_id long, text string")
+    classes = {x["id"]: x["class_id"] for x in m.memory_classes(frame).collect()}
+    assert classes == {**{i: 10 for i in range(10, 90)}, 5: 5, 6: 6, 7: 7, 8: 7}
+    assert [tuple(x) for x in m.jaccard_pairs(frame, 0.6).collect()] == [(1, 5, 10, 0.6)]
+    assert m.memory_classes(frame.limit(0)).count() == m.jaccard_pairs(frame.limit(0)).count() == 0
+
+
 def test_memory_writes_settle_long_chains(spark):
     """Each row is like its neighbour only, so every other one stays, however long the chain."""
     rows = [(i, 1, " ".join(f"t{k}" for k in range(i, i + 8))) for i in range(60)]
