@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .numbering import numbered
+
 
 def upsert(base: DataFrame, updates: DataFrame, key: tuple[str, ...], keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Rows of ``updates`` win by key, but ``keep`` columns stay as they were."""
@@ -85,15 +87,20 @@ def newest(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*(F.col(o).desc() for o in order)).limit(n)
 
 
-def table_blocks(df: DataFrame, order: str, rows_per_block: int = 20, head_columns: int = 20, first: int = 1) -> DataFrame:
-    """A delimited table as text blocks: 0 tells the first columns and the row count, the others hold ``col: val`` lines."""
+def table_blocks(df: DataFrame, order: str, rows_per_block: int = 20, head_columns: int = 20) -> DataFrame:
+    """A delimited table as text blocks of ``rows_per_block`` rows in the order of any column (ties by their text).
+
+    Block 0 tells the first columns and the row count, the others hold ``col: val`` lines.  Rows without a value do not count; a
+    row of nothing but blank marks counts and gives no line, and a block of such rows is left out.  ``order`` itself is not shown.
+    """
     names = [c for c in df.columns if c != order]
-    shown = lambda c: F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "?", "None", "nan"), None).otherwise(F.concat(F.lit(f"{c}: "), F.trim(F.col(c).cast("string"))))
-    # ``order`` numbers the rows from ``first``, so a block is a range of it and nothing is sorted as a whole.
-    lines = df.select(F.col(order).alias("key"), F.concat_ws("; ", *map(shown, names)).alias("line"))
-    placed = lines.withColumn("block", F.floor((F.col("key") - first) / rows_per_block) + 1)
-    body = placed.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    head = df.agg(F.concat(F.lit(f"columns({len(names)}): {', '.join(names[:head_columns])}; rows: "), F.count(F.lit(1)).cast("string")).alias("text")).select(F.lit(0).cast("long").alias("block"), "text")
+    value = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    shown = lambda c: F.when(~F.trim(value(c)).isin("", "?", "None", "nan"), F.concat(F.lit(f"{c}: "), value(c)))
+    filled = df.where(F.concat(*(F.trim(value(c)) for c in names)) != "")
+    lines = numbered(filled.select(F.col(f"`{order}`").alias("key"), F.concat_ws("; ", *map(shown, names)).alias("line")), ["key", "line"])
+    placed = lines.where("line <> ''").withColumn("block", F.floor(F.col("position") / rows_per_block) + 1)
+    body = placed.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    head = filled.agg(F.concat(F.lit(f"columns({len(names)}): {', '.join(names[:head_columns])}; rows: "), F.count(F.lit(1)).cast("string")).alias("text")).select(F.lit(0).cast("long").alias("block"), "text")
     return head.unionByName(body.select(F.col("block").cast("long").alias("block"), "text"))
 
 

@@ -204,10 +204,19 @@ def layout_texts(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(c.layout_cleaned(made)).alias("digest"))
 
 
-@query("""with b as (select s_suppkey, concat_ws('; ', 's_name: ' || trim(s_name), 's_nationkey: ' || s_nationkey) as line from supplier)
-select s_suppkey // 20 + 1 as block, string_agg(line, chr(10) order by s_suppkey) as text from b group by 1 union all select 0, 'columns(2): s_name, s_nationkey; rows: ' || count(*) from supplier""")
+@query("""with b as (select s_suppkey, concat_ws('; ', 's_name: ' || s_name, 's_nationkey: ' || s_nationkey) as line from supplier)
+select (row_number() over (order by s_suppkey) - 1) // 20 + 1 as block, line, s_suppkey as k from b""".join(("select block, string_agg(line, chr(10) order by k) as text from (", ") group by 1 union all select 0, 'columns(2): s_name, s_nationkey; rows: ' || count(*) from supplier")))
 def table_blocks(spark, d):
-    return tb.table_blocks(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey", first=0)
+    return tb.table_blocks(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
+
+
+@query("""with l as (select o_orderdate as d, concat_ws('; ', 'o_orderkey: ' || o_orderkey, case when o_orderstatus <> 'P' then 'status: ' || o_orderstatus end) as line from orders where o_orderkey % 7 <> 3),
+placed as (select (row_number() over (order by d, line) - 1) // 20 + 1 as block, d, line from l)
+select block, string_agg(line, chr(10) order by d, line) as text from placed group by 1 union all select 0, 'columns(2): o_orderkey, status; rows: ' || count(*) from l""")
+def dated_table_blocks(spark, d):
+    """Blocks of rows, not of key values: the dates have gaps and ties."""
+    orders = table(spark, d, "orders").where("o_orderkey % 7 <> 3").select("o_orderdate", "o_orderkey", F.when(F.col("o_orderstatus") == "P", "?").otherwise(F.col("o_orderstatus")).alias("status"))
+    return tb.table_blocks(orders, "o_orderdate")
 
 
 BASE = "base as (select o_orderkey as doc, o_orderpriority as title, o_orderstatus as status, o_orderdate as created_at from orders where o_orderkey % 3 <> 0), new as (select o_orderkey as doc, o_orderpriority || '+' as title, 'R' as status, o_orderdate + interval 1 day as created_at from orders where o_orderkey % 3 <> 1)"

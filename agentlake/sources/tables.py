@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from agentlake.operators.evaluation import validate_golden
+from agentlake.operators.numbering import numbered
 
 CHUNK_BUCKETS = 64
 
@@ -61,7 +62,7 @@ def load_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def load_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Task files of a folder, numbered in the order of their names."""
     tasks = spark.read.schema(TASK).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
-    return tasks.withColumn("at", F.row_number().over(Window.orderBy("file", "id")) - 1)
+    return numbered(tasks, ["file", "id"], name="at")
 
 
 SUPPORTED = ("txt", "md", "html", "htm", "csv", "tsv")
