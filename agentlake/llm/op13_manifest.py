@@ -187,7 +187,7 @@ def manifest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     own = staged(with_totals(numbered(leaves(docs), ["doc_id", "hash"], ("tree",), "pos").drop("doc_id")))
     steps = climb(own, width)
     subroots = steps[-1].select(F.col("tree").alias("source"), F.col("hash"))
-    sources = staged(with_totals(numbered(subroots, ["source"], name="pos").withColumn("tree", F.lit(""))))
+    sources = staged(numbered(subroots, ["source"], name="pos").withColumns({"tree": F.lit(""), "total": F.lit(subroots.count()).cast("long")}))
     top = climb(sources, width)
     root = top[-1].select(F.lit("").alias("tree"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("hash").alias("root"))
     above = descend(top, root, width)
