@@ -5,15 +5,16 @@ r"""Substring dedup by repeated-phrase automata: every word that lies in a windo
    anchor.  Of equal blocks (64-bit anchor and 64-bit digest) each but the first is linked to an earlier one; blocks that share an
    anchor and differ are rims.  Hashes only propose; what they pass over is a repeat that collides in 128 bits.
 2. *Automata.*  Documents give up, once, the words of their linked stretches, of the blocks that links lead to, and of rims.
-   They travel to the shard of the document linked to, or of the rim's anchor.  A shard compiles its passages (linked blocks; each
-   window of a rim) into Aho-Corasick automata over words, and streams its texts through them: each match of a passage that starts
-   earlier than the match is a window that goes.  Words decide, so nothing goes that does not repeat.
+   They travel to the shard of the document linked to, or of the rim's anchor.  A shard compiles its passages (the stretches linked
+   to, or their blocks; of rims the windows that recur) into Aho-Corasick automata over words, and streams its texts through them: each
+   match of a passage that starts earlier than the match is a window that goes.  Words decide, so nothing goes that does not repeat.
 3. The documents meet their matches and lose the words covered.
 
 Hot passages: a task links the copies it holds itself, per ``CHUNK`` words, and hands on the first; of those, the first is linked
 to by ``FAN`` others and each later one by one, so what a shard gathers is bounded by a document and a chunk, however
-many copies there are.  Rims of an anchor with over ``GROUP`` blocks go by window instead, again first per batch.  A shard works
-on about ``BATCH`` words at a time; larger ones compile their passages in slices and stream their texts past each.
+many copies there are.  Rims of an anchor with over ``GROUP`` blocks go by window instead: the first of a batch travels, the others
+are linked to it.  A task works on whole shards of about ``BATCH`` words; larger ones compile their passages in slices, long passages
+in pieces, and stream their texts past each.
 
 Defined results: a null text has no words; texts of fewer than 20 words lose nothing; matches never cross documents; a null doc_id
 counts as the smallest and comes back null; rows that share a doc_id are documents of their own, in the order of a hash of their
@@ -36,8 +37,8 @@ from .op02_substrings import _leads, _merged, _mixed, _ranks, _sliding_min, keye
 
 WINDOW, GRAM = 20, 8
 #: Words hashed at once; blocks that link to the first of their kind; blocks of an anchor above which rims go by window.
-CHUNK, FAN, GROUP = 1 << 20, 64, 20_000
-#: Words that a shard compiles or streams at once.
+CHUNK, FAN, GROUP = 1 << 20, 64, 256
+#: Words of the shards that are worked on at once.
 BATCH = 400_000
 BLOCK, LED, LINK = range(3)
 
@@ -79,10 +80,14 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _runs(*same: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by ``same`` and start: the rows that begin a run of adjoining spans, and the lengths of these runs."""
-    apart = np.any([x[1:] != x[:-1] for x in same], axis=0) | (start[1:] > start[:-1] + n[:-1])
-    at = np.flatnonzero(np.concatenate(([True], apart))) if len(start) else np.empty(0, np.int64)
-    return at, (np.maximum.reduceat(start + n, at) - start[at] if len(at) else at)
+    """Rows sorted by ``same`` and start: the rows that begin a run of overlapping or adjoining spans, and the lengths of these runs."""
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    change = np.any([x[1:] != x[:-1] for x in same], axis=0)
+    base = np.concatenate(([0], np.cumsum(change))) << 40  # texts are shorter
+    reach = np.maximum.accumulate(start + n + base)
+    at = np.flatnonzero(np.concatenate(([True], change | ((start + base)[1:] > reach[:-1]))))
+    return at, np.maximum.reduceat(start + n, at) - start[at]
 
 
 _FOUND = "p long, digest long, key long, sub long, start long, n int, kind int, to_key long, to_sub long, to_start long"
@@ -150,120 +155,169 @@ def linked(found: DataFrame) -> DataFrame:
     return out.where(F.col("to").isNotNull() | F.col("lead") | F.col("rim").isNotNull())
 
 
-_TRAVEL = "shard long, key long, sub long, start long, words binary, blocks array<int>, streams boolean"
+PASSAGE, TEXT, RIM = range(3)
+_TRAVEL = "shard long, kind int, key long, sub long, start long, words binary, blocks array<int>, to_start long"
 
 
-def _shard(*place: int) -> int:
+def _shard(value: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(repr(place)) - 2**63
+    return xxhash.xxh3_64_intdigest(value) - 2**63
+
+
+def _of_document(key: int, sub: int) -> int:
+    return _shard(b"%d,%d" % (key, sub))
+
+
+def _hot_windows(spans: list[tuple[int, int, int]], raw: list[str], ranks: np.ndarray) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """Each window of ``spans`` (row, start, n) with its places (row, start), earliest first."""
+    places: dict[bytes, list[tuple[int, int, int]]] = {}
+    last, words = -1, []
+    for row, start, n in sorted(spans):
+        if row != last:
+            last, words = row, words_of(raw[row])
+        for s in range(start, start + n):
+            places.setdefault(b" ".join(words[s : s + WINDOW]), []).append((int(ranks[row]), row, s))
+    for window, at in places.items():
+        yield window, [p[1:] for p in sorted(at)]
 
 
 def _travelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of shards: passages (``blocks``: start and windows of each in turn), texts that are streamed (``streams``), or both."""
-    names, kinds = [c.split()[0] for c in _TRAVEL.split(", ")], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.bool_())
+    """Rows of shards: PASSAGE (``blocks``: start and windows of each in turn), TEXT (``to_start``: where the document it is linked to has it) and RIM."""
+    names, kinds = [c.split()[0] for c in _TRAVEL.split(", ")], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int64())
     for batch in batches:
+        keys, subs, raw, lists = batch.column("key").to_pylist(), batch.column("sub").to_pylist(), texts(batch), batch.column("spans")
+        flat, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        whole = lambda x: x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start, n, lead, rim, hot = (whole(flat.field(c).cast(pa.int64())) for c in ("start", "n", "lead", "rim", "hot"))
+        linked, rimmed = (flat.field(c).is_valid().to_numpy(zero_copy_only=False) for c in ("to", "rim"))
+        links = np.stack([row, *map(whole, flat.field("to").flatten()), start, n])[:, linked]
+        leads = np.stack([row, start, n])[:, lead > 0]
+        todo: defaultdict[int, list[tuple]] = defaultdict(list)
+        for k in np.flatnonzero(rimmed & (hot == 0)).tolist():
+            todo[int(row[k])].append((int(rim[k]), RIM, int(start[k]), int(n[k]), None, None))
+        more_links, more_leads = [], []
+        for window, ((r, s), *others) in _hot_windows(list(zip(*(x[rimmed & (hot > 0)].tolist() for x in (row, start, n)))), raw, _ranks(keys, subs)):
+            todo[r].append((_shard(window), RIM, s, 1, None, None))
+            if others:
+                more_leads.append((r, s, 1))
+                more_links += [(q, keys[r], subs[r], s, t, 1) for q, t in others]
+        links = np.concatenate([links, np.array(more_links, np.int64).reshape(-1, 6).T], 1)
+        leads = np.concatenate([leads, np.array(more_leads, np.int64).reshape(-1, 3).T], 1)
+        r, key, sub, to, s, m = links = links[:, np.lexsort((links[4], links[4] - links[3], links[2], links[1], links[0]))]
+        at, size = _runs(r, key, sub, s - to, start=s, n=m)
+        for q, k, b, t, a, w in zip(*links[:5, at].tolist(), size.tolist()):
+            todo[q].append((_of_document(k, b), TEXT, a, w, None, t))
+        r, s, m = leads = np.unique(leads, axis=1)
+        at, size = _runs(r, start=s, n=m)
+        blocks_ = np.stack([s - np.repeat(s[at], np.diff(np.append(at, len(s)))), m], 1).astype(np.int32)
+        for q, a, w, low, high in zip(r[at].tolist(), s[at].tolist(), size.tolist(), at.tolist(), [*at[1:].tolist(), len(s)]):
+            todo[q].append((_of_document(keys[q], subs[q]), PASSAGE, a, w, blocks_[low:high].ravel(), None))
         out: list[tuple] = []
-        single: dict[bytes, tuple[int, int, int]] = {}
-        for key, sub, text, spans in zip(batch.column("key").to_pylist(), batch.column("sub").to_pylist(), texts(batch), batch.column("spans").to_pylist()):
-            words = words_of(text)
-            cut = lambda start, n: b" ".join(words[start : start + n + WINDOW - 1])  # noqa: B023, E731
-            links = sorted((s["to"]["key"], s["to"]["sub"], s["start"] - s["to"]["start"], s["start"], s["n"]) for s in spans if s["to"] is not None)
-            if links:
-                columns = [np.array(c, np.int64) for c in zip(*links)]
-                at, size = _runs(*columns[:3], start=columns[3], n=columns[4])
-                out += [(_shard(links[k][0], links[k][1]), key, sub, links[k][3], cut(links[k][3], n), None, True) for k, n in zip(at.tolist(), size.tolist())]
-            leads = sorted((s["start"], s["n"]) for s in spans if s["lead"])
-            if leads:
-                start, n = (np.array(c, np.int64) for c in zip(*leads))
-                at, size = _runs(np.zeros(len(start)), start=start, n=n)
-                for low, high, whole in zip(at.tolist(), [*at[1:].tolist(), len(leads)], size.tolist()):
-                    first = leads[low][0]
-                    out.append((_shard(key, sub), key, sub, first, cut(first, whole), [x for s, m in leads[low:high] for x in (s - first, m)], False))
-            for s in spans:
-                if s["rim"] is None:
-                    continue
-                if not s["hot"]:
-                    out.append((s["rim"], key, sub, s["start"], cut(s["start"], s["n"]), [x for k in range(s["n"]) for x in (k, 1)], True))
-                    continue
-                for start in range(s["start"], s["start"] + s["n"]):
-                    window, own = cut(start, 1), (key, sub, start)
-                    known = single.setdefault(window, own)
-                    if known != own:
-                        single[window] = early = min(known, own)
-                        out += [(_shard(*early), *early, window, [0, 1], False), (_shard(*early), *max(known, own), window, None, True)]
-        out += [(_shard(window), *own, window, [0, 1], True) for window, own in single.items()]
-        for k in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[k : k + 20_000]), kinds)], names)
-
-
-def located(passages: list[tuple], streams: list[tuple], batch: int = BATCH) -> Iterator[tuple[int, int, int, int]]:
-    """(key, sub, start, windows) of every match of a passage that starts earlier.
-
-    ``passages``: (place, words, blocks), ``streams``: (place, words), places as (key, sub, start).  About ``batch`` words are compiled at once.
-    """
-    import ahocorasick
-
-    letters: defaultdict[bytes, int] = defaultdict(count(1).__next__)
-    sequences = [(place, tuple(map(letters.__getitem__, words))) for place, words in streams]
-    at = 0
-    while at < len(passages):
-        automaton, size = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
-        while at < len(passages) and size < batch:
-            (key, sub, start), words, spans = passages[at]
-            ids = tuple(map(letters.__getitem__, words))
-            for a, n in zip(spans[::2], spans[1::2]):
-                passage, place = ids[a : a + n + WINDOW - 1], (key, sub, start + a)
-                known = automaton.get(passage, None)
+        for q, rows in todo.items():
+            words = words_of(raw[q])
+            out += [(shard, kind, keys[q], subs[q], a, b" ".join(words[a : a + w + WINDOW - 1]), own, to_) for shard, kind, a, w, own, to_ in rows]
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
+
+
+class Shards:
+    """Rows of some whole shards: their words as letters, the passages to look for, the texts to stream."""
+
+    def __init__(self, batch: int = BATCH):
+        self.batch, self.size = batch, 0
+        self._letters: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+        self._held: defaultdict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        self._rims: list[tuple] = []
+
+    def add(self, shard: int, kind: int, place: tuple[int, int, int], raw: bytes, spans: list[int] | None, to_start: int | None) -> None:
+        ids = tuple(map(self._letters.__getitem__, raw.split(b" ")))
+        self.size += len(ids)
+        if kind == RIM:
+            self._rims.append((place, ids))
+        else:
+            self._held[shard][kind].append((place, ids, spans if kind == PASSAGE else to_start))
+
+    def _cut(self, place: tuple[int, int, int], ids: tuple, a: int, n: int) -> Iterator[tuple]:
+        """(letters, windows, place) of ``n`` windows from ``a``, long ones in pieces."""
+        most = max(1, self.batch // 4)
+        for k in range(a, a + n, most):
+            m = min(most, a + n - k)
+            yield ids[k : k + m + WINDOW - 1], m, (*place[:2], place[2] + k)
+
+    def passages(self) -> Iterator[tuple]:
+        """Per shard the linked stretches, or the blocks that these are made of, whichever are fewer letters; of rims, the windows that recur."""
+        for own, linked in self._held.values():
+            wanted = {(to, len(ids) - WINDOW + 1) for _, ids, to in linked}
+            if sum(n + WINDOW for _, n in wanted) <= sum(n + WINDOW for *_, spans in own for n in spans[1::2]):
+                for place, ids, _ in own:
+                    for to, n in wanted:
+                        if place[2] <= to and to + n + WINDOW - 1 <= place[2] + len(ids):
+                            yield from self._cut(place, ids, to - place[2], n)
+            else:
+                for place, ids, spans in own:
+                    for a, n in zip(spans[::2], spans[1::2]):
+                        yield from self._cut(place, ids, a, n)
+        first: dict[tuple, tuple] = {}
+        recurring = set()
+        for (key, sub, start), ids in self._rims:
+            for k in range(len(ids) - WINDOW + 1):
+                window, place = ids[k : k + WINDOW], (key, sub, start + k)
+                known = first.setdefault(window, place)
+                if known is not place:
+                    recurring.add(window)
+                    first[window] = min(known, place)
+        for window in recurring:
+            yield window, 1, first[window]
+
+    def located(self) -> Iterator[tuple[int, int, int, int]]:
+        """(key, sub, start, windows) of every match of a passage that starts earlier; at most about 4 * ``batch`` letters are compiled at once."""
+        import ahocorasick
+
+        streams = [(place, ids) for _, linked in self._held.values() for place, ids, _ in linked] + self._rims
+        passages, more = self.passages(), True
+        while more:
+            automaton, size, more = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0, False
+            for letters, n, place in passages:
+                known = automaton.get(letters, None)
                 if known is None or place < known[1]:
-                    automaton.add_word(passage, (n, place))
-                size += len(passage)
-            at += 1
-        automaton.make_automaton()
-        for (key, sub, start), sequence in sequences:
-            for end, (n, place) in automaton.iter(sequence):
-                found = (key, sub, start + end - n - WINDOW + 2)
-                if place < found:
-                    yield (*found, n)
-
-
-def _slices(place: tuple[int, int, int], words: list[bytes], spans: list[int], batch: int) -> Iterator[tuple]:
-    """A passage row of a very long document, in rows of about ``batch`` words."""
-    most = 2 * max(1, batch // (2 * WINDOW))
-    for k in range(0, len(spans), most):
-        part = spans[k : k + most]
-        yield (*place[:2], place[2] + part[0]), words[part[0] : part[-2] + part[-1] + WINDOW - 1], [x - part[0] * (j % 2 == 0) for j, x in enumerate(part)]
+                    automaton.add_word(letters, (n, place))
+                size += len(letters)
+                if size >= 4 * self.batch:
+                    more = True
+                    break
+            if not size:
+                return
+            automaton.make_automaton()
+            for (key, sub, start), ids in streams:
+                for end, (n, place) in automaton.iter(ids):
+                    found = (key, sub, start + end - n - WINDOW + 2)
+                    if place < found:
+                        yield (*found, n)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], batch: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; out: key, sub, start, n of what goes, as spans of words."""
-    passages: list[tuple] = []
-    streams: list[tuple] = []
-    size, last = 0, None
-
-    def work() -> pa.RecordBatch:
-        gone = list(located(passages, streams, batch))
-        passages.clear()
-        streams.clear()
-        if not gone:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["key", "sub", "start", "end"])
+    """Rows come sorted by shard; out: key, sub, start, end of what goes, as spans of words."""
+    held, last = Shards(batch), None
+
+    def work(held: Shards) -> pa.RecordBatch:
+        gone = list(held.located())
         of = sorted({g[:2] for g in gone})
         at = {k: i for i, k in enumerate(of)}
         owner, a, b = _merged(np.array([at[g[:2]] for g in gone], np.int64), np.array([g[2] for g in gone], np.int64), np.array([g[2] + g[3] + WINDOW - 1 for g in gone], np.int64))
         return pa.RecordBatch.from_arrays([pa.array([of[k][0] for k in owner], pa.int64()), pa.array([of[k][1] for k in owner], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "sub", "start", "end"])
 
     for rows in batches:
-        for shard, key, sub, start, raw, spans, streamed in zip(*(rows.column(c).to_pylist() for c in ("shard", "key", "sub", "start", "words", "blocks", "streams"))):
-            if size >= batch and shard != last:
-                yield work()
-                size = 0
-            last, words = shard, raw.split(b" ")
-            size += len(words)
-            if spans is not None:
-                passages.extend(_slices((key, sub, start), words, spans, batch))
-            if streamed:
-                streams.append(((key, sub, start), words))
-    yield work()
+        for shard, kind, key, sub, start, raw, spans, to in zip(*(rows.column(c).to_pylist() for c in rows.schema.names)):
+            if held.size >= batch and shard != last:
+                yield work(held)
+                held = Shards(batch)
+            last = shard
+            held.add(shard, kind, (key, sub, start), raw, spans, to)
+    yield work(held)
 
 
 def repeated_words(whole: DataFrame, batch: int = BATCH) -> DataFrame:

@@ -87,24 +87,24 @@ def test_long_texts_are_cut_into_chunks_without_loss():
     h = rng.integers(0, 50, 400).astype(np.uint64)
     first, n, p, digest = op11.blocks(op11._mixed(h), np.ones(400 - 19, bool))
     assert n.sum() == 381 and first[0] == 0 and (first[1:] == np.cumsum(n)[:-1]).all() and n.max() <= 13
-    words = [f"a{x}".encode() for x in range(600)]
-    spans = [x for s in range(0, 580, 7) for x in (s, min(7, 581 - s))]
-    rows = list(op11._slices((1, 2, 10), words, spans, 100))
-    assert sum(len(s) // 2 for _, _, s in rows) == len(spans) // 2
-    for (key, sub, start), part, own in rows:
-        for a, m in zip(own[::2], own[1::2]):
-            assert part[a : a + m + 19] == words[start - 10 + a : start - 10 + a + m + 19]
 
 
-def test_matches_in_slices_equal_one_automaton():
+def shards_of(words, streams, batch):
+    held = op11.Shards(batch)
+    held.add(1, op11.PASSAGE, (1, 0, 10), b" ".join(words), [x for s in range(0, 381, 7) for x in (s, min(7, 381 - s))], None)
+    for place, a, n in streams:
+        held.add(1, op11.TEXT, place, b" ".join(words[a : a + n + 19]), None, a + 10)
+    return held
+
+
+@pytest.mark.parametrize("streams", [[((2, 0, 5), 0, 381), ((1, 0, 300), 98, 49), ((0, 0, 0), 98, 49)], [((k, 0, k), 7 * (k % 20), 140 + 7 * (k % 9)) for k in range(2, 60)]])
+def test_slices_and_pieces_equal_one_automaton(streams):
+    """Linked stretches, which are unions of blocks, or the blocks where these are fewer, whole and in small slices."""
     rng = random.Random(2)
-    words = [w.encode() for w in sentence(rng, 400, 12).split()]
-    passages = [((1, 0, s), words[s : s + 20], [0, 1]) for s in range(0, 380)]
-    streams = [((2, 0, 5), words), ((1, 0, 300), words[100:200]), ((0, 0, 0), words[100:200])]
-    whole = sorted(op11.located(passages, streams))
-    assert len({f[:3] for f in whole}) == 381 - 1 + 81
-    # A window that two slices hold is found in both.
-    assert set(whole) == set(op11.located(passages, streams, batch=50))
+    words = [w.encode() for w in sentence(rng, 400, 5000).split()]
+    cover = lambda batch: {(k, b, s + j) for k, b, s, n in shards_of(words, streams, batch).located() for j in range(n)}
+    want = {(*place[:2], place[2] + j) for place, a, n in streams for j in range(n) if (1, 0, a + 10) < place}
+    assert cover(op11.BATCH) == cover(60) == want
 
 
 def test_whole_table(spark, sf):
