@@ -10,7 +10,7 @@ r"""Substring dedup by repeated-phrase automata: every word that lies in a windo
    match of a passage that starts earlier than the match is a window that goes.  Words decide, so nothing goes that does not repeat.
 3. The documents meet their matches and lose the words covered.
 
-Hot passages: a task links the copies it holds itself, per ``CHUNK`` words, and hands on the first; of those, the first is linked
+Hot passages: a task links the copies it holds itself, per ``CHUNK`` words (to the one before in the same text, or to the first), and hands on the first; of those, the first is linked
 to by ``FAN`` others and each later one by one, so what a shard gathers is bounded by a document and a chunk, however
 many copies there are.  Rims of an anchor with over ``GROUP`` blocks go by window instead: the first of a batch travels, the others
 are linked to it.  A task works on whole shards of about ``BATCH`` words; larger ones compile their passages in slices, long passages
@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import id_back, staged, table, texts
-from .op02_substrings import _leads, _merged, _mixed, _ranks, _sliding_min, keyed
+from .op02_substrings import _merged, _mixed, _ranks, _sliding_min, keyed
 
 WINDOW, GRAM = 20, 8
 #: Words hashed at once; blocks that link to the first of their kind; blocks of an anchor above which rims go by window.
 CHUNK, FAN, GROUP = 1 << 20, 64, 256
 #: Words of the shards that are worked on at once.
 BATCH = 400_000
-BLOCK, LED, LINK = range(3)
+BLOCK, LED, LINK, PART = range(4)
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -75,6 +75,20 @@ def blocks(h: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, n, h[anchor[first]], _mixed(_mixed(wide[first] * _FACTOR + wide[first + n + WINDOW - 1 - 2 * GRAM]) + n.astype(np.uint64))
 
 
+def _earlier(groups: tuple[np.ndarray, ...], rank: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each row an earlier one with equal values in all of ``groups``: the one before it in its own text, or else the first of all (itself, if it is that).
+
+    So the repeats of a text that goes round in circles stand at one distance from what they are linked to, and make one stretch.
+    """
+    order = np.lexsort((start, rank, *groups))
+    new = np.concatenate(([True], np.any([g[order][1:] != g[order][:-1] for g in groups], axis=0)))
+    own = np.concatenate(([False], rank[order][1:] == rank[order][:-1])) & ~new
+    place = np.arange(len(order))
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.where(own, place - 1, np.flatnonzero(new)[np.cumsum(new) - 1])]
+    return out
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
@@ -94,7 +108,7 @@ _FOUND = "p long, digest long, key long, sub long, start long, n int, kind int,
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """BLOCK and LED (a local copy is linked to it) rows, and LINK rows of copies to the first in the same chunk."""
+    """BLOCK and LED (a local copy is linked to it) rows of what is first in its chunk, LINK rows of copies, and PART rows of copies that others are linked to."""
 
     def found(pieces: list[tuple[int, np.ndarray, int]], key_of: np.ndarray, sub_of: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
         ends = np.cumsum([len(h) for _, h, _ in pieces])
@@ -105,7 +119,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n, p, digest = blocks(np.concatenate([h for _, h, _ in pieces]), valid)
         piece = np.searchsorted(ends, first, "right")
         row, start = np.array([k for k, _, _ in pieces])[piece], first - begins[piece] + np.array([a for _, _, a in pieces])[piece]
-        lead = _leads((digest, p), ranks[row], start)
+        lead = _earlier((digest, p), ranks[row], start)
         copy = (ranks[row] != ranks[row[lead]]) | (start != start[lead])
         led = np.zeros(len(row), bool)
         led[lead[copy]] = True
@@ -114,14 +128,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, to = np.flatnonzero(copy)[order], to[order]
         at, size = _runs(row[mine], row[to], start[mine] - start[to], start=start[mine], n=n[mine])
         mine, to = mine[at], to[at]
-        own = np.flatnonzero(~copy)
-        both = np.concatenate((own, mine))
-        spread = _mixed(digest[mine] + _mixed(key_of[row[mine]].view(np.uint64)))
-        none = pa.nulls(len(own), pa.int64())
+        own, part = np.flatnonzero(~copy), np.flatnonzero(copy & led)
+        both = np.concatenate((own, part, mine))
+        alone = both[len(own) :]  # these meet nothing by their anchor
+        spread = _mixed(digest[alone] + _mixed(key_of[row[alone]].view(np.uint64) + start[alone].astype(np.uint64)))
+        none = pa.nulls(len(own) + len(part), pa.int64())
         ahead = [pa.concat_arrays([none, _long(x)]) for x in (key_of[row[to]], sub_of[row[to]], start[to])]
         return pa.RecordBatch.from_arrays(
-            [_long(np.concatenate((p[own], spread))), _long(digest[both]), _long(key_of[row[both]]), _long(sub_of[row[both]]), _long(start[both]), pa.array(np.concatenate((n[own], size)).astype(np.int32)),
-             pa.array(np.concatenate((np.where(led[own], LED, BLOCK), np.full(len(mine), LINK))).astype(np.int32)), *ahead], [c.split()[0] for c in _FOUND.split(", ")])
+            [_long(np.concatenate((p[own], spread))), _long(digest[both]), _long(key_of[row[both]]), _long(sub_of[row[both]]), _long(start[both]), pa.array(np.concatenate((n[own], n[part], size)).astype(np.int32)),
+             pa.array(np.concatenate((np.where(led[own], LED, BLOCK), np.full(len(part), PART), np.full(len(mine), LINK))).astype(np.int32)), *ahead], [c.split()[0] for c in _FOUND.split(", ")])
 
     for batch in batches:
         keys, subs, rows = batch.column("key").to_pylist(), batch.column("sub").to_pylist(), texts(batch)
@@ -147,10 +162,10 @@ def linked(found: DataFrame) -> DataFrame:
     place = F.struct("key", "sub", "start")
     ranked = found.repartition("p").withColumns({"nth": F.row_number().over(same), "first": F.first(place).over(same), "back": F.lag(place, FAN).over(same), "next": F.lead("key").over(same), "far": F.lead("key", FAN).over(same)})
     ranked = ranked.withColumns({"low": F.min("digest").over(anchor), "high": F.max("digest").over(anchor), "size": F.count(F.lit(1)).over(anchor)})
-    link = F.col("kind") == LINK
+    link, alone = F.col("kind") == LINK, F.col("kind") >= LINK
     to = F.when(link, F.struct(F.col("to_key").alias("key"), F.col("to_sub").alias("sub"), F.col("to_start").alias("start"))).when(F.col("nth") > FAN, F.col("back")).when(F.col("nth") > 1, F.col("first"))
-    lead = ~link & ((F.col("kind") == LED) | ((F.col("nth") == 1) & F.col("next").isNotNull()) | F.col("far").isNotNull())
-    rim = F.when(~link & (F.col("nth") == 1) & (F.col("low") < F.col("high")), F.col("p"))
+    lead = (F.col("kind") == PART) | ~alone & ((F.col("kind") == LED) | ((F.col("nth") == 1) & F.col("next").isNotNull()) | F.col("far").isNotNull())
+    rim = F.when(~alone & (F.col("nth") == 1) & (F.col("low") < F.col("high")), F.col("p"))
     out = ranked.select("key", "sub", "start", "n", to.alias("to"), lead.alias("lead"), rim.alias("rim"), (F.col("size") > GROUP).alias("hot"))
     return out.where(F.col("to").isNotNull() | F.col("lead") | F.col("rim").isNotNull())
 
