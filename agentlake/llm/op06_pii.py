@@ -9,7 +9,7 @@ from its format (check digits, groups, mix of signs) and the words around it, an
 threshold of its kind is added.
 
 The trees are trained here, per corpus, on spans planted into its own texts: of at most ``SAMPLE``
-documents (those of the lowest hash of doc_id) up to ``PLACES`` places each give the surroundings, and a
+documents (those whose hash of doc_id is below a bound) up to ``PLACES`` places each give the surroundings, and a
 seeded rule writes a true form or a look-alike (dates, versions, sums, order numbers, digits that fail
 their check) there.  Documents are dealt into three parts by the hash of their id: trees are fitted on
 the first, the second calibrates the scores and sets, per kind, the least threshold of 0.5 or more at
@@ -62,9 +62,9 @@ AT = re.compile(r"@|[\[({<]at[\])}>]|\x20at\x20")
 DIGIT = re.compile("[0-9]")
 COLONS = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")
 MASKED = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![\w.])")
-#: Strings long enough for a key, and what is assigned to a name that speaks of one.
-OPAQUE = re.compile(r"(?<![\w/+.-])[A-Za-z0-9_+/.-]{16,256}(?![\w/+-])")
-NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credential|api[_-]?key|access[_-]?key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?([^\s\"',;<>]{6,256})", re.I)
+#: Strings long enough for a key, and what is assigned to a name that speaks of one; neither has an upper length.
+OPAQUE = re.compile(r"(?<![\w/+.-])[A-Za-z0-9_+/.-]{16,}(?![\w/+-])")
+NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credential|api[_-]?key|access[_-]?key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?([^\s\"',;<>]{6,})", re.I)
 NAMES = ("token", "secret", "passw", "pwd", "credential", "key")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![\w-])")
@@ -182,12 +182,16 @@ def _forms(rng: np.random.Generator) -> tuple[dict[str, Callable[[], str]], list
         parts = [str(pick(number(0, 256), number(0, 256), number(0, 20))) for _ in range(4)]
         return pick(":".join(draw(hexa, number(2, 5)) for _ in range(8)), f"fe80::{draw(hexa, 4)}:{draw(hexa, 4)}", f"2001:db8:{draw(hexa, 4)}::{draw(hexa, 3)}", pick("[.]", "(.)", "[dot]", "(dot)").join(parts))
 
+    def long_or_short(least: int) -> int:
+        """Mostly short, up to about 5,000."""
+        return pick(number(least, 48), number(least, 48), int(least * 2 ** (8 * rng.random())))
+
     def secret() -> str:
-        long = pick(draw(hexa, pick(32, 40, 64)), draw(alnum, number(20, 48)))
+        long = pick(draw(hexa, pick(32, 40, 64, 128, 512)), draw(alnum, long_or_short(20)), draw(alnum + "+/", long_or_short(20)))
         name = pick("token", "secret", "api_key", "password", "access_key", "credential")
         quote = pick("", '"', "'")
         named = f"{name}{pick(' = ', '=', ': ')}{quote}{pick(long, long, draw(alnum, number(8, 16)) + pick('!', '#', '9'))}{quote}"
-        return pick(named, named, f"sk-{draw(alnum, number(20, 48))}", f"AKIA{draw(alnum[:26] + '0123456789', 16)}", f"ghp_{draw(alnum, 36)}", f"xoxb-{digit(12)}-{draw(alnum, 24)}", f"eyJ{draw(alnum, 20)}.{draw(alnum, 40)}.{draw(alnum, 30)}")
+        return pick(named, named, f"sk-{draw(alnum, long_or_short(20))}", f"AKIA{draw(alnum[:26] + '0123456789', 16)}", f"ghp_{draw(alnum, 36)}", f"xoxb-{digit(12)}-{draw(alnum, 24)}", f"eyJ{draw(alnum, 20)}.eyJ{draw(alnum, long_or_short(20))}.{draw(alnum + '-_', pick(43, 86, 342))}")
 
     def iban(valid: bool = True) -> str:
         land, own = pick("DE", "FR", "ES", "GB", "NL"), pick(digit(18), draw(alnum[:26], 4) + digit(14))
@@ -203,7 +207,7 @@ def _forms(rng: np.random.Generator) -> tuple[dict[str, Callable[[], str]], list
         lambda: f"97{pick('8', '9')}-{digit(1)}-{digit(4)}-{digit(4)}-{digit(1)}", lambda: f"{digit(3)} {digit(3)} {digit(3)}", lambda: f"{digit(2)}:{digit(2)}:{digit(2)}", lambda: f"{word()} at {word()}.{word()}",
         lambda: " ".join(digit(1) for _ in range(number(7, 12))), lambda: card(False), lambda: card(False), lambda: f"{word()} @ {word()}. {word()}", lambda: " ".join(str(number(10, 99)) for _ in range(number(4, 8))),
         lambda: iban(False), lambda: f"{pick('commit', 'sha', 'build')} {draw(hexa, 40)}", lambda: f"{draw(hexa, 8)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 4)}-{draw(hexa, 12)}", lambda: f"{word()}-{word()}-{word()}-{number(1, 99)}.{word()}",
-        lambda: f"{word()}/{word()}/{word()}_{number(1, 99)}.txt", lambda: f"{pick('token', 'password', 'secret', 'key')}{pick(': ', ' = ')}{pick(word() + word() + low[number(0, 26)], 'required', 'forgotten', 'optional')}", lambda: f"{pick('order', 'invoice')} {digit(3)}-{digit(2)}-{digit(4)}",
+        lambda: f"{word()}/{word()}/{word()}_{number(1, 99)}.txt", lambda: "/".join(word() for _ in range(long_or_short(4))), lambda: "-".join(word() for _ in range(long_or_short(4))) + digit(2), lambda: f"{pick('token', 'password', 'secret', 'key')}{pick(': ', ' = ')}{pick(word() + word() + low[number(0, 26)], 'required', 'forgotten', 'optional')}", lambda: f"{pick('order', 'invoice')} {digit(3)}-{digit(2)}-{digit(4)}",
         lambda: f"{pick('token', 'password', 'secret')}{pick(': ', ' = ', '=')}{draw(low, number(6, 12))}", lambda: f"{number(1, 99)},{digit(3)},{digit(3)}.{digit(2)}", lambda: f"{word()}_{word()}_{word()}_{digit(4)}",
     ]
     return {"email": email, "ip": ip, "card": card, "phone": phone, "secret": secret, "iban": iban, "ssn": ssn}, other
@@ -281,9 +285,13 @@ def fit(places: list[tuple[int, str, str]], n: int = PLANTED, seed: int = SEED)
 
 
 def places_of(docs: DataFrame, sample: int = SAMPLE, places: int = PLACES) -> list[tuple[int, str, str]]:
-    """(part, text before, text behind) of up to ``places`` places in each of at most ``sample`` documents."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "own")), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    """(part, text before, text behind) of up to ``places`` places in each of about ``sample`` documents, ``sample * places`` at most.
+
+    A document is in if the hash of its id is below a bound that follows the number of rows, so one scan finds and cuts them.
+    """
+    share = min(1.0, sample / max(1, docs.count()))
+    chosen = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") < int(share * 2**32)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(chosen)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +311,7 @@ def places_of(docs: DataFrame, sample: int = SAMPLE, places: int = PLACES) -> li
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Detector:
-    """Fitted on spans planted into ``docs``; each of the five parts needs some place, or made ones are taken."""
+    """Fitted on spans planted into ``docs``; a part of the five that has no place gets made ones."""
     places = places_of(docs, sample)
     short = {*range(5)} - {part for part, _, _ in places}
     return fit(places + [(part, f"lorem ipsum {k}", "dolor sit amet") for part in sorted(short) for k in range(max(1, len(places) // 5))])
