@@ -4,11 +4,11 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it.  Byte
 filters slide over each chunk, and each filter keeps its strongest response in the chunk.  Mean, highest
 and lowest of these over the document's chunks go through one hidden layer to one probability.
 
-The network is fitted on the driver, on at most ``SAMPLE`` labelled rows (those of the lowest hash of
-doc_id; ``sample`` is the parameter) whose crc32(doc_id) mod 3 is not 1.  Tasks cut their texts into
-chunks, and at most ``KEPT_CHUNKS`` of a row, evenly spread, go to the driver, so what comes there is
-bounded however long or often repeated a labelled row is; a step takes ``TRAIN_CHUNKS`` of these.  Scoring reads whole texts, row by row and in blocks of chunks, and
-shuffles nothing; the weights that go with the tasks have a fixed size.
+The network is fitted on the driver, on labelled rows whose crc32(doc_id) mod 3 is not 1: those of the lowest hash of doc_id,
+at most ``SAMPLE`` rows (parameter ``sample``), of at most ``TEXT_BYTES`` each and ``TRAIN_BYTES`` together.  Rows beyond these bounds
+are not learned from; of those within, every step takes whole texts, in blocks of chunks, so training pools what scoring
+pools.  Scoring reads whole texts of any length, row by row and in blocks of chunks, and shuffles nothing; the weights that go
+with the tasks have a fixed size.
 
 Defined results: a null text is empty, and an empty one is scored as one chunk of zeros; labels that are
 null are not learned from; without any labelled row of both kinds, every score is 0.5; rows whose doc_id
@@ -28,11 +28,11 @@ from .common import map_batches, table, texts
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, CODE, FILTERS, HIDDEN = 8, 4, 8, 24, 16
-#: Labelled rows and training steps at most; documents in a step; chunks of a document in a step.
-SAMPLE, STEPS, BATCH, TRAIN_CHUNKS = 4_000, 500, 32, 12
-#: Chunks of a labelled row that go to the driver at most, evenly spread over its text.
-KEPT_CHUNKS = 48
-#: Chunks scored at once.
+#: Labelled rows and training steps at most; documents in a step.
+SAMPLE, STEPS, BATCH = 4_000, 500, 32
+#: UTF-8 bytes of one labelled text, and of all that are learned from, at most.
+TEXT_BYTES, TRAIN_BYTES = 1 << 20, 32 << 20
+#: Chunks worked on at once.
 BLOCK = 512
 FOLDS, HELD_OUT = 3, 1
 
@@ -63,15 +63,15 @@ class ByteNet:
         self._moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         self._step = 0
 
-    def responses(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The strongest response of each filter in each chunk, where it is, and the coded windows."""
+    def responses(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strongest response of each filter in each chunk, and where it is."""
         coded = self.p["codes"][found]
         windows = np.lib.stride_tricks.sliding_window_view(coded.reshape(len(found), -1), WIDTH * CODE, axis=1)[:, :: STRIDE * CODE]
         windows = np.ascontiguousarray(windows)
         r = windows.reshape(-1, WIDTH * CODE) @ self.p["filters"]
         r = r.reshape(len(found), -1, FILTERS)
         at = r.argmax(1)
-        return np.take_along_axis(r, at[:, None], 1)[:, 0] + self.p["bias"], at, windows
+        return np.take_along_axis(r, at[:, None], 1)[:, 0] + self.p["bias"], at
 
     def pooled(self, strongest: np.ndarray, starts: np.ndarray) -> np.ndarray:
         active = np.tanh(strongest)
@@ -111,7 +111,8 @@ class ByteNet:
     def step(self, batch: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rate: float, decay: float = 1e-4) -> float:
         starts = np.concatenate(([0], np.cumsum([len(c) for c in batch])[:-1]))
         found = np.concatenate(batch)
-        strongest, at, windows = self.responses(found)
+        parts = range(0, len(found), BLOCK)
+        strongest, at = (np.concatenate(x) for x in zip(*(self.responses(found[k : k + BLOCK]) for k in parts)))
         active = np.tanh(strongest)
         pooled = self.pooled(strongest, starts)
         hidden, logit = self.head(pooled)
@@ -129,13 +130,14 @@ class ByteNet:
         d_active = mean[doc] / n[doc, None] + high[doc] * at_top / ties(at_top) + low[doc] * at_bottom / ties(at_bottom)
         d_strong = d_active * (1 - active**2)
         g["bias"] = d_strong.sum(0)
-        rows = np.arange(len(found))[:, None]
-        taken = windows[rows, at]  # [chunks, filters, window]
-        g["filters"] = np.einsum("cfw,cf->wf", taken, d_strong, optimize=True)
-        d_window = d_strong[..., None] * self.p["filters"].T
-        place = at[..., None] * STRIDE + np.arange(WIDTH)
-        cell = found[rows[..., None], place].astype(np.int64)[..., None] * CODE + np.arange(CODE)
-        g["codes"] = np.bincount(cell.ravel(), d_window.ravel(), 256 * CODE).reshape(256, CODE)
+        g["filters"], g["codes"] = np.zeros_like(self.p["filters"]), np.zeros((256, CODE))
+        for k in parts:
+            own, d = found[k : k + BLOCK], d_strong[k : k + BLOCK]
+            place = at[k : k + BLOCK, :, None] * STRIDE + np.arange(WIDTH)
+            taken = own[np.arange(len(own))[:, None, None], place].astype(np.int64)  # the bytes each filter answered to
+            g["filters"] += np.einsum("cfw,cf->wf", self.p["codes"][taken].reshape(len(own), FILTERS, -1), d, optimize=True)
+            cell = taken[..., None] * CODE + np.arange(CODE)
+            g["codes"] += np.bincount(cell.ravel(), (d[..., None] * self.p["filters"].T).ravel(), 256 * CODE).reshape(256, CODE)
         self._step += 1
         for k, v in self.p.items():
             m, s = self._moments[k]
@@ -161,7 +163,7 @@ def fit(cut: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int
     undo = ((len(rare) / len(y)) / share) ** 0.5
     for k in range(steps):
         picked = np.concatenate([rng.choice(rare, n_rare), rng.choice(other, BATCH - n_rare)])
-        batch = [c if len(c) <= TRAIN_CHUNKS else c[np.sort(rng.choice(len(c), TRAIN_CHUNKS, replace=False))] for c in (cut[i] for i in picked)]
+        batch = [cut[i] for i in picked]
         weight = np.where(np.arange(BATCH) < n_rare, undo, 1.0)
         net.step(batch, y[picked], weight, rate=3e-3 * min(1, 2 * (1 - k / steps)))
     return net
@@ -172,21 +174,17 @@ def _fold(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, steps: int = STEPS) -> ByteNet | None:
-    """Fits on at most ``sample`` labelled rows outside the held-out fold."""
+    """Fits on at most ``sample`` labelled rows outside the held-out fold, whole texts of at most ``TRAIN_BYTES`` together."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where((_fold("id") != HELD_OUT) & F.col("y").isNotNull())
     picked = known.orderBy(F.md5(F.col("id").cast("string")), "id", "y").limit(sample)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id").select("id", "y", "text")
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for text in texts(batch):
-            own = chunks(text)
-            found.append(own[np.linspace(0, len(own) - 1, min(len(own), KEPT_CHUNKS)).round().astype(int)].tobytes())
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], ["id", "y", "cut"])
-
-    ready = map_batches(rows.select(F.col("id").cast("long").alias("id"), F.col("y").cast("int").alias("y"), "text"), cut, "id long, y int, cut binary")
-    told = ready.orderBy(F.md5(F.col("id").cast("string")), "id", "y", "cut").limit(sample).collect()
-    return fit([np.frombuffer(r["cut"], np.uint8).reshape(-1, CHUNK) for r in told], np.array([int(r["y"] == 1) for r in told]), steps)
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.select(F.md5(F.col("id").cast("string")).alias("hash"), (F.col("y") == 1).alias("good"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("of"), "text").where(F.col("size") <= TEXT_BYTES)
+    order = ["hash", "good", "size", "of"]
+    # Sizes first, so that only texts within the bound come to the driver.
+    sizes = [r["size"] for r in rows.orderBy(*order).limit(sample).select("size").collect()]
+    n = int(np.searchsorted(np.cumsum(sizes), TRAIN_BYTES, "right")) if sizes else 0
+    told = rows.orderBy(*order).limit(n).collect()
+    return fit([chunks(r["text"]) for r in told], np.array([int(r["good"]) for r in told]), steps)
 
 
 def _scorer(net: ByteNet | None):

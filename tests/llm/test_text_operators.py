@@ -365,7 +365,25 @@ def test_pii(spark, empty, detector):
     assert clean[8].startswith("call [PHONE] or write [EMAIL]") and clean[50] is None and clean[51] == "nothing here at all. The end"
     assert op6.find_pii(empty).count() == 0 and op6.redact(empty).columns == empty.columns
     trained = op6.train(rows)
-    assert trained.thresholds == op6.train(rows.repartition(3)).thresholds and len(op6.places_of(rows, 3)) <= 3 * op6.PLACES
+    assert trained.thresholds == op6.train(rows.repartition(3)).thresholds
+    many = spark.createDataFrame([(k, PII[k % len(PII)] + " and so on") for k in range(2000)], "doc_id long, text string")
+    assert 100 < len(op6.places_of(many, 100)) <= 100 * op6.PLACES
+    assert len(op6.places_of(many.withColumn("doc_id", F.lit(13).cast("long")), 100)) <= 100 * op6.PLACES
+
+
+@pytest.mark.parametrize("length", [200, 255, 256, 257, 300, 700, 5_000])
+def test_long_secrets_go_whole(detector, length):
+    rng = random.Random(length)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n, more="": "".join(rng.choice(signs + more) for _ in range(n))
+    for secret, head in ((f"sk-{draw(length)}", "the key is "), (draw(length), "token = "), (draw(length, "+/"), 'api_key: "'), (f"eyJ{draw(20)}.eyJ{draw(length)}.{draw(43, '-_')}", "login with ")):
+        text = f"{head}{secret} and then more words"
+        start, end = len(head), len(head) + len(secret)
+        assert ("secret", start, end) in op6.candidates(text)
+        base, added = op6.all_spans([text], detector)[0]
+        clean = op6.redacted(text, base + added)
+        assert not any(secret[k : k + 12] in clean for k in range(0, length - 12, 5)), (head, length)
+        assert clean.startswith(head) and clean.endswith(" and then more words")
 
 
 def test_written_addresses_need_no_at_sign_or_dot_elsewhere(detector):
@@ -584,14 +602,30 @@ def test_quality_learns_on_held_out_rows(spark):
     assert np.allclose(net.score(texts), [net.score([t])[0] for t in texts], atol=1e-5)
 
 
-def test_quality_reads_a_bounded_part_of_labelled_rows(spark, monkeypatch):
-    """One labelled id on very many rows: at most ``sample`` of them, and of each a bounded number of chunks, are learned from."""
+def test_quality_learns_from_whole_texts_of_bounded_rows(spark, monkeypatch):
+    """One labelled id on very many rows: at most ``sample`` of them, and as many as stay within the bytes, all whole."""
     seen = []
     monkeypatch.setattr(op9, "fit", lambda cut, y, steps: seen.extend(cut))
     a, b = [k for k in range(20) if zlib.crc32(str(k).encode()) % 3 != 1][:2]
-    docs = spark.createDataFrame([(a, "x" * 200_000)] * 50 + [(b, "y")], "doc_id long, text string")
-    op9.train(docs, spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, quality int"), sample=20)
-    assert len(seen) == 20 and max(map(len, seen)) == op9.KEPT_CHUNKS
+    docs = spark.createDataFrame([(a, "x" * 200_000)] * 50 + [(b, "y"), (b, "z" * (op9.TEXT_BYTES + 1)), (b, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, quality int")
+    op9.train(docs, labels, sample=20)
+    assert len(seen) == 20 and max(map(len, seen)) == len(op9.chunks("x" * 200_000)) > 400
+    seen.clear()
+    monkeypatch.setattr(op9, "TRAIN_BYTES", 1_000_000)
+    op9.train(docs, labels)
+    assert sum(len(c) > 1 for c in seen) <= 5 and all(len(c) in (1, len(op9.chunks("x" * 200_000))) for c in seen)
+
+
+def test_quality_fits_very_long_labelled_texts():
+    import numpy as np
+
+    rng = random.Random(1)
+    good, bad = (lambda n: words(rng, n)), (lambda n: "".join(rng.choice("#%&0123456789") for _ in range(6 * n)))
+    texts = [f(n) for n in (20, 300, 40_000) for f in (good, bad)] * 4
+    y = np.array([1, 0] * 12)
+    net = op9.fit([op9.chunks(t) for t in texts], y, steps=30)
+    assert ((net.score(texts) >= 0.5) == (y == 1)).all()
 
 
 def test_quality_network_equals_plain_loops_and_its_gradient_numeric_ones():
