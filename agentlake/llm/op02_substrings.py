@@ -1,5 +1,8 @@
 """Suffix-array dedup: every repeat of a 100-byte string goes, found by a depth-limited radix sort.
 
+Exact but for one chance: whole blocks of different tasks (step 1) count as equal by two 64-bit hashes and not by their bytes, so two
+different blocks are taken for one with a probability below 2^-56 for each pair that shares a digit.  Elsewhere bytes decide.
+
 Suffixes are told apart only through ``window`` bytes, digit by digit, and leave as soon as they are alone
 in their bucket; groups that are still equal at full depth are exactly the repeated windows.
 
@@ -18,9 +21,6 @@ straight to the second step and only a notice to its group; there the windows of
 digits with over ``GROUP`` blocks, go by all their bytes instead, one by one, so that no task gathers what a
 large share of the corpus has in common.
 
-In the first step blocks of different tasks count as equal if a 64-bit digit and another 64-bit hash of
-all their bytes agree; inside a task, and everywhere in the second step, bytes are compared.
-
 Defined results: a null text is empty; matches never cross documents; a null doc_id counts as the smallest
 and comes back null; rows that share a doc_id are documents of their own, in the order of a hash of their
 texts, and those that share the text too count as one; an empty table gives no rows; other columns are not

@@ -8,7 +8,8 @@ packed once more, in buckets of about ``BUCKET`` pieces from all partitions.  A
 number that each loose piece got in the first pass, so rows that share an id or have none spread as well.
 
 Defined results: a null or empty text is the end id alone; repeated rows are documents of their own; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; other columns are not read.  Which pieces share a sequence follows from how the
+table lies in partitions: another layout gives other sequences, packed as well.
 """
 
 from __future__ import annotations
