@@ -201,3 +201,18 @@ def json_array(text: Column) -> Column:
     end = F.aggregate(F.split(tail, ""), start, step, lambda s: s["end"])
     shape = "array<string>"
     return F.coalesce(F.from_json(F.when(F.startswith(bare, F.lit("[")), bare), shape), F.from_json(F.substr(tail, F.lit(1), end), shape))
+
+
+def canonical_json(text: Column) -> Column:
+    r"""A JSON text with the keys of every object sorted and no blanks between tokens; null for what is no JSON.
+
+    Parsing to a Variant sorts keys at every depth and drops spelling (escapes, blanks), but joins 1 and 1.0 and rounds long numbers, so
+    numbers pass through it as strings with a mark (U+0001; a mark of the text's own is doubled) and keep the digits they
+    were written with.  An object that has a key twice is no JSON here.
+    """
+    literal = r'("(?:[^"\\]|\\.)*+")|(-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)'
+    own = F.replace(text, F.lit(r"\u0001"), F.lit(r"\u0001\u0001"))
+    parted = F.replace(F.regexp_replace(own, literal, "$1\u0002$2\u0002"), F.lit("\u0002\u0002"), F.lit(""))
+    marked = F.regexp_replace(parted, "\u0002([^\u0002]*)\u0002", r'"\\u0001$1"')
+    ordered = F.to_json(F.try_parse_json(marked))
+    return F.replace(F.regexp_replace(ordered, r'"\\u0001([-+.eE0-9]++)"', "$1"), F.lit(r"\u0001\u0001"), F.lit(r"\u0001"))

@@ -6,10 +6,12 @@ config, case and k.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from agentlake.functions import text as tx
 from agentlake.operators import governance, retrieval
+from agentlake.operators.substrings import containing
+from agentlake.sources.staging import staged
 
 KS = (1, 3, 5)
 MAX_GOLD = 5
@@ -20,29 +22,21 @@ def locate_excerpts(excerpts: DataFrame, chunks: DataFrame) -> DataFrame:
     """(case_id, chunk_id) where the chunk's text holds the excerpt, white space aside.
 
     The containment test runs on few pairs, found by equal keys.  An excerpt of three tokens or more meets the chunks that
-    have its rarest inner token (the two outer ones may be cut in the text).  With two, a chunk needs a token that ends with the
-    first; with one, a token that holds it: parts of the distinct tokens tell which.  Without any, it needs the first sign.
+    have its rarest inner token (the two outer ones may be cut in the text); others go by the index of three-character strings.
     """
     e = excerpts.select("case_id", tx.squeezed(F.col("excerpt")).alias("needle")).where("needle <> ''").withColumn("t", F.regexp_extract_all(F.lower("needle"), F.lit(tx.TOKEN), F.lit(0)))
-    inner = e.select("case_id", "needle", "t", F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))).alias("inner"))
+    inner = e.select("case_id", "needle", F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))).alias("inner"))
     wanted = inner.select("case_id", F.explode("inner").alias("term"))
     hay = chunks.select("chunk_id", tx.squeezed(F.col("text")).alias("hay"))
     terms = hay.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("hay"), F.lit(tx.TOKEN), F.lit(0)))).alias("term"))
-    present = terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    present = staged(terms.join(wanted.select("term").distinct(), "term", "left_semi"))
     counts = present.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = wanted.join(counts, "term", "left").groupBy("case_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    candidates = rarest.join(present, "term").select("case_id", "chunk_id")
-
-    short = inner.where((F.size("t") > 0) & (F.size("inner") == 0)).select("case_id", (F.size("t") == 1).alias("anywhere"), F.col("t")[0].alias("part"))
-    lengths = short.agg(F.coalesce(F.array_sort(F.collect_set(F.length("part"))), F.array().cast("array<int>")).alias("lengths"))
-    places = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length("term"))
-    parts = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.transform(places(n), lambda i: F.struct(F.substr(F.col("term"), i, n).alias("part"), (i + n - 1 == F.length("term")).alias("ends"))))))
-    split = terms.select("term").distinct().join(F.broadcast(lengths)).select("term", F.explode(parts).alias("p")).select("term", "p.part", "p.ends")
-    holding = short.join(split, "part").where("anywhere or ends").select("case_id", "term").distinct()
-    signs = hay.select("chunk_id", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("hay"), f"[a-z0-9_{tx.CJK} ]", ""), ""))).alias("sign"))
-    bare = inner.where(F.size("t") == 0).select("case_id", F.substring(F.lower("needle"), 1, 1).alias("sign"))
-    every = candidates.unionByName(holding.join(terms, "term").select("case_id", "chunk_id")).unionByName(bare.join(signs, "sign").select("case_id", "chunk_id")).distinct()
-    return every.join(e.select("case_id", "needle"), "case_id").join(hay, "chunk_id").where(F.contains("hay", "needle")).select("case_id", "chunk_id").distinct()
+    long = rarest.join(present, "term").select("case_id", "chunk_id").join(e.select("case_id", "needle"), "case_id").join(hay, "chunk_id").where(F.contains("hay", "needle")).select("case_id", "chunk_id")
+    short = inner.where(F.size("inner") == 0).select("case_id", "needle")
+    if short.isEmpty():
+        return long.distinct()
+    return long.unionByName(containing(short, hay.withColumnRenamed("hay", "text"), "case_id", "chunk_id")).distinct()
 
 
 def rebind(golden: DataFrame, matches: DataFrame) -> DataFrame:
@@ -225,31 +219,37 @@ def validate_golden(cases: DataFrame) -> DataFrame:
 MEASURED, TAGGED, OVERLAPPING = 6, 10, 0.85
 
 
-def longest_shared(a: Column, b: Column, least: int = MEASURED) -> Column:
-    """Length of the longest string that two short texts share, white space aside; 0 below ``least``.
+def longest_shared(pairs: DataFrame, key: str, a: str, b: str, least: int = MEASURED) -> DataFrame:
+    """key, shared: length of the longest string that two texts of a row share, white space aside; rows that share none of ``least`` are left out.
 
-    One walk over the ends of ``a``: a longer string that ends here begins where the best so far would.
+    Strings of ``least`` characters that both have meet by equality, with their places.  Where the difference of the two places stays the
+    same from one to the next, they lie in one longer string: runs on such diagonals are measured, and the longest counts.
     """
-    sa, sb = tx.squeezed(a), tx.squeezed(b)
-    grown = lambda best, end: F.when((end > best) & F.contains(sb, F.substr(sa, end - best, best + 1)), best + 1).otherwise(best)
-    best = F.aggregate(F.sequence(F.lit(0), F.length(sa)), F.lit(0), grown)
-    return F.when(best >= least, best).otherwise(0)
+    grams = lambda c, at: pairs.select(key, F.posexplode(F.regexp_extract_all(tx.squeezed(F.col(c)), F.lit(f"(?s)(?=(.{{{least}}}))"), F.lit(1))).alias(at, "gram"))
+    met = grams(a, "i").join(grams(b, "j"), [key, "gram"]).select(key, "i", (F.col("i") - F.col("j")).alias("diagonal"))
+    run = F.col("i") - F.row_number().over(Window.partitionBy(key, "diagonal").orderBy("i"))
+    lengths = met.withColumn("run", run).groupBy(key, "diagonal", "run").agg((F.count(F.lit(1)) + (least - 1)).cast("int").alias("length"))
+    return lengths.groupBy(key).agg(F.max("length").alias("shared"))
 
 
 def validate_candidates(cases: DataFrame) -> DataFrame:
     """case_id, reason (null: accepted), shared, leak: rules for question and excerpt against the chunk's indexed text.
 
-    ``shared`` is the longest string that question and text have in common; it is measured on accepted ones only.
+    ``shared`` is the longest string that question and text have in common, 0 below ``MEASURED``; it is measured on accepted cases
+    only.  Rows have a case_id each.
     """
     q, x, text = tx.squeezed(F.col("question")), tx.squeezed(F.col("excerpt")), tx.squeezed(F.col("indexed"))
+    bare = F.regexp_replace(F.coalesce("question", F.lit("")), r"(?U)^\s+|\s+$", "")
     reason = (
-        F.when(F.length(F.trim("question")) < 6, "question too short").when(x == "", "no excerpt").when(~F.contains(text, x), "not verbatim")
+        F.when(F.length(bare) < 6, "question too short").when(x == "", "no excerpt").when(~F.contains(text, x), "not verbatim")
         .when(F.length(x) < 8, "excerpt too short").when(F.contains(text, q), "question copied")
     )
-    terms = lambda c: tx.term_set(c)
-    overlap = F.size(F.array_intersect(terms(F.col("question")), terms(F.col("indexed")))) / F.greatest(F.size(terms(F.col("question"))), F.lit(1))
-    told = cases.withColumn("reason", reason).withColumn("shared", F.when(F.col("reason").isNull(), longest_shared(F.col("question"), F.col("indexed"))))
-    return told.select("case_id", "reason", "shared", (F.col("reason").isNull() & ((F.col("shared") >= TAGGED) | (overlap >= OVERLAPPING))).alias("leak"))
+    terms = lambda c: F.array_distinct(tx.tokens(F.col(c)))
+    overlap = F.size(F.array_intersect(terms("question"), terms("indexed"))) / F.greatest(F.size(terms("question")), F.lit(1))
+    told = staged(cases.select("case_id", "question", "indexed", reason.alias("reason"), overlap.alias("overlap")))
+    spans = longest_shared(told.where("reason is null"), "case_id", "question", "indexed")
+    measured = told.select("case_id", "reason", "overlap").join(spans, "case_id", "left").withColumn("shared", F.when(F.col("reason").isNull(), F.coalesce("shared", F.lit(0))))
+    return measured.select("case_id", "reason", "shared", (F.col("reason").isNull() & ((F.col("shared") >= TAGGED) | (F.col("overlap") >= OVERLAPPING))).alias("leak"))
 
 
 def contamination(docs: DataFrame, passages: DataFrame, n: int = 10) -> DataFrame:

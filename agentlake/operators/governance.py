@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agentlake.functions import scoring
-from agentlake.sources.staging import staged
+from agentlake.functions.text import canonical_json
+from agentlake.sources.staging import discard, staged
 
 DEFAULT_QUOTA = 1_000_000
 # Upper bounds of the histograms of run seconds, call seconds and counts.
@@ -134,6 +135,7 @@ def audit_query(audit: DataFrame, limit: int, **equal: str) -> DataFrame:
 
 def audit_columns(rows: DataFrame) -> DataFrame:
     """Fields of a sign-in record cut to their widths, missing ones empty."""
+    # The widths of the stored columns.
     widths = (("action", 16), ("username", 64), ("ip", 45), ("ua", 200), ("reason", 32), ("result_preview", 400))
     return rows.select("event_id", *(F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c) for c, n in widths))
 
@@ -165,20 +167,22 @@ def evaluate_policy(calls: DataFrame, policy: dict) -> DataFrame:
     return calls.withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
 
 
+# Argument names that hold paths, and tools whose one path is their ``path`` argument.
 PATH_KEYS = ("path", "file", "dir")
-#: Tools whose one path is their ``path`` argument.
 FILE_TOOLS = ("read", "write", "edit", "ls", "find", "grep")
 
 
 def path_args(tool: Column, arguments: Column) -> Column:
     """Path-like values of a call's JSON arguments: strings under path, file or dir at any depth; of file tools, ``path`` alone.
 
-    Keys and their strings are matched in the JSON text, where a quote inside a string is escaped and so no key begins there.
+    They are read from the canonical text, in the order of its sorted keys: there a quote begins or ends a string unless a
+    backslash stands before it, and no key hides behind escapes.  Arguments that are no JSON have none.
     """
-    pair = rf'(?<!\\)"(?:{"|".join(PATH_KEYS)})"\s*:\s*("(?:[^"\\]|\\.)+")'
-    deep = F.transform(F.regexp_extract_all(F.coalesce(arguments, F.lit("")), F.lit(pair), F.lit(1)), lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"))
-    own = F.nullif(F.get_json_object(arguments, "$.path"), F.lit(""))
-    return F.when(tool.isin(*FILE_TOOLS), F.array_compact(F.array(own))).otherwise(deep)
+    whole = canonical_json(arguments)
+    pair = rf'(?<!\\)"(?:{"|".join(PATH_KEYS)})":("(?:[^"\\]|\\.)++")'
+    deep = F.transform(F.regexp_extract_all(F.coalesce(whole, F.lit("")), F.lit(pair), F.lit(1)), lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"))
+    own = F.get_json_object(whole, "$.path")
+    return F.when(tool.isin(*FILE_TOOLS), F.array_compact(F.array(F.when(~own.isin("", "0", "false", "[]", "{}"), own)))).otherwise(deep)
 
 
 def normal_path(path: Column) -> Column:
@@ -188,29 +192,69 @@ def normal_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/"))
 
 
-def rate_windows(events: DataFrame, seconds: float = 60.0, limit: int = 20) -> DataFrame:
+#: Times of an island whose windows are found by one fold; longer islands go by jump pointers.
+FOLD = 256
+
+
+def rate_windows(events: DataFrame, seconds: float = 60.0, limit: int = 20, fold: int = FOLD) -> DataFrame:
     """Each event's window, anchored at the first event that the window before doesn't reach, its place there, and allowed.
 
-    The windows of a user are a chain that no frame can express, so a user's sorted times go through one task, as a
-    stream of batches that keeps only the open window.
+    A gap of a window or more always opens a window, so such gaps part a user's times into islands that know nothing of each
+    other.  Starts are a window or more apart: each cell of that length of a user has one at most, and an event's start lies
+    in its cell or the one before.  So no user needs to stand in one task: gaps, starts and places are found per cell and joined.
+    Where an island begins is handed on from cell to cell by one row per cell.  Times of a short island are folded into its starts in an
+    expression; those of long ones point to the first time that is a window later, and pointers are doubled until all starts
+    are reached.  Events of no user, or no time, have no window and are left out.
     """
     width = int(seconds * 1e6)
-
-    def windows(batches):
-        user, start, n = None, 0, 0
-        for rows in batches:
-            starts, places = [], []
-            for u, us in zip(rows["user_id"].tolist(), rows["us"].tolist()):
-                if u != user or us - start >= width:
-                    user, start, n = u, us, 0
-                n += 1
-                starts.append(start)
-                places.append(n)
-            yield rows.assign(start=starts, place=places)[["user_id", "event_id", "start", "place"]]
-
-    sorted_ = events.select("user_id", "event_id", F.unix_micros("ts").alias("us")).repartition("user_id").sortWithinPartitions("user_id", "us", "event_id")
-    told = sorted_.mapInPandas(windows, "user_id long, event_id long, start long, place long")
-    return told.withColumn("allowed", F.col("place") <= limit)
+    rows = events.where("user_id is not null and ts is not null").select("user_id", "event_id", F.unix_micros("ts").alias("us")).withColumn("cell", F.floor(F.col("us") / width))
+    rows = staged(rows)
+    times = rows.select("user_id", "cell", "us").distinct()
+    cells = times.groupBy("user_id", "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    walk = Window.partitionBy("user_id").orderBy("cell")
+    # One row per cell: whether its first time opens an island, and if not, where the island began is known further back.
+    opened = F.coalesce(F.col("first") - F.lag("last").over(walk) >= width, F.lit(True))
+    heads = cells.withColumn("opens", opened).withColumn("head", F.last(F.when(F.col("opens"), F.col("first")), True).over(walk))
+    # Inside a cell no gap reaches a window, so all times of a cell share its island.
+    islands = times.join(heads.select("user_id", "cell", "head"), ["user_id", "cell"])
+    sizes = islands.groupBy("user_id", "head").agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("end"))
+    single = sizes.where(F.col("end") - F.col("head") < width).select("user_id", F.col("head").alias("start"))
+    several = staged(islands.join(sizes.where(F.col("end") - F.col("head") >= width), ["user_id", "head"]))
+    short = several.where(F.col("n") <= fold).groupBy("user_id", "head").agg(F.array_sort(F.collect_list("us")).alias("times"))
+    step = lambda starts, us: F.when(us - F.element_at(starts, -1) >= width, F.concat(starts, F.array(us))).otherwise(starts)
+    folded = short.select("user_id", F.explode(F.aggregate("times", F.array(F.col("head")), step)).alias("start"))
+    starts = single.unionByName(folded).unionByName(_jumped(several.where(F.col("n") > fold), width))
+    placed = starts.withColumn("cell", F.floor(F.col("start") / width))
+    near = placed.select("user_id", "cell", F.col("start").alias("own")), placed.select("user_id", (F.col("cell") + 1).alias("cell"), F.col("start").alias("before"))
+    found = rows.join(near[0], ["user_id", "cell"], "left").join(near[1], ["user_id", "cell"], "left")
+    found = found.withColumn("start", F.when(F.col("own") <= F.col("us"), F.col("own")).otherwise(F.col("before")))
+    place = F.row_number().over(Window.partitionBy("user_id", "start").orderBy("us", "event_id"))
+    return found.select("user_id", "event_id", "start", place.cast("long").alias("place")).withColumn("allowed", F.col("place") <= limit)
+
+
+def _jumped(times: DataFrame, width: int) -> DataFrame:
+    """user_id, start: the window starts of islands, from their times (user_id, cell, us, head, end), by doubled pointers."""
+    longest = times.agg(F.max(F.col("end") - F.col("head"))).first()[0]
+    if longest is None:
+        return times.select("user_id", F.col("us").alias("start")).limit(0)
+    # The first time at or after us + width lies in the next cell, or is the first of the one behind it.
+    probes = times.select("user_id", "head", (F.col("cell") + 1).alias("cell"), F.col("us").alias("probe"), (F.col("us") + width).alias("at"), F.lit(0).alias("kind"))
+    seen = times.select("user_id", "head", "cell", F.lit(None).cast("long").alias("probe"), F.col("us").alias("at"), F.lit(1).alias("kind"))
+    later = F.last(F.when(F.col("kind") == 1, F.col("at")), True).over(Window.partitionBy("user_id", "cell", "head").orderBy(F.desc("at"), F.desc("kind")))
+    firsts = times.groupBy("user_id", "head", (F.col("cell") - 1).alias("cell")).agg(F.min("us").alias("behind"))
+    to = probes.unionByName(seen).withColumn("later", later).where("kind = 0").join(firsts, ["user_id", "head", "cell"], "left")
+    jumps = staged(to.select("user_id", F.col("probe").alias("us"), F.coalesce("later", "behind").alias("to")).where("to is not null"))
+    reached = staged(times.select("user_id", F.col("head").alias("us")).distinct())
+    rounds = max(1, int(longest // width).bit_length())
+    for k in range(rounds):
+        was, old = reached, jumps
+        reached = staged(was.unionByName(was.join(old, ["user_id", "us"]).select("user_id", F.col("to").alias("us"))))
+        if k < rounds - 1:
+            further = old.select("user_id", F.col("us").alias("to"), F.col("to").alias("further"))
+            jumps = staged(old.join(further, ["user_id", "to"]).select("user_id", "us", F.col("further").alias("to")))
+        discard(was)
+        discard(old)
+    return reached.select("user_id", F.col("us").alias("start"))
 
 
 def stale_to_failed(docs: DataFrame, now: str, seconds: int) -> DataFrame:

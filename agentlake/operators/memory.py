@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from agentlake.functions import scoring, text as tx
-from agentlake.sources.staging import staged
+from agentlake.sources.staging import discard, staged
 
 DUPLICATE, CAP = 0.85, 500
 CHANNEL_K, CANDIDATES = 8, 12
@@ -114,15 +114,43 @@ def enforce_cap(memories: DataFrame, cap: int = CAP) -> DataFrame:
     return memories.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap).drop("nth")
 
 
+def overlap_topk(queries: DataFrame, rows: DataFrame, k: int, older: bool = False) -> DataFrame:
+    """query_id, user_id, id, shared, size, rank: per query the ``k`` rows of its user that share most of its terms, then the newest (highest id).
+
+    ``queries`` has query_id, user_id and ``terms`` without repeats, ``rows`` id, user_id and such terms; with ``older`` only rows
+    with an id below query_id count.  A query's terms are taken rarest first.  A row that has none of the first p shares at most the
+    other size - p, so where the k-th best row found by the first half of the terms shares more, the rest cannot matter: common
+    terms are then only looked up for rows already in.  Queries that this does not settle meet the postings of all their terms.
+    """
+    asked = queries.select("query_id", "user_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
+    postings = staged(rows.select("user_id", "id", F.explode("terms").alias("term")).join(asked.select("user_id", "term").distinct(), ["user_id", "term"], "left_semi"))
+    df = postings.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    rare = Window.partitionBy("query_id", "user_id").orderBy("df", "term")
+    placed = staged(asked.join(df, ["user_id", "term"]).withColumn("place", F.row_number().over(rare)))
+    fits = F.col("id") < F.col("query_id") if older else F.lit(True)
+    by = ["query_id", "user_id", "size", "id"]
+    count = lambda met, name: met.where(fits).groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    # Terms that no row has are gone from ``placed``: they count among the rarest.
+    half = F.ceil(F.col("size") / 2) - (F.col("size") - F.max("place").over(Window.partitionBy("query_id", "user_id")))
+    split = placed.withColumn("first", F.col("place") <= half)
+    seen = count(split.where("first").join(postings, ["user_id", "term"]), "some")
+    more = seen.join(split.where("not first").select("query_id", "user_id", "term"), ["query_id", "user_id"]).join(postings, ["user_id", "id", "term"], "left_semi")
+    both = seen.join(count(more, "others"), by, "left").select(*by, (F.col("some") + F.coalesce("others", F.lit(0))).alias("shared"))
+    ranked = lambda scores: scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "user_id").orderBy(F.desc("shared"), F.desc("id")))).where(F.col("rank") <= k)
+    early = staged(ranked(both))
+    settled_ = early.where((F.col("rank") == k) & (F.col("shared") > F.col("size") - F.ceil(F.col("size") / 2))).select("query_id", "user_id")
+    rest = placed.join(settled_, ["query_id", "user_id"], "left_anti")
+    late = ranked(count(rest.join(postings, ["user_id", "term"]), "shared"))
+    return early.join(settled_, ["query_id", "user_id"], "left_semi").unionByName(late).select("query_id", "user_id", "id", "shared", "size", "rank")
+
+
 def judge_candidates(current_rows: DataFrame, new: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """user_id, newer, newer_text, older, older_text, place: of each new row the ``k`` older ones that share most of its terms."""
     every = current_rows.select("user_id", "id", "text").unionByName(new.select("user_id", "id", "text"))
-    terms = lambda rows, name: rows.select("user_id", F.col("id").alias(name), F.explode(tx.term_set(F.col("text"))).alias("term"))
-    shared = terms(new, "newer").join(terms(every, "older"), ["user_id", "term"]).where("older < newer").groupBy("user_id", "newer", "older").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("user_id", "newer").orderBy(F.col("n").desc(), F.col("older").desc())
-    first = shared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("n")
-    text = lambda name: every.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
-    return first.join(text("newer"), "newer").join(text("older"), "older")
+    terms = tx.term_set(F.col("text")).alias("terms")
+    first = overlap_topk(new.select(F.col("id").alias("query_id"), "user_id", terms), every.select("user_id", "id", terms), k, older=True)
+    text = lambda name: every.select("user_id", F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
+    return first.select("user_id", F.col("query_id").alias("newer"), F.col("id").alias("older"), F.col("rank").alias("place")).join(text("newer"), ["user_id", "newer"]).join(text("older"), ["user_id", "older"])
 
 
 def apply_memories(state: DataFrame, batch: DataFrame, cap: int = CAP, threshold: float = DUPLICATE, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -162,7 +190,9 @@ def history(memories: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         onward = chain.select(F.col("id").alias("latest"), F.col("latest").alias("next"), F.col("steps").alias("more"))
         chain_next = staged(chain.join(onward, "latest", "left").select("id", F.coalesce("next", "latest").alias("latest"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-        if chain_next.join(chain.select("id", F.col("latest").alias("was")), "id").where("latest <> was").isEmpty():
+        ended = chain_next.join(chain.select("id", F.col("latest").alias("was")), "id").where("latest <> was").isEmpty()
+        discard(chain)
+        if ended:
             return chain_next
         chain = chain_next
     raise RuntimeError("succession has a cycle")
@@ -189,11 +219,9 @@ def candidate_union(lexical: DataFrame, vector: DataFrame, k: int = CHANNEL_K, c
 
 def lexical_recall(queries: DataFrame, memories: DataFrame, k: int = 3) -> DataFrame:
     """Best share of query terms first, then newest; none without a shared term."""
-    q = queries.select("query_id", "user_id", tx.term_set(F.col("text")).alias("q"))
-    m = memories.where("superseded_by is null").select("user_id", "id", tx.term_set(F.col("text")).alias("m"))
-    scored = q.join(m, "user_id").select("query_id", "id", F.round(scoring.lexical_overlap(F.col("q"), F.col("m")), 6).alias("score")).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").desc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    terms = tx.term_set(F.col("text")).alias("terms")
+    first = overlap_topk(queries.select("query_id", "user_id", terms), memories.where("superseded_by is null").select("user_id", "id", terms), k)
+    return first.select("query_id", "id", F.round(F.col("shared") / F.col("size"), 6).alias("score"), "rank")
 
 
 def recall(queries: DataFrame, memories: DataFrame, vector_hits: DataFrame, k: int = 3) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agentlake.functions import scoring, text as tx
+from agentlake.operators.substrings import containing
 from agentlake.sources.staging import staged
 
 
@@ -21,14 +22,14 @@ def postings(chunks: DataFrame, terms: DataFrame | None = None, keep: tuple[str,
     """user_id, chunk_id, term, tf, dl, and the columns ``keep``; chunks without terms are left out.
 
     With ``terms`` (user_id, term), only theirs leave the scan's stage: they are kept before anything is counted.  Beside
-    them every chunk has a row of the empty term, so that one reading of the texts gives lengths and postings.
+    them every chunk of these users has a row of the empty term, so that one reading of the texts gives lengths and postings.
     """
     by = ["user_id", "chunk_id", *keep]
     sized = chunks.select(*by, tx.tokens(F.col("text")).alias("terms"))
     # An outer explode has no filter inferred below it, so each text meets the tokenizer once.
     rows = sized.select(*by, F.size("terms").alias("dl"), F.explode_outer(F.when(F.size("terms") > 0, F.concat("terms", F.array(F.lit(""))))).alias("term")).where("term is not null")
     if terms is not None:
-        rows = rows.join(_wanted(terms, chunks.select("user_id").distinct()), ["user_id", "term"], "left_semi")
+        rows = rows.join(_wanted(terms, terms.select("user_id").distinct()), ["user_id", "term"], "left_semi")
     return rows.groupBy(*by, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -56,8 +57,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "user_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame | None, index: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, score of every chunk of the query's user that shares a term with it; by ``index`` where there is one.
+def bm25_scores(queries: DataFrame, chunks: DataFrame | None, index: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, chunk_id, score, and the chunk's columns ``keep``, of every chunk of the query's user that shares a term with it; by ``index`` where there is one.
 
     Only postings of asked terms survive the semi-join; they are written once, and document frequencies and lengths
     follow from them.
@@ -65,18 +66,63 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame | None, index: DataFrame |
     asked = query_terms(queries)
     wanted = asked.select("user_id", "term").distinct()
     if index is None:
-        found = staged(postings(chunks, wanted))
+        found = staged(postings(chunks, wanted, keep))
     else:
-        found = staged(index.join(_wanted(wanted, asked.select("user_id").distinct()), ["user_id", "term"], "left_semi").select("user_id", "chunk_id", "dl", "term", "tf"))
+        found = staged(index.join(_wanted(wanted, asked.select("user_id").distinct()), ["user_id", "term"], "left_semi").select("user_id", "chunk_id", *keep, "dl", "term", "tf"))
     hit = found.where("term <> ''")
     df = hit.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weight = scoring.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), scoring.idf(F.col("n"), F.col("df")))
-    weighed = hit.join(df, ["user_id", "term"]).join(lexical_stats(found), "user_id").select("user_id", "term", "chunk_id", weight.alias("w"))
-    return asked.join(weighed, ["user_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
+    weighed = hit.join(df, ["user_id", "term"]).join(lexical_stats(found), "user_id").select("user_id", "term", "chunk_id", *keep, weight.alias("w"))
+    return asked.join(weighed, ["user_id", "term"]).groupBy("query_id", "chunk_id", *keep).agg(F.sum("w").alias("score"))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int = 20, index: DataFrame | None = None) -> DataFrame:
-    return topk(bm25_scores(queries, chunks, index).where("score > 0").withColumn("score", F.round("score", 6)), k)
+def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int = 20, index: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best of each query; of queries that ``scope`` (query_id, doc_key) narrows, the ``k`` best inside it."""
+    scores = bm25_scores(queries, chunks, index, ("doc_key",) if scope is not None else ()).where("score > 0").withColumn("score", F.round("score", 6))
+    return topk(scores if scope is None else scoped(scores, scope).drop("doc_key"), k)
+
+
+#: Chunks whose postings make a block; blocks of a query that are scored before the others are held against its k-th score.
+BLOCK_CHUNKS, FIRST_BLOCKS = 64, 4
+
+
+def weighted_index(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings, blocks) of a lexical index: each posting with its BM25 weight w and its block, and the highest weight of each (user_id, term, block).
+
+    Both are tables to store; a block holds about ``BLOCK_CHUNKS`` chunks of a user, by a hash of the chunk.
+    """
+    hit = index.where("term <> ''")
+    df = hit.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    weight = scoring.bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), scoring.idf(F.col("n"), F.col("df")))
+    block = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / BLOCK_CHUNKS)).cast("int")
+    weighed = hit.join(df, ["user_id", "term"]).join(lexical_stats(index), "user_id").select("user_id", "term", block.alias("block"), "chunk_id", weight.alias("w")).where("w > 0")
+    return weighed, weighed.groupBy("user_id", "term", "block").agg(F.max("w").alias("most"))
+
+
+def pruned_topk(queries: DataFrame, weighed: DataFrame, blocks: DataFrame, k: int = 20, first: int = FIRST_BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """(ranked hits, per query: blocks, scored) as ``bm25_topk``, from a stored weighted index, skipping blocks that cannot hold one of the first ``k``.
+
+    No chunk of a block scores more than the highest weights of the query's terms there, added up.  The ``first`` blocks by that
+    bound are scored; of the others only those whose bound reaches the k-th score so far are.
+    """
+    asked = query_terms(queries)
+    by = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    bounds = asked.join(blocks, ["user_id", "term"]).groupBy("query_id", "user_id", "block").agg(F.sum("most").alias("bound"))
+    bounds = staged(bounds.withColumn("place", F.row_number().over(by)))
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        terms = wanted.select("query_id", "block").join(asked, "query_id")
+        scores = terms.join(weighed, ["user_id", "term", "block"]).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
+        return topk(scores.withColumn("score", F.round("score", 6)).where("score > 0"), k)
+
+    early = staged(scored(bounds.where(F.col("place") <= first)))
+    least = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    # Scores are rounded, and sums may differ in their last digits.
+    open_ = staged(bounds.where(F.col("place") > first).join(least, "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-5))
+    late = scored(open_)
+    hits = topk(early.unionByName(late).drop("rank"), k)
+    told = bounds.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("place") <= first).alias("begun"))
+    return hits, told.join(open_.groupBy("query_id").agg(F.count(F.lit(1)).alias("more")), "query_id", "left").select("query_id", "blocks", (F.col("begun") + F.coalesce("more", F.lit(0))).alias("scored"))
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, splits: int = 16) -> DataFrame:
@@ -99,13 +145,21 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, splits: int
 
 
 def hashed_embedding(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
-    """key, embedding: signed counts of hashed terms at unit length."""
-    terms = rows.select(key, F.explode(tx.embedding_terms(F.col("text"))).alias("term")).select(key, F.md5("term").alias("h"))
-    number = lambda a, n: F.conv(F.substring("h", a, n), 16, 10).cast("long")
-    cells = terms.select(key, (number(1, 8) % dim).alias("bucket"), F.when(number(9, 2) % 2 == 0, 1).otherwise(-1).alias("sign")).groupBy(key, "bucket").agg(F.sum("sign").cast("double").alias("w"))
-    packed = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    value = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)
-    return packed.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), value).alias("embedding"))
+    """key, embedding: signed counts of hashed terms at unit length; rows without terms are left out.
+
+    Each row by itself: its terms' cells are sorted, so that equal ones stand together, and the lengths of their runs fill the vector.
+    """
+    code = lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)) * 2 + F.conv(F.substring(h, 10, 1), 16, 10).cast("long") % 2
+    cells = rows.select(key, F.sort_array(F.transform(tx.embedding_terms(F.col("text")), lambda t: code(F.md5(t)))).alias("cells")).where(F.size("cells") > 0)
+    # A cell that differs from the one before begins a run; even codes count up, odd ones down.
+    at = F.filter(F.sequence(F.lit(1), F.size("cells")), lambda i: (i == 1) | (F.get("cells", i - 1) != F.get("cells", i - 2)))
+    begun = cells.select(key, "cells", at.alias("at"))
+    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("cells") + 1))
+    runs = begun.select(key, F.map_from_arrays(F.transform("at", lambda i: F.get("cells", i - 1)), F.zip_with("at", ends, lambda a, b: (b - a).cast("double"))).alias("runs"))
+    count = lambda c: F.coalesce(F.try_element_at("runs", c), F.lit(0.0))
+    vector = runs.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: count(i * 2) - count(i * 2 + 1)).alias("v"))
+    sized = vector.select(key, "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("n"))
+    return sized.select(key, F.transform("v", lambda x: x / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).alias("embedding"))
 
 
 def rrf(channels: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
@@ -179,11 +233,13 @@ def _cases(cases, rest: str) -> Column:
     return out.otherwise(rest)
 
 
-def substring_search(queries: DataFrame, chunks: DataFrame, k: int = 20, cut: int = 64) -> DataFrame:
-    """Chunks of the user whose text or title holds the trimmed, cut query, whatever the case; by doc_key and seq."""
-    needles = queries.select("query_id", "user_id", F.lower(F.substring(F.trim("text"), 1, cut)).alias("needle")).where("needle <> ''")
-    hay = chunks.withColumn("hay", F.lower(F.concat_ws("\n", "title_path", "text")))
-    found = hay.join(needles, "user_id").where(F.contains("hay", "needle"))
+def substring_search(queries: DataFrame, chunks: DataFrame, k: int = 20, cut: int = 64, scope: DataFrame | None = None) -> DataFrame:
+    """Chunks of the user whose text, title or both as they are embedded hold the trimmed, cut query, whatever the case; by doc_key and seq."""
+    needles = queries.select("query_id", "user_id", F.lower(F.substring(F.trim("text"), 1, cut)).alias("needle"))
+    # What is embedded begins with the title and ends with the text, so it holds whatever one of them does.
+    hay = chunks.select("chunk_id", "user_id", F.lower(tx.embed_text(F.col("title_path"), F.coalesce("text", F.lit("")))).alias("text"))
+    found = containing(needles, hay, "query_id", "chunk_id", ("user_id",)).join(chunks.select("chunk_id", "doc_key", "seq"), "chunk_id")
+    found = found if scope is None else scoped(found, scope)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_key", "seq", "chunk_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "chunk_id", "doc_key", "rank")
 
@@ -222,10 +278,11 @@ def search(
 ) -> tuple[DataFrame, DataFrame]:
     """(hits, outcomes) of queries whose channels may fail.
 
-    hits: query_id, chunk_id, doc_key, rank, score.  outcomes: query_id, mode, outcome, degraded.  ``health`` has
+    hits: query_id, chunk_id, doc_key, rank, score.  outcomes: query_id, mode, outcome, degraded, served.  ``health`` has
     vector_state and lexical_ok by query_id (none: both work); a query whose channels are both unusable is served by
-    substrings of texts and titles.  ``scope`` (query_id, doc_key) narrows a query to documents: the vector channel before its
-    first k, the others behind it, with all that was found.  A blank query finds nothing.
+    substrings of texts and titles; its outcome says so even where nothing is found, as an outage must not look like a miss,
+    and ``served`` counts what it got.  ``scope`` (query_id, doc_key) narrows a query to documents in every channel before its
+    first ``candidates``.  A blank query finds nothing.
     """
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
     asked = queries.where(~blank)
@@ -237,21 +294,21 @@ def search(
     owned = vectors.join(chunks.select("chunk_id", "doc_key"), "chunk_id") if scope is not None else vectors
     near = narrowed(vector_scores(of(query_vectors, "vector_state = 'ok'"), owned))
     vector = staged(topk(near.select("query_id", "chunk_id", "score"), candidates))
-    lexical = staged(bm25_topk(of(asked, "lexical_ok"), chunks, candidates, index))
+    lexical = staged(bm25_topk(of(asked, "lexical_ok"), chunks, candidates, index, scope))
 
     number = lambda hits, name: hits.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
     plan = staged(channel_plan(state.join(number(vector, "vector_hits"), "query_id", "left").join(number(lexical, "lexical_hits"), "query_id", "left").fillna(0, ["vector_hits", "lexical_hits"])))
     ranked = rrf([(vector, 1.0), (lexical, weight)]).join(plan.where("not need_sql").select("query_id"), "query_id", "left_semi")
-    found = hydrate(ranked if scope is not None else ranked.where(F.col("rank") <= max(k, candidates)), queries, chunks)
-    hits = _renumbered(narrowed(found)).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    found = hydrate(ranked.where(F.col("rank") <= max(k, candidates)), queries, chunks)
+    hits = _renumbered(found).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     best = rerank(hits, overlap_score(F.col("query"), F.col("title_path"), F.col("text")), k, candidates)
-    plain = _renumbered(narrowed(substring_search(asked.join(plan.where("need_sql").select("query_id"), "query_id", "left_semi"), chunks, candidates))).where(F.col("rank") <= k)
+    plain = substring_search(asked.join(plan.where("need_sql").select("query_id"), "query_id", "left_semi"), chunks, k, scope=scope)
     served = staged(best.select("query_id", "chunk_id", "doc_key", "rank", F.col("rerank_score").alias("score")).unionByName(plain.select("query_id", "chunk_id", "doc_key", "rank", F.lit(0.0).alias("score"))))
-    outcomes = plan.join(served.select("query_id").distinct().withColumn("served", F.lit(True)), "query_id", "left").select(
+    outcomes = plan.join(served.groupBy("query_id").agg(F.count(F.lit(1)).alias("served")), "query_id", "left").select(
         "query_id", F.when(F.col("need_sql"), "sql_fallback").otherwise(F.col("mode")).alias("mode"),
-        F.when(F.col("need_sql"), "sql_fallback").when(F.col("served"), F.col("outcome")).otherwise("no_hits").alias("outcome"), "degraded",
+        F.when(F.col("need_sql"), "sql_fallback").when(F.col("served") > 0, F.col("outcome")).otherwise("no_hits").alias("outcome"), "degraded", F.coalesce("served", F.lit(0)).alias("served"),
     )
-    return served, outcomes.unionByName(queries.where(blank).select("query_id", F.lit("empty").alias("mode"), F.lit("no_hits").alias("outcome"), F.lit(False).alias("degraded")))
+    return served, outcomes.unionByName(queries.where(blank).select("query_id", F.lit("empty").alias("mode"), F.lit("no_hits").alias("outcome"), F.lit(False).alias("degraded"), F.lit(0).cast("long").alias("served")))
 
 
 def citation_line() -> Column:

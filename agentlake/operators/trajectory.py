@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from agentlake.functions.text import canonical_json
+
 
 def run_totals(events: DataFrame) -> DataFrame:
     """Tokens, turns and cache hit rate of each run, from its model calls."""
@@ -61,9 +63,13 @@ def pair_tool_calls(events: DataFrame) -> DataFrame:
 
 
 def call_key(name: Column, arguments: Column) -> Column:
-    """Name and arguments with sorted keys; what isn't a JSON object stays as it is."""
-    entries = F.array_sort(F.map_entries(F.from_json(arguments, "map<string,string>")))
-    return F.concat(name, F.lit(":"), F.coalesce(F.to_json(F.map_from_entries(entries)), arguments, F.lit("")))
+    """Name and canonical arguments: keys sorted at every depth, types kept, so calls share a key if and only if they ask for the same.
+
+    No arguments are an empty object; what isn't a JSON object stays as it is, and never equals one.
+    """
+    given = F.coalesce(F.nullif(arguments, F.lit("")), F.lit("{}"))
+    parsed = canonical_json(given)
+    return F.concat(name, F.when(F.startswith(parsed, F.lit("{")), F.concat(F.lit(":"), parsed)).otherwise(F.concat(F.lit("?"), given)))
 
 
 def tool_ledger(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agentlake.functions import text as tx
 from agentlake.operators import chunks as ch, corpus as c, tables as tb
+from agentlake.operators.retrieval import hashed_embedding
 from agentlake.plans.relations import table
 
 QUERIES: dict = {}
@@ -165,14 +166,48 @@ def safe_keys(spark, d):
     return table(spark, d, "pages").select("page_id", tx.safe_key(F.col("url")).alias("key"), tx.document_key(F.col("url")).alias("doc_key"))
 
 
-@query()
-def page_blocks(spark, d):
-    return c.page_blocks(table(spark, d, "pages"))
+# Elements by name, as this SQL's patterns know no back references.
+ELEMENTS = "|".join(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "tr"))
+PLAIN = r"replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')".replace(r"\"", '"').format
 
 
-@query()
+@query(rf"""with bare as (select page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') as html from pages),
+found as (select page_id, regexp_extract_all(html, '(?is){ELEMENTS}') as r from bare), rows as (select page_id, i - 1 as spot, r[i] as raw, lower(regexp_extract(r[i], '^<([A-Za-z0-9]+)', 1)) as tag from found, unnest(range(1, len(r) + 1)) as u(i)),
+cells as (select *, regexp_replace(regexp_replace(raw, '(?i)</t[dh]\s*>\s*<t[dh]\b[^>]*>', ' | ', 'g'), '(?s)<[^>]+>', ' ', 'g') as c from rows),
+shown as (select *, case when tag = 'pre' then regexp_replace(raw, '(?s)<[^>]+>', '', 'g') else trim(regexp_replace({PLAIN('c')}, '\s+', ' ', 'g'), ' ') end as text from cells)
+select page_id, spot as block, case when tag[1] = 'h' then 'heading' when tag = 'li' then 'list' when tag = 'pre' then 'code' when tag = 'tr' then 'table' else 'paragraph' end as kind, case when tag[1] = 'h' then substr(tag, 2, 1)::int else 0 end as level, md5(text) as digest from shown where trim(text, ' ') <> ''""")
+def page_blocks(spark, d):
+    return c.page_blocks(table(spark, d, "pages")).select("page_id", "block", "kind", "level", F.md5("text").alias("digest"))
+
+
+def _marked(spark, d):
+    """Every document's lines in turn as headings, list items, table rows, fenced code, markup and plain lines."""
+    line, n = F.col("line"), (F.col("doc_id") + F.col("at")) % 12
+    form = (
+        F.when(n == 0, F.concat(F.lit("## "), line)).when(n == 1, F.concat(F.lit("- "), line)).when(n == 2, F.concat(F.lit("  2) "), line)).when(n == 3, F.concat(F.lit("| "), line, F.lit(" | x |"))).when(n == 4, F.concat(F.lit("```\n# "), line, F.lit("\n- in  code\n```")))
+        .when(n == 5, F.concat(F.lit("<b>"), line, F.lit("</b> a &amp; b<br>**bold** `code`  __under__"))).when(n == 6, F.concat(F.lit("   \n"), line, F.lit("\r\n"))).when(n == 7, F.concat(F.lit("```\n"), line)).otherwise(line)
+    )
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("at", "line"))
+    return lines.withColumn("form", form).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "form"))), lambda x: x["form"]), "\n").alias("text"))
+
+
+MARKED = r"""src as (select doc_id, i - 1 as spot, l[i] as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents), unnest(range(1, len(l) + 1)) as u(i)),
+formed as (select doc_id, spot, case (doc_id + spot) % 12 when 0 then '## ' || line when 1 then '- ' || line when 2 then '  2) ' || line when 3 then '| ' || line || ' | x |' when 4 then '```' || chr(10) || '# ' || line || chr(10) || '- in  code' || chr(10) || '```'
+  when 5 then '<b>' || line || '</b> a &amp; b<br>**bold** `code`  __under__' when 6 then '   ' || chr(10) || line || chr(13) || chr(10) when 7 then '```' || chr(10) || line else line end as form from src),
+marked as (select doc_id, regexp_replace(string_agg(form, chr(10) order by spot), '\r\n?', chr(10), 'g') as t from formed group by 1)"""
+STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({}, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&amp;', '&'), '(?s)\*\*(.+?)\*\*', '\1', 'g'), '(?s)__(.+?)__', '\1', 'g'), '`([^`\n]+)`', '\1', 'g'), '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')".format
+
+
+@query(rf"""with {MARKED}, lines as (select doc_id, i - 1 as spot, l[i] as line, regexp_matches(l[i], '^\s*```') as fence from (select doc_id, string_split(t, chr(10)) as l from marked), unnest(range(1, len(l) + 1)) as u(i)),
+fenced as (select *, coalesce(sum(fence::int) over (partition by doc_id order by spot rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as inside from lines),
+kinds as (select *, case when inside or fence then 'code' when trim(line, ' ') = '' then 'blank' when regexp_matches(line, '^#{{1,6}}\s') then 'heading' when regexp_matches(line, '^\s*\|') then 'table' when regexp_matches(line, '^\s*(?:[-*+]|\d+[.)])\s') then 'list' else 'paragraph' end as kind from fenced),
+begun as (select *, coalesce(lag(kind) over (partition by doc_id order by spot) <> kind, true) or kind = 'heading' or (fence and not inside) as begins from kinds),
+runs as (select *, sum(begins::int) over (partition by doc_id order by spot) as run from begun),
+blocks as (select doc_id, run, kind, max(case when kind = 'heading' then length(regexp_extract(line, '^(#{{1,6}})\s', 1)) else 0 end) as level, coalesce(string_agg(line, chr(10) order by spot) filter (where not fence), '') as t from runs where kind <> 'blank' group by all),
+shown as (select doc_id, run, kind, level, case when kind = 'code' then t else {STRIPPED(r"regexp_replace(t, '^#{1,6}\s+', '')")} end as text from blocks)
+select doc_id, row_number() over (partition by doc_id order by run) - 1 as block, kind, level, md5(text) as digest from shown where trim(text, ' ') <> ''""")
 def text_blocks(spark, d):
-    return c.text_blocks(_docs(spark, d)).select("doc_id", "block", "kind", "level", F.md5("text").alias("digest"))
+    return c.text_blocks(_marked(spark, d)).select("doc_id", "block", "kind", "level", F.md5("text").alias("digest"))
 
 
 @query()
@@ -184,12 +219,16 @@ def chunks(spark, d):
 
 @query()
 def ingest_status(spark, d):
-    """Every even document gets its vectors."""
+    """With vectors of hashed terms, which a chunk of no terms doesn't get."""
     return _ingested(spark, d).select("doc_id", "status", "chunks", "vectors", "quality")
 
 
 def _ingested(spark, d):
-    return ch.ingest(_gated(spark, d), lambda chunks: chunks.where("doc_id % 2 = 0").select("doc_id", "seq"))[0]
+    def embed(chunks):
+        keyed = chunks.select(F.struct("doc_id", "seq").alias("key"), F.col("embed_text").alias("text"))
+        return hashed_embedding(keyed, "key").select("key.*", "embedding")
+
+    return ch.ingest(_gated(spark, d), embed)[0]
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from agentlake.functions import text as tx
 from agentlake.operators import evaluation as ev, retrieval as r
+from agentlake.operators.numbering import numbered
 from agentlake.plans.relations import CORPUS, LINES, PASSAGES, VECTORS, corpus, line_chunks, passages, table, vector_queries, vectors
 from agentlake.plans.retrieval import BM25, HYBRID, VECTOR, _channels
 
@@ -256,6 +257,29 @@ def validate_candidates(spark, d):
     return ev.validate_candidates(cases).select("case_id", "reason")
 
 
+@query("""with items as (select item_id, text, row_number() over (order by item_id) - 1 as place, count(*) over () as n from benchmark),
+c as (select doc_id as case_id, d.text as indexed, substr(d.text, 11, 40) as excerpt, substr(d.text, 31, (5 + doc_id % 12)::int) || ' or ' || substr(items.text, 21, 30) as question from (select doc_id, coalesce(text, '') as text from documents) d join items on place = doc_id % n),
+s as (select case_id, trim(regexp_replace(indexed, '\\s+', ' ', 'g'), ' ') as i, trim(regexp_replace(question, '\\s+', ' ', 'g'), ' ') as q, trim(regexp_replace(excerpt, '\\s+', ' ', 'g'), ' ') as x, question, indexed from c),
+told as (select *, case when length(regexp_replace(question, '^\\s+|\\s+$', '', 'g')) < 6 then 'question too short' when x = '' then 'no excerpt' when not contains(i, x) then 'not verbatim' when length(x) < 8 then 'excerpt too short' when contains(i, q) then 'question copied' end as reason from s),
+grams as (select case_id, k, substr(q, k, 6) as g from told, unnest(range(1, length(q) - 4)) as u(k) where reason is null),
+held as (select case_id, k, substr(i, k, 6) as g from told, unnest(range(1, length(i) - 4)) as u(k) where reason is null),
+met as (select case_id, a.k, a.k - b.k as diagonal from grams a join held b using (case_id, g)),
+runs as (select case_id, diagonal, k - row_number() over (partition by case_id, diagonal order by k) as run from met),
+spans as (select case_id, max(n) + 5 as shared from (select case_id, diagonal, run, count(*) as n from runs group by all) group by 1),
+words as (select case_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]+|[\\x{4e00}-\\x{9fff}]')) as qt, list_distinct(regexp_extract_all(lower(indexed), '[a-z0-9_]+|[\\x{4e00}-\\x{9fff}]')) as it from told)
+select case_id, coalesce(reason, '') as reason, case when reason is null then coalesce(shared, 0) else -1 end as shared, reason is null and (coalesce(shared, 0) >= 10 or len(list_intersect(qt, it)) / greatest(len(qt), 1)::double >= 0.85) as leak
+from told left join spans using (case_id) join words using (case_id)""")
+def leaking_candidates(spark, d):
+    """Every document against a question of a few of its own words and some of a passage: accepted but for the shortest, with what they share."""
+    text = F.coalesce("text", F.lit(""))
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    placed = numbered(items, ["item_id"], name="place")
+    docs = table(spark, d, "documents").select("doc_id", text.alias("indexed")).withColumn("place", F.col("doc_id") % items.count())
+    question = F.concat(F.substr("indexed", F.lit(31), (F.col("doc_id") % 12 + 5).cast("int")), F.lit(" or "), F.substring("item", 21, 30))
+    cases = docs.join(placed, "place").select(F.col("doc_id").alias("case_id"), question.alias("question"), F.substring("indexed", 11, 40).alias("excerpt"), "indexed")
+    return ev.validate_candidates(cases).select("case_id", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("shared", F.lit(-1)).alias("shared"), "leak")
+
+
 GRAMS = "(select {0}, unnest(list_distinct(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' ')))) as g from (select {0}, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as w from {1}))".format
 
 

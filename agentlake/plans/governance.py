@@ -206,13 +206,14 @@ def snapshot_diff(spark, d):
     return tb.snapshot_diff(before, o.where(AFTER).select(F.col("o_orderkey").alias("key"), F.md5(changed).alias("hash")))
 
 
-@query("""select event_id, case when event_type = 'view' then '/w/' || user_id when event_type = 'click' then '/w/' || user_id || '|a"b' else '' end as paths from events""")
+@query("""select event_id, case when event_type = 'view' then '/w/' || user_id when event_type = 'click' then 'a"b|/k/' || regexp_extract(props, '[0-9]+') || '|/w/' || user_id || '|/e' else '' end as paths from events""")
 def path_args(spark, d):
-    """Made-up arguments: a file tool's path, nested ones of another tool with quotes inside, and none."""
-    path = F.concat(F.lit("/w/"), F.col("user_id").cast("string"))
-    single, nested = F.concat(F.lit('{"path":"'), path, F.lit('","x":{"file":"no"}}')), F.concat(F.lit('{"a":[{"file":"'), path, F.lit(r'","b":{"dir":"a\"b"},"url":"u","c":"\"path\":\"z\""}]}'))
+    """A file tool's path, nested arguments of another tool around the row's own props, with quotes inside and an escaped key, and no JSON."""
+    path, own = F.concat(F.lit("/w/"), F.col("user_id").cast("string")), F.concat(F.lit('{"dir":"/k/'), F.get_json_object("props", "$.k"), F.lit('"}'))
+    single = F.concat(F.lit('{"x":{"file":"no"}, "path":"'), path, F.lit('","k":'), F.col("props"), F.lit("}"))
+    nested = F.concat(F.lit('{"a": [{"file":"'), path, F.lit(r'","b":{"dir":"a\"b", "k":'), own, F.lit(r'},"url":"u","c":"\"path\":\"z\"","p\u0061th":"/e"}]}'))
     kind = F.col("event_type")
-    text = F.when(kind == "view", single).when(kind == "click", nested).otherwise("{}")
+    text = F.when(kind == "view", single).when(kind == "click", nested).otherwise(F.concat(F.lit('{"path":"/broken", '), F.col("props")))
     return table(spark, d, "events").select("event_id", F.array_join(g.path_args(F.when(kind == "view", "read").otherwise("mcp"), text), "|").alias("paths"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from agentlake.functions import scoring, text as tx
-from agentlake.operators import retrieval as r
+from agentlake.operators import pivots as pv, retrieval as r
 from agentlake.plans.relations import CORPUS, PASSAGES, VECTORS, corpus, passages, vector_queries, vectors
+from agentlake.sources import buckets
+from agentlake.sources.staging import staged, staging_root
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -56,6 +60,15 @@ def vector_topk(spark, d):
     return r.vector_topk(vector_queries(spark, d), vectors(spark, d), 10)
 
 
+@query(f"with {VECTOR} select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from near qualify rank <= 10")
+def pivot_vector_topk(spark, d):
+    """The same by groups round pivots, written and read back, whole groups skipped."""
+    root, every = f"{staging_root(spark)}/pivots-{uuid.uuid4().hex}", vectors(spark, d)
+    for name, part in zip(("members", "pivots"), pv.pivot_index(every)):
+        part.write.parquet(f"{root}/{name}")
+    return pv.pivot_topk(vector_queries(spark, d), every, spark.read.parquet(f"{root}/members"), spark.read.parquet(f"{root}/pivots"), 10)[0]
+
+
 HASHED = f"""terms as (select kind, id, md5(term) as h from (select kind, id, unnest({TOKENS('text')}) as term from (select 0 as kind, chunk_id as id, text from corpus union all select 1, query_id, text from passages))),
 cells as (select kind, id, ('0x' || substr(h, 1, 8))::bigint % 64 as bucket, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 0 then 1 else -1 end)::double as w from terms group by all),
 norms as (select kind, id, sqrt(sum(w * w)) as n from cells group by all),
@@ -101,8 +114,14 @@ def hybrid_retrieval(spark, d):
     return r.retrieve(queries, chunks, own(chunks, "chunk_id"), own(queries, "query_id")).select("query_id", "chunk_id", "doc_key", "rerank_score", "rank")
 
 
-PLANNED = f"""{HYBRID}, state as (select query_id, user_id, text, case query_id % 3 when 0 then 'ok' when 1 then 'embed_failed' else 'down' end as vector_state, query_id % 2 = 0 as lexical_ok from passages),
-sem as (select query_id, chunk_id, rank from semantic join state using (query_id) where rank <= 20 and vector_state = 'ok'), lex as (select query_id, chunk_id, rank from lexical join state using (query_id) where rank <= 20 and lexical_ok),
+EMBEDDED = "case when c.title_path <> '' then c.title_path || chr(10) || chr(10) || c.text else c.text end"
+
+
+def PLANNED(inside: str) -> str:  # noqa: N802
+    """Searches with failing channels; ``inside`` says which chunk_id a query_id may see."""
+    return f"""{HYBRID}, state as (select query_id, user_id, text, case query_id % 3 when 0 then 'ok' when 1 then 'embed_failed' else 'down' end as vector_state, query_id % 2 = 0 as lexical_ok from passages),
+sem as (select query_id, chunk_id, rank from (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from semantic where {inside}) join state using (query_id) where rank <= 20 and vector_state = 'ok'),
+lex as (select query_id, chunk_id, rank from (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from lexical where {inside}) join state using (query_id) where rank <= 20 and lexical_ok),
 health as (select s.query_id, vector_state, lexical_ok, coalesce(v, 0) as vector_hits, coalesce(x, 0) as lexical_hits from state s left join (select query_id, count(*) as v from sem group by 1) using (query_id) left join (select query_id, count(*) as x from lex group by 1) using (query_id)),
 planned as (select query_id, case when vector_state = 'ok' and lexical_ok then case when vector_hits + lexical_hits > 0 then 'hybrid' else 'empty' end when vector_state = 'ok' then case when vector_hits > 0 then 'vector_only' else 'empty' end when lexical_ok and lexical_hits > 0 then 'bm25_fallback' else 'sql_fallback' end as mode,
   case when vector_state = 'ok' and lexical_ok then case when vector_hits + lexical_hits > 0 then 'hybrid_ok' else 'no_hits' end when vector_state = 'ok' then case when vector_hits > 0 then 'vector_only' else 'no_hits' end when lexical_ok and lexical_hits > 0 then case when vector_state = 'embed_failed' then 'embed_failed' else 'bm25_fallback' end else 'sql_fallback' end as outcome,
@@ -110,27 +129,38 @@ planned as (select query_id, case when vector_state = 'ok' and lexical_ok then c
 both_ as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as score from (select * from sem union all select * from lex) group by all)),
 window_ as (select b.query_id, c.*, s.text as query from both_ b join planned p using (query_id) join state s using (query_id) join corpus c using (chunk_id) where not need_sql and b.rank <= 20 and c.user_id = s.user_id),
 ordered as (select query_id, chunk_id, doc_key, round(len(list_intersect(list_distinct({TOKENS('query')}), list_distinct({TOKENS("case when title_path <> '' and not contains(text, title_path) then title_path || chr(10) || text else text end")}))) / len(list_distinct({TOKENS('query')}))::double, 6) as score from window_),
-plain as (select query_id, chunk_id, doc_key, row_number() over (partition by query_id order by doc_key, seq, chunk_id) as rank from planned join state s using (query_id) join corpus c using (user_id) where need_sql and contains(lower(c.title_path || chr(10) || c.text), lower(substr(trim(s.text, ' '), 1, 64)))),
+plain as (select query_id, chunk_id, doc_key, row_number() over (partition by query_id order by doc_key, seq, chunk_id) as rank from planned join state s using (query_id) join corpus c using (user_id) where need_sql and {inside} and contains(lower({EMBEDDED}), lower(substr(trim(s.text, ' '), 1, 64)))),
 served as (select * from (select query_id, chunk_id, doc_key, row_number() over (partition by query_id order by score desc, chunk_id) as rank, score from ordered union all select query_id, chunk_id, doc_key, rank, 0 from plain) where rank <= 5)"""
 
 
-def _searched(spark, d):
+OUTCOMES = """select query_id, case when need_sql then 'sql_fallback' else mode end as mode, case when need_sql then 'sql_fallback' when served > 0 then outcome else 'no_hits' end as outcome, degraded, coalesce(served, 0) as served
+  from planned left join (select query_id, count(*) as served from served group by 1) using (query_id)"""
+
+
+def searched(spark, d, scope=None):
     """Channels fail by the number of the query."""
     state = F.when(F.col("query_id") % 3 == 0, "ok").when(F.col("query_id") % 3 == 1, "embed_failed").otherwise("down")
     queries, chunks = passages(spark, d), corpus(spark, d)
     own = lambda rows, key: rows.select(key, "user_id").join(r.hashed_embedding(rows, key), key)
     health = queries.select("query_id", state.alias("vector_state"), (F.col("query_id") % 2 == 0).alias("lexical_ok"))
-    return r.search(queries, chunks, own(chunks, "chunk_id"), own(queries, "query_id"), health=health)
+    return r.search(queries, chunks, own(chunks, "chunk_id"), own(queries, "query_id"), health=health, scope=scope and scope(queries, chunks))
 
 
-@query(f"with {PLANNED} select query_id, chunk_id, doc_key, rank, score from served")
+@query(f"with {PLANNED('true')} select query_id, chunk_id, doc_key, rank, score from served")
 def search_hits(spark, d):
-    return _searched(spark, d)[0]
+    return searched(spark, d)[0]
 
 
-@query(f"with {PLANNED} select query_id, case when need_sql then 'sql_fallback' else mode end as mode, case when need_sql then 'sql_fallback' when query_id in (select query_id from served) then outcome else 'no_hits' end as outcome, degraded from planned")
+@query(f"with {PLANNED('true')} {OUTCOMES}")
 def search_outcomes(spark, d):
-    return _searched(spark, d)[1]
+    return searched(spark, d)[1]
+
+
+@query(f"with {PLANNED('(query_id % 4 >= 2 or chunk_id % 3 = 0)')} select query_id, chunk_id, doc_key, rank, score, outcome from served join ({OUTCOMES}) using (query_id)")
+def scoped_search(spark, d):
+    """Half of the queries see every third document only, in whatever channel serves them."""
+    hits, outcomes = searched(spark, d, lambda queries, chunks: queries.where("query_id % 4 < 2").select("query_id", "user_id").join(chunks.where("chunk_id % 3 = 0").select("user_id", "doc_key"), "user_id").select("query_id", "doc_key"))
+    return hits.join(outcomes.select("query_id", "outcome"), "query_id")
 
 
 CHANGED = "select chunk_id, user_id, doc_key, 0 as seq, title_path, case when chunk_id % 3 = 0 then 'renewed ' || text else text end as text from corpus where chunk_id % 7 <> 0"
@@ -146,8 +176,12 @@ def updated_index(spark, d):
 
 @query(f"with {BM25} select query_id, chunk_id, score, rank from lexical where rank <= 5")
 def indexed_bm25_topk(spark, d):
-    """By the stored index alone."""
-    return r.bm25_topk(passages(spark, d), None, 5, r.lexical_index(corpus(spark, d)))
+    """By a stored index alone, read back: postings with their weights in folders by their term, and the highest weights of blocks."""
+    root = f"{staging_root(spark)}/index-{uuid.uuid4().hex}"
+    weighed, blocks = r.weighted_index(staged(r.lexical_index(corpus(spark, d))))
+    buckets.store(weighed, f"{root}/postings", ("term",))
+    buckets.store(blocks, f"{root}/blocks", ("term",))
+    return r.pruned_topk(passages(spark, d), buckets.stored(spark, f"{root}/postings"), buckets.stored(spark, f"{root}/blocks"), 5)[0].select("query_id", "chunk_id", "score", "rank")
 
 
 @query(f"with {BM25} select l.query_id, l.chunk_id, l.rank, c.doc_key, c.user_id, length(c.text) as n_chars from lexical l join passages p using (query_id) join corpus c on c.chunk_id = l.chunk_id and c.user_id = p.user_id where l.rank <= 10")
@@ -192,7 +226,7 @@ def score_fill(spark, d):
 
 
 @query(f"""with {CORPUS}, {PASSAGES}, found as (select query_id, chunk_id, doc_key, row_number() over (partition by query_id order by doc_key, seq, chunk_id) as rank
-  from passages p join corpus c using (user_id) where contains(lower(c.title_path || chr(10) || c.text), lower(substr(trim(p.text, ' '), 1, 64))) and trim(p.text, ' ') <> '') select * from found where rank <= 20""")
+  from passages p join corpus c using (user_id) where contains(lower({EMBEDDED}), lower(substr(trim(p.text, ' '), 1, 64))) and trim(p.text, ' ') <> '') select * from found where rank <= 20""")
 def substring_search(spark, d):
     return r.substring_search(passages(spark, d), corpus(spark, d))
 

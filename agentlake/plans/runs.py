@@ -82,11 +82,17 @@ def paired_tool_calls(spark, d):
     return t.pair_tool_calls(_log(spark, d).withColumn("call_ids", F.array("call_id"))).fillna(0, ["asked_at"])
 
 
-@query(f"with {LOG}, k as (select *, name || ':' || props as key from log where type = 'ToolCall' and not denied and event_id % 7 <> 0 and event_id % 11 <> 0) select run_id, name, count(*) as entries, max(pos) as last from (select *, row_number() over (partition by run_id, key order by pos desc) as nth from k) where nth = 1 group by all")
+@query(f"""with {LOG}, typed as (select *, case (event_id // 3) % 3 when 0 then '1' when 1 then '"1"' else '1.0' end as v from log where type = 'ToolCall' and not denied and event_id % 7 <> 0 and event_id % 11 <> 0),
+k as (select *, name || ':{{"a":true,"z":{{"a":' || v || ',"q":[{{"m":' || replace(props, ' ', '') || '}},null]}}}}' as key from typed)
+select run_id, name, count(*) as entries, max(pos) as last, md5(string_agg(key, '|' order by key)) as digest from (select *, row_number() over (partition by run_id, key order by pos desc) as nth from k) where nth = 1 group by run_id, name""")
 def tool_ledger(spark, d):
-    """Props have one key, so their text is canonical as it is."""
-    log = _log(spark, d).withColumns({"arguments": F.col("props"), "result": F.col("props"), "unknown": F.col("event_id") % 7 == 0, "crashed": F.col("event_id") % 11 == 0})
-    return t.tool_ledger(log).groupBy("run_id", F.substring_index("key", ":", 1).alias("name")).agg(F.count(F.lit(1)).alias("entries"), F.max("pos").alias("last"))
+    """Every row's props three levels deep, beside a number, a string or a decimal that look alike, with keys in either order."""
+    value = F.when(F.floor(F.col("event_id") / 3) % 3 == 0, "1").when(F.floor(F.col("event_id") / 3) % 3 == 1, '"1"').otherwise("1.0")
+    one = F.concat(F.lit('{"z": {"q": [{"m":'), F.col("props"), F.lit('}, null], "a": '), value, F.lit('}, "\\u0061": true}'))
+    other = F.concat(F.lit('{"a":true,"z":{"a":'), value, F.lit(',"q":[{"m":'), F.col("props"), F.lit("},null]}}"))
+    log = _log(spark, d).withColumns({"arguments": F.when(F.floor(F.col("event_id") / 9) % 2 == 0, one).otherwise(other), "result": F.col("props"), "unknown": F.col("event_id") % 7 == 0, "crashed": F.col("event_id") % 11 == 0})
+    keys = F.md5(F.array_join(F.array_sort(F.collect_list("key")), "|"))
+    return t.tool_ledger(log).groupBy("run_id", F.substring_index("key", ":", 1).alias("name")).agg(F.count(F.lit(1)).alias("entries"), F.max("pos").alias("last"), keys.alias("digest"))
 
 
 @query(f"with {LOG}, runs as (select run_id, user_id, min(ts) as created_at, 'm' || min(event_id) % 5 as model from log group by all), placed as (select *, row_number() over w as nth, first_value(model) over w as session_model from runs window w as (partition by user_id order by created_at, run_id)) select user_id as session_id, row_number() over (partition by user_id order by nth, pos) - 1 as spot, log.run_id, pos, session_model from log join placed using (run_id, user_id)")

@@ -49,10 +49,33 @@ def stored_golden(spark, d):
     return cases.select("case_id", F.lit("").alias("reason")).unionByName(rejected.select("case_id", "reason"))
 
 
-QUERIES = {f.__name__: f for f in (stored_trajectories, stored_audit, stored_chunks, stored_golden)}
+def stored_tasks(spark, d):
+    """First turns of conversations as task files, a folder for each hundred of them, numbered by file and id."""
+    root, i = _root(spark), F.col("conv_id")
+    task = F.struct(F.format_string("t%09d", i).alias("id"), F.coalesce("text", F.lit("")).alias("prompt"), F.concat(F.lit("c"), i % 3).alias("category"))
+    first = table(spark, d, "conversations").where("turn = 0")
+    files = first.groupBy(F.format_string("%06d", F.floor(i / 100)).alias("file")).agg(F.to_json(F.collect_list(task)).alias("value"))
+    files.repartition("file").write.partitionBy("file").text(root)
+    return st.load_tasks(spark, root).select("id", F.col("at").alias("place"), F.md5("prompt").alias("digest"), "category")
+
+
+def stored_inputs(spark, d):
+    """Documents as files of their language, of a kind that is taken in or not; how many of each, and whether any is empty."""
+    root = _root(spark)
+    docs = table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).repartition("lang")
+    docs.write.partitionBy("lang").text(f"{root}/plain")
+    docs.write.partitionBy("lang").csv(f"{root}/tables")
+    docs.write.partitionBy("lang").json(f"{root}/records")
+    found = st.list_inputs(spark, root).withColumns({"lang": F.regexp_extract("path", "/lang=([^/]*)/", 1), "kind": F.regexp_extract("path", "/(plain|tables|records)/", 1)})
+    return found.groupBy("kind", "lang", "supported").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("length") > 0).alias("filled"))
+
+
+QUERIES = {f.__name__: f for f in (stored_trajectories, stored_audit, stored_chunks, stored_golden, stored_tasks, stored_inputs)}
 SQL = {
     "stored_trajectories": f"with {ACTIVITY} select run_id, (row_number() over (partition by run_id order by ts, event_id) - 1)::int as pos, event_type as type, user_id::varchar as user_id, event_id::varchar as call_id, not ok as is_error from activity",
     "stored_audit": f"with {ACTIVITY} select day, event_type, count(*) as n, sum(event_id)::bigint as ids from activity group by all",
     "stored_chunks": "select doc_id, doc_id % 100 as user_id, md5(coalesce(text, '')) as digest from documents",
     "stored_golden": "select 'c' || item_id as case_id, case when item_id % 7 = 0 then 'category' when item_id % 5 = 0 then 'no gold' else '' end as reason from benchmark",
+    "stored_tasks": "select format('t{:09d}', conv_id) as id, row_number() over (order by conv_id) - 1 as place, md5(coalesce(text, '')) as digest, 'c' || (conv_id % 3) as category from conversations where turn = 0",
+    "stored_inputs": "select kind, lang, kind <> 'records' as supported, 1 as files, 1 as filled from (select distinct coalesce(lang, 'none') as lang from documents), (values ('plain'), ('tables'), ('records')) t(kind)",
 }

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def staging_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where it is unset, local sessions (tests) get a temporary folder and clusters the warehouse,
-    which every executor reaches.
+    Where it is unset, local sessions (tests) get a temporary folder; a cluster has to name one, as each machine would
+    write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local"):
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-staged-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root or f"{spark.conf.get('spark.sql.warehouse.dir')}/staged"
+    return root
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -27,7 +29,17 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/agentlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``staged`` wrote for ``df``, once nothing that is still to be computed reads it."""
+    spark, path = df.sparkSession, getattr(df, "staged_at", None)
+    if path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 #: A file above this size has row groups enough to be read by many tasks as it lies.

@@ -60,8 +60,8 @@ def load_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def load_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Task files of a folder, numbered in the order of their names."""
-    tasks = spark.read.schema(TASK).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    """Task files of a folder and those below, numbered in the order of their paths."""
+    tasks = spark.read.schema(TASK).option("recursiveFileLookup", "true").json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
     return numbered(tasks, ["file", "id"], name="at")
 
 
