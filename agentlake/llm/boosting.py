@@ -15,31 +15,29 @@ class BoostedTrees:
         x, y = np.asarray(x, float), np.asarray(y, float)
         n, width = x.shape
         self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins)[1:-1])) for f in range(width)]
-        binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(self.edges)], axis=1)
+        used = [f for f, e in enumerate(self.edges) if len(e)]
+        # Each cell of (feature, bin) has a number; the cells of all features are summed at once.
+        cells = len(used) * self.bins
+        cell = np.stack([np.searchsorted(self.edges[f], x[:, f], side="left") + k * self.bins for k, f in enumerate(used)], axis=1) if used else np.zeros((n, 0), int)
+        cut = np.arange(self.bins) < np.array([len(self.edges[f]) for f in used], int)[:, None]
         self.base = float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
         score = np.full(n, self.base)
         self.features, self.cuts, self.leaves = [], [], []
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
             gradient, weight = y - p, p * (1 - p)
+            repeated = np.repeat(gradient, len(used)), np.repeat(weight, len(used))
             node = np.zeros(n, int)
             features, cuts = np.zeros(2**self.depth - 1, int), np.full(2**self.depth - 1, np.inf)
             for level in range(self.depth):
                 wide = 2**level
-                best = np.full(wide, 1e-9)
-                for f in range(width):
-                    key = node * self.bins + binned[:, f]
-                    g = np.bincount(key, gradient, wide * self.bins).reshape(wide, -1).cumsum(1)
-                    h = np.bincount(key, weight, wide * self.bins).reshape(wide, -1).cumsum(1)
-                    gain = g**2 / (h + self.ridge) + (g[:, -1:] - g) ** 2 / (h[:, -1:] - h + self.ridge) - g[:, -1:] ** 2 / (h[:, -1:] + self.ridge)
-                    gain = gain[:, : len(self.edges[f])]
-                    if not gain.shape[1]:
-                        continue
-                    at = gain.argmax(1)
-                    better = gain[np.arange(wide), at] > best
-                    best = np.where(better, gain[np.arange(wide), at], best)
-                    for k in np.flatnonzero(better):
-                        features[wide - 1 + k], cuts[wide - 1 + k] = f, self.edges[f][at[k]]
+                key = (cell + node[:, None] * cells).ravel()
+                g, h = (np.bincount(key, w, wide * cells).reshape(wide, len(used), self.bins).cumsum(2) for w in repeated)
+                gain = g**2 / (h + self.ridge) + (g[..., -1:] - g) ** 2 / (h[..., -1:] - h + self.ridge) - g[..., -1:] ** 2 / (h[..., -1:] + self.ridge)
+                gain = np.where(cut, gain, -np.inf).reshape(wide, -1)
+                for k in np.flatnonzero(gain.max(1, initial=-np.inf) > 1e-9):
+                    f, at = divmod(int(gain[k].argmax()), self.bins)
+                    features[wide - 1 + k], cuts[wide - 1 + k] = used[f], self.edges[used[f]][at]
                 inner = wide - 1 + node
                 node = 2 * node + (x[np.arange(n), features[inner]] > cuts[inner])
             g, h = np.bincount(node, gradient, 2**self.depth), np.bincount(node, weight, 2**self.depth)
