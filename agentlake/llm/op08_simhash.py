@@ -177,9 +177,10 @@ def drop_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     names, digest = ["key", "digest0", "digest1"], row_digest(docs)
     rows = staged(fingerprints(docs, *digest))
     first = rooted(rows, radius, F.min(F.struct(*names))).groupBy("root").agg(F.min("first").alias("first"))
-    keep = first.select("root", "first.*")
+    # Equal rows have one root, so the join's partitions and order by (key, digests) serve to drop what is twice: rows are shuffled and sorted once.
+    keep = first.select("first.*").hint("merge")
     found = docs.select(id_key().alias("key"), *digest, F.struct(*docs.columns).alias("row")).join(keep, names)
-    return found.dropDuplicates([*names, "root"]).select("row.*")
+    return found.dropDuplicates(names).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
