@@ -259,15 +259,6 @@ def overlap_score(query: Column, title_path: Column, text: Column) -> Column:
     return F.round(scoring.lexical_overlap(tx.term_set(query), tx.term_set(tx.index_text(title_path, text))), 6)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5, candidates: int = 20, weight: float = 1.0) -> DataFrame:
-    """Both channels, fusion, hydration with the owner checked again, rerank by overlap."""
-    lexical = bm25_topk(queries, chunks, candidates)
-    vector = vector_topk(query_vectors, vectors, candidates)
-    fused = rrf([(vector, 1.0), (lexical, weight)])
-    hits = hydrate(fused.where(F.col("rank") <= max(k, candidates)), queries, chunks).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    return rerank(hits, overlap_score(F.col("query"), F.col("title_path"), F.col("text")), k, candidates)
-
-
 def _renumbered(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")))
 
@@ -311,6 +302,11 @@ def search(
     return served, outcomes.unionByName(queries.where(blank).select("query_id", F.lit("empty").alias("mode"), F.lit("no_hits").alias("outcome"), F.lit(False).alias("degraded"), F.lit(0).cast("long").alias("served")))
 
 
+def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5, candidates: int = 20, weight: float = 1.0) -> DataFrame:
+    """The hits of ``search`` while both channels work."""
+    return search(queries, chunks, vectors, query_vectors, k, candidates, weight)[0]
+
+
 def citation_line() -> Column:
     """Section, else title, with page and origin (source path, else document)."""
     part = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))

@@ -123,18 +123,18 @@ def sentence_splits(spark, d):
 
 @query("select doc_id, case when doc_id % 4 <> 3 then doc_id % 90 else -1 end::int as passed, case when doc_id % 4 = 0 then doc_id % 90 when doc_id % 4 < 3 then doc_id % 90 + doc_id % 7 + 2 else -1 end::int as total from documents")
 def test_summaries(spark, d):
-    """Summary lines of test runs with and without failures, errors and the word passed; -1 for what is null."""
+    """Every text around the summary line of a test run with and without failures, errors and the word passed; -1 for what is null."""
     n, bad = (F.col("doc_id") % 90).cast("string"), (F.col("doc_id") % 7).cast("string")
     told = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("== "), n, F.lit(" passed in 3.2s =="))).when(F.col("doc_id") % 4 == 3, F.concat(n, F.lit(" failed"))).otherwise(F.concat(F.lit("== "), bad, F.lit(" failed, "), n, F.lit(" passed, 2 errors in 1s ==")))
-    return _docs(spark, d).select("doc_id", tx.test_summary(told).alias("s")).select("doc_id", "s.*").fillna(-1)
+    return _docs(spark, d).select("doc_id", tx.test_summary(F.concat_ws("\n", "text", told, "text")).alias("s")).select("doc_id", "s.*").fillna(-1)
 
 
-@query("select doc_id, case when doc_id % 3 < 2 then doc_id || '|b' end as items from documents")
+@query("select doc_id, case when doc_id % 3 < 2 then md5(text || '|b') end as items from (select doc_id, coalesce(text, '') as text from documents)")
 def json_answers(spark, d):
-    """A fenced array, an array between words with a second one behind it, and one that never closes."""
-    array = F.concat(F.lit('["'), F.col("doc_id").cast("string"), F.lit('", "b"]'))
-    told = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), array, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here: "), array, F.lit(" and [1]"))).otherwise(F.concat(F.lit('so ["'), F.col("doc_id").cast("string")))
-    return _docs(spark, d).select("doc_id", F.array_join(tx.json_array(told), "|").alias("items"))
+    """Every text in a fenced array, in an array between words with a second one behind it, and in one that never closes."""
+    array = F.to_json(F.array(F.coalesce("text", F.lit("")), F.lit("b")))
+    told = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), array, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Here: "), array, F.lit(" and [1]"))).otherwise(F.concat(F.lit("so "), F.substr(array, F.lit(1), F.least(F.length(array) - 1, F.lit(40)))))
+    return _docs(spark, d).select("doc_id", F.md5(F.array_join(tx.json_array(told), "|")).alias("items"))
 
 
 @query("select page_id, regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)', '\\1user:***@') as url from pages")
@@ -187,7 +187,7 @@ def _marked(spark, d):
         F.when(n == 0, F.concat(F.lit("## "), line)).when(n == 1, F.concat(F.lit("- "), line)).when(n == 2, F.concat(F.lit("  2) "), line)).when(n == 3, F.concat(F.lit("| "), line, F.lit(" | x |"))).when(n == 4, F.concat(F.lit("```\n# "), line, F.lit("\n- in  code\n```")))
         .when(n == 5, F.concat(F.lit("<b>"), line, F.lit("</b> a &amp; b<br>**bold** `code`  __under__"))).when(n == 6, F.concat(F.lit("   \n"), line, F.lit("\r\n"))).when(n == 7, F.concat(F.lit("```\n"), line)).otherwise(line)
     )
-    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("at", "line"))
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
     return lines.withColumn("form", form).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "form"))), lambda x: x["form"]), "\n").alias("text"))
 
 
@@ -231,9 +231,25 @@ def _ingested(spark, d):
     return ch.ingest(_gated(spark, d), embed)[0]
 
 
-@query()
+HOOKED = f"""{GATED}, ended as (select g.doc_id, case when needs_heavy_parser and doc_id % 4 <> 0 then 'needs_heavy_parser' when regexp_replace(d.text, '\\s+', '', 'g') = '' and not needs_heavy_parser then 'failed' when doc_id % 5 = 0 then 'index_pending' else 'ready' end as status from gated g join d using (doc_id))"""
+
+
+def _hooked(spark, d):
+    """A parser that reads every fourth of what the gate refuses, and an embedder that leaves out every fifth document."""
+    parse = lambda refused: refused.where("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("<p>read: "), F.col("doc_id").cast("string"), F.lit("</p>")).alias("text"))
+    embed = lambda chunks: chunks.where("doc_id % 5 <> 0").select("doc_id", "seq", F.array(F.lit(1.0)).alias("embedding"))
+    return ch.ingest(_gated(spark, d), embed, parse)[0]
+
+
+@query(f"with {HOOKED} select doc_id, status from ended")
+def hooked_ingest(spark, d):
+    return _hooked(spark, d).select("doc_id", "status")
+
+
+@query(f"with {HOOKED} select status, count(*) as docs, status in ('ready', 'index_pending') as has_chunks, status = 'ready' as has_vectors from ended group by 1")
 def ingest_summary(spark, d):
-    return c.ingest_summary(_ingested(spark, d))
+    told = c.ingest_summary(_hooked(spark, d))
+    return told.select("status", "docs", ((F.col("stored") >= F.col("docs")) & (F.col("tokens") > 0)).alias("has_chunks"), ((F.col("indexed") == F.col("stored")) & (F.col("indexed") > 0)).alias("has_vectors"))
 
 
 @query("select page_id, md5('x ' || page_id || ' ≥ ' || page_id || ' unit' || chr(10) || '| ' || page_id || ' | b & c |' || chr(10) || 'end') as digest from pages")
@@ -280,10 +296,12 @@ def replace_chunks(spark, d):
     return tb.replaced(lines, lines.where("l_orderkey % 5 = 0 and l_linenumber = 1"), ("l_orderkey",))
 
 
-@query("select l_orderkey, count(*) as rows from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'F' group by 1".replace("as rows", "as n_rows"))
+@query("select l_orderkey, case when o_orderstatus = 'F' then 0 else sum(l_quantity) end as quantity, case when o_orderstatus = 'F' then count(*) else 0 end as gone from lineitem join orders on o_orderkey = l_orderkey group by l_orderkey, o_orderstatus")
 def delete_docs(spark, d):
-    gone = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return tb.deleted(table(spark, d, "lineitem"), gone, ("l_orderkey",))[1].withColumnRenamed("rows", "n_rows")
+    """What stays of every order, and how many rows of the finished ones go."""
+    finished = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    left, gone = tb.deleted(table(spark, d, "lineitem"), finished, ("l_orderkey",))
+    return left.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity")).join(gone.select("l_orderkey", F.col("rows").alias("gone")), "l_orderkey", "full").fillna(0, ["quantity", "gone"])
 
 
 @query("select vec_id as chunk_id, round(list_sum(embedding::double[]), 6) as total from embeddings where vec_id % 4 <> 0 union all select vec_id, round(-list_sum(embedding::double[]), 6) from embeddings where vec_id % 4 = 0")

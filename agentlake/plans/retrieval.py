@@ -69,12 +69,17 @@ def pivot_vector_topk(spark, d):
     return pv.pivot_topk(vector_queries(spark, d), every, spark.read.parquet(f"{root}/members"), spark.read.parquet(f"{root}/pivots"), 10)[0]
 
 
-HASHED = f"""terms as (select kind, id, md5(term) as h from (select kind, id, unnest({TOKENS('text')}) as term from (select 0 as kind, chunk_id as id, text from corpus union all select 1, query_id, text from passages))),
+def HASHED_OF(rows: str) -> str:  # noqa: N802
+    """Hashed vectors of (kind, id, text), cell by cell."""
+    return f"""terms as (select kind, id, md5(term) as h from (select kind, id, unnest({TOKENS('text')}) as term from ({rows}))),
 cells as (select kind, id, ('0x' || substr(h, 1, 8))::bigint % 64 as bucket, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 0 then 1 else -1 end)::double as w from terms group by all),
 norms as (select kind, id, sqrt(sum(w * w)) as n from cells group by all),
 unit as (select kind, id, bucket, case when n > 0 then w / n else w end as w from cells join norms using (kind, id))"""
 
 
+HASHED = HASHED_OF("select 0 as kind, chunk_id as id, text from corpus union all select 1, query_id, text from passages")
+
+
 @query(f"with {CORPUS}, {PASSAGES}, {HASHED} select id as chunk_id, count(*) filter (where w <> 0) as cells, round(sum(w * (bucket + 1)), 6) as moment from unit where kind = 0 group by 1")
 def hashed_embeddings(spark, d):
     e = r.hashed_embedding(corpus(spark, d), "chunk_id")
@@ -111,7 +116,7 @@ select query_id, chunk_id, doc_key, rerank_score, row_number() over (partition b
 def hybrid_retrieval(spark, d):
     queries, chunks = passages(spark, d), corpus(spark, d)
     own = lambda rows, key: rows.select(key, "user_id").join(r.hashed_embedding(rows, key), key)
-    return r.retrieve(queries, chunks, own(chunks, "chunk_id"), own(queries, "query_id")).select("query_id", "chunk_id", "doc_key", "rerank_score", "rank")
+    return r.retrieve(queries, chunks, own(chunks, "chunk_id"), own(queries, "query_id")).select("query_id", "chunk_id", "doc_key", F.col("score").alias("rerank_score"), "rank")
 
 
 EMBEDDED = "case when c.title_path <> '' then c.title_path || chr(10) || chr(10) || c.text else c.text end"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from agentlake.functions import text as tx
-from agentlake.operators import flywheel as fw, memory as m, tables as tb, trajectory as t
+from agentlake.operators import flywheel as fw, memory as m, retrieval as r, tables as tb, trajectory as t
 from agentlake.plans.relations import ACTIVITY, activity, table
+from agentlake.plans.retrieval import HASHED_OF
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -277,12 +278,27 @@ def lexical_recall(spark, d):
     return m.lexical_recall(_asked(spark, d), memories(spark, d))
 
 
-@query(f"with {RECALLED}, vec as (select query_id, query_id as id, 1 as rank from asked where query_id % 3 = 0 and query_id in (select id from memories where superseded_by is null)) select query_id, id, rank, 'vector_hit' as outcome from vec union all select a.query_id, coalesce(id, 0), coalesce(rank, 0), case when embed_failed then 'embed_failed' when id is not null then 'lexical_fallback' else 'no_hits' end from asked a left join (select * from ranked where rank <= 3) r using (query_id) where a.query_id not in (select query_id from vec)")
+def NEAR(asked: str) -> str:  # noqa: N802
+    """The user's memories by the cosine of hashed vectors, for the questions that ``asked`` holds of."""
+    return f"""{RECALLED}, {HASHED_OF("select 0 as kind, id, text from memories union all select 1, query_id, text from asked")},
+products as (select q.id as query_id, v.id, sum(q.w * v.w) as score from unit q join unit v on q.kind = 1 and v.kind = 0 and q.bucket = v.bucket group by all),
+near as (select a.query_id, m.id, row_number() over (partition by a.query_id order by round(coalesce(score, 0), 6) desc, m.id) as rank from asked a join memories m using (user_id) left join products p on p.query_id = a.query_id and p.id = m.id
+  where {asked} and a.query_id in (select id from unit where kind = 1) and m.id in (select id from unit where kind = 0))"""
+
+
+def _near(asked, rows, k):
+    """(query_id, id, rank) by hashed vectors."""
+    own = lambda df, key: df.select(key, "user_id").join(r.hashed_embedding(df, key), key)
+    return r.vector_topk(own(asked, "query_id"), own(rows, "id").withColumnRenamed("id", "chunk_id"), k).withColumnRenamed("chunk_id", "id")
+
+
+@query(f"""with {NEAR("not embed_failed and a.query_id % 300 <> 0")}, vec as (select query_id, id, rank from near where rank <= 3 and id in (select id from memories where superseded_by is null))
+select query_id, id, rank, 'vector_hit' as outcome from vec union all select a.query_id, coalesce(id, 0), coalesce(rank, 0), case when embed_failed then 'embed_failed' when id is not null then 'lexical_fallback' else 'no_hits' end from asked a left join (select * from ranked where rank <= 3) r using (query_id) where a.query_id not in (select query_id from vec)""")
 def memory_recall(spark, d):
-    """Every third question has itself as a vector hit."""
-    asked = _asked(spark, d)
-    hits = asked.where("query_id % 3 = 0").select("query_id", F.col("query_id").alias("id"), F.lit(1).alias("rank"))
-    return m.recall(asked, memories(spark, d), hits).fillna(0, ["id", "rank"])
+    """By vectors of hashed terms; every fourth conversation's questions could not be embedded, and every third question finds no vectors."""
+    asked, rows = _asked(spark, d), memories(spark, d)
+    hits = _near(asked.where("not embed_failed and query_id % 300 <> 0"), rows, 3)
+    return m.recall(asked, rows, hits).fillna(0, ["id", "rank"])
 
 
 PAIRED = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+|[\\x{4e00}-\\x{9fff}]') || list_transform(range(1, length(k)), lambda i: substr(k, i, 2)))"
@@ -302,9 +318,8 @@ def entity_recall(spark, d):
     return m.entity_scores(_asked(spark, d), memories(spark, d))
 
 
-@query(f"with {RECALLED}, every as (select query_id, id, 0 as channel, rank from ranked where rank <= 8 union all select query_id, id, 1, row_number() over (partition by query_id order by id) from asked join memories using (user_id) where superseded_by is null qualify row_number() over (partition by query_id order by id) <= 8), once as (select query_id, id, min((channel, rank)) as spot from every group by all) select query_id, id, row_number() over (partition by query_id order by spot) as place from once qualify place <= 12")
+@query(f"with {NEAR('true')}, every as (select query_id, id, 0 as channel, rank from ranked where rank <= 8 union all select query_id, id, 1, rank from near where rank <= 8), once as (select query_id, id, min((channel, rank)) as spot from every group by all) select query_id, id, row_number() over (partition by query_id order by spot) as place from once qualify place <= 12")
 def candidate_union(spark, d):
-    """The second channel offers the user's oldest rows."""
+    """The best overlaps, then the nearest by hashed vectors."""
     asked, rows = _asked(spark, d), memories(spark, d)
-    old = asked.join(rows.where("superseded_by is null").select("user_id", "id"), "user_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
-    return m.candidate_union(m.lexical_recall(asked, rows, 8), old)
+    return m.candidate_union(m.lexical_recall(asked, rows, 8), _near(asked, rows, 8))

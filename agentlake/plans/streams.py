@@ -31,9 +31,16 @@ def _fed(rows: DataFrame, order: str, start: Callable[[DataFrame], StreamingQuer
     at = F.expr(order)
     low, high = rows.agg(F.min(at), F.max(at)).first()
     part = F.least(F.floor((at - F.lit(low)) * PARTS / F.lit((high or 0) - (low or 0) + 1)), F.lit(PARTS - 1))
-    for k in range(PARTS):
-        rows.where(part == k).write.mode("append").parquet(f"{root}/in")
-        start(spark.readStream.schema(rows.schema).parquet(f"{root}/in")).awaitTermination()
+    # A stateful stream keeps its number of partitions, each with a store and a worker of its own: a few for each core do.
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        for k in range(PARTS):
+            rows.where(part == k).write.mode("append").parquet(f"{root}/in")
+            start(spark.readStream.schema(rows.schema).parquet(f"{root}/in")).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
 
 
 def _finished(rows: DataFrame, order: str, job: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
