@@ -150,7 +150,8 @@ def hashed_embedding(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
     Each row by itself: its terms' cells are sorted, so that equal ones stand together, and the lengths of their runs fill the vector.
     """
     code = lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)) * 2 + F.conv(F.substring(h, 10, 1), 16, 10).cast("long") % 2
-    cells = rows.select(key, F.sort_array(F.transform(tx.embedding_terms(F.col("text")), lambda t: code(F.md5(t)))).alias("cells")).where(F.size("cells") > 0)
+    # The condition stands behind an outer explode, as Catalyst would copy it, terms and all, below the scan's repartitioning.
+    cells = rows.select(key, F.explode_outer(F.array(F.sort_array(F.transform(tx.embedding_terms(F.col("text")), lambda t: code(F.md5(t)))))).alias("cells")).where(F.size("cells") > 0)
     # A cell that differs from the one before begins a run; even codes count up, odd ones down.
     at = F.filter(F.sequence(F.lit(1), F.size("cells")), lambda i: (i == 1) | (F.get("cells", i - 1) != F.get("cells", i - 2)))
     begun = cells.select(key, "cells", at.alias("at"))
