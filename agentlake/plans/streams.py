@@ -87,9 +87,9 @@ def stream_denials(spark, d):
 
 
 def stream_stale(spark, d):
-    """Each user's events as changes of a document: views leave it pending, all else settles it; a week without a word is too long."""
+    """Each user's events as changes of a document: views leave it pending, all else settles it; half a day without a word is too long."""
     changes = _events(spark, d).select(F.col("user_id").cast("string").alias("doc_key"), F.when(F.col("event_type") == "view", "pending").otherwise("ready").alias("status"), "ts")
-    out = _finished(changes, BY_TIME, lambda s: jobs.stale_pending(s, 7 * 86_400, "1 hour"))
+    out = _finished(changes, BY_TIME, lambda s: jobs.stale_pending(s, 43_200, "1 hour"))
     return out.select("doc_key", F.unix_micros("since").alias("since"), "status")
 
 
@@ -154,7 +154,7 @@ SQL = {
     "stream_ingest": f"with {LINES} select doc_key, seq, 1 as version, md5(text) as digest from lines where doc_id % 2 <> 0 union all select doc_key, seq, 4, md5(text || '-4') from lines where doc_id % 2 = 0 and seq % 2 = 0 union all select doc_key, seq, 3, md5(text || '-3') from lines where doc_id % 2 = 0 and doc_key not in (select doc_key from lines where seq % 2 = 0)",
     "stream_memories": written(0.85, 100),
     "stream_stale": """with c as (select user_id::varchar as doc_key, event_type = 'view' as pending, epoch_us(ts) as us, lead(epoch_us(ts)) over (partition by user_id order by ts, event_id) as next, max(epoch_us(ts)) over () as newest from events)
-select doc_key, us as since, 'failed' as status from c where pending and coalesce(next - us > 604800000000, newest - 3600000000 > us + 604800000000)""",
+select doc_key, us as since, 'failed' as status from c where pending and coalesce(next - us > 43200000000, newest - 3600000000 > us + 43200000000)""",
     "stream_index": f"""with {CORPUS}, now_ as (select user_id, doc_key, {TOKENS("case when chunk_id % 4 > 0 then 'renewed_' || (chunk_id % 4) || ' ' || text else text end")} as t from corpus where chunk_id % 3 <> 0 or chunk_id % 4 > 0)
 select user_id, doc_key, term, count(*) as tf, any_value(dl) as dl from (select user_id, doc_key, len(t) as dl, unnest(t || ['']) as term from now_ where len(t) > 0) group by user_id, doc_key, term""",
     "stream_outcomes": f"with {PLANNED('true')}, told as ({OUTCOMES}) select (1700000000 + query_id * 60) // 3600 * 3600 as start, mode, outcome, degraded, count(*) as n, round(sum(served), 4)::bigint as total from told group by all",
