@@ -10,6 +10,9 @@ r"""Substring dedup by repeated-phrase automata: every word that lies in a windo
    match of a passage that starts earlier than the match is a window that goes.  Words decide, so nothing goes that does not repeat.
 3. The documents meet their matches and lose the words covered.
 
+The words of all documents are shuffled once, compressed (``packed``): steps 2 and 3 read the same exchange, as they are one query and
+nothing is staged between them.
+
 Hot passages: a task links the copies it holds itself, per ``CHUNK`` words (to the one before in the same text, or to the first), and hands on the first; of those, the first is linked
 to by ``FAN`` others and each later one by one, so what a shard gathers is bounded by a document and a chunk, however
 many copies there are.  Rims of an anchor with over ``GROUP`` blocks go by window instead: the first of a batch travels, the others
@@ -25,14 +28,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import id_back, staged, table, texts
+from .common import id_back, map_batches, table, texts
 from .op02_substrings import _merged, _mixed, _ranks, _sliding_min, keyed
 
 WINDOW, GRAM = 20, 8
@@ -51,6 +54,23 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+def packed(whole: DataFrame) -> DataFrame:
+    """key, sub and the words of ``text``, joined by blanks and compressed (``size``: bytes before that)."""
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec, raw = pa.Codec("zstd", 1), [b" ".join(words_of(t)) for t in batch.column("text").to_pylist()]
+        words = pa.array([codec.compress(r, asbytes=True) if r else r for r in raw], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("sub"), words, pa.array(map(len, raw), pa.int64())], ["key", "sub", "words", "size"])
+
+    return map_batches(whole, pack, "key long not null, sub long not null, words binary, size long")
+
+
+def _unpacked(batch: pa.RecordBatch) -> Callable[[int], list[bytes]]:
+    """The words of a row of ``packed``, row by row."""
+    codec, words, sizes = pa.Codec("zstd"), batch.column("words"), batch.column("size").to_pylist()
+    return lambda k: codec.decompress(words[k].as_buffer(), sizes[k], asbytes=True).split() if sizes[k] else []
+
+
 def hashed(words: list[bytes]) -> np.ndarray:
     import xxhash
 
@@ -184,13 +204,13 @@ def _of_document(key: int, sub: int) -> int:
     return _shard(b"%d,%d" % (key, sub))
 
 
-def _hot_windows(spans: list[tuple[int, int, int]], raw: list[str], ranks: np.ndarray) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+def _hot_windows(spans: list[tuple[int, int, int]], words_at: Callable[[int], list[bytes]], ranks: np.ndarray) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
     """Each window of ``spans`` (row, start, n) with its places (row, start), earliest first."""
     places: dict[bytes, list[tuple[int, int, int]]] = {}
     last, words = -1, []
     for row, start, n in sorted(spans):
         if row != last:
-            last, words = row, words_of(raw[row])
+            last, words = row, words_at(row)
         for s in range(start, start + n):
             places.setdefault(b" ".join(words[s : s + WINDOW]), []).append((int(ranks[row]), row, s))
     for window, at in places.items():
@@ -201,7 +221,7 @@ def _travelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of shards: PASSAGE (``blocks``: start and windows of each in turn), TEXT (``to_start``: where the document it is linked to has it) and RIM."""
     names, kinds = [c.split()[0] for c in _TRAVEL.split(", ")], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int64())
     for batch in batches:
-        keys, subs, raw, lists = batch.column("key").to_pylist(), batch.column("sub").to_pylist(), texts(batch), batch.column("spans")
+        keys, subs, words_at, lists = batch.column("key").to_pylist(), batch.column("sub").to_pylist(), _unpacked(batch), batch.column("spans")
         flat, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
         whole = lambda x: x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, n, lead, rim, hot = (whole(flat.field(c).cast(pa.int64())) for c in ("start", "n", "lead", "rim", "hot"))
@@ -212,7 +232,7 @@ def _travelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.flatnonzero(rimmed & (hot == 0)).tolist():
             todo[int(row[k])].append((int(rim[k]), RIM, int(start[k]), int(n[k]), None, None))
         more_links, more_leads = [], []
-        for window, ((r, s), *others) in _hot_windows(list(zip(*(x[rimmed & (hot > 0)].tolist() for x in (row, start, n)))), raw, _ranks(keys, subs)):
+        for window, ((r, s), *others) in _hot_windows(list(zip(*(x[rimmed & (hot > 0)].tolist() for x in (row, start, n)))), words_at, _ranks(keys, subs)):
             todo[r].append((_shard(window), RIM, s, 1, None, None))
             if others:
                 more_leads.append((r, s, 1))
@@ -230,7 +250,7 @@ def _travelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             todo[q].append((_of_document(keys[q], subs[q]), PASSAGE, a, w, blocks_[low:high].ravel(), None))
         out: list[tuple] = []
         for q, rows in todo.items():
-            words = words_of(raw[q])
+            words = words_at(q)
             out += [(shard, kind, keys[q], subs[q], a, b" ".join(words[a : a + w + WINDOW - 1]), own, to_) for shard, kind, a, w, own, to_ in rows]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
@@ -335,18 +355,19 @@ def _shards(batches: Iterator[pa.RecordBatch], batch: int) -> Iterator[pa.Record
     yield work(held)
 
 
-def repeated_words(whole: DataFrame, batch: int = BATCH) -> DataFrame:
-    """(key, sub, start, end): spans of words that windows seen before cover; spans may overlap.  ``whole``: key, sub and text."""
+def repeated_words(whole: DataFrame, words: DataFrame, batch: int = BATCH) -> DataFrame:
+    """(key, sub, start, end): spans of words that windows seen before cover; spans may overlap.  ``whole``: key, sub and text; ``words``: ``packed``."""
     spans = linked(whole.mapInArrow(_scan, _FOUND)).groupBy("key", "sub").agg(F.collect_list(F.struct("start", "n", "to", "lead", "rim", "hot")).alias("spans"))
-    travelling = whole.join(spans, ["key", "sub"]).mapInArrow(_travelling, _TRAVEL)
+    travelling = words.join(spans, ["key", "sub"]).mapInArrow(_travelling, _TRAVEL)
     return travelling.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _shards(b, batch), "key long, sub long, start long, end long")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(texts(batch), batch.column("spans").to_pylist()):
-            words = words_of(text)
+        words_at = _unpacked(batch)
+        for k, spans in enumerate(batch.column("spans").to_pylist()):
+            words = words_at(k)
             at = np.array([(s["start"], s["end"]) for s in spans or ()], np.int64).reshape(-1, 2)
             _, begin, end = _merged(np.zeros(len(at), np.int64), at[:, 0], at[:, 1])
             left = [w for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(words)]) for w in words[a:b]]
@@ -359,8 +380,9 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
 def remove_phrases(docs: DataFrame, with_text: bool = False, batch: int = BATCH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with ``with_text`` the words that are left, joined by blanks, as ``kept``."""
     whole = keyed(docs)
-    spans = staged(repeated_words(whole, batch)).groupBy("key", "sub").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    out = whole.join(spans, ["key", "sub"], "left").mapInArrow(lambda b: _kept(b, with_text), "key long, n_words long, n_removed long, kept_sha256 string, kept string")
+    words = packed(whole)
+    spans = repeated_words(whole, words, batch).groupBy("key", "sub").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    out = words.join(spans, ["key", "sub"], "left").mapInArrow(lambda b: _kept(b, with_text), "key long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.select(id_back("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
 
 

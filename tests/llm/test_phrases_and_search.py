@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from agentlake.llm import op11_phrases as op11, op12_lexical as op12
 
@@ -82,6 +83,23 @@ def test_repeated_phrases(spark, monkeypatch, shape):
     assert op11.remove_phrases(table_of(spark, [])).count() == 0
 
 
+def test_texts_are_shuffled_once(spark):
+    """Both joins of documents read one exchange, which holds compressed words."""
+    rows = [(k, f"{sentence(random.Random(k % 7), 60)} {sentence(random.Random(100 + k), 200)}") for k in range(40)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = op11.remove_phrases(table_of(spark, rows))
+        got = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((tuple(r) for r in got), key=str) == phrases_by_hand(rows)
+    assert "ReusedExchange" in plan and plan.count("SortMergeJoin") == 2
+    words = op11.packed(op11.keyed(table_of(spark, rows))).agg(F.sum(F.length("words")), F.sum("size")).first()
+    assert words[0] < words[1] == sum(len(" ".join(t.split()).encode()) for _, t in rows)
+
+
 def test_long_texts_are_cut_into_chunks_without_loss():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 50, 400).astype(np.uint64)
