@@ -72,6 +72,12 @@ def test_longest_shared_string(spark):
         assert got.get(i, 0) == (best if best >= 6 else 0), (a, b)
 
 
+@pytest.mark.parametrize("key", ["i", "j", "gram", "diagonal", "run", "length", "key"])
+def test_longest_shared_string_takes_a_key_of_any_name(spark, key):
+    pairs = spark.createDataFrame([(1, "one needle here", "a needle  there"), (2, "abc", "abc"), (3, "two needles", "two needles")], f"{key} int, a string, b string")
+    assert {tuple(r) for r in ev.longest_shared(pairs, key, "a", "b").select(key, "shared").collect()} == {(1, len(" needle ")), (3, len("two needles"))}
+
+
 def test_index_check_tells_self_other_and_none(spark):
     stored = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [1.0, 0.0]), (4, 1, [0.0, 1.0])], "chunk_id long, user_id long, embedding array<double>")
     asked = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.6, 0.8]), (3, 1, [1.0, 0.0]), (9, 7, [1.0, 0.0])], "query_id long, user_id long, embedding array<double>")
