@@ -65,3 +65,12 @@ def test_apply_memories_shuffles_no_record_for_each_shared_term(spark, small_par
             first.setdefault(frozenset(text.split()), i)
     assert got == set(kept[-500:])
     assert records < 30_000
+
+
+def test_jaccard_pairs_of_all_parts(spark, small_parts):
+    rows = wordy(600)
+    got, records = shuffled(spark, lambda: [tuple(x) for x in m.jaccard_pairs(spark.createDataFrame(rows, MEMORIES), 0.6).collect()])
+    assert len(got) == len(set(got)) and set(got) == near_pairs(rows, 0.6)
+    assert records < 30_000
+    odd = [(1, None, "a b c", None), (2, None, "a b c d", None), (3, 1, "", None), (4, 1, None, None), (5, 1, "x y", None), (6, 1, "z", None)]
+    assert m.jaccard_pairs(spark.createDataFrame(odd, MEMORIES), 0.0).count() == 0
