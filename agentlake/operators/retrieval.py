@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agentlake.functions import scoring, text as tx
+from agentlake.operators import tiles
 from agentlake.operators.substrings import containing
 from agentlake.sources.staging import staged
 
@@ -139,9 +140,20 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, splits: int = 16) -> D
     return dealt.join(asked, ["user_id", "part"]).select("query_id", *(c for c in vectors.columns if c != "embedding"), F.round(score, 6).alias("score"))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, splits: int = 16) -> DataFrame:
-    """The ``k`` nearest vectors of the query's user; each task keeps its own ``k`` before they are shuffled."""
-    return topk(vector_scores(queries, vectors, splits).select("query_id", "chunk_id", "score"), k)
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` nearest vectors of the query's user, by matrix products of tiles; each tile keeps its own ``k`` before they are shuffled.
+
+    Both tables are read twice (sizes first), so what is costly to make is better staged.
+    """
+    asked, rows = (df.select(F.col(key).alias("id"), "user_id", F.col("embedding").alias("load")) for df, key in ((queries, "query_id"), (vectors, "chunk_id")))
+
+    def nearest(user_id, left, right, alone):
+        if len(left) and len(right):
+            for at, of, value in tiles.nearest(left["load"], right["load"], k):
+                yield tiles.batch(query_id=left["id"].take(at).combine_chunks(), chunk_id=right["id"].take(of).combine_chunks(), score=value)
+
+    ids = (df.schema["id"].dataType.simpleString() for df in (asked, rows))
+    return topk(tiles.pairs(asked, rows, nearest, "query_id {}, chunk_id {}, score double".format(*ids)), k)
 
 
 def hashed_embedding(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:

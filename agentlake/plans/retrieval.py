@@ -99,7 +99,7 @@ fused as (select *, row_number() over (partition by query_id order by score desc
 def _channels(spark, d, k=20):
     chunks, queries = corpus(spark, d), passages(spark, d)
     lexical = r.bm25_topk(queries, chunks, k)
-    own = lambda rows, key: rows.select(key, "user_id").join(r.hashed_embedding(rows, key), key)
+    own = lambda rows, key: staged(rows.select(key, "user_id").join(r.hashed_embedding(rows, key), key))
     return queries, chunks, r.vector_topk(own(queries, "query_id"), own(chunks, "chunk_id"), k), lexical
 
 

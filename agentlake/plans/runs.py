@@ -8,6 +8,7 @@ from agentlake.functions import text as tx
 from agentlake.operators import flywheel as fw, memory as m, retrieval as r, tables as tb, trajectory as t
 from agentlake.plans.relations import ACTIVITY, activity, table
 from agentlake.plans.retrieval import HASHED_OF
+from agentlake.sources.staging import staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -288,7 +289,7 @@ near as (select a.query_id, m.id, row_number() over (partition by a.query_id ord
 
 def _near(asked, rows, k):
     """(query_id, id, rank) by hashed vectors."""
-    own = lambda df, key: df.select(key, "user_id").join(r.hashed_embedding(df, key), key)
+    own = lambda df, key: staged(df.select(key, "user_id").join(r.hashed_embedding(df, key), key))
     return r.vector_topk(own(asked, "query_id"), own(rows, "id").withColumnRenamed("id", "chunk_id"), k).withColumnRenamed("chunk_id", "id")
 
 

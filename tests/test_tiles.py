@@ -1,9 +1,12 @@
 """All-pairs work by tiles: the results of pair by pair, with no record for each pair or shared term in a shuffle."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 
+from agentlake.functions import text as tx
 from agentlake.operators import memory as m, tiles
 
 
@@ -74,3 +77,29 @@ def test_jaccard_pairs_of_all_parts(spark, small_parts):
     assert records < 30_000
     odd = [(1, None, "a b c", None), (2, None, "a b c d", None), (3, 1, "", None), (4, 1, None, None), (5, 1, "x y", None), (6, 1, "z", None)]
     assert m.jaccard_pairs(spark.createDataFrame(odd, MEMORIES), 0.0).count() == 0
+
+
+def asked_of(spark, rows):
+    """Every third row asks; every fifth of them could not be embedded."""
+    frame = spark.createDataFrame(rows, MEMORIES)
+    return frame.where("id % 3 = 0").selectExpr("id as query_id", "user_id", "text", "id % 5 = 0 as embed_failed"), frame
+
+
+def best_overlaps(rows, k):
+    sets = [(i, u, frozenset(text.split())) for i, u, text, _ in rows]
+    out = {}
+    for q, u, t in sets:
+        if q % 3 == 0:
+            ranked = sorted(((-len(t & s), -i) for i, v, s in sets if u == v and t & s))[:k]
+            out[q] = [(-i, n, len(t)) for n, i in ranked]
+    return out
+
+
+def test_memory_recall_by_tiles(spark, small_parts):
+    rows = wordy(600)
+    asked, frame = asked_of(spark, rows)
+    hits = spark.createDataFrame([(0, 3, 1), (3, 9999, 1)], "query_id long, id long, rank int")
+    got, records = shuffled(spark, lambda: sorted((x["query_id"], x["rank"], x["id"], x["outcome"]) for x in m.recall(asked, frame, hits, 3).collect()))
+    want = [(q, n + 1, i, "embed_failed" if q % 5 == 0 else "lexical_fallback") for q, found in best_overlaps(rows, 3).items() if q for n, (i, _, _) in enumerate(found)]
+    assert got == sorted([(0, 1, 3, "vector_hit"), *want])
+    assert records < 60_000
