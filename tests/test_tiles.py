@@ -116,3 +116,16 @@ def test_entity_scores_shuffle_terms_once(spark, small_parts):
     want = {pair: s for pair, s in want.items() if s > 1e-6}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
     assert records < 60_000
+
+
+def test_candidate_union_of_tiles(spark, small_parts):
+    rows = wordy(600)
+    asked, frame = asked_of(spark, rows)
+    vector = asked.selectExpr("query_id", "query_id as id", "1 as rank").union(asked.selectExpr("query_id", "cast(-1 as long)", "2"))
+    got, records = shuffled(spark, lambda: sorted((x["query_id"], x["place"], x["id"]) for x in m.candidate_union(m.lexical_recall(asked, frame, 2), vector, 2, 3).collect()))
+    want = []
+    for q, found in best_overlaps(rows, 2).items():
+        ids = list(dict.fromkeys([*(i for i, _, _ in found), q, -1]))[:3]
+        want += [(q, n + 1, i) for n, i in enumerate(ids)]
+    assert got == sorted(want)
+    assert records < 60_000
