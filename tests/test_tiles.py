@@ -129,3 +129,11 @@ def test_candidate_union_of_tiles(spark, small_parts):
         want += [(q, n + 1, i) for n, i in enumerate(ids)]
     assert got == sorted(want)
     assert records < 60_000
+
+
+def test_lexical_recall_of_all_parts(spark, small_parts):
+    rows = wordy(600)
+    asked, frame = asked_of(spark, rows)
+    got, records = shuffled(spark, lambda: sorted((x["query_id"], x["rank"], x["id"], x["score"]) for x in m.lexical_recall(asked, frame, 3).collect()))
+    assert got == sorted((q, n + 1, i, round(-s / size, 6)) for q, found in best_overlaps(rows, 3).items() for n, (i, s, size) in enumerate(found))
+    assert records < 60_000
