@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 
 from agentlake.functions import text as tx
-from agentlake.operators import memory as m, tiles
+from agentlake.operators import evaluation as ev, memory as m, retrieval as r, tiles
+from agentlake.plans import catalog
 
 
 def shuffled(spark, run):
@@ -137,3 +138,8 @@ def test_lexical_recall_of_all_parts(spark, small_parts):
     got, records = shuffled(spark, lambda: sorted((x["query_id"], x["rank"], x["id"], x["score"]) for x in m.lexical_recall(asked, frame, 3).collect()))
     assert got == sorted((q, n + 1, i, round(-s / size, 6)) for q, found in best_overlaps(rows, 3).items() for n, (i, s, size) in enumerate(found))
     assert records < 60_000
+
+
+def test_dose_response_stages_what_each_weight_reads(spark, sf):
+    plan = catalog.QUERIES["dose_response"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan and len(plan) < 100_000 and "regexp_extract_all" not in plan
