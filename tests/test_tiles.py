@@ -140,6 +140,21 @@ def test_lexical_recall_of_all_parts(spark, small_parts):
     assert records < 60_000
 
 
+@pytest.fixture(scope="module")
+def embedded(spark, tmp_path_factory):
+    """All of 600 vectors ask, with two labels: 180,000 gold rows."""
+    r, path = random.Random(3), str(tmp_path_factory.mktemp("embedded"))
+    rows = [(i * 100, [r.gauss(0, 1) for _ in range(8)], i % 2) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["best_config"])
+def test_scores_shuffle_no_gold_but_what_was_found(spark, embedded, name):
+    rows, records = shuffled(spark, lambda: catalog.QUERIES[name](spark, embedded).count())
+    assert rows > 0 and records < 120_000
+
+
 def test_dose_response_stages_what_each_weight_reads(spark, sf):
     plan = catalog.QUERIES["dose_response"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "documents.parquet" not in plan and len(plan) < 100_000 and "regexp_extract_all" not in plan
