@@ -149,7 +149,7 @@ def embedded(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["best_config", "eval_gate", "eval_by_tag", "case_diff", "eval_report", "score_cases", "ab_table"])
+@pytest.mark.parametrize("name", ["best_config", "eval_gate", "eval_by_tag", "case_diff", "eval_report", "score_cases", "ab_table", "eval_by_category"])
 def test_scores_shuffle_no_gold_but_what_was_found(spark, embedded, name):
     rows, records = shuffled(spark, lambda: catalog.QUERIES[name](spark, embedded).count())
     assert rows > 0 and records < 120_000
