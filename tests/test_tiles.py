@@ -140,6 +140,38 @@ def test_lexical_recall_of_all_parts(spark, small_parts):
     assert records < 60_000
 
 
+def vectors_of(n, dim=6, seed=2):
+    """Vectors with copies, one of no length, one null, one with an unknown number and one of another length."""
+    r = random.Random(seed)
+    rows = [(i, 0, [round(r.uniform(-1, 1), 2) for _ in range(dim)]) for i in range(n)]
+    rows[n // 2 :: 7] = [(i, 0, rows[3][2]) for i, _, _ in rows[n // 2 :: 7]]
+    rows[1], rows[2], rows[4], rows[5] = (1, 0, [0.0] * dim), (2, 0, None), (4, 0, [1.0, None] + [0.0] * (dim - 2)), (5, 0, [1.0])
+    return rows
+
+
+def cosine(a, b):
+    if not a or not b or None in a or None in b or len(a) != len(b) or not any(a) or not any(b):
+        return 0.0
+    return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(y * y for y in b))
+
+
+@pytest.mark.parametrize("odd", [True, False])
+def test_vector_topk_by_tiles(spark, monkeypatch, odd):
+    rows = [(i, u, v) for i, u, v in vectors_of(900) if odd or i not in (1, 2, 4, 5)]
+    monkeypatch.setattr(tiles, "ITEMS", 1_500 if odd else 1 << 20)
+    vectors = spark.createDataFrame(rows, "chunk_id long, user_id long, embedding array<double>")
+    asked = vectors.where("chunk_id % 9 = 3 or chunk_id < 6").withColumnRenamed("chunk_id", "query_id")
+    found = r.vector_topk(asked, vectors, 5)
+    own = dict((i, v) for i, _, v in rows)
+    want = []
+    for q in own:
+        if q % 9 == 3 or q < 6:
+            ranked = sorted((-round(cosine(own[q], v), 6) + 0.0, i) for i, v in own.items())[:5]
+            want += [(q, i, n + 1, round(-s + 0.0, 6)) for n, (s, i) in enumerate(ranked)]
+    assert sorted((x["query_id"], x["chunk_id"], x["rank"], x["score"]) for x in found.collect()) == sorted(want)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def embedded(spark, tmp_path_factory):
     """All of 600 vectors ask, with two labels: 180,000 gold rows."""
