@@ -187,6 +187,13 @@ def test_scores_shuffle_no_gold_but_what_was_found(spark, embedded, name):
     assert rows > 0 and records < 120_000
 
 
+@pytest.mark.parametrize("name", ["index_drift"])
+def test_index_checks_by_tiles(spark, embedded, name):
+    found = catalog.QUERIES[name](spark, embedded)
+    assert found.count() > 0
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dose_response_stages_what_each_weight_reads(spark, sf):
     plan = catalog.QUERIES["dose_response"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "documents.parquet" not in plan and len(plan) < 100_000 and "regexp_extract_all" not in plan
