@@ -187,7 +187,7 @@ def test_scores_shuffle_no_gold_but_what_was_found(spark, embedded, name):
     assert rows > 0 and records < 120_000
 
 
-@pytest.mark.parametrize("name", ["index_drift"])
+@pytest.mark.parametrize("name", ["index_drift", "index_check"])
 def test_index_checks_by_tiles(spark, embedded, name):
     found = catalog.QUERIES[name](spark, embedded)
     assert found.count() > 0
