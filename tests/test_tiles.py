@@ -172,6 +172,19 @@ def test_vector_topk_by_tiles(spark, monkeypatch, odd):
     assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_score_spread_counts_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "ITEMS", 800)
+    rows = [(i, u, i % 3 if i % 11 else None, v) for i, u, v in vectors_of(300)]
+    frame = spark.createDataFrame(rows, "id long, user_id long, label int, embedding array<double>")
+    counted = ev.labelled_scores(frame.where("id % 10 = 0"), frame)
+    want = Counter((None if None in (a, b) else a == b, round(cosine(x, y), 6) + 0.0) for i, _, a, x in rows if i % 10 == 0 for j, _, b, y in rows if j > i)
+    assert {(x["duplicate"], x["score"]): x["n"] for x in counted.collect()} == want
+    spread = {x["duplicate"]: (x["min"], x["median"], x["max"]) for x in ev.score_spread(counted).collect()}
+    for kind in (True, False):
+        scores = sorted(s for (k, s), n in want.items() for _ in range(n) if k is kind)
+        assert spread[kind] == (scores[0], scores[len(scores) // 2], scores[-1])
+
+
 @pytest.fixture(scope="module")
 def embedded(spark, tmp_path_factory):
     """All of 600 vectors ask, with two labels: 180,000 gold rows."""
